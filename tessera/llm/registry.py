@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op4_secrets, op6_decontaminate, op7_urls
+from . import op4_secrets, op5_mix, op6_decontaminate, op7_urls
 
 _MODULES = {
     "op4_secrets": op4_secrets,
+    "op5_mix": op5_mix,
     "op6_decontaminate": op6_decontaminate,
     "op7_url_filter": op7_urls,
 }
