@@ -20,7 +20,7 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _POW = np.ones(1, np.uint64)
 _INV = np.ones(1, np.uint64)
-_BYTE = np.random.default_rng(20240229).integers(0, 1 << 64, 256, dtype=np.uint64, endpoint=False)
+BYTE_VALUES = np.random.default_rng(20240229).integers(0, 1 << 64, 256, dtype=np.uint64, endpoint=False)
 
 
 def _class(excluded: list[tuple[int, int]]) -> np.ndarray:
@@ -120,7 +120,7 @@ class Words:
 def tokenize(buffer: np.ndarray, offsets: np.ndarray, kind: np.ndarray = SPACED, fold: np.ndarray = SAME, hashes: bool = True) -> Words:
     """Words of all texts: byte positions in the buffer and 64-bit hashes of the folded bytes."""
     starts, ends, found, at, n = [], [], [], 0, len(buffer)
-    values = _BYTE[fold]
+    values = BYTE_VALUES[fold]
     while at < n:
         to = min(n, at + SEGMENT)
         while to < n and kind[buffer[to]] and not (k := np.flatnonzero(~kind[buffer[to : to + 4096]])).size:
