@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op4_secrets, op5_mix, op6_decontaminate, op7_urls, op8_language, op9_lm
+from . import op10_embeddings, op4_secrets, op5_mix, op6_decontaminate, op7_urls, op8_language, op9_lm
 
 _MODULES = {
     "op4_secrets": op4_secrets,
@@ -15,6 +15,7 @@ _MODULES = {
     "op7_url_filter": op7_urls,
     "op8_language_id": op8_language,
     "op9_lm_score": op9_lm,
+    "op10_embedding_near_dup": op10_embeddings,
 }
 
 
