@@ -1,7 +1,7 @@
 """Embedding near-dup by a pivot-permutation index (Chavez, Figueroa, Navarro, TPAMI 2008).
 
-Each vector is described by its NEAREST nearest pivots.  Pivots are up to PIVOTS vectors out of the SAMPLE
-of least hash, taken in turn if no earlier pivot is within cosine APART, so that a dense group has one
+Each vector is described by its NEAREST nearest pivots.  Pivots are up to PIVOTS vectors out of SAMPLE to
+2 SAMPLE of least hash, taken in turn if no earlier pivot is within cosine APART, so that a dense group has one
 pivot and not many whose order among near vectors would be noise.  Two vectors are candidates if they share SHARED of them.  Lists of vectors by (label, pivot)
 are inverted on each vector's NEAREST - SHARED + 1 rarest pivots only: two vectors that share SHARED pivots
 meet in one of these lists.  In a list shared pivots are counted and candidates verified in double
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import Scratch
+from .scratch import Scratch, hash_sample
 
 PIVOTS, SAMPLE, APART, NEAREST, SHARED, CHUNK, COSINE, BUCKET_ROWS = 512, 2048, 0.9, 8, 4, 1024, 0.98, 8192
 
@@ -89,7 +89,7 @@ def near_duplicates(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     classes = valid.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     classes = scratch.write(classes.withColumn("space", F.xxhash64("label", F.size("v"))).withColumn("dim", F.size("v")), "classes")
     dims = [r["dim"] for r in classes.select("dim").distinct().limit(64).collect()]
-    pivots = {d: _apart(_unit(np.array([r["v"] for r in classes.where(F.col("dim") == d).orderBy(F.xxhash64("v"), "v").limit(SAMPLE).collect()], np.float64))) for d in dims}
+    pivots = {d: _apart(_unit(np.array([r["v"] for r in hash_sample(classes.where(F.col("dim") == d).select("v"), SAMPLE).collect()], np.float64))) for d in dims}
     sent = spark.sparkContext.broadcast(pivots)
 
     def describe(parts):

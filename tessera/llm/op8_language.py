@@ -2,7 +2,7 @@
 
 Text: log-likelihood of the letter trigrams (bytes folded to 6 bits) under one table per language, plus "und",
 the uniform table, for texts that are no language.  Tables are fitted on a bounded sample of labelled rows:
-the SAMPLE rows of least hash among those whose declared language is one of LANGUAGES.  That is the only
+SAMPLE to 2 SAMPLE distinct rows of least hash among those whose declared language is one of LANGUAGES.  That is the only
 bound; the rest is counted over all rows.
 
 Evidence: each row is first given its text's language; grouped sums of these give the likelihood of every
@@ -28,11 +28,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import Scratch, keep_names
+from .scratch import Scratch, hash_sample, keep_names
 from .words import batches, text_buffer
 
 LANGUAGES, UND = ("en", "de", "fr", "es"), "und"
-SAMPLE, MIN_POSTERIOR, STRENGTH, SHARE_UND = 1500, 0.5, 20.0, 0.001
+SAMPLE, MIN_POSTERIOR, STRENGTH, SHARE_UND = 1000, 0.5, 20.0, 0.001
 _CODES, _KINDS = 64, (*LANGUAGES, UND)
 
 
@@ -88,7 +88,7 @@ def likelihoods(column: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def _sample(rows: DataFrame) -> tuple[list[str], list[str]]:
     own = rows.where(F.col("text").isNotNull() & F.col("declared").isin(*LANGUAGES))
-    found = own.select("text", "declared").orderBy(F.xxhash64("text", "declared"), "text").limit(SAMPLE).collect()
+    found = hash_sample(own.select("text", "declared"), SAMPLE).collect()
     return [r["text"] for r in found], [r["declared"] for r in found]
 
 

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _ROOTS: dict[str, tuple[SparkSession, str]] = {}
 
@@ -68,3 +69,12 @@ def keep_names(df: DataFrame, taken: list[str]) -> list[str]:
     """Columns of df but for those an operator writes: its own result replaces a column of that name."""
     low = {x.lower() for x in taken}
     return [c for c in df.columns if c.lower() not in low]
+
+
+def hash_sample(rows: DataFrame, n: int) -> DataFrame:
+    """About n to 2 n distinct rows by least hash, all if there are fewer; no task or driver holds more than these."""
+    total = rows.count()
+    hashed = rows.withColumn("__hash", F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]))
+    if total > 2 * n:
+        hashed = hashed.where(F.col("__hash") < -(1 << 63) + int((1 << 64) * (2 * n / total)))
+    return hashed.distinct().orderBy("__hash", *[F.col(f"`{c}`") for c in rows.columns]).limit(2 * n).drop("__hash")
