@@ -44,3 +44,38 @@ def shared(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
         many = np.minimum.reduceat(sorted_ids, new) != np.maximum.reduceat(sorted_ids, new)
         out[order] = np.repeat(many, np.diff(np.append(new, len(keys))))
     return out
+
+
+def hot_anchors(keyed, runs, sample: int = 40_000, least: int = 20) -> np.ndarray:
+    """Anchors of many documents, found on a sample and used for routing alone: windows with one of them are dealt by
+    their own hash, so that what stands around a passage of very many documents doesn't meet in one part.
+
+    keyed: documents (id, text_key, text); runs(texts) gives the anchor of each run and its text's number.  About
+    sample documents are drawn; the result has at most (anchors of these) / least entries.
+    """
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    total = keyed.count()
+    drawn = keyed.where(F.pmod(F.xxhash64("id", "text_key"), F.lit(max(1, total // sample))) == 0).select("text")
+
+    def count(parts):
+        from .words import batches
+
+        for part in parts:
+            for a, b in batches(part.column(0)):
+                anchor, doc = runs(part.column(0).slice(a, b - a))
+                pairs = np.unique(np.stack([anchor, doc.astype(np.uint64)]), axis=1)
+                keys, counts = np.unique(pairs[0], return_counts=True)
+                many = counts > 1
+                yield pa.RecordBatch.from_arrays([pa.array(keys[many].view(np.int64)), pa.array(counts[many].astype(np.int64))], ["anchor", "n"])
+
+    found = drawn.mapInArrow(count, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("anchor").toPandas()
+    return np.sort(found["anchor"].to_numpy(np.int64).view(np.uint64))
+
+
+def among(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which keys are in a sorted table."""
+    if not len(table):
+        return np.zeros(len(keys), bool)
+    return table[np.minimum(np.searchsorted(table, keys), len(table) - 1)] == keys

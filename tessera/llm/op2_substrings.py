@@ -5,7 +5,9 @@ kept for the one of least id; for the others it is known to repeat.  What is lef
 hash space: windows in a row with one anchor (the least hash of the GRAM-word grams in the window, so
 equal windows have equal anchors) travel as a run with one header, 9 bytes a window.
 Reduce: a part finds the anchors of several documents, among their windows those of several documents, and
-returns each repeat to its document.  However many documents hold a window, a slice sends one of them.
+returns each repeat to its document.  However many documents hold a window, a slice sends one of them; windows
+whose anchor a sample shows to be frequent are dealt by their own hash, so that the surroundings of a
+passage of very many documents spread over all parts.
 Last: positions meet their texts, and windows merge into maximal removal intervals.
 
 Parts are a few MB and grow in number with the text.  Windows are told apart by 64-bit hashes, those of one
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .anchors import shared, sliding_min, smallest, take_runs
+from .anchors import among, hot_anchors, shared, sliding_min, smallest, take_runs
 from .scratch import Scratch, keep_names
 from .words import SPACED, batches, rolling, text_buffer, tokenize, within
 
@@ -44,7 +46,7 @@ def _pack(*arrays: np.ndarray) -> bytes:
     return b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
 
 
-def _hash_slice(column: pa.Array, ids: np.ndarray, keys: np.ndarray, window: int, parts: int):
+def _hash_slice(column: pa.Array, ids: np.ndarray, keys: np.ndarray, window: int, parts: int, hot: np.ndarray):
     """Packed runs by part, and the repeats known from the slice alone by row."""
     tokens = tokenize(*text_buffer(column), SPACED)
     gram = min(GRAM, window)
@@ -58,7 +60,7 @@ def _hash_slice(column: pa.Array, ids: np.ndarray, keys: np.ndarray, window: int
     at, doc = at[~repeat], doc[~repeat]
     if not len(at):
         return {}, local
-    anchor = anchors[at]
+    anchor = np.where(among(anchors[at], hot), windows[at], anchors[at])
     new = np.flatnonzero(np.concatenate(([True], (np.diff(at) != 1) | (np.diff(doc) != 0) | (anchor[1:] != anchor[:-1]))))
     counts = np.diff(np.append(new, len(at)))
     part = (anchor[new] % np.uint64(parts)).astype(np.int64)
@@ -117,15 +119,28 @@ def _reduce(table: pa.Table) -> pa.Table:
     return pa.table({"id": pa.array(pairs[own, 0]), "text_key": pa.array(pairs[own, 1]), "starts": pa.array([found[i] for i in own], pa.binary())})
 
 
+def _runs(window: int):
+    def runs(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        tokens = tokenize(*text_buffer(column), SPACED)
+        gram = min(GRAM, window)
+        anchors = sliding_min(rolling(tokens.hash, gram), window - gram + 1)
+        at = np.flatnonzero(within(tokens.first, window, len(anchors)))
+        return anchors[at], np.searchsorted(tokens.first, at, "right") - 1
+
+    return runs
+
+
 def find_repeats(keyed: DataFrame, window: int, parts: int) -> DataFrame:
     """(id, text_key, starts) for documents (id, text_key, text): word positions at which repeated windows start."""
 
+    sent_hot = keyed.sparkSession.sparkContext.broadcast(hot_anchors(keyed, _runs(window)))
+
     def run(batch_list: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["part", "blob", "id", "text_key", "starts"]
         for batch in batch_list:
             ids, keys, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
             for a, b in batches(texts, SLICE):
-                packed, local = _hash_slice(texts.slice(a, b - a), ids[a:b], keys[a:b], window, parts)
+                packed, local = _hash_slice(texts.slice(a, b - a), ids[a:b], keys[a:b], window, parts, sent_hot.value)
                 if packed:
                     none = [None] * len(packed)
                     yield pa.RecordBatch.from_arrays([pa.array(list(packed), pa.int32()), pa.array(list(packed.values()), pa.binary()), pa.array(none, pa.int64()), pa.array(none, pa.int64()), pa.array(none, pa.binary())], names)
