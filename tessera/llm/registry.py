@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op2_substrings, op3_bytes, op10_embeddings, op4_secrets, op5_mix, op6_decontaminate, op7_urls, op8_language, op9_lm
+from . import op1_ngram_join, op2_substrings, op3_bytes, op10_embeddings, op4_secrets, op5_mix, op6_decontaminate, op7_urls, op8_language, op9_lm
 
 _MODULES = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_substring_dedup": op2_substrings,
     "op3_suffix_dedup": op3_bytes,
     "op4_secrets": op4_secrets,
