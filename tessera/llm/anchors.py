@@ -46,18 +46,21 @@ def shared(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return out
 
 
-def hot_anchors(keyed, runs, sample: int = 40_000, least: int = 20) -> np.ndarray:
+def hot_anchors(keyed, runs, sample: int = 40_000, documents: int = 5_000, least: int = 20) -> np.ndarray:
     """Anchors of many documents, found on a sample and used for routing alone: windows with one of them are dealt by
     their own hash, so that what stands around a passage of very many documents doesn't meet in one part.
 
     keyed: documents (id, text_key, text); runs(texts) gives the anchor of each run and its text's number.  About
-    sample documents are drawn; the result has at most (anchors of these) / least entries.
+    sample documents are drawn (one of 2,000 if that is more); frequent is what stands, by the sample, in so
+    many documents, and in least of the sample.
     """
     import pyarrow as pa
     from pyspark.sql import functions as F
 
     total = keyed.count()
-    drawn = keyed.where(F.pmod(F.xxhash64("id", "text_key"), F.lit(max(1, total // sample))) == 0).select("text")
+    step = max(1, total // max(sample, total // 2000))
+    least = max(least, documents // step)
+    drawn = keyed.where(F.pmod(F.xxhash64("id", "text_key"), F.lit(step)) == 0).select("text")
 
     def count(parts):
         from .words import batches

@@ -126,7 +126,7 @@ def shared_anchors(keyed: DataFrame, parts: int) -> DataFrame:
     return sent.groupBy("part").applyInArrow(count, "doc long, found binary")
 
 
-def _pieces(own: Slice, ids: np.ndarray, docs: np.ndarray, found: list, parts: int, hot: np.ndarray):
+def _pieces(own: Slice, ids: np.ndarray, docs: np.ndarray, found: list, parts: int, shards: int, hot: np.ndarray):
     """Packed pieces by shard, and (row, first, end) of the repeats known from the slice alone."""
     code = _codes(own.anchor[own.first], parts)
     wanted = [np.frombuffer(b"".join(x), np.uint64) if x else np.zeros(0, np.uint64) for x in found]
@@ -148,7 +148,7 @@ def _pieces(own: Slice, ids: np.ndarray, docs: np.ndarray, found: list, parts: i
     key = np.where(among(anchor, hot), hashes, anchor)
     new = np.flatnonzero(np.concatenate(([True], (np.diff(at) != 1) | (np.diff(doc) != 0) | (key[1:] != key[:-1])))) if len(at) else np.zeros(0, np.int64)
     counts = np.diff(np.append(new, len(at)))
-    part = (mix(key[new]) % np.uint64(parts)).astype(np.int32)
+    part = (mix(key[new]) % np.uint64(shards)).astype(np.int32)
     order = np.argsort(part, kind="stable")
     new, counts, part = new[order], counts[order], part[order]
     text = own.buffer[take_runs(at[new], counts + WINDOW - 1)]
@@ -156,10 +156,18 @@ def _pieces(own: Slice, ids: np.ndarray, docs: np.ndarray, found: list, parts: i
     packed = {}
     for x, y in _cuts(part):
         n, d = new[x:y], doc[new[x:y]]
-        packed[int(part[x])] = b"".join((np.int64(y - x).tobytes(), ids[d].tobytes(), docs[d].tobytes(), (at[n] - own.offsets[d]).astype(np.int32).tobytes(), counts[x:y].astype(np.int32).tobytes(), text[ends[x] : ends[y]].tobytes()))
+        packed[int(part[x])] = _squeeze(b"".join((np.int64(y - x).tobytes(), ids[d].tobytes(), docs[d].tobytes(), (at[n] - own.offsets[d]).astype(np.int32).tobytes(), counts[x:y].astype(np.int32).tobytes(), text[ends[x] : ends[y]].tobytes())))
     return packed, known
 
 
+def _squeeze(x: bytes) -> bytes:
+    return len(x).to_bytes(8, "little") + pa.compress(x, codec="zstd", asbytes=True)
+
+
+def _unsqueeze(x: bytes) -> bytes:
+    return pa.decompress(x[8:], int.from_bytes(x[:8], "little"), codec="zstd", asbytes=True)
+
+
 def _intervals(rows: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Places in a row (row, first, end), of sorted rows and places."""
     if not len(at):
@@ -206,7 +214,7 @@ def sort_shard(ids: np.ndarray, start: np.ndarray, count: np.ndarray, text: np.n
     return piece[repeat], start[piece[repeat]] + place[repeat]
 
 
-def find_repeats(candidates: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
+def find_repeats(candidates: DataFrame, parts: int, shards: int, hot: np.ndarray) -> DataFrame:
     """(doc, found) for documents (id, doc, text, found): intervals of places at which repeated windows start."""
     sent = candidates.sparkSession.sparkContext.broadcast(hot)
 
@@ -215,9 +223,9 @@ def find_repeats(candidates: DataFrame, parts: int, hot: np.ndarray) -> DataFram
         for batch in batch_list:
             ids, docs, texts, found = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2), batch.column(3).to_pylist()
             for a, b in batches(texts, SLICE):
-                packed, known = _pieces(Slice(texts.slice(a, b - a)), ids[a:b], docs[a:b], found[a:b], parts, sent.value)
+                packed, known = _pieces(Slice(texts.slice(a, b - a)), ids[a:b], docs[a:b], found[a:b], parts, shards, sent.value)
                 rows = [{"part": p, "blob": x} for p, x in packed.items()]
-                rows += [{"part": int(-1 - docs[a + r] % parts), "doc": int(docs[a + r]), "found": x} for r, x in _encode(known).items()]
+                rows += [{"part": int(-1 - docs[a + r] % shards), "doc": int(docs[a + r]), "found": x} for r, x in _encode(known).items()]
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, kinds)
 
@@ -226,7 +234,7 @@ def find_repeats(candidates: DataFrame, parts: int, hot: np.ndarray) -> DataFram
         if not blobs:
             return table.select(["doc", "found"])
         own = [[] for _ in range(5)]
-        for blob in blobs:
+        for blob in map(_unsqueeze, blobs):
             n, at = int(np.frombuffer(blob, np.int64, 1)[0]), 8
             for k, kind in enumerate((np.int64, np.int64, np.int32, np.int32)):
                 own[k].append(np.frombuffer(blob, kind, n, at))
@@ -260,9 +268,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     keyed = held.select(F.col("__id").alias("id"), F.col("__key").alias("text_key"), F.col("__doc").alias("doc"), F.col(f"`{text}`").alias("text"))
     hot = hot_anchors(keyed.select("id", "text_key", "text"), _runs)
     parts = part_count(docs, text, 1.0)
+    shards = part_count(docs, text, 5.0)
     selected = shared_anchors(keyed, parts).groupBy("doc").agg(F.collect_list("found").alias("found"))
     selected = scratch.write(selected, "anchors")
-    found = find_repeats(keyed.join(selected, "doc"), parts, hot).groupBy("doc").agg(F.collect_list("found").alias("__found"))
+    found = find_repeats(keyed.join(selected, "doc"), parts, shards, hot).groupBy("doc").agg(F.collect_list("found").alias("__found"))
     found = scratch.write(found.withColumnRenamed("doc", "__doc"), "repeats")
     scratch.drop("anchors")
     joined = held.join(found, "__doc", "left").select(*[F.col(f"`{c}`") for c in own], "__found")
