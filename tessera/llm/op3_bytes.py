@@ -105,31 +105,54 @@ def shared_anchors(keyed: DataFrame, parts: int) -> DataFrame:
                 if len(code):
                     lone[np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))] = True
                 part = (code >> np.uint64(32)).astype(np.int32)
-                rows = [(int(part[lone][x]), (code[lone][x:y] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() + doc[lone][x:y].tobytes(), None, None) for x, y in _cuts(part[lone])]
-                rows += [(-1 - d % parts, None, d, found) for d, found in _group_bytes(doc[known], code[known]).items()]
+                rows = [{"part": int(part[lone][x]), "blob": _pair((code[lone][x:y] & np.uint64(0xFFFFFFFF)).astype(np.uint32), doc[lone][x:y])} for x, y in _cuts(part[lone])]
+                if known.any():
+                    rows.append({"part": -1 - int(docs[a] % parts), "known": _pair(code[known], doc[known])})
                 if rows:
-                    yield pa.RecordBatch.from_pylist([dict(zip(("part", "blob", "doc", "found"), r)) for r in rows], pa.schema([("part", pa.int32()), ("blob", pa.binary()), ("doc", pa.int64()), ("found", pa.binary())]))
+                    yield pa.RecordBatch.from_pylist(rows, pa.schema([("part", pa.int32()), ("blob", pa.binary()), ("known", pa.binary())]))
 
     def count(table: pa.Table) -> pa.Table:
-        blobs = [x for x in table["blob"].to_pylist() if x is not None]
-        if not blobs:
-            return table.select(["doc", "found"])
-        sizes = [len(x) // 12 for x in blobs]
-        code = np.concatenate([np.frombuffer(x, np.uint32, n) for x, n in zip(blobs, sizes)])
-        doc = np.concatenate([np.frombuffer(x, np.int64, n, 4 * n) for x, n in zip(blobs, sizes)])
-        many = shared(code, doc)
-        part = np.uint64(table["part"][0].as_py())
-        found = _group_bytes(doc[many], code[many].astype(np.uint64) | (part << np.uint64(32)))
+        """Codes and documents of shared anchors, packed by bucket of documents."""
+        code, doc = _pairs(table["known"], np.uint64)
+        low, own = _pairs(table["blob"], np.uint32)
+        many = shared(low, own)
+        code = np.concatenate([code, low[many].astype(np.uint64) | np.uint64(max(0, table["part"][0].as_py()) << 32)])
+        doc = np.concatenate([doc, own[many]])
+        bucket = (doc.view(np.uint64) % np.uint64(parts)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        bucket, code, doc = bucket[order], code[order], doc[order]
+        cuts = _cuts(bucket)
+        return pa.table({"bucket": pa.array([int(bucket[x]) for x, _ in cuts], pa.int32()), "pairs": pa.array([_pair(code[x:y], doc[x:y]) for x, y in cuts], pa.binary())})
+
+    def answer(table: pa.Table) -> pa.Table:
+        code, doc = _pairs(table["pairs"], np.uint64)
+        found = _group_bytes(doc, code)
         return pa.table({"doc": pa.array(list(found), pa.int64()), "found": pa.array(list(found.values()), pa.binary())})
 
-    sent = keyed.select("doc", "text").mapInArrow(send, "part int, blob binary, doc long, found binary")
-    return sent.groupBy("part").applyInArrow(count, "doc long, found binary")
+    sent = keyed.select("doc", "text").mapInArrow(send, "part int, blob binary, known binary")
+    counted = sent.groupBy("part").applyInArrow(count, "bucket int, pairs binary")
+    return counted.groupBy("bucket").applyInArrow(answer, "doc long, found binary")
+
+
+def _pair(values: np.ndarray, docs: np.ndarray) -> bytes:
+    return values.tobytes() + docs.tobytes()
+
+
+def _pairs(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """Values and documents of a column of pairs."""
+    size, values, docs = np.dtype(kind).itemsize, [np.zeros(0, kind)], [np.zeros(0, np.int64)]
+    for x in column.to_pylist():
+        if x is not None:
+            n = len(x) // (size + 8)
+            values.append(np.frombuffer(x, kind, n))
+            docs.append(np.frombuffer(x, np.int64, n, n * size))
+    return np.concatenate(values), np.concatenate(docs)
 
 
 def _pieces(own: Slice, ids: np.ndarray, docs: np.ndarray, found: list, parts: int, shards: int, hot: np.ndarray):
     """Packed pieces by shard, and (row, first, end) of the repeats known from the slice alone."""
     code = _codes(own.anchor[own.first], parts)
-    wanted = [np.frombuffer(b"".join(x), np.uint64) if x else np.zeros(0, np.uint64) for x in found]
+    wanted = [np.frombuffer(x, np.uint64) for x in found]
     row = np.repeat(np.arange(len(wanted)), [len(x) for x in wanted]).astype(np.uint64)
     table = np.sort(mix(np.concatenate(wanted) ^ mix(row))) if wanted else np.zeros(0, np.uint64)
     live = among(mix(code ^ mix(own.doc.astype(np.uint64))), table)
@@ -268,11 +291,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     keyed = held.select(F.col("__id").alias("id"), F.col("__key").alias("text_key"), F.col("__doc").alias("doc"), F.col(f"`{text}`").alias("text"))
     hot = hot_anchors(keyed.select("id", "text_key", "text"), _runs)
     parts = part_count(docs, text, 1.0)
-    shards = part_count(docs, text, 5.0)
-    selected = shared_anchors(keyed, parts).groupBy("doc").agg(F.collect_list("found").alias("found"))
-    selected = scratch.write(selected, "anchors")
-    found = find_repeats(keyed.join(selected, "doc"), parts, shards, hot).groupBy("doc").agg(F.collect_list("found").alias("__found"))
-    found = scratch.write(found.withColumnRenamed("doc", "__doc"), "repeats")
+    shards = part_count(docs, text, 3.0)
+    selected = scratch.write(shared_anchors(keyed, parts), "anchors")
+    found = find_repeats(keyed.join(selected, "doc"), parts, shards, hot).groupBy(F.col("doc").alias("__doc"))
+    found = scratch.write(found.agg(F.collect_list("found").alias("__found")), "repeats")
     scratch.drop("anchors")
     joined = held.join(found, "__doc", "left").select(*[F.col(f"`{c}`") for c in own], "__found")
 
