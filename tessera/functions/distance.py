@@ -27,9 +27,4 @@ def osa(a: str, b: str, most: int) -> int:
 
 def osa_distance(most: int):
     """Column function of two strings."""
-
-    @F.pandas_udf("int")
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else osa(x, y, most) for x, y in zip(a, b)])
-
-    return run
+    return F.pandas_udf(lambda a, b: pd.Series([None if x is None or y is None else osa(x, y, most) for x, y in zip(a, b)], dtype="Int32"), "int")

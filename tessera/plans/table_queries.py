@@ -303,7 +303,7 @@ def set_intersect(read):
 
 @query("set_except", "select p_partkey from part except select l_partkey from lineitem where l_quantity > 25 except select p_partkey from part where p_type = 'PROMO'")
 def set_except(read):
-    return read("part").select("p_partkey").exceptAll(read("lineitem").limit(0).select("l_partkey")).subtract(read("lineitem").where("l_quantity > 25").select("l_partkey")).subtract(read("part").where("p_type = 'PROMO'").select("p_partkey"))
+    return read("part").select("p_partkey").subtract(read("lineitem").where("l_quantity > 25").select("l_partkey")).subtract(read("part").where("p_type = 'PROMO'").select("p_partkey"))
 
 
 @query("set_twins", "with m as (select distinct l_suppkey g, l_partkey i from lineitem), s as (select g, count(*) n from m group by 1), b as (select x.g a, y.g b, count(*) c from m x join m y using (i) where x.g < y.g group by 1, 2) select a, b, round(c / (p.n + q.n - c)::double, 7) jaccard from b join s p on p.g = a join s q on q.g = b where least(p.n, q.n) * 10 >= greatest(p.n, q.n) * 2 and c / (p.n + q.n - c)::double >= 0.2")
