@@ -147,6 +147,7 @@ def near_duplicates(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "e
         return pa.table({"rep": pa.array(join(reps, np.int64), table.schema.field("rep").type), "links": pa.array(join(links, np.int64)), "root": pa.array(join(roots, np.int64), table.schema.field("rep").type)})
 
     found = scratch.write(dealt.groupBy("bucket").applyInArrow(work, f"rep {rep_type}, links long, root {rep_type}"), "found")
+    scratch.free()
     linked = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), scratch)
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     known = classes.join(links, "rep", "left").join(linked.select(F.col("a").alias("rep"), F.col("b").alias("component")), "rep", "left")

@@ -241,6 +241,7 @@ def group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
     named = nodes.join(joined.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
     known = scratch.write(named.join(names, "root").select("node", "component_id"), "names")
+    scratch.free()
     full = described.where("n_shingles > 0").select("id", "n_shingles", "node").join(known, "node").select("id", "n_shingles", "component_id")
     empty = described.where("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id"))
     return full.unionByName(empty).withColumnRenamed("id", doc_id)

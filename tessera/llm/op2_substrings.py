@@ -181,6 +181,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     parts = part_count(docs, text, 1.6)
     found = find_repeats(keyed.select(F.col("__id").alias("id"), F.col("__key").alias("text_key"), F.col(f"`{text}`").alias("text")), window, parts)
     found = scratch.write(found.groupBy("id", "text_key").agg(F.collect_list("starts").alias("__starts")), "repeats")
+    scratch.free()
     joined = keyed.join(found.select(F.col("id").alias("__id"), F.col("text_key").alias("__key"), "__starts"), ["__id", "__key"], "left").select(*[F.col(f"`{c}`") for c in own], "__starts")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -118,20 +118,29 @@ def shared_anchors(keyed: DataFrame, parts: int) -> DataFrame:
         many = shared(low, own)
         code = np.concatenate([code, low[many].astype(np.uint64) | np.uint64(max(0, table["part"][0].as_py()) << 32)])
         doc = np.concatenate([doc, own[many]])
-        bucket = (doc.view(np.uint64) % np.uint64(parts)).astype(np.int32)
-        order = np.argsort(bucket, kind="stable")
-        bucket, code, doc = bucket[order], code[order], doc[order]
-        cuts = _cuts(bucket)
-        return pa.table({"bucket": pa.array([int(bucket[x]) for x, _ in cuts], pa.int32()), "pairs": pa.array([_pair(code[x:y], doc[x:y]) for x, y in cuts], pa.binary())})
+        return _by_bucket(code, doc, parts)
+
+    sent = keyed.select("doc", "text").mapInArrow(send, "part int, blob binary, known binary")
+    return _by_document(sent.groupBy("part").applyInArrow(count, "bucket int, pairs binary"))
+
+
+def _by_bucket(values: np.ndarray, doc: np.ndarray, buckets: int) -> pa.Table:
+    """Values and their documents, packed by bucket of documents: a part has one answer per bucket, not per document."""
+    bucket = (doc.view(np.uint64) % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    bucket, values, doc = bucket[order], values[order], doc[order]
+    cuts = _cuts(bucket)
+    return pa.table({"bucket": pa.array([int(bucket[x]) for x, _ in cuts], pa.int32()), "pairs": pa.array([_pair(values[x:y], doc[x:y]) for x, y in cuts], pa.binary())})
+
+
+def _by_document(packed: DataFrame) -> DataFrame:
+    """(doc, found) from (bucket, pairs)."""
 
     def answer(table: pa.Table) -> pa.Table:
-        code, doc = _pairs(table["pairs"], np.uint64)
-        found = _group_bytes(doc, code)
+        found = _group_bytes(*reversed(_pairs(table["pairs"], np.uint64)))
         return pa.table({"doc": pa.array(list(found), pa.int64()), "found": pa.array(list(found.values()), pa.binary())})
 
-    sent = keyed.select("doc", "text").mapInArrow(send, "part int, blob binary, known binary")
-    counted = sent.groupBy("part").applyInArrow(count, "bucket int, pairs binary")
-    return counted.groupBy("bucket").applyInArrow(answer, "doc long, found binary")
+    return packed.groupBy("bucket").applyInArrow(answer, "doc long, found binary")
 
 
 def _pair(values: np.ndarray, docs: np.ndarray) -> bytes:
@@ -202,8 +211,9 @@ def _intervals(rows: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.stack([rows[new], at[new], at[last] + 1])
 
 
-def _encode(found: np.ndarray) -> dict[int, bytes]:
-    return _group_bytes(found[0], np.ascontiguousarray(found[1:].T.astype(np.int32)).view(np.int64).ravel())
+def _encode(found: np.ndarray) -> np.ndarray:
+    """First and end of each interval in 64 bits."""
+    return np.ascontiguousarray(found[1:].T.astype(np.int32)).view(np.uint64).ravel()
 
 
 def sort_shard(ids: np.ndarray, start: np.ndarray, count: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -242,40 +252,42 @@ def find_repeats(candidates: DataFrame, parts: int, shards: int, hot: np.ndarray
     sent = candidates.sparkSession.sparkContext.broadcast(hot)
 
     def send(batch_list: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = pa.schema([("part", pa.int32()), ("blob", pa.binary()), ("doc", pa.int64()), ("found", pa.binary())])
+        kinds = pa.schema([("part", pa.int32()), ("blob", pa.binary()), ("known", pa.binary())])
         for batch in batch_list:
             ids, docs, texts, found = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2), batch.column(3).to_pylist()
             for a, b in batches(texts, SLICE):
                 packed, known = _pieces(Slice(texts.slice(a, b - a)), ids[a:b], docs[a:b], found[a:b], parts, shards, sent.value)
                 rows = [{"part": p, "blob": x} for p, x in packed.items()]
-                rows += [{"part": int(-1 - docs[a + r] % shards), "doc": int(docs[a + r]), "found": x} for r, x in _encode(known).items()]
+                if known.size:
+                    rows.append({"part": -1 - int(docs[a] % shards), "known": _pair(_encode(known), docs[a:b][known[0]])})
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, kinds)
 
     def sort(table: pa.Table) -> pa.Table:
+        found, doc = _pairs(table["known"], np.uint64)
         blobs = [x for x in table["blob"].to_pylist() if x is not None]
-        if not blobs:
-            return table.select(["doc", "found"])
-        own = [[] for _ in range(5)]
-        for blob in map(_unsqueeze, blobs):
-            n, at = int(np.frombuffer(blob, np.int64, 1)[0]), 8
-            for k, kind in enumerate((np.int64, np.int64, np.int32, np.int32)):
-                own[k].append(np.frombuffer(blob, kind, n, at))
-                at += n * np.dtype(kind).itemsize
-            own[4].append(np.frombuffer(blob, np.uint8, -1, at))
-        ids, docs, start, count, text = [np.concatenate(x) for x in own]
-        piece, place = sort_shard(ids, start, count, text)
-        found = _encode(_intervals(docs[piece], place))
-        return pa.table({"doc": pa.array(list(found), pa.int64()), "found": pa.array(list(found.values()), pa.binary())})
-
-    dealt = candidates.select("id", "doc", "text", "found").mapInArrow(send, "part int, blob binary, doc long, found binary")
-    return dealt.groupBy("part").applyInArrow(sort, "doc long, found binary")
-
-
-def _cover(found: list[bytes] | None) -> list[tuple[int, int]]:
+        if blobs:
+            own = [[] for _ in range(5)]
+            for blob in map(_unsqueeze, blobs):
+                n, at = int(np.frombuffer(blob, np.int64, 1)[0]), 8
+                for k, kind in enumerate((np.int64, np.int64, np.int32, np.int32)):
+                    own[k].append(np.frombuffer(blob, kind, n, at))
+                    at += n * np.dtype(kind).itemsize
+                own[4].append(np.frombuffer(blob, np.uint8, -1, at))
+            ids, docs, start, count, text = [np.concatenate(x) for x in own]
+            piece, place = sort_shard(ids, start, count, text)
+            spans = _intervals(docs[piece], place)
+            found, doc = np.concatenate([found, _encode(spans)]), np.concatenate([doc, spans[0]])
+        return _by_bucket(found, doc, parts)
+
+    dealt = candidates.select("id", "doc", "text", "found").mapInArrow(send, "part int, blob binary, known binary")
+    return _by_document(dealt.groupBy("part").applyInArrow(sort, "bucket int, pairs binary"))
+
+
+def _cover(found: bytes | None) -> list[tuple[int, int]]:
     if not found:
         return []
-    x = np.frombuffer(b"".join(found), np.int32).reshape(-1, 2).astype(np.int64)
+    x = np.frombuffer(found, np.int32).reshape(-1, 2).astype(np.int64)
     x = x[np.argsort(x[:, 0], kind="stable")]
     start, end = x[:, 0], np.maximum.accumulate(x[:, 1] + WINDOW - 1)
     new = np.flatnonzero(np.concatenate(([True], start[1:] > end[:-1])))
@@ -293,9 +305,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     parts = part_count(docs, text, 1.0)
     shards = part_count(docs, text, 3.0)
     selected = scratch.write(shared_anchors(keyed, parts), "anchors")
-    found = find_repeats(keyed.join(selected, "doc"), parts, shards, hot).groupBy(F.col("doc").alias("__doc"))
-    found = scratch.write(found.agg(F.collect_list("found").alias("__found")), "repeats")
+    found = find_repeats(keyed.join(selected, "doc"), parts, shards, hot)
+    found = scratch.write(found.select(F.col("doc").alias("__doc"), F.col("found").alias("__found")), "repeats")
     scratch.drop("anchors")
+    scratch.free()
     joined = held.join(found, "__doc", "left").select(*[F.col(f"`{c}`") for c in own], "__found")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
