@@ -5,7 +5,7 @@ Each vector is described by its NEAREST nearest pivots.  Pivots are up to PIVOTS
 pivot and not many whose order among near vectors would be noise.  Two vectors are candidates if they share SHARED of them.  Lists of vectors by (label, pivot)
 are inverted on each vector's NEAREST - SHARED + 1 rarest pivots only: two vectors that share SHARED pivots
 meet in one of these lists.  In a list shared pivots are counted and candidates verified in double
-precision; a pair counts only in the first list in which it meets.
+precision (where there are fewer pivots than SHARED, all must be shared); a pair counts only in the first list in which it meets.
 
 Copies of a vector under one label are one class of known size before indexing.  Lists longer than CHUNK are
 cut into chunks that meet in pairs of chunks, so a task's memory has a bound.  A list yields, per vector, its
@@ -70,7 +70,7 @@ def _verify(rep: np.ndarray, copies: np.ndarray, chunk: np.ndarray, vectors: np.
     earlier = np.zeros((n, len(names)), np.float32)
     before = held & (order[perms] < order[pivot])
     earlier[np.repeat(np.arange(n), perms.shape[1])[before.ravel()], cells.ravel()[before.ravel()]] = 1
-    ok = (near @ near.T >= SHARED) & (earlier @ earlier.T == 0) & (vectors @ vectors.T >= cosine)
+    ok = (near @ near.T >= min(SHARED, perms.shape[1])) & (earlier @ earlier.T == 0) & (vectors @ vectors.T >= cosine)
     np.fill_diagonal(ok, False)
     if chunk.min() != chunk.max():
         ok &= chunk[:, None] != chunk[None, :]
@@ -114,7 +114,7 @@ def near_duplicates(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     for rank, p in enumerate(sorted(counts, key=lambda p: (counts[p], p))):
         order[p] = rank
     ranks = F.array(*[F.lit(int(x)) for x in order])
-    rarest = F.slice(F.array_sort(F.transform("perm", lambda p: F.struct(F.element_at(ranks, p + 1).alias("rank"), p.alias("p")))), 1, NEAREST - SHARED + 1)
+    rarest = F.slice(F.array_sort(F.transform("perm", lambda p: F.struct(F.element_at(ranks, p + 1).alias("rank"), p.alias("p")))), F.lit(1), F.size("perm") - F.least(F.lit(SHARED), F.size("perm")) + 1)
     listed = described.withColumn("keep", F.transform(rarest, lambda x: x["p"])).withColumn("pivot", F.explode("keep"))
     sizes = listed.groupBy("space", "pivot").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     sizes = scratch.write(sizes.withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int")), "sizes")

@@ -148,7 +148,7 @@ def _pass_sketch(pairs: DataFrame, nodes: DataFrame, at: Threshold) -> DataFrame
 def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, at: Threshold, scratch: Scratch, name: str) -> DataFrame:
     """Pairs whose sets reach the threshold."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = wanted.join(nodes.select("node", "id", "text_key"), "node").select("id", "text_key")
+    wanted = wanted.join(nodes.select("node", "id", "text_key"), "node").select(F.col("id").alias("i"), F.col("text_key").alias("k"))
 
     def sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -156,7 +156,7 @@ def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, at: Thr
                 values, first, node = _sets(part.column(0).slice(a, b - a), n)
                 yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array([values[x:y].tobytes() for x, y in zip(first[:-1], first[1:])], pa.binary())], ["node", "own"])
 
-    held = docs.join(wanted, ["id", "text_key"], "left_semi").select("text").mapInArrow(sets, "node long, own binary")
+    held = docs.join(wanted, (F.col("text_key") == F.col("k")) & F.col("id").eqNullSafe(F.col("i")), "left_semi").select("text").mapInArrow(sets, "node long, own binary")
     held = scratch.write(held.groupBy("node").agg(F.first("own").alias("own")), f"sets{name}")
     side = lambda x: held.select(F.col("node").alias(x), F.col("own").alias(f"s{x}"))
 
@@ -223,7 +223,7 @@ def group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
     per_feature = 12 * 3 * 2.2 * (den - num) / (den + num)
     parts = max(16, int(total * per_feature / PART_BYTES) + 1)
     members = scratch.write(shared_signatures(keyed, shingle, at, parts).distinct(), "members")
-    some = described.where("n_shingles > 0").groupBy("node").agg(F.min(F.struct("id", "text_key")).alias("r"), F.min("id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+    some = described.where("n_shingles > 0").groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_key")).alias("r"), F.min("id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     nodes = scratch.write(some.select("node", "r.id", "r.text_key", "least", "n_shingles", "sketch"), "nodes")
     pivots = members.groupBy("sig").agg(F.min("node").alias("a"))
     stars = members.join(pivots, "sig").where("node <> a").select("a", F.col("node").alias("b")).distinct()

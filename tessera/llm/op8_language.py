@@ -2,8 +2,8 @@
 
 Text: log-likelihood of the letter trigrams (bytes folded to 6 bits) under one table per language, plus "und",
 the uniform table, for texts that are no language.  Tables are fitted on a bounded sample of labelled rows:
-SAMPLE to 2 SAMPLE distinct rows of least hash among those whose declared language is one of LANGUAGES.  That is the only
-bound; the rest is counted over all rows.
+SAMPLE to 2 SAMPLE distinct rows of least hash among those whose declared language is one of LANGUAGES.  A text counts in a
+table as TEXT_WEIGHT trigrams at most, so that no long text with a wrong label rules it.  That is the only bound; the rest is counted over all rows.
 
 Evidence: each row is first given its text's language; grouped sums of these give the likelihood of every
 declared value and of every address suffix under each language, and the priors of hosts, smoothed to
@@ -32,7 +32,7 @@ from .scratch import Scratch, hash_sample, keep_names
 from .words import batches, text_buffer
 
 LANGUAGES, UND = ("en", "de", "fr", "es"), "und"
-SAMPLE, MIN_POSTERIOR, STRENGTH, SHARE_UND = 1000, 0.5, 20.0, 0.001
+SAMPLE, TEXT_WEIGHT, MIN_POSTERIOR, STRENGTH, SHARE_UND = 1000, 1000.0, 0.5, 20.0, 0.001
 _CODES, _KINDS = 64, (*LANGUAGES, UND)
 
 
@@ -68,8 +68,9 @@ def fit(texts: list[str], languages: list[str]) -> np.ndarray:
     for k, name in enumerate(LANGUAGES):
         own = [t for t, x in zip(texts, languages) if x == name]
         if own:
-            codes, _ = trigrams(*text_buffer(pa.array(own, pa.string())))
-            counts[:, k] += np.bincount(codes, minlength=_CODES**3)
+            codes, doc = trigrams(*text_buffer(pa.array(own, pa.string())))
+            weight = np.minimum(1.0, TEXT_WEIGHT / np.maximum(1, np.bincount(doc, minlength=len(own))))
+            counts[:, k] += np.bincount(codes, weight[doc], _CODES**3)
     return np.log(counts / counts.sum(axis=0)).astype(np.float32)
 
 
