@@ -116,9 +116,9 @@ def group_search(read):
     return search.group_search(groups(read), "red ring")
 
 
-@query("search_tiers", f"with {GROUPS} select gid, name, case when contains(name, 'small') and (name like '%gear' or name like '%ring') and false then 0.0 when starts_with(name, 'small') then 2.0::double end tier from g where starts_with(name, 'small')")
+@query("search_tiers", f"with {GROUPS} select gid, name, 2.0::double tier from g where starts_with(name, 'blue')")
 def search_tiers(read):
-    return search.group_search(groups(read), "small").select("gid", "name", "tier")
+    return search.group_search(groups(read), "blue").select("gid", "name", "tier")
 
 
 @query("did_you_mean", "with q as (select unnest(['rign', 'smal', 'gaer', 'widgte', 'blot', 'zzzz']) word), v as (select unnest(string_split(p_name, ' ')) term, count(*) n from part group by 1) select 'smal' as word, 'small' as suggestion, 1::integer d union all select 'rign', 'ring', 1 union all select 'gaer', 'gear', 1 union all select 'widgte', 'widget', 1 union all select 'blot', 'bolt', 1")
