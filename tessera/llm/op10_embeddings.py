@@ -88,7 +88,7 @@ def near_duplicates(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     valid = held.where(sound)
     classes = valid.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     classes = scratch.write(classes.withColumn("space", F.xxhash64("label", F.size("v"))).withColumn("dim", F.size("v")), "classes")
-    dims = [r["dim"] for r in classes.select("dim").distinct().limit(64).collect()]
+    dims = [r["dim"] for r in classes.select("dim").distinct().collect()]
     pivots = {d: _apart(_unit(np.array([r["v"] for r in hash_sample(classes.where(F.col("dim") == d).select("v"), SAMPLE).collect()], np.float64))) for d in dims}
     sent = spark.sparkContext.broadcast(pivots)
 

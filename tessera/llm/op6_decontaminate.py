@@ -28,7 +28,7 @@ from .scratch import keep_names
 from .words import ALNUM, LOWER, batches, mix, prefix, rolling, span, text_buffer, tokenize, within
 
 GRAM = 8
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 _BITS = 22
 RESULT = T.StructType(
     [
