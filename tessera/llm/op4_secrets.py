@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import keep_names
+from .scratch import bound_batches, keep_names
 from .words import SPACED, Words, batches, text_buffer, tokenize
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -327,6 +327,7 @@ def _scan(column: pa.Array, field: Field) -> list[list[dict]]:
 
 def scan(docs: DataFrame, text: str = "text", result: str = "secrets") -> DataFrame:
     """docs with an array of spans (kind, start, end) by start, then kind as in KINDS."""
+    bound_batches(docs.sparkSession)
     kept = keep_names(docs, [result])
     source = docs.select(*[F.col(f"`{c}`") for c in kept])
     sent = docs.sparkSession.sparkContext.broadcast(trained())

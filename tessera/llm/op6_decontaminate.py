@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import keep_names
+from .scratch import bound_batches, keep_names
 from .words import ALNUM, LOWER, batches, mix, prefix, rolling, span, text_buffer, tokenize, within
 
 GRAM = 8
@@ -164,6 +164,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     if words < GRAM:
         raise ValueError(f"windows need {GRAM} words or more")
     spark: SparkSession = docs.sparkSession
+    bound_batches(spark)
     names = [x.name for x in RESULT]
     kept = keep_names(docs, names)
     out = docs.select(*[F.col(f"`{c}`") for c in kept])

@@ -39,11 +39,19 @@ def _end() -> None:
             pass
 
 
+def bound_batches(spark: SparkSession, most: str = "8m") -> None:
+    """Let a batch of rows sent to Python hold a few MB of text, where the session has not set a size itself."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b":
+        spark.conf.set(key, most)
+
+
 class Scratch:
     """Tables of one operator call; drop() deletes those that later tables no longer need."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.paths = spark, f"{folder(spark)}/{uuid.uuid4().hex[:12]}", {}
+        bound_batches(spark)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}-{len(self.paths)}"
