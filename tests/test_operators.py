@@ -28,6 +28,25 @@ def test_ranks_tie_and_fuse(spark):
     assert fused["a"] == pytest.approx(2 / 61) and fused["c"] == pytest.approx(2 / 63)
 
 
+def test_ranks_over_all_rows_equal_one_window(spark):
+    rng = random.Random(1)
+    rows = [(i, rng.choice([0.0, -1.5, 3.0, rng.random(), -rng.random(), 1e-12])) for i in range(300)]
+    df = spark.createDataFrame(rows, "item int, score double")
+    want = {i: 1 + sum(round(t, 9) > round(s, 9) for _, t in rows) for i, s in rows}
+    assert {r["item"]: r["rank"] for r in relational.competition_rank(df, "score").collect()} == want
+
+
+def test_passages_and_clauses():
+    from tessera.functions.passages import clauses, image_parts, match_in_order, snippet
+
+    assert match_in_order("Destroy target creature, then destroy all lands", "destroy lands") == [(30, 37), (42, 47)]
+    assert match_in_order("lands destroyed", "destroy lands") is None and match_in_order(None, "x") is None
+    assert snippet("Sacrificing a Ring", "sacrifices ring") is None and snippet("two Rings", "ring") == "two [Rings]"
+    assert clauses('Whenever you cast an instant, sorcery, or artifact spell, draw a card.')["effect"] == "draw a card."
+    assert clauses("{T}: Add one. Activate only as a sorcery.") == {"cost": "{T}", "condition": "", "restriction": "Activate only as a sorcery.", "effect": "Add one."}
+    assert image_parts("https://x/normal/front/9/3/93ab.jpg?17") == ("normal", "front", "93ab", "17") and image_parts("https://x/normal/front/9/4/93ab.jpg?17") is None
+
+
 def test_osa_counts_a_swap_once():
     assert osa("ab", "ba", 2) == 1 and osa("abc", "abc", 0) == 0 and osa("abcd", "x", 2) == 3 and osa("kitten", "sitting", 3) == 3
 
