@@ -159,3 +159,13 @@ def near_duplicates(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "e
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+#: DuckDB SQL of query(), whose index finds all links that there are.
+ORACLE = """
+with recursive v as (select vec_id, label, embedding::double[] v from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+e as (select a.vec_id x, b.vec_id y from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.v) = len(b.v) where list_cosine_similarity(a.v, b.v) >= 0.98),
+r(vec_id, near) as (select vec_id, vec_id from embeddings union select r.vec_id, e.y from r join e on e.x = r.near),
+c as (select vec_id, min(near) component_id from r group by 1)
+select c.vec_id, cast(count(e.y) as bigint) n_links, component_id, c.vec_id = component_id kept from c left join e on e.x = c.vec_id group by all
+"""

@@ -256,3 +256,15 @@ def stage(docs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), shingle=3, num=9, den=10)
+
+
+#: DuckDB SQL of query().
+ORACLE = r"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
+s as (select distinct doc_id, array_to_string(w[p:p + 2], ' ') g from (select doc_id, w, unnest(range(1, greatest(2, len(w) - 1))) p from d where len(w) > 0)),
+n as (select doc_id, count(*) n from s group by 1),
+c as (select a.doc_id x, b.doc_id y, count(*) c from s a join s b using (g) where a.doc_id <> b.doc_id group by 1, 2),
+e as (select x, y from c join n p on p.doc_id = x join n q on q.doc_id = y where 100 * c >= 90 * (p.n + q.n - c)),
+r(doc_id, near) as (select doc_id, doc_id from d union select r.doc_id, e.y from r join e on e.x = r.near)
+select r.doc_id, cast(coalesce(any_value(n.n), 0) as bigint) n_shingles, min(near) component_id from r left join n using (doc_id) group by 1
+"""

@@ -331,6 +331,19 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed_spans").cast("long").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256"))
 
 
+#: DuckDB SQL of query(), over pairs of hexadecimal digits.
+ORACLE = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) h from documents),
+g as (select doc_id, p, substr(h, 2 * p - 1, 100) g from (select doc_id, h, unnest(range(1, length(h) // 2 - 48)) p from d where length(h) >= 100)),
+m as (select g, min(doc_id) m from g group by 1 having count(*) > 1),
+r as (select distinct doc_id, unnest(range(p, p + 50)) q from g join m using (g) where doc_id > m),
+n as (select doc_id, count(*) n, count(*) filter (not adjacent) spans from (select doc_id, coalesce(lag(q) over (partition by doc_id order by q) = q - 1, false) adjacent from r) group by 1),
+k as (select doc_id, string_agg(substr(h, 2 * q - 1, 2), '' order by q) t from (select doc_id, h, unnest(range(1, length(h) // 2 + 1)) q from d) anti join r using (doc_id, q) group by 1)
+select d.doc_id, cast(length(h) // 2 as bigint) n_bytes, cast(coalesce(n, 0) as bigint) n_removed, cast(coalesce(spans, 0) as bigint) n_spans, sha256(unhex(coalesce(t, ''))) kept_sha256
+from d left join n using (doc_id) left join k using (doc_id)
+"""
+
+
 def brute_force(rows: list[tuple[int, str | None]]) -> list[tuple]:
     """The definition itself, for tests."""
     least: dict[bytes, int] = {}

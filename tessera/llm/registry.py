@@ -23,7 +23,7 @@ _MODULES = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: module.query for name, module in _MODULES.items()}
+    return {name: module.query for name, module in _MODULES.items()} | {"pages_language": op8_language.pages_query}
 
 
 def oracle_sql() -> dict[str, str]:
