@@ -30,9 +30,9 @@ from .anchors import shared
 from .components import components
 from .partenum import Threshold, shingle_sets, signatures
 from .scratch import Scratch
-from .words import LOWER, SPACED, batches, text_buffer, tokenize
+from .words import LOWER, SPACED, batches, release, text_buffer, tokenize
 
-SLICE, PART_BYTES, CHUNK = 4 << 20, 12 << 20, 1024
+SLICE, PART_BYTES, CHUNK = 2 << 20, 8 << 20, 1024
 
 
 def _sets(column: pa.Array, n: int):
@@ -76,6 +76,7 @@ def describe(docs: DataFrame, n: int) -> DataFrame:
                 sets, first, node = _sets(part.column(2).slice(a, b - a), n)
                 bits = [sketch(sets[x:y]) for x, y in zip(first[:-1].tolist(), first[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([part.column(0).slice(a, b - a), part.column(1).slice(a, b - a), pa.array(np.diff(first)), pa.array(node.view(np.int64)), pa.array(bits, pa.binary())], ["id", "text_key", "n_shingles", "node", "sketch"])
+            release()
 
     kind = docs.schema["id"].dataType.simpleString()
     return docs.select("id", "text_key", "text").mapInArrow(run, f"id {kind}, text_key long, n_shingles long, node long, sketch binary")
@@ -110,6 +111,7 @@ def shared_signatures(docs: DataFrame, n: int, at: Threshold, parts: int) -> Dat
                 if same.any():
                     rows.append({"part": -1 - int(node[once[0]] % np.uint64(parts)), "known": code[same].tobytes() + nodes[same].tobytes()})
                 yield pa.RecordBatch.from_pylist(rows, kinds)
+            release()
 
     def meet(table: pa.Table) -> pa.Table:
         sig, node = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
@@ -125,6 +127,7 @@ def shared_signatures(docs: DataFrame, n: int, at: Threshold, parts: int) -> Dat
             many = shared(low, own)
             sig.append(low[many].astype(np.uint64) | np.uint64(table["part"][0].as_py() << 32))
             node.append(own[many])
+        release()
         return pa.table({"sig": pa.array(np.concatenate(sig).view(np.int64)), "node": pa.array(np.concatenate(node))})
 
     sent = docs.select("text").mapInArrow(send, "part int, blob binary, known binary")
@@ -208,6 +211,8 @@ def _across(members: DataFrame, nodes: DataFrame, at: Threshold, scratch: Scratc
                     j = j[differ * (at.den + at.num) <= (count[j] + count[i]) * (at.den - at.num)]
                     out.append(np.stack([np.minimum(own[j], own[i]), np.maximum(own[j], own[i])]))
         pairs = np.unique(np.concatenate(out, axis=1), axis=1)
+        del table, bits, out
+        release()
         return pa.table({"a": pa.array(pairs[0]), "b": pa.array(pairs[1])})
 
     columns = open_.select("bucket", "sig", "low", "high", "chunk", "node", "root", "n_shingles", "sketch")

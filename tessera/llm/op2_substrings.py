@@ -32,7 +32,7 @@ from .anchors import among, hot_anchors, shared, sliding_min, smallest, take_run
 from .scratch import Scratch, keep_names
 from .words import SPACED, batches, rolling, text_buffer, tokenize, within
 
-WINDOW, GRAM, SLICE, PART_BYTES = 50, 25, 8 << 20, 12 << 20
+WINDOW, GRAM, SLICE, PART_BYTES = 50, 25, 4 << 20, 12 << 20
 _FOUND = "id long, text_key long, starts binary"
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 RESULT = [

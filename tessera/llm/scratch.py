@@ -39,7 +39,7 @@ def _end() -> None:
             pass
 
 
-def bound_batches(spark: SparkSession, most: str = "8m") -> None:
+def bound_batches(spark: SparkSession, most: str = "4m") -> None:
     """Let a batch of rows sent to Python hold a few MB of text, where the session has not set a size itself."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(key) == "67108864b":

@@ -9,6 +9,7 @@ separators, so that memory does not follow the length of one text.
 
 from __future__ import annotations
 
+import ctypes
 from dataclasses import dataclass
 
 import numpy as np
@@ -158,6 +159,15 @@ def batches(column: pa.Array, limit: int = SEGMENT):
         at = to
 
 
+def release() -> None:
+    """Give freed memory back to the system, as workers live on and share a machine with others."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def within(first: np.ndarray, n: int, count: int) -> np.ndarray:
     """Which of the count slices of n words lie in one text."""
     ok = np.ones(max(count, 0), bool)
