@@ -1,4 +1,9 @@
-"""Corpus pipeline: each stage works on what the one before it kept, written as Parquet and read again."""
+"""Corpus pipeline: each stage works on what the one before it kept, written as Parquet and read again.
+
+Defined cases: null, empty and letterless texts are in no language and go first; a document without an id is no
+duplicate of another; rows of one id count as one document from the Jaccard join on; masked texts have their
+n_chars counted anew; the last stage returns a row for each draw, and an empty table passes through all stages.
+"""
 
 from __future__ import annotations
 
