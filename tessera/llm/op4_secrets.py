@@ -54,14 +54,17 @@ _HEXRUN[48:58] = _HEXRUN[97:103] = True
 _LENGTHS = np.array([4, 8, 12, 16, 20, 28, 36, 44])
 
 
-def _positions(low: bytes, keys: list[bytes]) -> np.ndarray:
-    out = []
+def _positions(low: bytes, keys: list[bytes], offsets: np.ndarray) -> np.ndarray:
+    """Where the keys begin; what begins in one text and ends in the next is none."""
+    found = []
     for key in keys:
-        at = low.find(key)
+        out, at = [], low.find(key)
         while at >= 0:
             out.append(at)
             at = low.find(key, at + 1)
-    return np.array(sorted(out), np.int64)
+        own = np.array(out, np.int64)
+        found.append(own[offsets[np.searchsorted(offsets, own, "right")] >= own + len(key)])
+    return np.sort(np.concatenate(found))
 
 
 def features(tokens: Words, low: bytes) -> tuple[np.ndarray, list[int]]:
@@ -79,7 +82,7 @@ def features(tokens: Words, low: bytes) -> tuple[np.ndarray, list[int]]:
     length = np.searchsorted(_LENGTHS, size, "right")
     share = np.where(digit == 0, 0, np.where(4 * digit < size, 1, np.where(4 * digit < 3 * size, 2, 3)))
     mark = np.zeros(n, np.int64)
-    hits = np.searchsorted(tokens.start, _positions(low, TRIGGERS), "right") - 1
+    hits = np.searchsorted(tokens.start, _positions(low, TRIGGERS, tokens.offsets), "right") - 1
     mark[hits[hits >= 0]] = 1
     tail = tokens.buffer[tokens.end - 1] if n else np.zeros(0, np.uint8)
     assign = ((tail == 61) | (tail == 58)).astype(np.int64)
@@ -292,11 +295,11 @@ def _scan(column: pa.Array, field: Field) -> list[list[dict]]:
         tags = field.decode(field.scores(rows), tokens.first)
         of = lambda at: np.searchsorted(offsets, at, "right") - 1
         raw = buffer.tobytes()
-        marked = {*of(_positions(low, _ASSIGNED)).tolist(), *of(_positions(raw, [b"AKIA"])).tolist()}
-        runs = np.concatenate(([False], _HEXRUN[buffer], [False]))
-        change = np.flatnonzero(runs[1:] != runs[:-1])
+        marked = {*of(_positions(low, _ASSIGNED, offsets)).tolist(), *of(_positions(raw, [b"AKIA"], offsets)).tolist()}
+        runs = np.insert(_HEXRUN[buffer], offsets, False)  # no run goes on into the next text
+        change = np.flatnonzero(runs[1:] != runs[:-1]) + 1
         long = change[::2][change[1::2] - change[::2] >= 32]
-        marked |= {*of(long).tolist()}
+        marked |= {*(np.searchsorted(offsets + np.arange(len(offsets)), long, "right") - 1).tolist()}
         begins = np.flatnonzero(tags > 0)
         found: dict[int, list[tuple[int, int]]] = {}
         doc, last = np.searchsorted(tokens.first, begins, "right") - 1, -2

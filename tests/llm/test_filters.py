@@ -125,6 +125,21 @@ def test_op4_base_spans_are_those_of_the_patterns(spark):
         assert got == sorted(got, key=lambda s: (s[1], op4_secrets.KINDS.index(s[0]))) and all(0 <= a < b <= len(text[i]) for _, a, b in got)
 
 
+def test_op4_texts_do_not_run_into_each_other():
+    key = "0123456789abcdef" * 4
+    texts = ["it was made", key, "", None, key[:20], key[:20] + " end", "the to", "ken is a word", "api", "_key 12345678 x"]
+    for order in (texts, texts[::-1]):
+        field = op4_secrets.trained()
+        got = op4_secrets._scan(pa.array(order), field)
+        assert got == [op4_secrets._scan(pa.array([t], pa.string()), field)[0] for t in order]
+        assert [(s["kind"], s["start"], s["end"]) for s in got[order.index(key)]] == [("hex", 0, 64)]
+        whole = tokenize(*text_buffer(pa.array(order)), SPACED, hashes=False)
+        rows, _ = op4_secrets.features(whole, whole.buffer.tobytes().lower())
+        for i, t in enumerate(order):
+            own = tokenize(*text_buffer(pa.array([t], pa.string())), SPACED, hashes=False)
+            assert (rows[whole.of(i)] == op4_secrets.features(own, own.buffer.tobytes().lower())[0]).all()
+
+
 def test_op4_field_on_held_out_lines():
     field = op4_secrets.trained()
     texts, tags = op4_secrets._lines(np.random.default_rng(99), 400)
