@@ -4,8 +4,8 @@ The lattice of a word holds every segmentation into pieces of an installed vocab
 log space sums them all, so a text's score is the log10 of its marginal probability, a word at a time and an
 end piece.  The vocabulary is a BPE one and so scores pieces by rank; the weight of rank r is taken as
 1 / (r + SHIFT), normalised over the pieces.  Single bytes are pieces too, so every text has a probability.
-Pieces of more than MAX_PIECE bytes, runs of blanks for the most part, are left out.  The recursion runs
-over the distinct words of a batch at once.
+Pieces of every length take part, and the lengths tried are those of the vocabulary.  The recursion runs over
+the distinct words of a batch at once.
 
 Base: counts of all words of training documents (all whose crc32 of the id modulo 7 is not 2) are summed
 per batch, then in Spark.  Of the counts, those above a level that at most HEAD words reach go to the executors;
@@ -31,7 +31,7 @@ from .scratch import Scratch
 from .words import BYTE_VALUES, LOWER, SPACED, Words, batches, prefix, span, text_buffer, tokenize
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-SHIFT, MAX_PIECE, HEAD, FOLDS, HELD_OUT, _BITS = 10.0, 16, 100_000, 7, 2, 20
+SHIFT, HEAD, FOLDS, HELD_OUT, _BITS = 10.0, 100_000, 7, 2, 20
 _SPACE = "▁".encode()
 _BATCH = 4 << 20
 
@@ -42,6 +42,7 @@ class Pieces:
     def __init__(self, pieces: list[tuple[bytes, float]], byte_scores: np.ndarray, end: float):
         buffer = np.frombuffer(b"".join(p for p, _ in pieces), np.uint8)
         sizes = np.array([len(p) for p, _ in pieces])
+        self.lengths = np.unique(sizes).tolist()
         ends = np.cumsum(sizes)
         keys = span(prefix(BYTE_VALUES[buffer]), ends - sizes, ends)
         order = np.argsort(keys)
@@ -71,7 +72,9 @@ class Pieces:
             live = order[: np.searchsorted(-sorted_length, -d, "right")]
             here, end = slot[live] + d, first[live] + d
             best = alpha[here - 1] + self.bytes[buffer[end - 1]]
-            for k in range(1, min(d, MAX_PIECE) + 1):
+            for k in self.lengths:
+                if k > d:
+                    break
                 key = span(sums, end - k, end)
                 hit = np.flatnonzero(self.maybe[key >> np.uint64(64 - _BITS)])
                 where = np.minimum(np.searchsorted(self.keys, key[hit]), len(self.keys) - 1)
@@ -95,7 +98,7 @@ def pieces(path: str = VOCABULARY) -> Pieces:
         name = model.id_to_piece(i)
         if model.is_byte(i):
             single[int(name[3:5], 16)] = logs[i]
-        elif not model.is_control(i) and not model.is_unknown(i) and 0 < len(name.encode()) <= MAX_PIECE:
+        elif not model.is_control(i) and not model.is_unknown(i) and name:
             found.append((name.encode(), float(logs[i])))
     return Pieces(found, single, float(logs[model.eos_id()]))
 

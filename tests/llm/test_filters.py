@@ -301,6 +301,27 @@ def test_op9_lattice_sums_all_segmentations():
         assert p.words(t, np.array([0]))[0] == pytest.approx(math.log(total))
 
 
+def test_op9_lattice_has_the_long_pieces():
+    import sentencepiece
+
+    p, model = op9_lm.pieces(), sentencepiece.SentencePieceProcessor(model_file=op9_lm.VOCABULARY)
+    n = model.get_piece_size()
+    weight = 1.0 / (np.arange(n) + 1 + op9_lm.SHIFT)
+    weight /= weight.sum()
+    table = {model.id_to_piece(i).encode(): weight[i] for i in range(n) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))}
+    single = {int(model.id_to_piece(i)[3:5], 16): weight[i] for i in range(n) if model.is_byte(i)}
+    words = ["administration", "representation", "который", "населення", "infrastructure-characteristics", "▁" * 15, "▁" * 20 + "a"]
+    words += [name[1:] for name in (k.decode() for k in table if len(k) > 16) if name == name.lower() and name[0] == "▁"]
+    t = tokenize(*text_buffer(pa.array(words)), SPACED)
+    got = p.words(t, t.first[:-1])
+    for word, value in zip(words, got):
+        data = ("▁" + word).encode()
+        total = [1.0] + [0.0] * len(data)
+        for b in range(1, len(data) + 1):
+            total[b] = sum(total[a] * (table.get(data[a:b], 0.0) + (single[data[a]] if b - a == 1 else 0.0)) for a in range(b))
+        assert value == pytest.approx(math.log(total[-1]), rel=1e-12)
+
+
 def test_pipeline_stages_keep_what_they_should(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     names, columns = [n for n, _ in corpus_pipeline.STAGES], docs.columns
