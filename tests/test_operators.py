@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tessera.functions import codes, text
 from tessera.functions.distance import osa
 from tessera.operators import cluster, edits, relational, rules, search, taxonomy, variant
+from tessera.plans import structure_queries
+from tessera.plans.registry import QUERIES
 
 
 def one(spark, expr):
@@ -231,6 +233,36 @@ def test_greedy_keeps_the_first():
     assert cluster.greedy_distinct([("a", {1, 2}), ("b", {1, 2, 3}), ("c", {9})], 0.6) == ["a", "c"]
 
 
+def shares_by_force(rows):
+    rows = sorted(rows)
+    x = np.array([r[1] for r in rows], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    s, shares = np.rint(x @ x.T * 1e12), {}
+    for i, (_, _, label) in enumerate(rows):
+        near = sorted((j for j in range(len(rows)) if j != i), key=lambda j: (-s[i, j], j))[:10]
+        shares.setdefault(label, []).append(sum(rows[j][2] == label for j in near) / len(near))
+    return {label: pytest.approx(np.mean(v), abs=2e-6) for label, v in shares.items()}
+
+
+def test_leaf_map_equals_all_pairs(spark):
+    folder = "/root/testdata/sf0.001"
+    e = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding", "label")
+    want = shares_by_force([(r[0], r[1], r[2]) for r in e.collect()])
+    assert {r[0]: r[1] for r in QUERIES["leaf_map"](spark, folder).collect()} == want
+    assert {r[0]: r[1] for r in structure_queries.label_share(e, 60).collect()} == want
+
+
+def test_leaf_map_with_copies_and_few_vectors(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=6).astype(np.float32).tolist(), int(i % 3)) for i in range(90)]
+    rows += [(200 + i, rows[0][1], i % 2) for i in range(40)]
+    for some in (rows, rows[:7], rows[:2]):
+        df = spark.createDataFrame(some, "vec_id long, embedding array<float>, label int")
+        for size in (1, 25, 8192):
+            if size > 1 or len(some) < 10:
+                assert {r[0]: r[1] for r in structure_queries.label_share(df, size).collect()} == shares_by_force(some)
+
+
 def test_duplicate_keys_fail(spark, tmp_path):
     from tessera.sources import files
 
