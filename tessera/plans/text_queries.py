@@ -178,7 +178,7 @@ def hash_partition_sink(read):
 @query("checksum_fnv1a", "select c_mktsegment, list_reduce(list_prepend(2166136261::hugeint, list_transform(string_split(string_agg(c_name, chr(10) order by c_name), ''), lambda c: ascii(c)::hugeint)), lambda h, c: (xor(h, c) * 16777619) % 4294967296)::bigint checksum from customer where c_custkey < 1000000 group by 1")
 def checksum_fnv1a(read):
     joined = F.array_join(F.array_sort(F.collect_list("c_name")), "\n")
-    return read("customer").where("c_custkey < 1000000").groupBy("c_mktsegment").agg(joined.alias("x")).select("c_mktsegment", codes.fnv1a(F.col("x")).alias("checksum"))
+    return read("customer").groupBy("c_mktsegment").agg(joined.alias("x")).select("c_mktsegment", codes.fnv1a(F.col("x")).alias("checksum"))
 
 
 @query("dictionary_encode", "select p_brand, count(*) n, cast(row_number() over (order by p_brand) - 1 as integer) code from part group by 1")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import codes, text
 from tessera.functions.distance import osa
 from tessera.operators import cluster, edits, relational, rules, search, taxonomy, variant
-from tessera.plans import structure_queries
+from tessera.plans import structure_queries, text_queries  # noqa: F401  they register their queries
 from tessera.plans.registry import QUERIES
 
 
@@ -105,6 +105,18 @@ def test_fnv1a(spark):
     assert one(spark, codes.fnv1a(F.lit("abc\nd"))) == h
 
 
+def test_checksum_takes_all_customers(spark, tmp_path):
+    rows = [(k, f"Customer#{k}", "A") for k in (999_998, 999_999, 1_000_000, 5_000_000_000)] + [(2_000_000, "Customer#2000000", "B")]
+    spark.createDataFrame(rows, "c_custkey long, c_name string, c_mktsegment string").write.parquet(str(tmp_path / "customer.parquet"))
+    want = {}
+    for segment in "AB":
+        h = 2166136261
+        for b in "\n".join(sorted(n for _, n, s in rows if s == segment)).encode():
+            h = (h ^ b) * 16777619 % 2**32
+        want[segment] = h
+    assert {r[0]: r[1] for r in QUERIES["checksum_fnv1a"](spark, str(tmp_path)).collect()} == want
+
+
 def test_zone_records(spark):
     texts = [(1, "Mill two cards."), (2, "Surveil 1."), (3, "You may sacrifice it. Draw a card."), (4, "Nothing here."), (5, None)]
     found = {}
