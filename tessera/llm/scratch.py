@@ -19,6 +19,8 @@ def folder(spark: SparkSession) -> str:
     if app not in _ROOTS:
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             base = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
             spark.sparkContext.setCheckpointDir(base)
         _ROOTS[app] = spark, f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex[:12]}"
@@ -55,7 +57,6 @@ class Scratch:
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}-{len(self.paths)}"
-        self.free()
         df.write.mode("overwrite").parquet(path)
         self.paths[name] = path
         schema = df.schema
@@ -63,6 +64,11 @@ class Scratch:
         self.free()
         return self.spark.read.schema(schema).parquet(path)
 
+    def size(self, name: str) -> int:
+        """Bytes of a written table."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.paths[name])
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+
     def drop(self, *names: str) -> None:
         for name in names:
             if name in self.paths:
@@ -80,6 +86,15 @@ def keep_names(df: DataFrame, taken: list[str]) -> list[str]:
     return [c for c in df.columns if c.lower() not in low]
 
 
+def inner(name: str, columns: list[str]) -> str:
+    """A name for a column of an operator's own that no input column has, whatever its case."""
+    low = {c.lower() for c in columns}
+    out = f"__{name}"
+    while out.lower() in low:
+        out = f"_{out}"
+    return out
+
+
 def hash_sample(rows: DataFrame, n: int) -> DataFrame:
     """About n to 2 n distinct rows by least hash, all if there are fewer; no task or driver holds more than these."""
     total = rows.count()

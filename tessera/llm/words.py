@@ -3,7 +3,8 @@
 A batch of texts is one byte buffer with offsets.  Words are runs of bytes of a given class, so a word
 never crosses a document.  Hashes are Rabin-Karp polynomials modulo 2**64 over values drawn at random
 per byte; with an odd base every hash of a slice is a difference of prefix sums, so that one cumulative
-sum gives the hashes of all slices.  Buffers are worked through in segments of a few MB, cut at
+sum gives the hashes of all slices.  Such sums tell long sequences of regular build (Thue-Morse words) apart badly,
+so words of more than LONG_WORD bytes are hashed by XXH3 one by one, and sequences() hashes whole sequences by place.  Buffers are worked through in segments of a few MB, cut at
 separators, so that memory does not follow the length of one text.
 """
 
@@ -15,8 +16,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
-SEGMENT = 2 << 20
+SEGMENT, LONG_WORD = 2 << 20, 64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _POW = np.ones(1, np.uint64)
@@ -89,6 +91,18 @@ def rolling(values: np.ndarray, n: int) -> np.ndarray:
     return mix((sums[n:] - sums[:-n]) * inv[: len(values) - n + 1])
 
 
+def sequences(values: np.ndarray, first: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of each whole sequence first[i]:first[i + 1]: a sum of values mixed with their places, 0 for an empty one."""
+    count = np.diff(first)
+    place = np.arange(len(values), dtype=np.uint64) - np.repeat(first[:-1], count).astype(np.uint64)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(values ^ mix(place + np.uint64(mix_seed(seed)))), dtype=np.uint64)))
+    return np.where(count > 0, mix(sums[first[1:]] - sums[first[:-1]] + count.astype(np.uint64)), np.uint64(0))
+
+
+def mix_seed(seed: int) -> int:
+    return (seed * 0xD1342543DE82EF95 + _BASE) & _MASK
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and n+1 offsets of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -140,7 +154,10 @@ def tokenize(buffer: np.ndarray, offsets: np.ndarray, kind: np.ndarray = SPACED,
         after[cuts - 1] = False
         s, e = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
         if hashes:
-            found.append(mix(span(prefix(values[part]), s, e)))
+            own = mix(span(prefix(values[part]), s, e))
+            for i in np.flatnonzero(e - s > LONG_WORD).tolist():
+                own[i] = xxhash.xxh3_64_intdigest(fold[part[s[i] : e[i]]].tobytes())
+            found.append(own)
         starts.append(s + at)
         ends.append(e + at)
         at = to
