@@ -1,6 +1,7 @@
 """N-gram Jaccard join: PartEnum signatures, then exact verification, then components.
 
-Documents with one sequence of words are one class from the start (a 64-bit hash of it, the node of the graph).
+Documents with one sequence of words are one class from the start (a 64-bit hash of it by place, the node of the graph;
+where a second hash shows that one node stands for two sequences, these get nodes of both hashes).
 Each slice of documents signs its classes (partenum.py).  Signatures are dealt by hash to parts; what two classes
 of one slice share is settled there, so a signature of very many documents reaches its part once a slice.
 
@@ -10,11 +11,13 @@ in signatures whose members are still in several components, all pairs across co
 compared first by parity sketches: bit j says whether the set has an odd number of features that hash to j, so
 the number of differing bits never exceeds the number of differing features, and no linked pair
 is lost.  Only pairs that pass are listed, and are verified on the sets themselves.  Signatures with more than
-CHUNK members are worked through in pairs of chunks.
+CHUNK members are worked through in pairs of chunks.  A set that many others are verified against is sent once for each
+MEMBERS of them.
 
 Defined cases: a null or wordless text has an empty set and links with nothing; fewer words than a shingle are one
 shingle; the component's name is the least id, rows of one id are in the component of each of
-their texts and, without an id, in one named by the others; an empty table gives no rows.
+their texts and, without an id, in one named by the others; an empty table gives no rows.  In stage(), of rows with
+one id the one of least hash over all columns stays, and rows without an id all stay.
 """
 
 from __future__ import annotations
@@ -26,17 +29,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .anchors import shared
+from .anchors import among, shared
 from .components import components
 from .partenum import Threshold, shingle_sets, signatures
-from .scratch import Scratch
-from .words import LOWER, SPACED, batches, release, text_buffer, tokenize
+from .scratch import Scratch, inner
+from .words import LOWER, SPACED, batches, mix, release, sequences, text_buffer, tokenize
 
-SLICE, PART_BYTES, CHUNK = 2 << 20, 8 << 20, 1024
+SLICE, PART_BYTES, CHUNK, MEMBERS = 2 << 20, 8 << 20, 1024, 256
+#: Of n sequences about n * n / 2**65 pairs share a 64-bit hash, 3 of 10**10 and 270,000 of 3 * 10**12; more than this are not looked for.
+MOST_SPLIT = 1 << 20
 
 
-def _sets(column: pa.Array, n: int):
-    return shingle_sets(tokenize(*text_buffer(column), SPACED, LOWER), n)
+def _sets(column: pa.Array, n: int, split: np.ndarray):
+    """Sets, first index of each, node and second hash of each text; split: sorted nodes that stand for several sequences."""
+    words = tokenize(*text_buffer(column), SPACED, LOWER)
+    sets, first, node = shingle_sets(words, n)
+    check = sequences(words.hash, words.first, 1)
+    return sets, first, np.where(among(node, split), mix(node ^ check), node), check
 
 
 def sketch_bits(size: int) -> int:
@@ -67,29 +76,29 @@ def may_link(a: bytes, b: bytes, na: int, nb: int, at: Threshold) -> bool:
     return int(np.bitwise_count(x ^ y).sum()) * (at.den + at.num) <= (na + nb) * (at.den - at.num)
 
 
-def describe(docs: DataFrame, n: int) -> DataFrame:
-    """(id, text_key, n_shingles, node, sketch) of documents (id, text_key, text)."""
+def describe(docs: DataFrame, n: int, split: np.ndarray) -> DataFrame:
+    """(id, text_key, n_shingles, node, second hash, sketch) of documents (id, text_key, text)."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for a, b in batches(part.column(2), SLICE):
-                sets, first, node = _sets(part.column(2).slice(a, b - a), n)
+                sets, first, node, check = _sets(part.column(2).slice(a, b - a), n, split)
                 bits = [sketch(sets[x:y]) for x, y in zip(first[:-1].tolist(), first[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([part.column(0).slice(a, b - a), part.column(1).slice(a, b - a), pa.array(np.diff(first)), pa.array(node.view(np.int64)), pa.array(bits, pa.binary())], ["id", "text_key", "n_shingles", "node", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column(0).slice(a, b - a), part.column(1).slice(a, b - a), pa.array(np.diff(first)), pa.array(node.view(np.int64)), pa.array(check.view(np.int64)), pa.array(bits, pa.binary())], ["id", "text_key", "n_shingles", "node", "check", "sketch"])
             release()
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "text_key", "text").mapInArrow(run, f"id {kind}, text_key long, n_shingles long, node long, sketch binary")
+    return docs.select("id", "text_key", "text").mapInArrow(run, f"id {kind}, text_key long, n_shingles long, node long, check long, sketch binary")
 
 
-def shared_signatures(docs: DataFrame, n: int, at: Threshold, parts: int) -> DataFrame:
+def shared_signatures(docs: DataFrame, n: int, at: Threshold, parts: int, split: np.ndarray) -> DataFrame:
     """(sig, node) for every signature of two nodes or more."""
 
     def send(batch_list: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = pa.schema([("part", pa.int32()), ("blob", pa.binary()), ("known", pa.binary())])
         for batch in batch_list:
             for a, b in batches(batch.column(0), SLICE):
-                sets, first, node = _sets(batch.column(0).slice(a, b - a), n)
+                sets, first, node, _ = _sets(batch.column(0).slice(a, b - a), n, split)
                 _, once = np.unique(node, return_index=True)
                 once = once[np.diff(first)[once] > 0]
                 if not len(once):
@@ -105,9 +114,9 @@ def shared_signatures(docs: DataFrame, n: int, at: Threshold, parts: int) -> Dat
                 same = shared(code, nodes)
                 lone = ~same
                 lone[np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))] = True
-                edges = np.searchsorted(part[lone], np.arange(parts + 1))
-                lows, their = low[lone], nodes[lone]
-                rows = [{"part": p, "blob": lows[x:y].tobytes() + their[x:y].tobytes()} for p, (x, y) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())) if y > x]
+                lows, their, at_part = low[lone], nodes[lone], part[lone]
+                edges = np.concatenate(([0], np.flatnonzero(at_part[1:] != at_part[:-1]) + 1, [len(at_part)])) if len(at_part) else [0]
+                rows = [{"part": int(at_part[x]), "blob": lows[x:y].tobytes() + their[x:y].tobytes()} for x, y in zip(edges[:-1], edges[1:])]
                 if same.any():
                     rows.append({"part": -1 - int(node[once[0]] % np.uint64(parts)), "known": code[same].tobytes() + nodes[same].tobytes()})
                 yield pa.RecordBatch.from_pylist(rows, kinds)
@@ -148,7 +157,7 @@ def _pass_sketch(pairs: DataFrame, nodes: DataFrame, at: Threshold) -> DataFrame
     return joined.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, at: Threshold, scratch: Scratch, name: str) -> DataFrame:
+def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, at: Threshold, split: np.ndarray, scratch: Scratch, name: str) -> DataFrame:
     """Pairs whose sets reach the threshold."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = wanted.join(nodes.select("node", "id", "text_key"), "node").select(F.col("id").alias("i"), F.col("text_key").alias("k"))
@@ -156,25 +165,43 @@ def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, at: Thr
     def sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for a, b in batches(part.column(0), SLICE):
-                values, first, node = _sets(part.column(0).slice(a, b - a), n)
+                values, first, node, _ = _sets(part.column(0).slice(a, b - a), n, split)
                 yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array([values[x:y].tobytes() for x, y in zip(first[:-1], first[1:])], pa.binary())], ["node", "own"])
 
     held = docs.join(wanted, (F.col("text_key") == F.col("k")) & F.col("id").eqNullSafe(F.col("i")), "left_semi").select("text").mapInArrow(sets, "node long, own binary")
     held = scratch.write(held.groupBy("node").agg(F.first("own").alias("own")), f"sets{name}")
-    side = lambda x: held.select(F.col("node").alias(x), F.col("own").alias(f"s{x}"))
+    stars = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("groups"))
+    members = pairs.join(stars, "a").select("a", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("group"), "b")
+    members = members.join(held.withColumnRenamed("node", "b"), "b").select("a", "group", "b", "own")
+    centres = stars.select("a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group")).join(held.withColumnRenamed("node", "a"), "a").select("a", "group", F.lit(None).cast("long").alias("b"), "own")
+    total = pairs.join(nodes.select(F.col("node").alias("b"), "n_shingles"), "b").agg(F.sum("n_shingles")).first()[0] or 0
+    buckets = max(16, int(total) * 12 // PART_BYTES)
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.select(["a", "group", "b", "own"]).sort_by([("a", "ascending"), ("group", "ascending")]).combine_chunks()
+        a, group, b = table["a"].to_numpy(), table["group"].to_numpy(), table["b"]
+        centre = np.asarray(b.is_null())
+        b = b.fill_null(0).to_numpy()
+        cuts = np.concatenate(([0], np.flatnonzero((np.diff(a) != 0) | (np.diff(group) != 0)) + 1, [len(a)])).tolist()
+        own, out = table["own"].combine_chunks(), [np.zeros((2, 0), np.int64)]
+        for x, y in zip(cuts[:-1], cuts[1:]):
+            of = x + int(np.flatnonzero(centre[x:y])[0])
+            rows = np.flatnonzero(~centre[x:y]) + x
+            base = np.frombuffer(own[of].as_py(), np.uint64)
+            theirs = [np.frombuffer(own[i].as_py(), np.uint64) for i in rows.tolist()]
+            size = np.array([len(z) for z in theirs])
+            values = np.concatenate(theirs)
+            same = base[np.minimum(np.searchsorted(base, values), len(base) - 1)] == values
+            both = np.add.reduceat(same, np.cumsum(size) - size, dtype=np.int64)
+            ok = both * at.den >= at.num * (len(base) + size - both)
+            out.append(np.stack([a[rows[ok]], b[rows[ok]]]))
+        del table, own
+        release()
+        found = np.concatenate(out, axis=1)
+        return pa.table({"a": pa.array(found[0]), "b": pa.array(found[1])})
 
-    def compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            out = []
-            for a, b, x, y in zip(*(part.column(c) for c in ("a", "b", "sa", "sb"))):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if both * at.den >= at.num * (len(x) + len(y) - both):
-                    out.append((a.as_py(), b.as_py()))
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
-
-    links = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long")
-    out = scratch.write(links, f"links{name}")
+    dealt = members.unionByName(centres).withColumn("bucket", F.pmod(F.xxhash64("a", "group"), F.lit(buckets)).cast("int"))
+    out = scratch.write(dealt.groupBy("bucket").applyInArrow(compare, "a long, b long"), f"links{name}")
     scratch.drop(f"sets{name}")
     return out
 
@@ -223,17 +250,29 @@ def group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
     """One row per document: doc_id, n_shingles, component_id of links with Jaccard similarity of num / den or more."""
     at, scratch = Threshold(num, den), Scratch(docs.sparkSession)
     keyed = docs.select(F.col(f"`{doc_id}`").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("text_key"), F.col(f"`{text}`").alias("text"))
-    described = scratch.write(describe(keyed, shingle), "documents")
+    split = np.zeros(0, np.uint64)
+    for _ in range(2):  # a second time only if a node stands for several sequences
+        described = scratch.write(describe(keyed, shingle, split), "documents")
+        some = described.where("n_shingles > 0").groupBy("node").agg(
+            F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_key")).alias("r"),
+            F.min("id").alias("least"),
+            F.first("n_shingles").alias("n_shingles"),
+            F.first("sketch").alias("sketch"),
+            (F.min("check") != F.max("check")).alias("several"),
+        )
+        nodes = scratch.write(some.select("node", "r.id", "r.text_key", "least", "n_shingles", "sketch", "several"), "nodes")
+        found = nodes.where("several").select("node").limit(MOST_SPLIT).toPandas()["node"].to_numpy(np.int64)
+        if not len(found):
+            break
+        split = np.sort(found.view(np.uint64))
     total = described.agg(F.sum("n_shingles")).first()[0] or 0
-    per_feature = 12 * 3 * 2.2 * (den - num) / (den + num)
+    per_feature = 12 * 3 * 2.4 * (den - num) / (den + num)
     parts = max(16, int(total * per_feature / PART_BYTES) + 1)
-    members = scratch.write(shared_signatures(keyed, shingle, at, parts).distinct(), "members")
-    some = described.where("n_shingles > 0").groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_key")).alias("r"), F.min("id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
-    nodes = scratch.write(some.select("node", "r.id", "r.text_key", "least", "n_shingles", "sketch"), "nodes")
+    members = scratch.write(shared_signatures(keyed, shingle, at, parts, split).distinct(), "members")
     pivots = members.groupBy("sig").agg(F.min("node").alias("a"))
     stars = members.join(pivots, "sig").where("node <> a").select("a", F.col("node").alias("b")).distinct()
     first = scratch.write(_pass_sketch(stars, nodes, at), "first")
-    links = _verify(first, nodes, keyed, shingle, at, scratch, "1")
+    links = _verify(first, nodes, keyed, shingle, at, split, scratch, "1")
     joined = components(links, scratch)
     roots = members.join(joined.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
     roots = scratch.write(roots, "roots")
@@ -241,7 +280,7 @@ def group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
     second = scratch.write(second, "second")
     scratch.drop("members", "roots")
     if second.limit(1).count():
-        more = _verify(second, nodes, keyed, shingle, at, scratch, "2")
+        more = _verify(second, nodes, keyed, shingle, at, split, scratch, "2")
         joined = components(joined.unionByName(more), scratch)
     named = nodes.join(joined.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -255,7 +294,11 @@ def group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
 def stage(docs: DataFrame) -> DataFrame:
     """One document of each group of near duplicates (five words, 0.8): that of least id; rows without an id stay."""
     kept = group(docs).where("doc_id = component_id").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    mark = inner("row", docs.columns)
+    plain = [f"`{f.name}`" for f in docs.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    rows = docs.withColumn(mark, F.xxhash64(*[F.col(c) for c in plain]))
+    least = rows.select("doc_id", mark).join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(mark).alias(mark))
+    one = rows.join(least, ["doc_id", mark], "left_semi").dropDuplicates(["doc_id"])
     return one.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
