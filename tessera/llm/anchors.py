@@ -46,13 +46,13 @@ def shared(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return out
 
 
-def hot_anchors(keyed, runs, sample: int = 40_000, documents: int = 5_000, least: int = 20) -> np.ndarray:
+def hot_anchors(keyed, runs, sample: int = 40_000, documents: int = 5_000, least: int = 20, most: int = 1 << 20) -> np.ndarray:
     """Anchors of many documents, found on a sample and used for routing alone: windows with one of them are dealt by
     their own hash, so that what stands around a passage of very many documents doesn't meet in one part.
 
     keyed: documents (id, text_key, text); runs(texts) gives the anchor of each run and its text's number.  About
     sample documents are drawn (one of 2,000 if that is more); frequent is what stands, by the sample, in so
-    many documents, and in least of the sample.
+    many documents, and in least of the sample; of these the most frequent, as many as most.
     """
     import pyarrow as pa
     from pyspark.sql import functions as F
@@ -73,7 +73,7 @@ def hot_anchors(keyed, runs, sample: int = 40_000, documents: int = 5_000, least
                 many = counts > 1
                 yield pa.RecordBatch.from_arrays([pa.array(keys[many].view(np.int64)), pa.array(counts[many].astype(np.int64))], ["anchor", "n"])
 
-    found = drawn.mapInArrow(count, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("anchor").toPandas()
+    found = drawn.mapInArrow(count, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "anchor").limit(most).select("anchor").toPandas()
     return np.sort(found["anchor"].to_numpy(np.int64).view(np.uint64))
 
 

@@ -7,7 +7,8 @@ equal windows have equal anchors) travel as a run with one header, 9 bytes a win
 Reduce: a part finds the anchors of several documents, among their windows those of several documents, and
 returns each repeat to its document.  However many documents hold a window, a slice sends one of them; windows
 whose anchor a sample shows to be frequent are dealt by their own hash, so that the surroundings of a
-passage of very many documents spread over all parts.
+passage of very many documents spread over all parts, and, where there are more than FAN slices, in two levels: first
+among some of the slices, then what is left of each.
 Last: positions meet their texts, and windows merge into maximal removal intervals.
 
 Parts are a few MB and grow in number with the text.  Windows are told apart by 64-bit hashes, those of one
@@ -15,7 +16,7 @@ anchor only, so two different windows would need two equal hashes of 64 bits.
 
 Defined cases: a null text has no words and an empty kept text; documents of fewer words lose nothing; a null id
 comes after all others; of rows with one id none is smaller, so they don't cost each other words; an
-input column named like a result is replaced, others are kept.
+input column named like a result is replaced, others are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,15 +25,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .anchors import among, hot_anchors, shared, sliding_min, smallest, take_runs
-from .scratch import Scratch, keep_names
-from .words import SPACED, batches, rolling, text_buffer, tokenize, within
+from .scratch import Scratch, inner, keep_names
+from .words import SPACED, batches, mix, rolling, text_buffer, tokenize, within
 
-WINDOW, GRAM, SLICE, PART_BYTES = 50, 25, 4 << 20, 12 << 20
+WINDOW, GRAM, SLICE, PART_BYTES, FAN = 50, 25, 4 << 20, 12 << 20, 1024
 _FOUND = "id long, text_key long, starts binary"
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 RESULT = [
@@ -46,7 +47,7 @@ def _pack(*arrays: np.ndarray) -> bytes:
     return b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
 
 
-def _hash_slice(column: pa.Array, ids: np.ndarray, keys: np.ndarray, window: int, parts: int, hot: np.ndarray):
+def _hash_slice(column: pa.Array, ids: np.ndarray, keys: np.ndarray, window: int, parts: int, hot: np.ndarray, fan: int):
     """Packed runs by part, and the repeats known from the slice alone by row."""
     tokens = tokenize(*text_buffer(column), SPACED)
     gram = min(GRAM, window)
@@ -60,20 +61,27 @@ def _hash_slice(column: pa.Array, ids: np.ndarray, keys: np.ndarray, window: int
     at, doc = at[~repeat], doc[~repeat]
     if not len(at):
         return {}, local
-    anchor = np.where(among(anchors[at], hot), windows[at], anchors[at])
+    frequent = among(anchors[at], hot)
+    anchor = np.where(frequent, windows[at], anchors[at])
     new = np.flatnonzero(np.concatenate(([True], (np.diff(at) != 1) | (np.diff(doc) != 0) | (anchor[1:] != anchor[:-1]))))
     counts = np.diff(np.append(new, len(at)))
     part = (anchor[new] % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    new, counts, part = new[order], counts[order], part[order]
+    if fan > 1:
+        salt = mix(np.full(1, int(keys[0]) % fan + 1, np.uint64))
+        part = np.where(frequent[new], parts + (mix(anchor[new] ^ salt) % np.uint64(parts)).astype(np.int64), part)
     values = windows[at[take_runs(new, counts)]]
-    ends = np.concatenate(([0], np.cumsum(counts)))
-    cuts = np.concatenate(([0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]))
-    packed = {}
+    return _by_part(part, anchor[new], ids[doc[new]], keys[doc[new]], at[new] - tokens.first[doc[new]], counts, values), local
+
+
+def _by_part(part: np.ndarray, anchor: np.ndarray, ids: np.ndarray, keys: np.ndarray, start: np.ndarray, counts: np.ndarray, values: np.ndarray) -> dict[int, bytes]:
+    """Runs packed by part; values: the window hashes of all runs, one after the other."""
+    order, ends = np.argsort(part, kind="stable"), np.cumsum(counts)
+    part, packed = part[order], {}
+    cuts = np.concatenate(([0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)])) if len(part) else np.zeros(1, np.int64)
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-        n, d = new[a:b], doc[new[a:b]]
-        packed[int(part[a])] = _pack(np.array([b - a], np.int64), anchor[n], ids[d], keys[d], (at[n] - tokens.first[d]).astype(np.int32), counts[a:b].astype(np.int32), values[ends[a] : ends[b]])
-    return packed, local
+        own = order[a:b]
+        packed[int(part[a])] = _pack(np.array([b - a], np.int64), anchor[own], ids[own], keys[own], start[own].astype(np.int32), counts[own].astype(np.int32), values[take_runs(ends[own] - counts[own], counts[own])])
+    return packed
 
 
 def _by_row(rows: np.ndarray, positions: np.ndarray, n: int) -> dict[int, bytes]:
@@ -95,8 +103,8 @@ def _unpack(blobs: list[bytes]):
     return [np.concatenate(x) for x in out]
 
 
-def _repeats(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """id, key and start of every window that a document of smaller id has too."""
+def _repeats(blobs: list[bytes]):
+    """id, key and start of every window that a document of smaller id has too; hash, id, key and start of the others."""
     anchor, ids, keys, start, count, values = _unpack(blobs)
     first = np.cumsum(count.astype(np.int64)) - count
     live = np.flatnonzero(shared(anchor, ids))
@@ -104,19 +112,48 @@ def _repeats(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     run = np.repeat(live, count[live])
     own = ids[run]
     repeat = smallest(values[pick], own) < own
-    run, pick = run[repeat], pick[repeat]
-    return ids[run], keys[run], start[run] + (pick - first[run])
+    gone = np.zeros(len(values), bool)
+    gone[pick[repeat]] = True
+    rest, of = np.flatnonzero(~gone), np.repeat(np.arange(len(ids)), count)
+    at = lambda p: (ids[of[p]], keys[of[p]], start[of[p]] + (p - first[of[p]]))
+    return at(pick[repeat]), (values[rest], *at(rest))
+
+
+def _answers(ids: np.ndarray, keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    pairs, row = np.unique(np.stack([ids, keys], axis=1), axis=0, return_inverse=True) if len(ids) else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
+    found = _by_row(row.ravel(), at, len(pairs))
+    own = sorted(found)
+    return pairs[own, 0], pairs[own, 1], [found[i] for i in own]
 
 
 def _reduce(table: pa.Table) -> pa.Table:
     blobs = [x for x in table["blob"].to_pylist() if x is not None]
     if not blobs:
         return table.select(["id", "text_key", "starts"])
-    ids, keys, at = _repeats(blobs)
-    pairs, row = np.unique(np.stack([ids, keys], axis=1), axis=0, return_inverse=True) if len(ids) else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
-    found = _by_row(row.ravel(), at, len(pairs))
-    own = sorted(found)
-    return pa.table({"id": pa.array(pairs[own, 0]), "text_key": pa.array(pairs[own, 1]), "starts": pa.array([found[i] for i in own], pa.binary())})
+    ids, keys, starts = _answers(*_repeats(blobs)[0])
+    return pa.table({"id": pa.array(ids), "text_key": pa.array(keys), "starts": pa.array(starts, pa.binary())})
+
+
+def _settle(parts: int):
+    """First level of the frequent windows: repeats among some slices, and the windows that are left for the second."""
+
+    def settle(table: pa.Table) -> pa.Table:
+        gone, (values, ids, keys, start) = _repeats(table["blob"].to_pylist())
+        found_ids, found_keys, starts = _answers(*gone)
+        packed = _by_part((values % np.uint64(parts)).astype(np.int64), values, ids, keys, start, np.ones(len(values), np.int64), values)
+        none, more = [None] * len(packed), [None] * len(starts)
+        part = np.concatenate([np.array(list(packed), np.int64), -1 - found_keys % parts])
+        return pa.table(
+            {
+                "part": pa.array(part, pa.int32()),
+                "blob": pa.array([*packed.values(), *more], pa.binary()),
+                "id": pa.array([*none, *found_ids.tolist()], pa.int64()),
+                "text_key": pa.array([*none, *found_keys.tolist()], pa.int64()),
+                "starts": pa.array([*none, *starts], pa.binary()),
+            }
+        )
+
+    return settle
 
 
 def _runs(window: int):
@@ -130,7 +167,7 @@ def _runs(window: int):
     return runs
 
 
-def find_repeats(keyed: DataFrame, window: int, parts: int) -> DataFrame:
+def find_repeats(keyed: DataFrame, window: int, parts: int, fan: int, scratch: Scratch) -> DataFrame:
     """(id, text_key, starts) for documents (id, text_key, text): word positions at which repeated windows start."""
 
     sent_hot = keyed.sparkSession.sparkContext.broadcast(hot_anchors(keyed, _runs(window)))
@@ -140,7 +177,7 @@ def find_repeats(keyed: DataFrame, window: int, parts: int) -> DataFrame:
         for batch in batch_list:
             ids, keys, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
             for a, b in batches(texts, SLICE):
-                packed, local = _hash_slice(texts.slice(a, b - a), ids[a:b], keys[a:b], window, parts, sent_hot.value)
+                packed, local = _hash_slice(texts.slice(a, b - a), ids[a:b], keys[a:b], window, parts, sent_hot.value, fan)
                 if packed:
                     none = [None] * len(packed)
                     yield pa.RecordBatch.from_arrays([pa.array(list(packed), pa.int32()), pa.array(list(packed.values()), pa.binary()), pa.array(none, pa.int64()), pa.array(none, pa.int64()), pa.array(none, pa.binary())], names)
@@ -149,7 +186,11 @@ def find_repeats(keyed: DataFrame, window: int, parts: int) -> DataFrame:
                     part = -1 - (keys[a:b][rows] % parts)
                     yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([None] * len(rows), pa.binary()), pa.array(ids[a:b][rows]), pa.array(keys[a:b][rows]), pa.array(list(local.values()), pa.binary())], names)
 
-    sent = keyed.select("id", "text_key", "text").mapInArrow(run, f"part int, blob binary, {_FOUND}")
+    kind = f"part int, blob binary, {_FOUND}"
+    sent = keyed.select("id", "text_key", "text").mapInArrow(run, kind)
+    if fan > 1:
+        sent = scratch.write(sent, "windows")
+        sent = sent.where(F.col("part") < parts).unionByName(sent.where(F.col("part") >= parts).groupBy("part").applyInArrow(_settle(parts), kind))
     return sent.groupBy("part").applyInArrow(_reduce, _FOUND)
 
 
@@ -161,14 +202,17 @@ def _cover(starts: list[bytes] | None, window: int) -> list[tuple[int, int]]:
     return list(zip(at[new].tolist(), (np.append(at[new[1:] - 1], at[-1]) + window).tolist()))
 
 
-def with_key(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    order = F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit((1 << 63) - 1))
-    return docs.withColumns({"__id": order, "__key": F.xxhash64(F.col(f"`{text}`"))})
+def document_keys(doc_id: str, text: str) -> tuple[Column, Column]:
+    """The id as a number, the greatest for null, and the hash of the text: rows alike in both get the same answer."""
+    return F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit((1 << 63) - 1)), F.xxhash64(F.col(f"`{text}`"))
+
+
+def text_bytes(docs: DataFrame, text: str) -> int:
+    return docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
 
 
-def part_count(docs: DataFrame, text: str, per_byte: float) -> int:
+def part_count(total: int, per_byte: float) -> int:
     """Parts of about PART_BYTES when each byte of text sends so many."""
-    total = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
     return max(16, int(total * per_byte / PART_BYTES) + 1)
 
 
@@ -177,28 +221,30 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     names = [x.name for x in RESULT]
     scratch = Scratch(docs.sparkSession)
     own = keep_names(docs, names)
-    keyed = with_key(docs.select(*[F.col(f"`{c}`") for c in own]), doc_id, text)
-    parts = part_count(docs, text, 1.6)
-    found = find_repeats(keyed.select(F.col("__id").alias("id"), F.col("__key").alias("text_key"), F.col(f"`{text}`").alias("text")), window, parts)
-    found = scratch.write(found.groupBy("id", "text_key").agg(F.collect_list("starts").alias("__starts")), "repeats")
+    number, key = document_keys(doc_id, text)
+    total = text_bytes(docs, text)
+    keyed = docs.select(number.alias("id"), key.alias("text_key"), F.col(f"`{text}`").alias("text"))
+    found = find_repeats(keyed, window, part_count(total, 1.6), max(1, int(total / (SLICE * FAN))), scratch)
+    i, k, body, at = (inner(x, own) for x in ("id", "key", "text", "starts"))
+    found = scratch.write(found.groupBy("id", "text_key").agg(F.collect_list("starts").alias(at)).withColumnsRenamed({"id": i, "text_key": k}), "repeats")
+    scratch.drop("windows")
     scratch.free()
-    joined = keyed.join(found.select(F.col("id").alias("__id"), F.col("text_key").alias("__key"), "__starts"), ["__id", "__key"], "left").select(*[F.col(f"`{c}`") for c in own], "__starts")
+    held = docs.select(*[F.col(f"`{c}`") for c in own], number.alias(i), key.alias(k), F.col(f"`{text}`").alias(body))
+    joined = held.join(found, [i, k], "left").select(*[F.col(f"`{c}`") for c in own], body, at)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             counts, spans, kept = [], [], []
-            starts = part.column(part.num_columns - 1)
-            for value, at in zip(part.column(part.schema.get_field_index(text)), starts):
+            for value, starts in zip(part.column(part.num_columns - 2), part.column(part.num_columns - 1)):
                 words = (value.as_py() or "").encode().split()
-                cover = _cover(at.as_py(), window)
+                cover = _cover(starts.as_py(), window)
                 counts.append(len(words))
                 spans.append([{"start": s, "end": e} for s, e in cover])
-                for s, e in reversed(cover):
-                    del words[s:e]
-                kept.append(b" ".join(words).decode())
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(counts, pa.int64()), pa.array(spans, _SPANS), pa.array(kept, pa.string())], [*own, *names])
+                edges = [0, *[x for pair in cover for x in pair], len(words)]
+                kept.append(b" ".join(w for s, e in zip(edges[::2], edges[1::2]) for w in words[s:e]).decode())
+            yield pa.RecordBatch.from_arrays([*part.columns[:-2], pa.array(counts, pa.int64()), pa.array(spans, _SPANS), pa.array(kept, pa.string())], [*own, *names])
 
-    return joined.mapInArrow(run, T.StructType([*[joined.schema[c] for c in own], *RESULT]))
+    return joined.mapInArrow(run, T.StructType([*joined.schema.fields[: len(own)], *RESULT]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

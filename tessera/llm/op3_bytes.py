@@ -4,20 +4,22 @@ Two documents share a string of WINDOW bytes only if they share its anchor, the
 grams in it.  Anchors of all windows are dealt by hash to parts and counted there; a part answers each
 document with those that stand in other documents too.  The windows with such anchors, a superset of all
 shared ones, are cut out as pieces (windows in a row with one anchor) and dealt by anchor to shards.  A shard
-writes each distinct piece once, sorts the suffixes of the whole by external induced sorting (induced.py), and
-compares the bytes of neighbours: suffixes with WINDOW bytes in common form a group, in which every
-document but that of least id loses the string.  Anchors only select; equality is that of bytes.
+writes each distinct piece once and sorts the suffixes of the whole by external induced sorting (induced.py), which
+gives them in order with the common prefix of neighbours: suffixes with WINDOW bytes in common form a group, in which
+every document but that of least id loses the string.  Anchors only select; equality is that of bytes, in the sort as well as
+where windows of one slice or whole pieces are found equal by hash, which is confirmed byte by byte.
 
 Within a slice of documents, what repeats in the slice itself is settled at once, so that a string of very many
-documents reaches its shard once per slice; windows with anchors that a sample shows to be frequent are
-dealt by their own hash, so that the surroundings of such a string spread over all shards.
+documents reaches its shard once per slice.  Anchors that a sample shows to be frequent are known to be shared and not
+counted; windows with them are dealt by their own hash, so that the surroundings of such a string spread over all shards,
+and, where there are more than FAN slices, in two levels: first among some of the slices, then what is left of each.
 
 The leftmost-S suffixes are sorted by merging instead of by recursion into a reduced text, as only WINDOW bytes of
 order matter; see the README.
 
 Defined cases: a null text is empty; a shorter text loses nothing; a null id comes after all others; of rows with
 one id none is smaller; the kept bytes need not be valid UTF-8 and so are binary; an input column named
-like a result is replaced, others are kept.
+like a result is replaced, others are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,13 +33,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .anchors import among, hot_anchors, shared, sliding_min, smallest, take_runs
-from .induced import suffix_order
-from .op2_substrings import part_count, with_key
-from .scratch import Scratch, keep_names
+from .anchors import among, hot_anchors, shared, sliding_min, take_runs
+from .induced import space, suffix_order
+from .op2_substrings import document_keys, part_count, text_bytes
+from .scratch import Scratch, inner, keep_names
 from .words import BYTE_VALUES, batches, mix, prefix, rolling, span, text_buffer, within
 
-WINDOW, GRAM, SLICE = 50, 20, 2 << 20
+WINDOW, GRAM, SLICE, FAN, MEMORY = 50, 20, 2 << 20, 1024, 64 << 20
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 RESULT = [
     T.StructField("n_bytes", T.LongType()),
@@ -87,23 +89,26 @@ def _cuts(part: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(at[:-1], at[1:]))
 
 
-def shared_anchors(keyed: DataFrame, parts: int) -> DataFrame:
-    """(doc, found) of documents (id, doc, text): codes of their anchors that other documents have too."""
+def shared_anchors(keyed: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
+    """(doc, found) of documents (id, doc, text): codes of their anchors that other documents have too, as hot ones do."""
+    sent_hot = keyed.sparkSession.sparkContext.broadcast(hot)
 
     def send(batch_list: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batch_list:
             docs, texts = batch.column(0).to_numpy(), batch.column(1)
             for a, b in batches(texts, SLICE):
                 own = Slice(texts.slice(a, b - a))
-                code, doc = _codes(own.anchor[own.first], parts), docs[a:b][own.doc]
+                anchor = own.anchor[own.first]
+                code, doc, frequent = _codes(anchor, parts), docs[a:b][own.doc], among(anchor, sent_hot.value)
                 order = np.lexsort((doc, code))
-                code, doc = code[order], doc[order]
+                code, doc, frequent = code[order], doc[order], frequent[order]
                 once = np.concatenate(([True], (code[1:] != code[:-1]) | (doc[1:] != doc[:-1]))) if len(code) else np.zeros(0, bool)
-                code, doc = code[once], doc[once]
-                known = shared(code, doc)
+                code, doc, frequent = code[once], doc[once], frequent[once]
+                known = shared(code, doc) | frequent
                 lone = ~known
                 if len(code):
                     lone[np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))] = True
+                lone &= ~frequent
                 part = (code >> np.uint64(32)).astype(np.int32)
                 rows = [{"part": int(part[lone][x]), "blob": _pair((code[lone][x:y] & np.uint64(0xFFFFFFFF)).astype(np.uint32), doc[lone][x:y])} for x, y in _cuts(part[lone])]
                 if known.any():
@@ -158,7 +163,31 @@ def _pairs(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate(values), np.concatenate(docs)
 
 
-def _pieces(own: Slice, ids: np.ndarray, docs: np.ndarray, found: list, parts: int, shards: int, hot: np.ndarray):
+def same_bytes(buffer: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the WINDOW bytes from each place of a are those from that of b."""
+    eight = np.ndarray((max(0, len(buffer) - 7),), np.uint64, np.ascontiguousarray(buffer), strides=(1,))
+    out = np.ones(len(a), bool)
+    for x in range(0, len(a), 1 << 16):
+        p, q = a[x : x + (1 << 16)], b[x : x + (1 << 16)]
+        for at in [*range(0, WINDOW - 7, 8), WINDOW - 8]:
+            out[x : x + (1 << 16)] &= eight[p + at] == eight[q + at]
+    return out
+
+
+def _known(buffer: np.ndarray, at: np.ndarray, hashes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which windows a document of smaller id has too, among these windows: by hash, confirmed on the bytes."""
+    order = np.lexsort((ids, hashes))
+    key = hashes[order]
+    new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    first = np.empty(len(order), np.int64)
+    first[order] = np.repeat(order[new], np.diff(np.append(new, len(key))))
+    out = ids[first] < ids
+    which = np.flatnonzero(out)
+    out[which] = same_bytes(buffer, at[which], at[first[which]])
+    return out
+
+
+def _pieces(own: Slice, ids: np.ndarray, docs: np.ndarray, found: list, parts: int, shards: int, hot: np.ndarray, fan: int):
     """Packed pieces by shard, and (row, first, end) of the repeats known from the slice alone."""
     code = _codes(own.anchor[own.first], parts)
     wanted = [np.frombuffer(x, np.uint64) for x in found]
@@ -172,24 +201,44 @@ def _pieces(own: Slice, ids: np.ndarray, docs: np.ndarray, found: list, parts: i
     doc = np.repeat(own.doc[live], count)
     sums = prefix(own.values)
     hashes = mix(span(sums, at, at + WINDOW))
-    mine = ids[doc]
-    repeat = smallest(hashes, mine) < mine
+    repeat = _known(own.buffer, at, hashes, ids[doc])
     known = _intervals(doc[repeat], at[repeat] - own.offsets[doc[repeat]])
     at, doc, hashes = at[~repeat], doc[~repeat], hashes[~repeat]
     anchor = own.anchor[at]
-    key = np.where(among(anchor, hot), hashes, anchor)
+    frequent = among(anchor, hot)
+    key = np.where(frequent, hashes, anchor)
     new = np.flatnonzero(np.concatenate(([True], (np.diff(at) != 1) | (np.diff(doc) != 0) | (key[1:] != key[:-1])))) if len(at) else np.zeros(0, np.int64)
     counts = np.diff(np.append(new, len(at)))
     part = (mix(key[new]) % np.uint64(shards)).astype(np.int32)
-    order = np.argsort(part, kind="stable")
-    new, counts, part = new[order], counts[order], part[order]
+    if fan > 1:
+        salt = np.uint64(int(docs[0]) % fan + 1)
+        part = np.where(frequent[new], shards + (mix(key[new] ^ mix(np.full(1, salt))) % np.uint64(shards)).astype(np.int32), part)
     text = own.buffer[take_runs(at[new], counts + WINDOW - 1)]
-    ends = np.concatenate(([0], np.cumsum(counts + WINDOW - 1)))
-    packed = {}
+    return _pack(part, ids[doc[new]], docs[doc[new]], at[new] - own.offsets[doc[new]], counts, text), known
+
+
+def _pack(part: np.ndarray, ids: np.ndarray, docs: np.ndarray, start: np.ndarray, counts: np.ndarray, text: np.ndarray) -> dict[int, bytes]:
+    """Pieces by part: number, ids, documents, places, numbers of windows, and the bytes one after the other."""
+    ends = np.cumsum(counts + WINDOW - 1)
+    order = np.argsort(part, kind="stable")
+    part, packed = part[order], {}
     for x, y in _cuts(part):
-        n, d = new[x:y], doc[new[x:y]]
-        packed[int(part[x])] = _squeeze(b"".join((np.int64(y - x).tobytes(), ids[d].tobytes(), docs[d].tobytes(), (at[n] - own.offsets[d]).astype(np.int32).tobytes(), counts[x:y].astype(np.int32).tobytes(), text[ends[x] : ends[y]].tobytes())))
-    return packed, known
+        own = order[x:y]
+        size = counts[own] + WINDOW - 1
+        arrays = (np.array([y - x], np.int64), ids[own], docs[own], start[own].astype(np.int32), counts[own].astype(np.int32), text[take_runs(ends[own] - size, size)])
+        packed[int(part[x])] = _squeeze(b"".join(v.tobytes() for v in arrays))
+    return packed
+
+
+def _unpack(blobs: list[bytes]) -> list[np.ndarray]:
+    own: list[list[np.ndarray]] = [[] for _ in range(5)]
+    for blob in map(_unsqueeze, blobs):
+        n, at = int(np.frombuffer(blob, np.int64, 1)[0]), 8
+        for k, kind in enumerate((np.int64, np.int64, np.int32, np.int32)):
+            own[k].append(np.frombuffer(blob, kind, n, at))
+            at += n * np.dtype(kind).itemsize
+        own[4].append(np.frombuffer(blob, np.uint8, -1, at))
+    return [np.concatenate(x) for x in own]
 
 
 def _squeeze(x: bytes) -> bytes:
@@ -216,71 +265,123 @@ def _encode(found: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(found[1:].T.astype(np.int32)).view(np.uint64).ravel()
 
 
-def sort_shard(ids: np.ndarray, start: np.ndarray, count: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Piece and place of every window that a piece of smaller id has too; text: the pieces one after the other."""
-    length = count.astype(np.int64) + WINDOW - 1
-    end = np.cumsum(length)
+def _distinct(text: np.ndarray, end: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First piece of each kind, and each piece's kind: pieces of one hash whose bytes are the same."""
     hashes = mix(span(prefix(BYTE_VALUES[text]), end - length, end) ^ length.astype(np.uint64))
     _, pick, kind = np.unique(hashes, return_index=True, return_inverse=True)
+    alike = length[pick[kind]] == length
+    other = text[take_runs(np.where(alike, end[pick[kind]] - length, end - length), length)]
+    alike &= np.logical_and.reduceat(other == text, end - length)
+    odd = np.flatnonzero(~alike)
+    kind[odd] = len(pick) + np.arange(len(odd))
+    return np.append(pick, odd), kind
+
+
+def sort_shard(ids: np.ndarray, start: np.ndarray, count: np.ndarray, text: np.ndarray, memory: int = MEMORY) -> tuple[np.ndarray, np.ndarray]:
+    """Piece and place of every window that a piece of smaller id has too; text: the pieces one after the other."""
+    count = count.astype(np.int64)
+    length = count + WINDOW - 1
+    end = np.cumsum(length)
+    pick, kind = _distinct(text, end, length)
     least = np.full(len(pick), np.iinfo(np.int64).max)
     np.minimum.at(least, kind, ids)
-    own_length, own_count = length[pick], count[pick].astype(np.int64)
+    own_length, own_count = length[pick], count[pick]
     first = np.cumsum(own_length + 1) - own_length - 1
-    joined = np.zeros(int((own_length + 1).sum()), np.uint8)
-    joined[take_runs(first, own_length)] = text[take_runs(end[pick] - own_length, own_length)] + 1
-    windows = np.full(len(joined), -1, np.int32)
-    windows[take_runs(first, own_count)] = np.repeat(np.arange(len(pick)), own_count)
-    order = suffix_order(joined, WINDOW)
-    order = order[windows[order] >= 0]
-    view = np.lib.stride_tricks.sliding_window_view(joined, WINDOW)
-    same = np.zeros(len(order), bool)
-    for a in range(1, len(order), 1 << 16):
-        b = min(len(order), a + (1 << 16))
-        same[a:b] = (view[order[a:b]] == view[order[a - 1 : b - 1]]).all(axis=1)
-    new = np.flatnonzero(~same)
-    group_least = np.repeat(np.minimum.reduceat(least[windows[order]], new), np.diff(np.append(new, len(order))))
-    by_place = np.empty(len(joined), np.int64)
-    by_place[order] = group_least
-    piece = np.repeat(np.arange(len(ids)), count)
-    place = np.arange(len(piece)) - np.repeat(np.cumsum(count.astype(np.int64)) - count, count)
-    repeat = by_place[first[kind[piece]] + place] < ids[piece]
-    return piece[repeat], start[piece[repeat]] + place[repeat]
-
-
-def find_repeats(candidates: DataFrame, parts: int, shards: int, hot: np.ndarray) -> DataFrame:
+    total = int((own_length + 1).sum())
+    joined = space(total, np.uint8, memory)
+    for x in range(0, len(pick), 1 << 14):
+        y = min(len(pick), x + (1 << 14))
+        joined[take_runs(first[x:y], own_length[x:y])] = text[take_runs(end[pick[x:y]] - own_length[x:y], own_length[x:y])] + 1
+    by_place = space(total, np.int64, memory, np.iinfo(np.int64).max)
+    held, smallest_id, carry = [], 0, WINDOW  # the group that is still open
+
+    def close() -> None:
+        for at in held:
+            by_place[at] = smallest_id
+
+    for at, lcp in suffix_order(joined, WINDOW, memory):
+        piece = np.searchsorted(first, at, "right") - 1
+        which = np.flatnonzero(at - first[piece] < own_count[piece])
+        if not len(which):
+            carry = min(carry, int(lcp.min()))
+            continue
+        to = int(which[-1]) + 1
+        common = np.minimum.reduceat(lcp[:to], np.concatenate(([0], which[:-1] + 1)))
+        common[0] = min(int(common[0]), carry)
+        carry = int(lcp[to:].min()) if to < len(lcp) else WINDOW
+        at, own = at[which], least[piece[which]]
+        cuts = np.flatnonzero(common < WINDOW)
+        head = int(cuts[0]) if len(cuts) else len(at)
+        if head and held:
+            held.append(at[:head])
+            smallest_id = min(smallest_id, int(own[:head].min()))
+        elif head:
+            held, smallest_id = [at[:head]], int(own[:head].min())
+        if len(cuts):
+            close()
+            groups = np.minimum.reduceat(own, cuts)
+            last = int(cuts[-1])
+            by_place[at[head:last]] = np.repeat(groups[:-1], np.diff(cuts))
+            held, smallest_id = [at[last:]], int(groups[-1])
+    close()
+    pieces, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    steps = np.searchsorted(np.cumsum(count), np.arange(0, int(count.sum()), 1 << 20), "left")
+    edges = np.unique(np.concatenate((steps, [0, len(ids)])))
+    for x, y in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        piece = np.repeat(np.arange(x, y), count[x:y])
+        place = take_runs(np.zeros(y - x, np.int64), count[x:y])
+        repeat = by_place[first[kind[piece]] + place] < ids[piece]
+        pieces.append(piece[repeat])
+        places.append(start[piece[repeat]] + place[repeat])
+    return np.concatenate(pieces), np.concatenate(places)
+
+
+_DEALT = pa.schema([("part", pa.int32()), ("blob", pa.binary()), ("known", pa.binary())])
+
+
+def find_repeats(candidates: DataFrame, parts: int, shards: int, hot: np.ndarray, fan: int, scratch: Scratch) -> DataFrame:
     """(doc, found) for documents (id, doc, text, found): intervals of places at which repeated windows start."""
     sent = candidates.sparkSession.sparkContext.broadcast(hot)
 
     def send(batch_list: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = pa.schema([("part", pa.int32()), ("blob", pa.binary()), ("known", pa.binary())])
         for batch in batch_list:
             ids, docs, texts, found = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2), batch.column(3).to_pylist()
             for a, b in batches(texts, SLICE):
-                packed, known = _pieces(Slice(texts.slice(a, b - a)), ids[a:b], docs[a:b], found[a:b], parts, shards, sent.value)
+                packed, known = _pieces(Slice(texts.slice(a, b - a)), ids[a:b], docs[a:b], found[a:b], parts, shards, sent.value, fan)
                 rows = [{"part": p, "blob": x} for p, x in packed.items()]
                 if known.size:
                     rows.append({"part": -1 - int(docs[a] % shards), "known": _pair(_encode(known), docs[a:b][known[0]])})
                 if rows:
-                    yield pa.RecordBatch.from_pylist(rows, kinds)
+                    yield pa.RecordBatch.from_pylist(rows, _DEALT)
+
+    def settle(table: pa.Table) -> pa.Table:
+        """First level of the frequent windows: repeats among some slices, and the pieces that are left for the second."""
+        ids, docs, start, count, text = _unpack(table["blob"].to_pylist())
+        piece, place = sort_shard(ids, start, count, text)
+        spans = _intervals(docs[piece], place)
+        rows = [{"part": -1 - int(docs[0] % shards), "known": _pair(_encode(spans), spans[0])}] if spans.size else []
+        left = np.bincount(piece, minlength=len(ids)) < count
+        size = count.astype(np.int64) + WINDOW - 1
+        begin = np.cumsum(size) - size
+        key = mix(span(prefix(BYTE_VALUES[text]), begin[left], begin[left] + WINDOW))
+        packed = _pack((mix(key) % np.uint64(shards)).astype(np.int32), ids[left], docs[left], start[left], count[left], text[take_runs(begin[left], size[left])])
+        return pa.Table.from_pylist(rows + [{"part": p, "blob": x} for p, x in packed.items()], _DEALT)
 
     def sort(table: pa.Table) -> pa.Table:
         found, doc = _pairs(table["known"], np.uint64)
         blobs = [x for x in table["blob"].to_pylist() if x is not None]
         if blobs:
-            own = [[] for _ in range(5)]
-            for blob in map(_unsqueeze, blobs):
-                n, at = int(np.frombuffer(blob, np.int64, 1)[0]), 8
-                for k, kind in enumerate((np.int64, np.int64, np.int32, np.int32)):
-                    own[k].append(np.frombuffer(blob, kind, n, at))
-                    at += n * np.dtype(kind).itemsize
-                own[4].append(np.frombuffer(blob, np.uint8, -1, at))
-            ids, docs, start, count, text = [np.concatenate(x) for x in own]
+            ids, docs, start, count, text = _unpack(blobs)
             piece, place = sort_shard(ids, start, count, text)
             spans = _intervals(docs[piece], place)
             found, doc = np.concatenate([found, _encode(spans)]), np.concatenate([doc, spans[0]])
         return _by_bucket(found, doc, parts)
 
-    dealt = candidates.select("id", "doc", "text", "found").mapInArrow(send, "part int, blob binary, known binary")
+    kind = "part int, blob binary, known binary"
+    dealt = candidates.select("id", "doc", "text", "found").mapInArrow(send, kind)
+    if fan > 1:
+        dealt = scratch.write(dealt, "pieces")
+        dealt = dealt.where(F.col("part") < shards).unionByName(dealt.where(F.col("part") >= shards).groupBy("part").applyInArrow(settle, kind))
     return _by_document(dealt.groupBy("part").applyInArrow(sort, "bucket int, pairs binary"))
 
 
@@ -299,30 +400,33 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     names = [x.name for x in RESULT]
     scratch = Scratch(docs.sparkSession)
     own = keep_names(docs, names)
-    held = with_key(docs.select(*[F.col(f"`{c}`") for c in own]), doc_id, text).withColumn("__doc", F.xxhash64("__id", "__key"))
-    keyed = held.select(F.col("__id").alias("id"), F.col("__key").alias("text_key"), F.col("__doc").alias("doc"), F.col(f"`{text}`").alias("text"))
+    number, key = document_keys(doc_id, text)
+    doc = F.xxhash64(number, key)
+    keyed = docs.select(number.alias("id"), key.alias("text_key"), doc.alias("doc"), F.col(f"`{text}`").alias("text"))
     hot = hot_anchors(keyed.select("id", "text_key", "text"), _runs)
-    parts = part_count(docs, text, 1.0)
-    shards = part_count(docs, text, 3.0)
-    selected = scratch.write(shared_anchors(keyed, parts), "anchors")
-    found = find_repeats(keyed.join(selected, "doc"), parts, shards, hot)
-    found = scratch.write(found.select(F.col("doc").alias("__doc"), F.col("found").alias("__found")), "repeats")
-    scratch.drop("anchors")
+    total = text_bytes(docs, text)
+    parts, shards = part_count(total, 1.0), part_count(total, 3.0)
+    selected = scratch.write(shared_anchors(keyed, parts, hot), "anchors")
+    found = find_repeats(keyed.join(selected, "doc"), parts, shards, hot, max(1, int(total / (SLICE * FAN))), scratch)
+    mark, body, answer = (inner(x, own) for x in ("doc", "text", "found"))
+    found = scratch.write(found.select(F.col("doc").alias(mark), F.col("found").alias(answer)), "repeats")
+    scratch.drop("anchors", "pieces")
     scratch.free()
-    joined = held.join(found, "__doc", "left").select(*[F.col(f"`{c}`") for c in own], "__found")
+    held = docs.select(*[F.col(f"`{c}`") for c in own], doc.alias(mark), F.col(f"`{text}`").alias(body))
+    joined = held.join(found, mark, "left").select(*[F.col(f"`{c}`") for c in own], body, answer)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             counts, spans, kept = [], [], []
-            for value, at in zip(part.column(part.schema.get_field_index(text)), part.column(part.num_columns - 1)):
+            for value, at in zip(part.column(part.num_columns - 2), part.column(part.num_columns - 1)):
                 data, cover = (value.as_py() or "").encode(), _cover(at.as_py())
                 counts.append(len(data))
                 spans.append([{"start": s, "end": e} for s, e in cover])
                 edges = [0, *[x for pair in cover for x in pair], len(data)]
                 kept.append(b"".join(data[s:e] for s, e in zip(edges[::2], edges[1::2])) if cover else data)
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(counts, pa.int64()), pa.array(spans, _SPANS), pa.array(kept, pa.binary())], [*own, *names])
+            yield pa.RecordBatch.from_arrays([*part.columns[:-2], pa.array(counts, pa.int64()), pa.array(spans, _SPANS), pa.array(kept, pa.binary())], [*own, *names])
 
-    return joined.mapInArrow(run, T.StructType([*[joined.schema[c] for c in own], *RESULT]))
+    return joined.mapInArrow(run, T.StructType([*joined.schema.fields[: len(own)], *RESULT]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
