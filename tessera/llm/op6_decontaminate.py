@@ -1,13 +1,15 @@
 """Benchmark decontamination by winnowing (Schleimer, Wilkerson, Aiken, SIGMOD 2003).
 
 Items and documents are fingerprinted alike: of every WINDOW consecutive hashes of GRAM words the least
-is kept, so that any shared run of GRAM + WINDOW - 1 words has a fingerprint on both sides.  Where a
-document's fingerprint is one of an item, the hit is extended to the windows of that many words that
-hold it, and each window is compared by 128 bits of hash.  An item shorter than a window is one window
-of its own length, looked up at every word.
+is kept, so that any shared run of GRAM + WINDOW - 1 words has a fingerprint on both sides.  Fingerprints of
+documents and items are joined, and a hit is extended to the windows of that many words whose fingerprint
+it is: these are joined by 128 bits of hash.  An item shorter than a window is one window
+of its own length and its own fingerprint, looked up at every word.
 
-Items are taken to the executors in blocks of bounded text (BLOCK_BYTES); each further block is a further
-pass over the same rows without a shuffle, so any number of items fits.  Documents are never shuffled.
+Documents send only fingerprints that pass a bitmap of those of the items, built by grouped sums and of a size that follows
+the items up to 2**MOST_BITS bits; beyond that it lets more pass, which the joins sort out.  So any number of items fits:
+they are never held in one place, and a document's text is read where it lies.  Hits of a text go back to its rows by
+128 bits of hash of the text; that table is broadcast if it is small by its written size, else joined.
 
 Defined cases: a null or wordless document has no words, no spans and no items; a null or wordless item
 never occurs; items with one id count as one item; an item without id counts under the id ''; repeated
@@ -20,16 +22,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import bound_batches, keep_names
-from .words import ALNUM, LOWER, batches, mix, prefix, rolling, span, text_buffer, tokenize, within
+from .scratch import Scratch, inner, keep_names
+from .words import ALNUM, LOWER, batches, mix, prefix, release, rolling, span, text_buffer, tokenize, within
 
 GRAM = 8
-BLOCK_BYTES = 8 << 20
-_BITS = 22
+LEAST_BITS, MOST_BITS, SMALL_BYTES = 16, 27, 32 << 20
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 RESULT = T.StructType(
     [
         T.StructField("n_words", T.LongType()),
@@ -39,165 +41,140 @@ RESULT = T.StructType(
 )
 
 
-def _windows(hashes: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
-    """Two independent 64-bit hashes of the n words from each start, as one structured key."""
-    out = np.empty(len(starts), [("a", np.uint64), ("b", np.uint64)])
-    out["a"] = mix(span(prefix(hashes), starts, starts + n))
-    out["b"] = mix(span(prefix(mix(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5))), starts, starts + n))
-    return out
+def _windows(hashes: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of the n words from each start."""
+    a = mix(span(prefix(hashes), starts, starts + n))
+    return a.view(np.int64), mix(span(prefix(mix(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5))), starts, starts + n)).view(np.int64)
 
 
-def winnow(grams: np.ndarray, first: np.ndarray, gram: int, window: int) -> np.ndarray:
-    """Positions of the least of every window consecutive grams of one text, ties included."""
+def _least(grams: np.ndarray, window: int) -> np.ndarray:
+    """Least of every window consecutive grams."""
     n = len(grams) - window + 1
     if n <= 0:
-        return np.zeros(0, np.int64)
-    least = grams[:n].copy()
+        return grams[:0]
+    out = grams[:n].copy()
     for i in range(1, window):
-        np.minimum(least, grams[i : i + n], out=least)
+        np.minimum(out, grams[i : i + n], out=out)
+    return out
+
+
+def winnow(grams: np.ndarray, first: np.ndarray, gram: int, window: int) -> np.ndarray:
+    """Positions of the least of every window consecutive grams of one text, ties included."""
+    least = _least(grams, window)
+    n = len(least)
     inside = within(first, gram + window - 1, n)
     chosen = np.zeros(len(grams), bool)
-    for i in range(window):
+    for i in range(window if n else 0):
         chosen[i : i + n] |= inside & (grams[i : i + n] == least)
     return np.flatnonzero(chosen)
 
 
-class Block:
-    """Fingerprints and windows of some items."""
-
-    def __init__(self, items: list[tuple[str, str]], words: int):
-        self.words = words
-        tokens = tokenize(*text_buffer(pa.array([t for _, t in items], pa.string())), ALNUM, LOWER)
-        sizes, names = np.diff(tokens.first), np.array([i for i, _ in items], object)
-        grams = rolling(tokens.hash, GRAM)
-        self.prints = np.unique(grams[winnow(grams, tokens.first, GRAM, words - GRAM + 1)])
-        self.maybe = np.zeros(1 << _BITS, bool)
-        self.maybe[self.prints >> np.uint64(64 - _BITS)] = True
-        self.ids = np.unique(names.astype(str))
-        number = np.searchsorted(self.ids, names.astype(str))
-        self.tables = {}
-        for n in sorted({min(int(s), words) for s in sizes if s}):
-            own = np.flatnonzero(sizes >= n if n == words else sizes == n)
-            starts = np.concatenate([np.arange(tokens.first[i], tokens.first[i + 1] - n + 1) for i in own])
-            owner = np.repeat(number[own], sizes[own] - n + 1)
-            keys, at = np.unique(_windows(tokens.hash, starts, n), return_inverse=True)
-            pairs = np.unique(np.stack([at, owner]), axis=1)
-            bits = np.zeros(1 << _BITS, bool)
-            bits[keys["a"] >> np.uint64(64 - _BITS)] = True
-            self.tables[n] = keys, np.searchsorted(pairs[0], np.arange(len(keys) + 1)), pairs[1], bits
-
-    def find(self, tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts, lengths and (start index, item number) pairs of all occurrences of windows."""
-        starts, lengths, items = [], [], []
-        for n, (keys, first, owners, bits) in self.tables.items():
-            if n == self.words:
-                grams = rolling(tokens.hash, GRAM)
-                at = winnow(grams, tokens.first, GRAM, n - GRAM + 1)
-                at = at[self.maybe[grams[at] >> np.uint64(64 - _BITS)]]
-                at = at[np.isin(grams[at], self.prints)]
-                at = np.unique((at[:, None] - np.arange(n - GRAM + 1)).ravel())
-                at = at[(at >= 0) & (at + n <= len(tokens.hash))]
-            else:
-                at = np.arange(max(0, len(tokens.hash) - n + 1))
-                if len(at):
-                    at = at[bits[rolling(tokens.hash, n) >> np.uint64(64 - _BITS)]]
-            at = at[np.searchsorted(tokens.first, at, "right") == np.searchsorted(tokens.first, at + n - 1, "right")]
-            if not len(at):
-                continue
-            found = _windows(tokens.hash, at, n)
-            where = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
-            same = keys[where] == found
-            at, where = at[same], where[same]
-            starts.append(at)
-            lengths.append(np.full(len(at), n))
-            count = first[where + 1] - first[where]
-            pick = np.repeat(first[where], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            items.append(np.stack([np.repeat(at, count), owners[pick]]))
-        if not starts:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((2, 0), np.int64)
-        return np.concatenate(starts), np.concatenate(lengths), np.concatenate(items, axis=1)
-
-
-def _match(column: pa.Array, blocks: list[Block]) -> tuple[list, list, list]:
-    counts, spans, ids = [], [], []
-    for a, b in batches(column):
-        tokens = tokenize(*text_buffer(column.slice(a, b - a)), ALNUM, LOWER)
-        counts += np.diff(tokens.first).tolist()
-        own_spans, own_ids = [[] for _ in range(b - a)], [set() for _ in range(b - a)]
-        edge = np.zeros(len(tokens.hash) + 1, np.int64)
-        for block in blocks:
-            starts, lengths, items = block.find(tokens)
-            np.add.at(edge, starts, 1)
-            np.add.at(edge, starts + lengths, -1)
-            docs = np.searchsorted(tokens.first, items[0], "right") - 1
-            for d, i in np.unique(np.stack([docs, items[1]]), axis=1).T.tolist():
-                own_ids[d].add(str(block.ids[i]))
-        hit = np.concatenate(([False], np.cumsum(edge[:-1]) > 0, [False]))
-        change = np.flatnonzero(hit[1:] != hit[:-1])
-        for s, e in zip(change[::2].tolist(), change[1::2].tolist()):
-            d = int(np.searchsorted(tokens.first, s, "right")) - 1
-            while s < e:
-                stop, base = min(e, int(tokens.first[d + 1])), int(tokens.first[d])
-                if s < stop:
-                    own_spans[d].append({"start": s - base, "end": stop - base})
-                s, d = stop, d + 1
-        spans += own_spans
-        ids += [sorted(x) for x in own_ids]
-    return counts, spans, ids
-
-
-def _blocks(benchmark: DataFrame, item_id: str, item_text: str, words: int) -> Iterator[Block]:
-    held, size = [], 0
-    rows = benchmark.select(F.coalesce(F.col(f"`{item_id}`").cast("string"), F.lit("")), F.col(f"`{item_text}`")).where(F.col(f"`{item_text}`").isNotNull())
-    for i, text in rows.toLocalIterator():
-        held.append((i, text))
-        size += len(text)
-        if size >= BLOCK_BYTES:
-            yield Block(held, words)
-            held, size = [], 0
-    if held:
-        yield Block(held, words)
+def _print(values: np.ndarray, n: int) -> np.ndarray:
+    """Fingerprint of windows of n words: its hash, told apart by n."""
+    return mix(values ^ np.uint64(n * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).view(np.int64)
+
+
+def _fingerprints(tokens, n: int, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and fingerprint of each window of n words in one text; full windows have the least of their grams."""
+    own = _least(rolling(tokens.hash, GRAM), words - GRAM + 1) if n == words else rolling(tokens.hash, n)
+    at = np.flatnonzero(within(tokens.first, n, len(own)))
+    return at, _print(own[at], n)
+
+
+def item_windows(items: DataFrame, words: int) -> DataFrame:
+    """(item, n, print, a, b) of items (item, text): every window with its fingerprint and its hash."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["item", "n", "print", "a", "b"]
+        for part in parts:
+            for x, y in batches(part.column(1)):
+                tokens = tokenize(*text_buffer(part.column(1).slice(x, y - x)), ALNUM, LOWER)
+                sizes, ids = np.minimum(np.diff(tokens.first), words), part.column(0).slice(x, y - x)
+                for n in np.unique(sizes[sizes > 0]).tolist():
+                    at, prints = _fingerprints(tokens, n, words)
+                    doc = np.searchsorted(tokens.first, at, "right") - 1
+                    own = sizes[doc] == n
+                    at, prints, doc = at[own], prints[own], doc[own]
+                    a, b = _windows(tokens.hash, at, n)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc)), pa.array(np.full(len(at), n, np.int32)), pa.array(prints), pa.array(a), pa.array(b)], names)
+            release()
+
+    return items.select("item", "text").mapInArrow(run, "item string, n int, print long, a long, b long")
+
+
+def _bitmap(prints: DataFrame) -> tuple[np.ndarray, int]:
+    """Words of 64 bits that say which first bits of a fingerprint occur, and the number of these bits."""
+    bits = min(MOST_BITS, max(LEAST_BITS, (prints.count() * 16).bit_length()))
+    place = F.shiftrightunsigned("print", 64 - bits)
+    words = prints.select(F.shiftright(place, 6).alias("word"), (place % 64).cast("int").alias("bit"))
+    rows = words.groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits")).toPandas()  # 2**(MOST_BITS - 6) rows at most
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
+    return out, bits
+
+
+def candidates(texts: DataFrame, lengths: list[int], words: int, bitmap: tuple[np.ndarray, int]) -> DataFrame:
+    """(x, y, n, print, a, b, starts) of texts (x, y, text): windows that pass the bitmap, with the words at which they start."""
+    sent = texts.sparkSession.sparkContext.broadcast(bitmap)
+    kinds = [("x", pa.int64()), ("y", pa.int64()), ("n", pa.int32()), ("print", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("starts", pa.list_(pa.int32()))]
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, bits = sent.value
+        for part in parts:
+            for lo, hi in batches(part.column(2)):
+                tokens = tokenize(*text_buffer(part.column(2).slice(lo, hi - lo)), ALNUM, LOWER)
+                for n in lengths:
+                    at, prints = _fingerprints(tokens, n, words)
+                    place = prints.view(np.uint64) >> np.uint64(64 - bits)
+                    live = (table[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+                    at, prints = at[live], prints[live]
+                    if not len(at):
+                        continue
+                    a, b = _windows(tokens.hash, at, n)
+                    doc = np.searchsorted(tokens.first, at, "right") - 1
+                    order = np.lexsort((at, b, a, doc))
+                    at, prints, a, b, doc = (v[order] for v in (at, prints, a, b, doc))
+                    new = np.flatnonzero(np.concatenate(([True], (np.diff(doc) != 0) | (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+                    starts = pa.ListArray.from_arrays(pa.array(np.append(new, len(at)).astype(np.int32)), pa.array((at - tokens.first[doc]).astype(np.int32)))
+                    rows = pa.array(doc[new] + lo)
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array(np.full(len(new), n, np.int32)), pa.array(prints[new]), pa.array(a[new]), pa.array(b[new]), starts], schema=pa.schema(kinds))
+            release()
+
+    return texts.select("x", "y", "text").mapInArrow(run, "x long, y long, n int, print long, a long, b long, starts array<int>")
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", words: int = 13) -> DataFrame:
     """docs with n_words, hit_spans (word positions, end exclusive) and item_ids (sorted) for windows of so many words."""
     if words < GRAM:
         raise ValueError(f"windows need {GRAM} words or more")
-    spark: SparkSession = docs.sparkSession
-    bound_batches(spark)
-    names = [x.name for x in RESULT]
+    scratch, names = Scratch(docs.sparkSession), [x.name for x in RESULT]
     kept = keep_names(docs, names)
-    out = docs.select(*[F.col(f"`{c}`") for c in kept])
-    schema = T.StructType([out.schema[c] for c in kept] + list(RESULT))
-    arrow = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-
-    def step(sent, first: bool):
-        def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part in parts:
-                counts, spans, ids = _match(part.column(part.schema.get_field_index(text)), [sent.value] if sent else [])
-                if not first:
-                    spans = [_union(a, b) for a, b in zip(part.column("hit_spans").to_pylist(), spans)]
-                    ids = [sorted({*a, *b}) for a, b in zip(part.column("item_ids").to_pylist(), ids)]
-                columns = [part.column(i) for i in range(len(kept))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(spans, arrow), pa.array(ids, pa.list_(pa.string()))], [*kept, *names])
-
-        return run
-
-    first = True
-    for block in _blocks(benchmark, item_id, item_text, words):
-        out = out.mapInArrow(step(spark.sparkContext.broadcast(block), first), schema)
-        first = False
-    return out.mapInArrow(step(None, True), schema) if first else out
-
-
-def _union(a: list[dict], b: list[dict]) -> list[dict]:
-    out: list[dict] = []
-    for x in sorted([*a, *b], key=lambda x: (x["start"], x["end"])):
-        if out and x["start"] <= out[-1]["end"]:
-            out[-1]["end"] = max(out[-1]["end"], x["end"])
-        else:
-            out.append(dict(x))
-    return out
+    own = F.col(f"`{text}`")
+    keys = {"x": F.xxhash64(own), "y": F.xxhash64(F.lit(words), own)}
+    items = benchmark.select(F.coalesce(F.col(f"`{item_id}`").cast("string"), F.lit("")).alias("item"), F.col(f"`{item_text}`").alias("text")).where("text is not null")
+    windows = scratch.write(item_windows(items, words).distinct(), "items")
+    prints = windows.select("n", "print").distinct()
+    lengths = sorted(r["n"] for r in prints.select("n").distinct().collect())  # 1 to words
+    sent = scratch.write(candidates(docs.where(own.isNotNull()).select(keys["x"].alias("x"), keys["y"].alias("y"), own.alias("text")), lengths, words, _bitmap(prints)), "candidates")
+    joined = sent.join(prints, ["n", "print"], "left_semi").join(windows.select("item", "n", "a", "b"), ["n", "a", "b"])
+    hits = scratch.write(joined.select("x", "y", "n", "starts", "item").distinct(), "hits")
+    ids = hits.groupBy("x", "y").agg(F.array_sort(F.collect_set("item")).alias("item_ids"))
+    places = hits.select("x", "y", "n", F.explode("starts").alias("start")).groupBy("x", "y", "start").agg((F.col("start") + F.max("n")).alias("end"))
+    by_start = Window.partitionBy("x", "y").orderBy("start")
+    reach = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+    runs = places.withColumn("new", F.when(F.col("start") <= reach, 0).otherwise(1)).withColumn("run", F.sum("new").over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = runs.groupBy("x", "y", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    spans = spans.groupBy("x", "y").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("hit_spans"))
+    found = scratch.write(spans.join(ids, ["x", "y"]), "found")
+    if scratch.size("found") <= SMALL_BYTES:
+        found = F.broadcast(found)
+    scratch.drop("items", "candidates", "hits")
+    x, y = inner("x", kept), inner("y", kept)
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept], keys["x"].alias(x), keys["y"].alias(y))
+    out = rows.join(found.withColumnsRenamed({"x": x, "y": y}), [x, y], "left")
+    empty = {n.name: F.expr(f"cast(array() as {n.dataType.simpleString()})") for n in RESULT[1:]}
+    count = F.coalesce(F.regexp_count(own, F.lit(_WORD)), F.lit(0)).cast("long")
+    return out.select(*[F.col(f"`{c}`") for c in kept], count.alias("n_words"), *[F.coalesce(n, v).alias(n) for n, v in empty.items()])
 
 
 def _hit() -> F.Column:
