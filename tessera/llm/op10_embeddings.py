@@ -1,9 +1,11 @@
 """Embedding near-dup by a pivot-permutation index (Chavez, Figueroa, Navarro, TPAMI 2008).
 
-Each vector is described by its NEAREST nearest pivots.  Pivots are up to PIVOTS vectors out of SAMPLE to
-2 SAMPLE of least hash, taken in turn if no earlier pivot is within cosine APART, so that a dense group has one
-pivot and not many whose order among near vectors would be noise.  Two vectors are candidates if they share SHARED of them.  Lists of vectors by (label, pivot)
-are inverted on each vector's NEAREST - SHARED + 1 rarest pivots only: two vectors that share SHARED pivots
+Each vector is described by its NEAREST nearest pivots.  Pivots are vectors of a sample by least hash, taken in turn
+if no earlier pivot is within cosine APART, so that a dense group has one pivot and not many whose order among near
+vectors would be noise.  Their number grows with the root of the number of vectors, so that lists grow with the root
+too: PIVOTS at least, MOST_PIVOTS at most, and no more than SAMPLE_BYTES of vectors are drawn to choose them from.
+Two vectors are candidates if they share SHARED of them.  Lists of vectors by (label, pivot)
+are inverted on each vector's NEAREST - SHARED + 1 rarest pivots only (by the sample): two vectors that share SHARED pivots
 meet in one of these lists.  In a list shared pivots are counted and candidates verified in double
 precision (where there are fewer pivots than SHARED, all must be shared); a pair counts only in the first list in which it meets.
 
@@ -13,7 +15,8 @@ number of links and one edge to the root of its component in the list, never the
 
 Defined cases: vectors that are null, empty or zero or hold null or non-finite components, and all without a
 label, link with nothing; vectors of different lengths don't link; rows of one vec_id count as
-vectors each; a component is named by its least vec_id.
+vectors each; ids may be of any type that has an order; a vector without an id links and counts like others, but a
+component is named by its least vec_id, and has none only if no vector in it has one (all of these are kept).
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .scratch import Scratch, hash_sample
 
-PIVOTS, SAMPLE, APART, NEAREST, SHARED, CHUNK, COSINE, BUCKET_ROWS = 512, 2048, 0.9, 8, 4, 1024, 0.98, 8192
+PIVOTS, MOST_PIVOTS, SAMPLE_BYTES, APART, NEAREST, SHARED, CHUNK, COSINE, BUCKET_ROWS = 512, 8192, 64 << 20, 0.9, 8, 4, 1024, 0.98, 2048
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -38,12 +41,34 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _apart(sample: np.ndarray) -> np.ndarray:
-    chosen: list[int] = []
-    for i in range(len(sample)):
-        if len(chosen) < PIVOTS and (not chosen or (sample[chosen] @ sample[i]).max() < APART):
-            chosen.append(i)
-    return sample[chosen]
+def pivot_count(n: int, dim: int) -> int:
+    """Pivots for n vectors: about twice the root, within bounds; four to eight times as many are drawn to choose from."""
+    return max(1, min(max(PIVOTS, 2 * int(n**0.5)), MOST_PIVOTS, max(PIVOTS, SAMPLE_BYTES // (64 * dim))))
+
+
+def _apart(sample: np.ndarray, most: int) -> np.ndarray:
+    chosen = np.empty((min(most, len(sample)), sample.shape[1]))
+    n = 0
+    for x in sample:
+        if n < len(chosen) and (not n or (chosen[:n] @ x).max() < APART):
+            chosen[n] = x
+            n += 1
+    return chosen[:n]
+
+
+def _rarity(sample: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Place of each pivot in the order of how many vectors of the sample have it among their nearest."""
+    near = min(NEAREST, len(pivots))
+    seen = np.zeros(len(pivots), np.int64)
+    for a in range(0, len(sample), 1024):
+        seen += np.bincount(_nearest(sample[a : a + 1024], pivots, near).ravel(), minlength=len(pivots))
+    order = np.empty(len(pivots), np.int64)
+    order[np.argsort(seen, kind="stable")] = np.arange(len(pivots))
+    return order
+
+
+def _nearest(x: np.ndarray, pivots: np.ndarray, near: int) -> np.ndarray:
+    return np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, :near].astype(np.int32)
 
 
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -87,81 +112,81 @@ def near_duplicates(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     sound = F.col("label").isNotNull() & F.coalesce(F.forall("v", number) & F.exists("v", lambda x: x != 0), F.lit(False))
     valid = held.where(sound)
     classes = valid.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    classes = scratch.write(classes.withColumn("space", F.xxhash64("label", F.size("v"))).withColumn("dim", F.size("v")), "classes")
-    dims = [r["dim"] for r in classes.select("dim").distinct().collect()]
-    pivots = {d: _apart(_unit(np.array([r["v"] for r in hash_sample(classes.where(F.col("dim") == d).select("v"), SAMPLE).collect()], np.float64))) for d in dims}
+    classes = classes.withColumns({"space": F.xxhash64("label", F.size("v")), "dim": F.size("v"), "node": F.monotonically_increasing_id()})
+    classes = scratch.write(classes, "classes")  # numbers are fixed from here on
+    sizes = {r["dim"]: r["n"] for r in classes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
+    pivots = {}
+    for d, n in sizes.items():
+        most = pivot_count(n, d)
+        sample = _unit(np.array([r["v"] for r in hash_sample(classes.where(F.col("dim") == d).select("v"), 4 * most).collect()], np.float64))
+        own = _apart(sample, most)
+        pivots[d] = own, _rarity(sample, own)
     sent = spark.sparkContext.broadcast(pivots)
 
     def describe(parts):
         for part in parts:
-            dim, vectors = part.column(3).to_numpy(), part.column(4)
+            dim = part.column(3).to_numpy()
             for d in np.unique(dim).tolist():
-                at = np.flatnonzero(dim == d)
-                own = part.take(pa.array(at))
-                x = _unit(_matrix(own.column(4), d))
-                near = min(NEAREST, len(sent.value[d]))
-                perm = np.argsort(-(x @ sent.value[d].T), axis=1, kind="stable")[:, :near].astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [own.column(0), own.column(1), own.column(2), pa.array([v.tobytes() for v in x], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * near), pa.array(perm.ravel()))],
-                    ["space", "rep", "copies", "unit", "perm"],
-                )
-
-    source = classes.select("space", "rep", "copies", "dim", "v")
-    rep_type = classes.schema["rep"].dataType.simpleString()
-    described = scratch.write(source.mapInArrow(describe, f"space long, rep {rep_type}, copies long, unit binary, perm array<int>"), "described")
-    counts = {r["p"]: r["n"] for r in described.select(F.explode("perm").alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}  # PIVOTS rows
-    order = np.full(PIVOTS, 1 << 40, np.int64)
-    for rank, p in enumerate(sorted(counts, key=lambda p: (counts[p], p))):
-        order[p] = rank
-    ranks = F.array(*[F.lit(int(x)) for x in order])
-    rarest = F.slice(F.array_sort(F.transform("perm", lambda p: F.struct(F.element_at(ranks, p + 1).alias("rank"), p.alias("p")))), F.lit(1), F.size("perm") - F.least(F.lit(SHARED), F.size("perm")) + 1)
-    listed = described.withColumn("keep", F.transform(rarest, lambda x: x["p"])).withColumn("pivot", F.explode("keep"))
-    sizes = listed.groupBy("space", "pivot").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    sizes = scratch.write(sizes.withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int")), "sizes")
-    total = sizes.agg(F.sum(F.col("n") * F.col("chunks"))).first()[0] or 0
+                rows = np.flatnonzero(dim == d)
+                for a in range(0, len(rows), 1024):
+                    own = part.take(pa.array(rows[a : a + 1024]))
+                    x = _unit(_matrix(own.column(4), d))
+                    centres, order = sent.value[d]
+                    near = min(NEAREST, len(centres))
+                    perm = _nearest(x, centres, near)
+                    kept = near - min(SHARED, near) + 1
+                    keep = np.take_along_axis(perm, np.argsort(order[perm], axis=1)[:, :kept], axis=1)
+                    lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * y.shape[1]), pa.array(y.ravel())) for y in (perm, keep)]
+                    yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), own.column(2), own.column(3), pa.array([v.tobytes() for v in x], pa.binary()), *lists], ["space", "node", "copies", "dim", "unit", "perm", "keep"])
+
+    source = classes.select("space", "node", "copies", "dim", "v")
+    described = scratch.write(source.mapInArrow(describe, "space long, node long, copies long, dim int, unit binary, perm array<int>, keep array<int>"), "described")
+    listed = described.withColumn("pivot", F.explode("keep"))
+    lists = listed.groupBy("space", "pivot").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    lists = scratch.write(lists.withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int")), "sizes")
+    total = lists.agg(F.sum(F.col("n") * F.col("chunks"))).first()[0] or 0
     buckets = max(1, int(total) // BUCKET_ROWS)
-    dealt = listed.join(sizes.select("space", "pivot", "chunks"), ["space", "pivot"])
-    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = listed.join(lists.select("space", "pivot", "chunks"), ["space", "pivot"])
+    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     dealt = dealt.withColumns({"low": F.least("chunk", "other"), "high": F.greatest("chunk", "other")})
     dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("space", "pivot", "low", "high"), F.lit(buckets)).cast("int"))
-    dealt = dealt.select("bucket", "space", "pivot", "low", "high", "chunk", "rep", "copies", "unit", "perm", "keep")
+    dealt = dealt.select("bucket", "space", "pivot", "low", "high", "chunk", "node", "copies", "dim", "unit", "perm", "keep")
 
     def work(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks().sort_by([("space", "ascending"), ("pivot", "ascending"), ("low", "ascending"), ("high", "ascending"), ("rep", "ascending")])
+        table = table.combine_chunks().sort_by([("space", "ascending"), ("pivot", "ascending"), ("low", "ascending"), ("high", "ascending"), ("node", "ascending")])
         keys = np.stack([table[c].to_numpy() for c in ("space", "pivot", "low", "high")], axis=1)
         cuts = np.concatenate(([0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(keys)]))
-        reps, links, roots = [], [], []
+        nodes, links, roots = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             own = table.slice(a, b - a)
-            ids, chunk = own["rep"].to_numpy(), own["chunk"].to_numpy()
+            ids, chunk = own["node"].to_numpy(), own["chunk"].to_numpy()
             x = np.frombuffer(b"".join(own["unit"].to_pylist()), np.float64).reshape(b - a, -1)
-            perms = np.array(own["perm"].to_pylist(), np.int64)
-            keep = own["keep"].to_pylist()
-            held = np.array([[p in k for p in perm] for perm, k in zip(perms.tolist(), keep)], bool)
-            n, root = _verify(ids, own["copies"].to_numpy(), chunk, x, perms, held, int(keys[a, 1]), order, cosine)
+            perms, keep = (np.asarray(own[c].combine_chunks().flatten(), np.int64).reshape(b - a, -1) for c in ("perm", "keep"))
+            held = (perms[:, :, None] == keep[:, None, :]).any(axis=2)
+            n, root = _verify(ids, own["copies"].to_numpy(), chunk, x, perms, held, int(keys[a, 1]), sent.value[own["dim"][0].as_py()][1], cosine)
             some = np.flatnonzero(n)
-            reps.append(ids[some])
+            nodes.append(ids[some])
             links.append(n[some])
             roots.append(ids[root[some]])
-        join = lambda xs, like: np.concatenate(xs) if xs else np.zeros(0, like)
-        return pa.table({"rep": pa.array(join(reps, np.int64), table.schema.field("rep").type), "links": pa.array(join(links, np.int64)), "root": pa.array(join(roots, np.int64), table.schema.field("rep").type)})
+        return pa.table({"node": pa.array(np.concatenate(nodes)), "links": pa.array(np.concatenate(links)), "root": pa.array(np.concatenate(roots))})
 
-    found = scratch.write(dealt.groupBy("bucket").applyInArrow(work, f"rep {rep_type}, links long, root {rep_type}"), "found")
+    found = scratch.write(dealt.groupBy("bucket").applyInArrow(work, "node long, links long, root long"), "found")
     scratch.free()
-    linked = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), scratch)
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    known = classes.join(links, "rep", "left").join(linked.select(F.col("a").alias("rep"), F.col("b").alias("component")), "rep", "left")
-    known = known.select("label", "v", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    linked = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), scratch)
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    known = classes.join(links, "node", "left").join(linked.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    names = known.groupBy("root").agg(F.min("rep").alias("component_id"))
+    known = known.join(names, "root").select("label", "v", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
     out = valid.join(known, ["label", "v"]).select("vec_id", "n_links", "component_id")
     rest = held.where(~sound).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return out.unionByName(rest).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return out.unionByName(rest).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-#: DuckDB SQL of query(), whose index finds all links that there are.
+#: DuckDB SQL of query(), whose index finds all links that there are on the test tables.
 ORACLE = """
 with recursive v as (select vec_id, label, embedding::double[] v from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
 e as (select a.vec_id x, b.vec_id y from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.v) = len(b.v) where list_cosine_similarity(a.v, b.v) >= 0.98),
