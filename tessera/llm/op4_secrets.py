@@ -12,14 +12,17 @@ is used, so results don't depend on the input's size.  The patterns' spans stay;
 that overlap none of them (kind "field").
 
 Defined cases: a null or empty text has no spans; repeated rows are judged each; an input column named like
-the result is replaced, others are kept; positions are code points, end exclusive.
+the result is replaced, others are kept; positions are code points, end exclusive; the work on a token or a text
+is in proportion to its length, however long it is.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -268,19 +271,21 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out + [("hex", m.start(), m.end()) for m in HEX.finditer(text) if m.end() - m.start() >= 32]
 
 
-_LEAD, _TRAIL = re.compile(r"""^[\s"'(\[{<]+"""), re.compile(r"""[\s"')\]}>!#%$&*.,;:|]+$""")
+_BLANK = "".join(filter(str.isspace, map(chr, range(0x3001))))
+_LEAD, _TRAIL = _BLANK + "\"'([{<", _BLANK + "\"')]}>!#%$&*.,;:|"
 _NAMED = re.compile(r"""^["']?[A-Za-z_-]{3,40}["']?[:=]["']?""")
 
 
 def _trim(text: str, start: int, end: int) -> tuple[int, int]:
-    part = text[start:end]
-    if m := _TRAIL.search(part):
-        end -= len(m[0])
-        part = part[: m.start()]
-    for rule in (_LEAD, _NAMED, _LEAD):
-        if (m := rule.search(part)) and len(part) > len(m[0]):
-            start += len(m[0])
-            part = part[m.end() :]
+    """A token without quotes, brackets, marks and the name before its value; a part is never cut to nothing but at its end."""
+    part = text[start:end].rstrip(_TRAIL)
+    end = start + len(part)
+    lead = lambda x: len(x) - len(x.lstrip(_LEAD))
+    named = lambda x: m.end() if (m := _NAMED.match(x)) else 0
+    for rule in (lead, named, lead):
+        if (cut := rule(part)) < len(part):
+            start += cut
+            part = part[cut:]
     return start, end
 
 
@@ -316,12 +321,16 @@ def _scan(column: pa.Array, field: Field) -> list[list[dict]]:
             if text is None:
                 continue
             spans = base_spans(text) if d in marked else []
-            data = raw[offsets[d] : offsets[d + 1]]
-            for s, e in found.get(d, []):
-                start = len(data[:s].decode())
-                start, end = _trim(text, start, start + len(data[s:e].decode()))
-                if end - start >= MIN_SECRET and all(end <= x or start >= y for _, x, y in spans):
-                    spans.append(("field", start, end))
+            if d in found:
+                # code points before each byte, and how far the base spans reach that begin before a place
+                places = np.concatenate(([0], np.cumsum((buffer[offsets[d] : offsets[d + 1]] & 0xC0) != 0x80)))
+                begin = sorted(x for _, x, _ in spans)
+                reach = list(accumulate((y for _, _, y in sorted(spans, key=lambda x: x[1])), max))
+                for s, e in found[d]:
+                    start, end = _trim(text, int(places[s]), int(places[e]))
+                    before = bisect_left(begin, end)
+                    if end - start >= MIN_SECRET and (not before or reach[before - 1] <= start):
+                        spans.append(("field", start, end))
             spans.sort(key=lambda x: (x[1], KINDS.index(x[0])))
             results[d] = [{"kind": k, "start": s, "end": e} for k, s, e in spans]
         out += results
