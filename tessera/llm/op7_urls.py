@@ -6,12 +6,14 @@ towards its domain's.  The strength of each prior is fitted by moments from the
 that level.  A host is blocked when the lower bound of its posterior rate passes a threshold, so that a
 few bad pages of an unknown host do not block it.
 
-Only built-in functions.  Counts are summed before the shuffle; three rows of sums reach the driver; pages
+Only built-in functions.  Counts are summed before the shuffle and written once as a table of hosts; four rows of sums reach the driver; pages
 meet their host's verdict in a join that adaptive execution splits where one host has most pages.
 
 Defined cases: a null url, or one without "://", has empty host and path and belongs to host ''; labels of
-unknown pages count nowhere; several labels of a page count as bad if one is; a host without labels has
-its prior alone; without any label every host has the rate 1/2 and, its bound being low, is allowed.
+unknown pages count nowhere; several labels of a page count as bad if one is; rows of one page id are outcomes
+each, with the label of that id; a null page id has no label; a host without labels has its prior alone; without
+any label every host has the rate 1/2 and, its bound being low, is allowed; an input column named like a result
+is replaced, others are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import keep_names
+from .scratch import Scratch, inner, keep_names
 
 #: (verdict, host and path) of the rules; longest fit wins.
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
@@ -64,9 +66,11 @@ def reputation(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per host of pages (host), with labels (id, bad): host, domain, suffix, n, bad, mean, lower."""
     bad = labels.groupBy("id").agg(F.max(F.col("bad").cast("long")).alias("bad"))
     seen = pages.join(bad, "id", "left")
+    scratch = Scratch(pages.sparkSession)
     hosts = seen.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     parts = F.split("host", r"\.")
     hosts = hosts.withColumns({"suffix": F.element_at(parts, -1), "domain": F.when(F.size(parts) > 1, F.concat_ws(".", F.slice(parts, -2, 2))).otherwise(F.col("host"))})
+    hosts = scratch.write(hosts, "hosts")  # the three strengths, the total and the result all start from here
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     k_host, k_domain, k_suffix = _strength(hosts), _strength(domains), _strength(suffixes)
@@ -87,9 +91,10 @@ def judge(pages: DataFrame, labels: DataFrame, page_id: str = "page_id", url: st
     held = pages.select(*[F.col(f"`{c}`") for c in kept], host(u).alias("host"), path(u).alias("path"))
     known = reputation(held.select(F.col(f"`{page_id}`").alias("id"), "host"), labels).select("host", "lower")
     fit = rule(F.col("host"), F.col("path"), rules)
-    out = held.withColumn("fit", fit).join(known, "host", "left")
-    verdict = F.coalesce(F.col("fit.verdict"), F.when(F.col("lower") > threshold, "block").otherwise("allow"))
-    return out.select(*[F.col(f"`{c}`") for c in kept], "host", "path", F.col("fit.rule").alias("rule"), "lower", verdict.alias("verdict"))
+    mark = inner("fit", kept)
+    out = held.withColumn(mark, fit).join(known, "host", "left")
+    verdict = F.coalesce(F.col(f"{mark}.verdict"), F.when(F.col("lower") > threshold, "block").otherwise("allow"))
+    return out.select(*[F.col(f"`{c}`") for c in kept], "host", "path", F.col(f"{mark}.rule").alias("rule"), "lower", verdict.alias("verdict"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
