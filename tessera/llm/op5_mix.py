@@ -11,13 +11,14 @@ sorted in one task.  The cut may fall inside a block, so sources meet their targ
 
 Shards: the exact numbers of block draws are split among output shards by a binary tree whose nodes are
 multivariate hypergeometric draws; sources are first split by GROUPS of them, then inside each group,
-which has the same distribution and keeps both steps small.  A source's draws, in permuted order,
-go to shards in runs of these numbers, so the blocks of one pass are disjoint; inside a shard documents
-follow a hash (shuffle locally).
+which has the same distribution and keeps both steps small.  A source's draws, in an order that permutes the blocks
+of each pass, the last partial one included, go to shards in runs of these numbers, so the blocks of one pass are
+disjoint; inside a shard documents follow a hash (shuffle locally).  Shards and the cells a shard is written in are
+parameters, as many as the output needs.
 
 Defined cases: a null text has no words and is drawn like the others of its source; null is a source of its
 own, in the last place; without any word all targets are 0; rows of one id in one source are drawn alike; an
-input column named like a result is replaced, others are kept.
+input column named like a result is replaced, others are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,10 +32,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import Scratch, keep_names
+from .scratch import Scratch, inner, keep_names
 from .words import SPACED, batches, text_buffer, tokenize
 
-WEIGHTS, SHARE, CAP, SHARDS, BLOCK_WORDS, SEED, GROUPS = (5.0, 2.0, 1.0), 1.5, 2.0, 8, 1 << 16, 11, 512
+WEIGHTS, SHARE, CAP, SHARDS, BLOCK_WORDS, SEED, GROUPS, CELLS = (5.0, 2.0, 1.0), 1.5, 2.0, 8, 1 << 16, 11, 512, 64
 _BITS, _STEP = 36, 12
 
 
@@ -148,32 +149,37 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     held = docs.select(F.col(f"`{text}`").alias("__text"), F.col(f"`{source}`").cast("string").alias("__source"), key.alias("__key"), order.alias("__order"))
     sizes = scratch.write(with_sizes(held, "__text", "__size").drop("__text"), "sizes")
     plan = plan_sources(sizes, scratch, shards, seed)
-    rows = with_sizes(docs.select(*[F.col(f"`{c}`") for c in kept]), text, "size").withColumns({"__key": key, "__order": order})
-    joined = rows.join(plan, "__key")
-    count = F.col("passes") + F.when(F.col("__order") < F.col("cut"), 1).otherwise(0)
-    block = F.expr(f"shiftright(__order, {_BITS} - bits)")
-    place = lambda t: F.when(t < F.col("passes"), (block * 0x9E3779B1 + t * 0x85EBCA77) % F.expr("shiftleft(1L, bits)")).otherwise(block)
-    draw = lambda t: t * F.expr("shiftleft(1L, bits)") + place(t)
+    k, o = inner("key", kept), inner("order", kept)
+    mine = {c: inner(c, kept) for c in ("passes", "cut", "bits", "ends")}
+    rows = with_sizes(docs.select(*[F.col(f"`{c}`") for c in kept], key.alias(k), order.alias(o), F.col(f"`{text}`").alias(inner("text", kept))), inner("text", kept), "size").drop(inner("text", kept))
+    joined = rows.join(plan.withColumnsRenamed({**mine, "__key": k}), k)
+    passes, cut, ends = F.col(mine["passes"]), F.col(mine["cut"]), F.col(mine["ends"])
+    count = passes + F.when(F.col(o) < cut, 1).otherwise(0)
+    whole, block = F.expr(f"shiftleft(1L, `{mine['bits']}`)"), F.expr(f"shiftright(`{o}`, {_BITS} - `{mine['bits']}`)")
+    partial = F.greatest(F.lit(1), F.ceil(cut / F.expr(f"shiftleft(1L, {_BITS} - `{mine['bits']}`)")))  # blocks of the partial pass
+    place = lambda t: (block * 0x9E3779B1 + t * 0x85EBCA77) % F.when(t < passes, whole).otherwise(partial)  # noqa: E731  0x9E3779B1 is prime
+    draw = lambda t: t * whole + place(t)
     one = lambda t: F.struct(
         t.cast("int").alias("pass"),
-        F.size(F.filter("ends", lambda e: e <= draw(t))).cast("int").alias("shard"),
+        F.size(F.filter(ends, lambda e: e <= draw(t))).cast("int").alias("shard"),
         F.xxhash64(F.lit(seed + 1), F.col(f"`{doc_id}`"), t).alias("place"),
     )
     draws = F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), one)).otherwise(F.expr("cast(array() as array<struct<pass:int,shard:int,place:bigint>>)"))
     return joined.select(*[F.col(f"`{c}`") for c in kept], "size", "source_size", "target", draws.alias("draws"))
 
 
-def shards(mixed: DataFrame) -> DataFrame:
-    """One row per draw, with pass, shard and place; each task holds some 64ths of a shard, in the order of place."""
-    rows = mixed.withColumn("__d", F.explode("draws")).drop("draws")
+def shards(mixed: DataFrame, cells: int = CELLS) -> DataFrame:
+    """One row per draw, with pass, shard and place; each task holds some of a shard's cells, in the order of place."""
+    mark = inner("d", mixed.columns)
+    rows = mixed.withColumn(mark, F.explode("draws")).drop("draws")
     names = ["pass", "shard", "place"]
-    rows = rows.select(*[F.col(f"`{c}`") for c in keep_names(rows, [*names, "__d"])], *[F.col(f"__d.{n}").alias(n) for n in names])
-    return rows.repartition("shard", F.shiftright("place", 58)).sortWithinPartitions("shard", "place")
+    rows = rows.select(*[F.col(f"`{c}`") for c in keep_names(rows, [*names, mark])], *[F.col(f"{mark}.{n}").alias(n) for n in names])
+    return rows.repartition("shard", F.pmod("place", F.lit(cells))).sortWithinPartitions("shard", "place")
 
 
-def stage(docs: DataFrame) -> DataFrame:
+def stage(docs: DataFrame, outputs: int = SHARDS, cells: int = CELLS) -> DataFrame:
     """The mix itself: each draw of a document as a row, with its shard and its place there."""
-    return shards(mix(docs))
+    return shards(mix(docs, shards=outputs), cells)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
