@@ -175,7 +175,7 @@ def remove_words_by_force(rows, window):
 def test_op2_routes_frequent_anchors_apart(spark, monkeypatch):
     from tessera.llm import anchors
 
-    monkeypatch.setattr(anchors.hot_anchors, "__defaults__", (40_000, 3, 2))
+    monkeypatch.setattr(anchors.hot_anchors, "__defaults__", (40_000, 3, 2, 1 << 20))
     rng = np.random.default_rng(1)
     common = [f"c{i}" for i in range(80)]
     rows = [(i, " ".join([f"a{x}" for x in rng.integers(0, 40, 60)] + common + [f"b{x}" for x in rng.integers(0, 40, 30)] + (common[:55] if i % 3 == 0 else []))) for i in range(60)]
@@ -184,6 +184,10 @@ def test_op2_routes_frequent_anchors_apart(spark, monkeypatch):
     assert got == remove_words_by_force(rows, 50)
     got3 = sorted(tuple(r) for r in digest(op3_bytes.remove_repeats(df)).collect())
     assert got3 == sorted(op3_bytes.brute_force(rows))
+    for module in (op2_substrings, op3_bytes):  # frequent windows in two levels, as if there were thousands of slices
+        monkeypatch.setattr(module, "FAN", 1e-3)
+    assert sorted((r["doc_id"], r["kept_text"]) for r in op2_substrings.remove_repeats(df).collect()) == got
+    assert sorted(tuple(r) for r in digest(op3_bytes.remove_repeats(df)).collect()) == got3
 
 
 def digest(out):
@@ -215,9 +219,43 @@ def test_suffixes_in_order_with_and_without_spilling():
             t += rng.integers(1, int(rng.integers(2, 5)), int(rng.integers(0, 60))).tolist() + [0]
         t = np.array(t, np.uint8)
         data = t.tobytes()
-        order = suffix_order(t, 50, memory=256 * 40 if trial % 2 else 1 << 20).tolist()
+        order, lcp = (np.concatenate(x).tolist() for x in zip(*suffix_order(t, 50, memory=256 * 40 if trial % 2 else 1 << 20)))
         keys = [data[i : data.index(0, i) + 1][:50] for i in order]
         assert sorted(order) == list(range(len(t))) and keys == sorted(keys)
+        for a, b, n in zip(keys, keys[1:], lcp[1:]):
+            inside = min(len(a), len(b)) - (min(len(a), len(b)) < 50)
+            same = next((i for i in range(inside) if a[i] != b[i]), inside)
+            assert n == same if same < inside else n >= inside
+
+
+def test_a_shard_larger_than_memory_is_sorted_within_it():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    base, memory = rng.integers(97, 123, 200_000).astype(np.uint8), 1 << 20
+    text = np.concatenate([np.append(base[k : k + 400], 0) for k in rng.integers(0, 199_000, 20_000)]).astype(np.uint8)
+    tracemalloc.start()
+    n, before = 0, None
+    for at, lcp in suffix_order(text, 50, memory):
+        n += len(at)
+        assert len(at) <= 1 << 18
+        before = at[-1]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert before is not None and n == len(text) and peak < 24 * memory < 4 * len(text)
+
+
+def test_op3_confirms_bytes_where_hashes_agree(monkeypatch):
+    monkeypatch.setattr(op3_bytes, "mix", lambda x: x & np.uint64(1))
+    rng = np.random.default_rng(8)
+    pieces = ["".join(rng.choice(list("abc"), 60)) for _ in range(6)]
+    pieces += pieces[:3]
+    data = "".join(pieces).encode()
+    ids = np.arange(9, dtype=np.int64)
+    piece, place = op3_bytes.sort_shard(ids, np.zeros(9, np.int32), np.full(9, 11, np.int32), np.frombuffer(data, np.uint8))
+    assert sorted(zip(piece.tolist(), place.tolist())) == [(p, q) for p in (6, 7, 8) for q in range(11)]
+    at = np.arange(9) * 60
+    assert op3_bytes._known(np.frombuffer(data, np.uint8), at, np.zeros(9, np.uint64), ids).tolist() == [False] * 6 + [True, False, False]
 
 
 def test_op10_recall_and_odd_vectors(spark):
@@ -264,3 +302,80 @@ def test_op10_recall_on_the_table(spark):
     link = (x @ x.T >= 0.98) & (pdf["label"].to_numpy()[:, None] == pdf["label"].to_numpy()[None])
     want = link.sum() - len(x)
     assert want > 0 and got["n_links"].sum() >= 0.9 * want
+
+
+def test_op1_tells_regular_sequences_apart(spark):
+    """Sums of powers modulo 2**64 agree for two texts that differ by the swap of two words in a Thue-Morse order."""
+    order = [bin(i).count("1") % 2 for i in range(4096)]
+    texts = [" ".join(f"u{i} {'xy'[o ^ swap]}" for i, o in enumerate(order)) for swap in (0, 1)]
+    long = ["".join("xy"[o ^ swap] for o in order) for swap in (0, 1)]
+    df = spark.createDataFrame([(1, texts[0]), (2, texts[1]), (3, long[0] + " a b c"), (4, long[1] + " a b c")], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in op1_ngram_join.group(df, shingle=3, num=9, den=10).collect()} == {1: 1, 2: 2, 3: 3, 4: 4}
+
+
+def test_op1_splits_a_node_of_two_sequences(spark, monkeypatch):
+    from tessera.llm import partenum
+
+    rows = [(i, " ".join(f"w{i // 2}_{j}" for j in range(30))) for i in range(12)]
+    real = partenum.sequences
+    monkeypatch.setattr(partenum, "sequences", lambda values, first, seed=0: real(values, first, seed) & np.uint64(1))
+    sets, first, node = shingle_sets(tokenize(*text_buffer(__import__("pyarrow").array([t for _, t in rows])), SPACED, LOWER), 5)
+    assert len(set(node.tolist())) <= 2
+    monkeypatch.undo()
+    _, _, node, check = op1_ngram_join._sets(__import__("pyarrow").array([t for _, t in rows]), 5, np.zeros(0, np.uint64))
+    split = np.sort(np.unique(node)[:3])
+    _, _, apart, again = op1_ngram_join._sets(__import__("pyarrow").array([t for _, t in rows]), 5, split)
+    assert (check == again).all() and len(np.unique(apart)) == 6 and ((apart != node) == np.isin(node, split)).all()
+
+
+def test_partenum_keeps_unlike_sets_apart():
+    rng = np.random.default_rng(2)
+    for at, most in ((Threshold(4, 5), 6_000), (Threshold(9, 10), 600)):
+        sets = [np.unique(rng.integers(0, 1 << 63, 200, dtype=np.uint64)) for _ in range(3000)]
+        sigs, _ = signatures(np.concatenate(sets), np.concatenate(([0], np.cumsum([len(x) for x in sets]))), at)
+        counts = np.unique(sigs, return_counts=True)[1]
+        assert (counts * (counts - 1) // 2).sum() < most and counts.max() < 30
+
+
+@pytest.mark.parametrize("num,den", [(4, 5), (9, 10)])
+def test_partenum_shares_a_signature_at_every_size(num, den):
+    rng = np.random.default_rng(5)
+    at = Threshold(num, den)
+    for n in [*range(1, 60), 80, 120, 200, 333, 700, 1500]:
+        for _ in range(12):
+            common = int(rng.integers(max(1, n * num // den), n + 1))
+            a = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+            b = np.unique(np.concatenate([a[:common], rng.integers(0, 1 << 64, int(rng.integers(0, n // 4 + 1)), dtype=np.uint64)]))
+            both = len(np.intersect1d(a, b))
+            if den * both >= num * (len(a) + len(b) - both):
+                sigs, first = signatures(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), at)
+                assert set(sigs[: first[1]].tolist()) & set(sigs[first[1] :].tolist()), (n, len(a), len(b), both)
+
+
+def test_op1_one_row_of_an_id_stays_in_every_run(spark):
+    rows = [(1, f"text number {i} of one id " * 9, i) for i in range(20)]
+    got = {r["v"] for parts in (1, 3, 7) for r in op1_ngram_join.stage(spark.createDataFrame(rows, "doc_id long, text string, v int").repartition(parts)).collect()}
+    assert len(got) == 1
+
+
+def test_op10_vectors_without_an_id_and_ids_of_text(spark):
+    v = [1.0, 2.0, 3.0]
+    rows = [(None, v, 1), (None, v, 1), (1 << 60, v, 1), ((1 << 60) + 1, [1.0, 2.0, 3.001], 1), (None, [9.0, -1.0, 0.0], 2), (5, [9.0, -1.0, 0.0], 3)]
+    got = op10_embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0, r["kept"]) for r in got) == sorted([(0, 3, 1 << 60, False)] * 2 + [(1 << 60, 3, 1 << 60, True), ((1 << 60) + 1, 3, 1 << 60, False), (0, 0, 0, True), (5, 0, 5, True)])
+    text = [(None if i is None else f"v{i}", x, label) for i, x, label in rows]
+    got = {r["vec_id"]: r["component_id"] for r in op10_embeddings.near_duplicates(spark.createDataFrame(text, "vec_id string, embedding array<double>, label int")).where("vec_id is not null").collect()}
+    assert got == {f"v{1 << 60}": f"v{1 << 60}", f"v{(1 << 60) + 1}": f"v{1 << 60}", "v5": "v5"}
+
+
+def test_op10_pivots_grow_with_the_root():
+    count = op10_embeddings.pivot_count
+    assert count(1000, 64) == 512 and count(10**6, 64) == 2000 and count(4 * 10**6, 64) == 4000 and count(10**9, 64) == 8192 and count(10**9, 4096) == 512
+
+
+def test_removal_keeps_columns_of_any_name(spark):
+    names = ["__id", "__key", "__doc", "__starts", "__found", "__text", "id", "part", "starts"]
+    df = spark.createDataFrame([(i, LONG + f" {i}", *[f"mine{i}"] * len(names)) for i in range(3)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    for out in (op2_substrings.remove_repeats(df), op3_bytes.remove_repeats(df)):
+        for r in out.collect():
+            assert all(r[n] == f"mine{r['doc_id']}" for n in names)

@@ -51,14 +51,15 @@ def contaminated_by_force(docs, items):
     return out
 
 
-def test_op6_short_items_odd_rows_and_blocks(spark, monkeypatch):
+def test_op6_short_items_odd_rows_and_small_bitmaps(spark, monkeypatch):
     items = [(10, SENTENCE), (11, "Short item"), (12, "one"), (13, None), (14, "..."), (None, "no id here"), (11, "another of eleven"), (2, " ".join(f"b{i}" for i in range(40)))]
     docs = [(1, None), (2, ""), (3, "x " * 30 + SENTENCE.upper() + " y" * 200), (4, "A short, item! and one more"), (5, SENTENCE[:60]), (6, "no id here"), (7, " ".join(f"b{i}" for i in range(5, 19)) + " z" * 5), (8, "é" * 100000 + " one")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     df = frame(spark, docs, [("n_words", "clash")])
     want = contaminated_by_force(docs, items)
-    for size in (1 << 20, 20):
-        monkeypatch.setattr(op6_decontaminate, "BLOCK_BYTES", size)
+    for bits, small in ((27, 1 << 25), (6, 0)):  # a bitmap that lets most pass, and a join without broadcast
+        monkeypatch.setattr(op6_decontaminate, "MOST_BITS", bits)
+        monkeypatch.setattr(op6_decontaminate, "SMALL_BYTES", small)
         got = {r["doc_id"]: (r["n_words"], sum(s["end"] - s["start"] for s in r["hit_spans"]), list(r["item_ids"])) for r in op6_decontaminate.find_contamination(df, bench).collect()}
         assert got == want
     kept = {r["doc_id"] for r in op6_decontaminate.stage(df, bench).collect()}
@@ -102,6 +103,14 @@ def test_op7_rules_and_odd_urls(spark):
     assert op7_urls.judge(df.limit(0), labels).count() == 0 and op7_urls.judge(df, labels.limit(0)).count() == len(urls)
 
 
+def test_op7_repeated_and_null_pages_and_clashing_names(spark):
+    rows = [(1, "http://a.x.org/1", "mine"), (1, "http://a.x.org/1", "mine"), (None, "http://b.x.org/", "mine"), (3, None, "mine")]
+    df = spark.createDataFrame(rows, "page_id long, url string, fit string").withColumns({"__fit": F.lit("mine"), "id": F.lit("mine"), "bad": F.lit("mine")})
+    out = op7_urls.judge(df, spark.createDataFrame([(1, False), (None, True), (99, True)], "id long, bad boolean")).collect()
+    assert sorted((r["page_id"] or 0, r["host"], r["verdict"]) for r in out) == [(0, "b.x.org", "allow"), (1, "a.x.org", "allow"), (1, "a.x.org", "allow"), (3, "", "allow")]
+    assert all(r[n] == "mine" for r in out for n in ("fit", "__fit", "id", "bad"))
+
+
 def test_op7_blocks_bad_hosts_only_with_evidence(spark):
     pages = [(i, f"http://bad.x.org/{i}") for i in range(60)] + [(100 + i, f"http://good{i % 7}.y.org/") for i in range(200)] + [(500, "http://new.x.org/")]
     labels = [(i, True) for i in range(60)] + [(100 + i, i % 20 == 0) for i in range(200)] + [(500, True)]
@@ -206,12 +215,29 @@ def test_op5_targets_and_takes(spark):
         taken[r["source"]] += r["size"] * r["k"]
     for s in size:
         assert abs(taken[s] - want[s]) <= max(0.01 * want[s], 1500), s
-    assert sorted(got) == sorted(op5_mix.mix(df.repartition(7)).select("doc_id", "source", "size", "source_size", "target", F.size("draws").alias("k")).collect()) if False else True
     again = op5_mix.mix(df.repartition(7)).select("doc_id", F.to_json("draws").alias("d"))
     assert Counter(map(tuple, mixed.select("doc_id", F.to_json("draws").alias("d")).collect())) == Counter(map(tuple, again.collect()))
     assert op5_mix.mix(df.limit(0)).count() == 0
 
 
+def test_op5_permutes_the_blocks_of_a_partial_pass(spark, monkeypatch):
+    monkeypatch.setattr(op5_mix, "BLOCK_WORDS", 50)
+    rows = [(i, "a b c", "a" if i < 8000 else "b" if i < 8010 else "c") for i in range(12010)]
+    mixed = op5_mix.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    order = F.shiftrightunsigned(F.xxhash64(F.lit(op5_mix.SEED), F.col("doc_id")), 64 - op5_mix._BITS)
+    small = [r for r in mixed.select("source", order.alias("o"), "target", "source_size", "draws").collect() if r["target"] < r["source_size"] and r["draws"]]
+    assert small
+    shards = [r["draws"][0]["shard"] for r in sorted(small, key=lambda r: r["o"])]
+    assert sum(a != b for a, b in zip(shards, shards[1:])) > 2 * op5_mix.SHARDS  # not a run of neighbours for each shard
+
+
+def test_op5_keeps_columns_of_any_name(spark):
+    names = ["__key", "__order", "__text", "passes", "cut", "bits", "ends"]
+    df = spark.createDataFrame([(i, "a b", "s", *[f"mine{i}"] * len(names)) for i in range(9)], "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    for r in op5_mix.mix(df).collect() + op5_mix.stage(df, outputs=3, cells=2).collect():
+        assert all(r[n] == f"mine{r['doc_id']}" for n in names)
+
+
 def test_op5_blocks_of_a_pass_are_disjoint(spark, monkeypatch):
     monkeypatch.setattr(op5_mix, "BLOCK_WORDS", 50)
     rows = [(i, "a b c", "x" if i % 3 else "y") for i in range(900)]
@@ -252,6 +278,118 @@ def test_op8_evidence_tips_the_scale(spark):
     assert got[0] == "fr" and got[1] == "de" and got[1001] == "fr"
 
 
+def fused_by_force(rows):
+    """language, posterior and text language of rows (text, declared, host), from the definition."""
+    kinds = [*op8_language.LANGUAGES, "und"]
+    fold = op8_language._FOLD
+    codes = []
+    for text, _, _ in rows:
+        x = fold[np.frombuffer((text or "").encode(), np.uint8)].tolist()
+        codes.append([(a * 64 + b) * 64 + c for a, b, c in zip(x, x[1:], x[2:]) if (a > 0) + (b > 0) + (c > 0) >= 2])
+    tag = lambda v: (re.match(r"\s*([A-Za-z]+)", v or "") or [None, ""])[1].lower()
+    declared = [tag(d) if tag(d) in op8_language.LANGUAGES else "other" if tag(d) else "none" for _, d, _ in rows]
+    table = np.full((64**3, 5), 0.05)
+    for k, own in {(d, t): c for (t, _, _), d, c in zip(rows, declared, codes) if t is not None and d in kinds[:4]}.items():
+        for c in own:
+            table[c, kinds.index(k[0])] += round(min(1.0, 1000.0 / len(own)) * 2**20) / 2**20
+    table = np.log(table / table.sum(axis=0)).astype(np.float32).astype(float)
+    ll = [table[c].sum(axis=0) if c else np.zeros(5) for c in codes]
+    best = ["und" if not c else kinds[int(np.argmax(v))] for c, v in zip(codes, ll)]
+    hosts = [h or "" for _, _, h in rows]
+    domain = lambda h: ".".join(h.split(".")[-2:])
+    suffix = lambda h: h.split(".")[-1] if "." in h else ""
+    count = lambda pick: np.array([sum(1 for i, b in enumerate(best) if b == k and pick(i)) for k in kinds], float)
+    smooth = lambda n, prior: (n + 20.0 * prior) / (n.sum() + 20.0)
+    overall = smooth(count(lambda i: True), np.array([(1 - 0.001) / 4] * 4 + [0.001]))
+    out = []
+    for i in range(len(rows)):
+        own = smooth(count(lambda j: hosts[j] == hosts[i]), smooth(count(lambda j: domain(hosts[j]) == domain(hosts[i])), overall))
+        fact = ll[i] + np.log(own)
+        for values in (declared, [suffix(h) for h in hosts]):
+            n, same = len(values), count(lambda j: values[j] == values[i])
+            fact = fact + np.log((same + 20.0 * (same.sum() + 1.0) / (n + len(set(values)) + 1)) / (count(lambda j: True) + 20.0))
+        mass = np.exp(fact - fact.max()).sum()
+        out.append(("und" if not codes[i] else kinds[int(np.argmax(fact))], 1 / mass, best[i]))
+    return out
+
+
+@pytest.mark.parametrize("hot", [1 / 1024, 0.2, 2.0])
+def test_op8_equals_the_definition(spark, monkeypatch, hot):
+    monkeypatch.setattr(op8_language, "HOT_SHARE", hot)
+    rows = duckdb.sql(f"select doc_id, text, lang, source from '{FOLDER}/documents.parquet' order by doc_id").fetchall()
+    rows = [(i, t, d, [s, f"{s}.example.de", f"a.{s}.fr", None][i % 4]) for i, t, d, s in rows]
+    rows += [(9000, None, "de-AT", "a.example.de"), (9001, "", None, ""), (9002, "zz qq", "xx", None), (9003, "der die das", " EN_us", "new.host.es"), (9004, "123", "", "new.host.es")]
+    names = ["__d", "__h", "__n", "__ll", "__f", "hot_h", "rows"]
+    df = spark.createDataFrame([(*r, *["mine"] * len(names)) for r in rows], "doc_id long, text string, lang string, host string, " + ", ".join(f"{n} string" for n in names))
+    got = {r["doc_id"]: r for r in op8_language.identify(df.repartition(5), declared="lang", host="host").collect()}
+    assert len(got) == len(rows)
+    for (i, *_), (language, posterior, own) in zip(rows, fused_by_force([r[1:] for r in rows])):
+        assert (got[i]["language"], got[i]["text_language"]) == (language, own) and got[i]["posterior"] == pytest.approx(posterior, rel=1e-6), i
+        assert got[i]["kept"] == (language != "und" and posterior >= 0.5) and all(got[i][n] == "mine" for n in names)
+
+
+def test_op8_pages_equal_the_definition(spark):
+    rows = duckdb.sql(f"select page_id, html, url from '{FOLDER}/pages.parquet' order by page_id").fetchall()
+    held = []
+    for _, html, url in rows:
+        text = re.sub(r"(?s)<[^>]*>", " ", re.sub(r"(?is)<(script|style)\b.*?</\1>", " ", html or ""))
+        tag = re.search(r"(?i)<html[^>]*\blang=[\"']?([A-Za-z-]+)", html or "")
+        host = re.search(r"://([^/?#]*)", url or "")
+        held.append((text, tag[1] if tag else "", host[1].lower() if host else ""))
+    got = {r["page_id"]: r for r in op8_language.pages_query(spark, FOLDER).collect()}
+    assert len(got) == len(rows)
+    for (i, *_), (language, posterior, own) in zip(rows, fused_by_force(held)):
+        assert (got[i]["language"], got[i]["text_language"]) == (language, own) and got[i]["posterior"] == pytest.approx(posterior, abs=2e-6)
+
+
+def lattice_table():
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=op9_lm.VOCABULARY)
+    n = model.get_piece_size()
+    weight = 1.0 / (np.arange(n) + 1 + op9_lm.SHIFT)
+    weight /= weight.sum()
+    table = {model.id_to_piece(i).encode(): weight[i] for i in range(n) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))}
+    return table, {int(model.id_to_piece(i)[3:5], 16): weight[i] for i in range(n) if model.is_byte(i)}, weight[model.eos_id()]
+
+
+def log_marginal(data, table, single):
+    reach, sums, log = max(map(len, table)), [1.0], 0.0
+    for b in range(1, len(data) + 1):
+        total = sums[-1] * single[data[b - 1]] + sum(sums[-k] * table.get(data[b - k : b], 0.0) for k in range(1, min(b, reach, len(sums)) + 1))
+        sums.append(total)
+        if total < 1e-20:
+            log += math.log(total)
+            sums = [x / total for x in sums[-reach:]]
+    return math.log(sums[-1]) + log
+
+
+def test_op9_whole_scores_by_force(spark):
+    table, single, end = lattice_table()
+    fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    rows = duckdb.sql(f"select doc_id, text from '{FOLDER}/documents.parquet' where length(text) < 1500 order by doc_id").fetchall()[:60]
+    rows += [(7001, None), (7002, ""), (7003, "Administration " + "ab" * 400), (7004, "这是一个没有空格的句子" * 60), (None, "no id"), (7005, "x" * 97 + " " + "y" * 96)]
+    got = {r["doc_id"]: r["score"] for r in op9_lm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    for i, t in rows:
+        words = re.findall("[^\x20\x09-\x0d]+", (t or "").translate(fold))
+        want = math.log(end) + sum(log_marginal(("▁" + w).encode(), table, single) for w in words)
+        assert got[i] == pytest.approx(want / math.log(10), rel=1e-9), i
+
+
+def test_long_words_take_time_in_proportion():
+    import time
+
+    from tessera.llm.words import LOWER
+
+    began = time.time()
+    word = "".join(map(chr, np.random.default_rng(0).integers(97, 123, 1 << 20)))
+    t = tokenize(*text_buffer(pa.array([word])), SPACED, LOWER)
+    assert op9_lm.pieces().marginals(t, t.hash, np.array([0]))[0] < 0
+    field = op4_secrets.trained()
+    op4_secrets._scan(pa.array(["!" * (1 << 20) + "AbCd1234EfGh5678", "(" * (1 << 20), "token = 'abcdefgh1' " * 20000]), field)
+    assert time.time() - began < 60
+
+
 def test_op9_base_and_lattice_by_force(spark):
     rows = duckdb.sql(f"select doc_id, text from '{FOLDER}/documents.parquet'").fetchall() + [(5001, None), (5002, ""), (5003, "Neverseenword " * 3)]
     fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -353,5 +491,5 @@ def test_pipeline_runs_on_nothing_and_on_odd_rows(spark, tmp_path):
         folder = tmp_path / name
         frame(spark, rows).write.parquet(str(folder / "documents.parquet"))
         spark.createDataFrame([(1, SENTENCE)], "item_id long, text string").write.parquet(str(folder / "benchmark.parquet"))
-        out = corpus_pipeline.run(spark, str(folder))
-        assert out.count() == 0 if name == "none" else out.count() >= 0
+        ids = {r["doc_id"] for r in corpus_pipeline.run(spark, str(folder)).collect()}
+        assert ids <= (set() if name == "none" else {None, 3})
