@@ -57,6 +57,7 @@ class Scratch:
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}-{len(self.paths)}"
+        self.free()
         df.write.mode("overwrite").parquet(path)
         self.paths[name] = path
         schema = df.schema
