@@ -5,9 +5,10 @@ where a second hash shows that one node stands for two sequences, these get node
 Each slice of documents signs its classes (partenum.py).  Signatures are dealt by hash to parts; what two classes
 of one slice share is settled there, so a signature of very many documents reaches its part once a slice.
 
-Candidates are verified in two rounds, because the pairs of a large group of near copies are too many to list:
-first each member of a signature against the least one; classes that this links are joined.  Then,
-in signatures whose members are still in several components, all pairs across components.  Such pairs are
+Candidates are verified in rounds, because the pairs of a large group of near copies are too many to list:
+first each member of a signature against the least one; classes that this links are joined.  Then, STARS - 1 times, in
+signatures whose members are still in several components, those that are not in its component against one drawn by hash,
+and last, in signatures that have several still, all pairs across components.  Such pairs are
 compared first by parity sketches: bit j says whether the set has an odd number of features that hash to j, so
 the number of differing bits never exceeds the number of differing features, and no linked pair
 is lost.  Only pairs that pass are listed, and are verified on the sets themselves.  Signatures with more than
@@ -35,7 +36,7 @@ from .partenum import Threshold, shingle_sets, signatures
 from .scratch import Scratch, inner
 from .words import LOWER, SPACED, batches, mix, release, sequences, text_buffer, tokenize
 
-SLICE, PART_BYTES, CHUNK, MEMBERS = 2 << 20, 8 << 20, 1024, 256
+SLICE, PART_BYTES, CHUNK, MEMBERS, STARS = 2 << 20, 8 << 20, 1024, 256, 4
 #: Of n sequences about n * n / 2**65 pairs share a 64-bit hash, 3 of 10**10 and 270,000 of 3 * 10**12; more than this are not looked for.
 MOST_SPLIT = 1 << 20
 
@@ -269,18 +270,25 @@ def group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
     per_feature = 12 * 3 * 2.4 * (den - num) / (den + num)
     parts = max(16, int(total * per_feature / PART_BYTES) + 1)
     members = scratch.write(shared_signatures(keyed, shingle, at, parts, split).distinct(), "members")
-    pivots = members.groupBy("sig").agg(F.min("node").alias("a"))
-    stars = members.join(pivots, "sig").where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    first = scratch.write(_pass_sketch(stars, nodes, at), "first")
-    links = _verify(first, nodes, keyed, shingle, at, split, scratch, "1")
-    joined = components(links, scratch)
-    roots = members.join(joined.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    roots = scratch.write(roots, "roots")
+    with_root = lambda joined: members.join(joined.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    roots = members.withColumn("root", F.col("node"))
+    for turn in range(STARS):
+        order = F.xxhash64("node", F.lit(turn)) if turn else F.col("node")
+        pivots = roots.groupBy("sig").agg(F.min_by(F.struct("node", "root"), order).alias("p"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
+        stars = roots.join(pivots, "sig").where("root <> p.root").select(F.col("p.node").alias("a"), F.col("node").alias("b")).distinct()
+        passed = scratch.write(_pass_sketch(stars, nodes, at), f"star{turn}")
+        if not turn:
+            first = passed
+        elif not passed.limit(1).count():
+            break
+        links = _verify(passed, nodes, keyed, shingle, at, split, scratch, f"{turn}")
+        joined = components(joined.unionByName(links) if turn else links, scratch)
+        roots = scratch.write(with_root(joined), f"roots{turn}")
     second = _across(roots, nodes, at, scratch).join(first, ["a", "b"], "left_anti")
     second = scratch.write(second, "second")
-    scratch.drop("members", "roots")
+    scratch.drop("members", *(f"roots{turn}" for turn in range(STARS)))
     if second.limit(1).count():
-        more = _verify(second, nodes, keyed, shingle, at, split, scratch, "2")
+        more = _verify(second, nodes, keyed, shingle, at, split, scratch, "last")
         joined = components(joined.unionByName(more), scratch)
     named = nodes.join(joined.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -3,8 +3,8 @@
 Text: log-likelihood of the letter trigrams (bytes folded to 6 bits) under one table per language, plus "und",
 the uniform table, for texts that are no language.  Tables are fitted on a bounded sample of labelled rows:
 SAMPLE to 2 SAMPLE distinct texts of least hash among those whose declared language is one of LANGUAGES.  A text counts in a
-table as TEXT_WEIGHT trigrams at most, so that no long text with a wrong label rules it.  Executors count the trigrams; the
-driver gets one table of counts.  That is the only bound; the rest is counted over all rows.
+table as TEXT_WEIGHT trigrams at most, so that no long text with a wrong label rules it.  One task counts the trigrams of
+these texts, batch by batch, and the driver gets its table of counts.  That is the only bound; the rest is counted over all rows.
 
 Evidence: each row is first given its text's language; grouped sums of these give the likelihood of every
 declared value and of every address suffix under each language, and the priors of hosts, smoothed to
@@ -65,17 +65,13 @@ def trigrams(buffer: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return codes[at], np.searchsorted(offsets, at, "right") - 1
 
 
-def weights(texts: pa.Array, languages: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Cells (trigram times languages, plus language) with a count, and their weighted counts in units of 1 / _UNIT, so that sums are exact."""
+def weigh(table: np.ndarray, texts: pa.Array, languages: pa.Array) -> None:
+    """Add the weighted trigrams of some texts to a table by trigram and language, in units of 1 / _UNIT, so that sums are exact."""
     which = np.array([LANGUAGES.index(x) for x in languages.to_pylist()], np.int64)
-    cells, sums = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for a, b in batches(texts):
         codes, doc = trigrams(*text_buffer(texts.slice(a, b - a)))
         weight = np.minimum(1.0, TEXT_WEIGHT / np.maximum(1, np.bincount(doc, minlength=b - a)))
-        cell, at = np.unique(codes.astype(np.int64) * len(LANGUAGES) + which[a:b][doc], return_inverse=True)
-        cells.append(cell)
-        sums.append(np.bincount(at, np.round(weight * _UNIT)[doc], len(cell)).astype(np.int64))
-    return np.concatenate(cells), np.concatenate(sums)
+        np.add.at(table, (codes, which[a:b][doc]), np.round(weight * _UNIT).astype(np.int64)[doc])
 
 
 def fit(cells: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -108,11 +104,13 @@ def _fitted(rows: DataFrame) -> np.ndarray:
     drawn = own.join(F.broadcast(least), "key", "left_semi").dropDuplicates(["key"])  # 2 SAMPLE numbers at most
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros((_CODES**3, len(LANGUAGES)), np.int64)
         for part in parts:
-            cells, sums = weights(part.column(0), part.column(1))
-            yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(sums)], ["cell", "n"])
+            weigh(table, part.column(0), part.column(1))
+        cells = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(table.ravel()[cells])], ["cell", "n"])
 
-    counts = drawn.select("text", "declared").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # _CODES**3 cells a language at most
+    counts = drawn.select("text", "declared").coalesce(1).mapInArrow(run, "cell long, n long").toPandas()  # one task reads 2 SAMPLE texts, one at a time, and sends _CODES**3 cells a language at most
     return fit(counts["cell"].to_numpy(np.int64), counts["n"].to_numpy(np.int64))
 
 
