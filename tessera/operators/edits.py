@@ -34,8 +34,9 @@ def effective(members: DataFrame, resolved: DataFrame) -> DataFrame:
 
 def batch_errors(batch: DataFrame, known: DataFrame, most: int = 100) -> DataFrame:
     """(oid, gid, error) of a batch's bad rows: too many rows, a pair twice, an unknown item, a score out of 0 to 1."""
-    n, twice = F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))), F.count(F.lit(1)).over(Window.partitionBy("oid", "gid"))
-    x = batch.join(known.select("oid").distinct().withColumn("__k", F.lit(True)), "oid", "left").withColumns({"__n": n, "__t": twice})
+    size = F.broadcast(batch.agg(F.count(F.lit(1)).alias("__n")))  # one row
+    x = batch.join(known.select("oid").distinct().withColumn("__k", F.lit(True)), "oid", "left").join(size)
+    x = x.withColumn("__t", F.count(F.lit(1)).over(Window.partitionBy("oid", "gid")))
     error = F.when(F.col("__n") > most, "too many").when(F.col("__t") > 1, "duplicate").when(F.col("__k").isNull(), "unknown").when(~F.coalesce(F.col("score").between(0, 1), F.lit(False)), "score")
     return x.select("oid", "gid", error.alias("error")).where("error is not null")
 

@@ -89,7 +89,7 @@ def facet_counts(df: DataFrame, filters: dict[str, Column], facets: dict[str, st
 def union_pages(rows: DataFrame, item: str, section: str) -> DataFrame:
     """Each item once, in the section of least number, with the later ones as also."""
     groups = rows.select(item, section).distinct().groupBy(item).agg(F.array_sort(F.collect_list(section)).alias("s"))
-    return groups.select(item, F.col("s")[0].alias("section"), F.slice("s", 2, 1 << 20).alias("also"))
+    return groups.select(item, F.col("s")[0].alias("section"), F.expr("slice(s, 2, size(s))").alias("also"))
 
 
 def collisions(df: DataFrame, name: str, ident: str) -> DataFrame:

@@ -47,14 +47,14 @@ def nearest_leaf(read):
 
 @query("highlight", "select p_partkey, '[' || replace(p_name, ' ', '] [') || ']' as shown from part where p_name = 'red ring'")
 def highlight(read):
-    shown = P.per_value(lambda v: P.snippet(v, "red rings"))("p_name")
-    return read("part").select("p_partkey", shown.alias("shown")).where("shown is not null")
+    shown = P.mark_passages(read("part").select("p_partkey", "p_name"), "p_name", "red rings", "shown")
+    return shown.where("shown is not null").select("p_partkey", "shown")
 
 
 @query("passages")
 def passages(read):
     """Lines of documents that hold two words in order, with the shortest such stretch marked."""
-    return lines(read).select("doc_id", "line_no", P.per_value(lambda v: P.snippet(v, "the of"))("line").alias("shown")).where("shown is not null")
+    return P.mark_passages(lines(read).select("doc_id", "line_no", "line"), "line", "the of", "shown").where("shown is not null").select("doc_id", "line_no", "shown")
 
 
 @query("spans", "select p_partkey, '{' || p_size || '}' as cost, 'When ' || p_name || ' enters' as condition, 'draw a ' || lower(p_type) || ' card.' as effect, 'Activate only once.' as restriction from part")

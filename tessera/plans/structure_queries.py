@@ -183,10 +183,10 @@ def keyword_layer(read):
     return read("part").withColumn("n", n).join(rare, "p_partkey").select("p_partkey", F.when(F.col("n") >= 30, F.col("p_name")).otherwise(F.concat(F.lit("other: "), "rare")).alias("leaf"))
 
 
-@query("keyword_facet", "select w as keyword, count(*) n, list_sort(list(p_partkey))[1:3] first from (select p_partkey, unnest(string_split(p_name, ' ')) w from part) group by 1")
+@query("keyword_facet", "select w as keyword, count(*) n, list_sort(list(p_partkey)) parts from (select p_partkey, unnest(string_split(p_name, ' ')) w from part) group by 1")
 def keyword_facet(read):
     k = read("part").select("p_partkey", F.explode(F.split("p_name", " ")).alias("keyword"))
-    return k.groupBy("keyword").agg(count(), F.slice(F.array_sort(F.collect_list("p_partkey")), 1, 3).alias("first"))
+    return k.groupBy("keyword").agg(count(), F.array_sort(F.collect_list("p_partkey")).alias("parts"))
 
 
 @query("type_groups", "select p_type, p_brand, count(*) n from part group by 1, 2 having count(*) >= 5")
@@ -351,11 +351,11 @@ def leaf_map(read):
     return label_share(read("embeddings"))
 
 
-@query("ability_promotion", f"with {CENTROIDS}, b as (select vec_id, arg_max(leaf, (s, leaf)) leaf, max(s) s from s group by 1), t as (select leaf, count(*) n from b group by 1) select vec_id, leaf from b join t using (leaf) where round(s, 6) >= 0.6 and n <= 300 and vec_id % 3 <> 0")
+@query("ability_promotion", f"with {CENTROIDS}, b as (select vec_id, arg_max(leaf, (s, leaf)) leaf, max(s) s from s group by 1), t as (select leaf, count(*) n from b group by 1) select vec_id, leaf from b join t using (leaf) where round(s, 6) >= 0.6 and n <= 300")
 def ability_promotion(read):
     b = nearest(read)
     n = b.groupBy("leaf").agg(count())
-    return b.join(n, "leaf").where("s >= 0.6 and n <= 300 and vec_id % 3 <> 0").select("vec_id", "leaf")
+    return b.join(n, "leaf").where("round(s, 6) >= 0.6 and n <= 300").select("vec_id", "leaf")
 
 
 @query("also_fits", f"with {CENTROIDS} select vec_id, leaf from (select vec_id, leaf, row_number() over (partition by vec_id order by s desc, leaf desc) p, s from s) where p = 2 and s >= 0.2")

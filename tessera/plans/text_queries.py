@@ -156,11 +156,11 @@ def hand_rule_keyword(read):
     return read("part").select("p_partkey", F.explode(F.split("p_name", " ")).alias("keyword")).join(wanted, "keyword").select("p_partkey", "keyword")
 
 
-@query("condition_drop_detect", r"with c as (select doc_id, lower(coalesce(text, '')) t, len(regexp_extract_all(lower(regexp_replace(coalesce(text, ''), '\([^()]*\)', ' ', 'g')), '\bif\b')) need, len(coalesce(source, '')) % 3 evidence from documents) select doc_id, cast(need as bigint) need, case when need > 0 and evidence = 0 then 'A' when evidence > 0 and evidence < need then 'B' end tier from c")
+@query("condition_drop_detect", r"with c as (select doc_id, lower(coalesce(text, '')) t, len(regexp_extract_all(lower(regexp_replace(coalesce(text, ''), '\([^()]*\)', ' ', 'g')), '\bif\b')) + len(regexp_extract_all(regexp_replace(lower(regexp_replace(coalesce(text, ''), '\([^()]*\)', ' ', 'g')), '\bif you do\b', ' ', 'g'), '\bflip')) need, len(coalesce(source, '')) % 3 evidence from documents) select doc_id, cast(need as bigint) need, case when need > 0 and evidence = 0 then 'A' when evidence > 0 and evidence < need then 'B' end tier from c")
 def condition_drop_detect(read):
     docs = read("documents").withColumn("t", F.coalesce("text", F.lit("")))
     counts = docs.select("doc_id", (F.length(F.coalesce("source", F.lit(""))) % 3).alias("evidence"), *rules.condition_counts(F.col("t")))
-    need = F.col("do") + F.col("flip") * 0 + F.col("restrict") + F.col("general")
+    need = F.col("do") + F.col("flip") + F.col("restrict") + F.col("general")
     return counts.select("doc_id", need.alias("need"), rules.drop_tier(need, F.col("evidence"), F.lit(False)).alias("tier"))
 
 
@@ -175,7 +175,7 @@ def hash_partition_sink(read):
     return read("customer").groupBy(codes.shard(F.col("c_custkey").cast("string")).alias("shard")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("checksum_fnv1a", "select c_mktsegment, list_reduce(list_prepend(2166136261::hugeint, list_transform(string_split(string_agg(c_name, chr(10) order by c_name), ''), lambda c: ascii(c)::hugeint)), lambda h, c: (xor(h, c) * 16777619) % 4294967296)::bigint checksum from customer where c_custkey < 1000000 group by 1")
+@query("checksum_fnv1a", "select c_mktsegment, list_reduce(list_prepend(2166136261::hugeint, list_transform(string_split(string_agg(c_name, chr(10) order by c_name), ''), lambda c: ascii(c)::hugeint)), lambda h, c: (xor(h, c) * 16777619) % 4294967296)::bigint checksum from customer group by 1")
 def checksum_fnv1a(read):
     joined = F.array_join(F.array_sort(F.collect_list("c_name")), "\n")
     return read("customer").groupBy("c_mktsegment").agg(joined.alias("x")).select("c_mktsegment", codes.fnv1a(F.col("x")).alias("checksum"))

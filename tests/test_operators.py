@@ -38,13 +38,19 @@ def test_ranks_over_all_rows_equal_one_window(spark):
     assert {r["item"]: r["rank"] for r in relational.competition_rank(df, "score").collect()} == want
 
 
-def test_passages_and_clauses():
-    from tessera.functions.passages import clauses, image_parts, match_in_order, snippet
-
-    assert match_in_order("Destroy target creature, then destroy all lands", "destroy lands") == [(30, 37), (42, 47)]
-    assert match_in_order("lands destroyed", "destroy lands") is None and match_in_order(None, "x") is None
-    assert snippet("Sacrificing a Ring", "sacrifices ring") is None and snippet("two Rings", "ring") == "two [Rings]"
-    assert clauses('Whenever you cast an instant, sorcery, or artifact spell, draw a card.')["effect"] == "draw a card."
+def test_passages_and_clauses(spark):
+    from tessera.functions.passages import clauses, image_parts, in_order, mark_passages, outside
+
+    assert in_order([[0], [0], [1], [0], [1]], 2) == [1, 2] and in_order([[1], [0]], 2) is None and in_order([[0, 1], [0, 1]], 2) == [0, 1]
+    lines = ["Melt the blue gear, then melt all gears", "gears melted", None, "", "two Rings of gear " + "x " * 200, "melt " + "so " * 5 + "gear"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, x string")
+    got = {r["i"]: r["s"] for r in mark_passages(df, "x", "melts gear", "s").collect()}
+    assert got == {0: "Melt the blue gear, then [melt] all [gears]", 1: None, 2: None, 3: None, 4: None, 5: None}
+    got = mark_passages(df.where("i = 4"), "x", "ring", "s").first()["s"]
+    assert got.startswith("two [Rings] of gear x") and got.endswith("…") and len(got) == 220 + 3
+    assert outside('a, "b, c" (d, e) f, g) h, i (j', ", ") == [(1, 3), (18, 20), (24, 26)]
+    assert clauses('When it turns, as the "red, old" gear (if any, that is) rings, it stops.')["condition"] == "When it turns"
+    assert clauses("At the end of a red, blue, or grey day, count the rings.")["effect"] == "count the rings."
     assert clauses("{T}: Add one. Activate only as a sorcery.") == {"cost": "{T}", "condition": "", "restriction": "Activate only as a sorcery.", "effect": "Add one."}
     assert image_parts("https://x/normal/front/9/3/93ab.jpg?17") == ("normal", "front", "93ab", "17") and image_parts("https://x/normal/front/9/4/93ab.jpg?17") is None
 
@@ -139,10 +145,12 @@ def test_slots_and_gaps(spark):
     assert both == {(a, t) for a, t, _ in found}
 
 
-def test_patch_and_tag_name():
+def test_patch_and_tag_name(spark):
     assert variant.patch('{"a":{"b":[1,2]}}', "a.b.1", "9") == '{"a":{"b":[1,9]}}'
     assert variant.patch('{"a":1}', "x.y", '"z"') == '{"a":1,"x":{"y":"z"}}'
-    assert [variant.tag_name(x) for x in ('"Flying"', '{"Flashback":{}}', "null", None)] == ["Flying", "Flashback", None, None]
+    rows = [(i, x) for i, x in enumerate(('"Gear"', '{"Ring":{}}', "null", None, '{"a":1,"b":[2]}', "[" + "1," * 50 + "1]", "no json", "7"))]
+    got = {r["i"]: r["n"] for r in spark.createDataFrame(rows, "i int, x string").select("i", variant.tag_names(F.col("x")).alias("n")).collect()}
+    assert got == {0: "Gear", 1: "Ring", 2: None, 3: None, 4: '{"a":1,"b":[2]}', 5: ("[" + "1," * 50)[:60], 6: None, 7: "7"}
 
 
 def backoff_by_loop(rows, fields, guarded, least):
