@@ -6,7 +6,8 @@ Each slice of documents signs its classes (partenum.py).  Signatures are dealt b
 of one slice share is settled there, so a signature of very many documents reaches its part once a slice.
 
 Candidates are verified in rounds, because the pairs of a large group of near copies are too many to list:
-first each member of a signature against the least one; classes that this links are joined.  Then, STARS - 1 times, in
+first each member of a signature against the least one; classes that this links are joined.  Then, at most STARS - 1 times
+and as long as all pairs would be more than ACROSS for each member, in
 signatures whose members are still in several components, those that are not in its component against one drawn by hash,
 and last, in signatures that have several still, all pairs across components.  Such pairs are
 compared first by parity sketches: bit j says whether the set has an odd number of features that hash to j, so
@@ -36,7 +37,7 @@ from .partenum import Threshold, shingle_sets, signatures
 from .scratch import Scratch, inner
 from .words import LOWER, SPACED, batches, mix, release, sequences, text_buffer, tokenize
 
-SLICE, PART_BYTES, CHUNK, MEMBERS, STARS = 2 << 20, 8 << 20, 1024, 256, 4
+SLICE, PART_BYTES, CHUNK, MEMBERS, STARS, ACROSS = 2 << 20, 8 << 20, 1024, 256, 4, 4
 #: Of n sequences about n * n / 2**65 pairs share a 64-bit hash, 3 of 10**10 and 270,000 of 3 * 10**12; more than this are not looked for.
 MOST_SPLIT = 1 << 20
 
@@ -207,6 +208,13 @@ def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, at: Thr
     return out
 
 
+def _many_open(members: DataFrame) -> bool:
+    """Whether the pairs in signatures of several components are more than ACROSS for each member of any; members: sig, node, root."""
+    sizes = members.groupBy("sig").agg(F.count(F.lit(1)).cast("double").alias("n"), (F.min("root") < F.max("root")).alias("open"))
+    x = sizes.agg(F.sum("n").alias("members"), F.sum(F.when(F.col("open"), F.col("n") * F.col("n") / 2)).alias("pairs")).first()
+    return (x["pairs"] or 0) > ACROSS * (x["members"] or 0)
+
+
 def _across(members: DataFrame, nodes: DataFrame, at: Threshold, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) within a signature but across components that their sketches let pass; members: sig, node, root."""
     sizes = members.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
@@ -284,6 +292,8 @@ def group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
         links = _verify(passed, nodes, keyed, shingle, at, split, scratch, f"{turn}")
         joined = components(joined.unionByName(links) if turn else links, scratch)
         roots = scratch.write(with_root(joined), f"roots{turn}")
+        if not _many_open(roots):
+            break
     second = _across(roots, nodes, at, scratch).join(first, ["a", "b"], "left_anti")
     second = scratch.write(second, "second")
     scratch.drop("members", *(f"roots{turn}" for turn in range(STARS)))

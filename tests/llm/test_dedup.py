@@ -379,3 +379,16 @@ def test_removal_keeps_columns_of_any_name(spark):
     for out in (op2_substrings.remove_repeats(df), op3_bytes.remove_repeats(df)):
         for r in out.collect():
             assert all(r[n] == f"mine{r['doc_id']}" for n in names)
+
+
+@pytest.mark.parametrize("pairs", [[], [(1, 1)], [(1, 2), (2, 1)], [(i, i + 1) for i in range(150)], [(5, i) for i in range(40)], [(900 - i, 893 - i) for i in range(200)], [(i * 37 % 101, i * i % 103) for i in range(60)]])
+def test_components_equal_brute_force(spark, pairs):
+    from tessera.llm.components import components
+    from tessera.llm.scratch import Scratch
+
+    least = {x: x for p in pairs for x in p}
+    for _ in least:
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+    rows = components(spark.createDataFrame(pairs, "a long, b long"), Scratch(spark)).collect()
+    assert sorted((r["a"], r["b"]) for r in rows) == sorted((x, m) for x, m in least.items() if x != m)
