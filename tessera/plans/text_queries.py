@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codes, text
 from ..operators import relational as R
-from ..operators import rules, similarity as S
+from ..operators import phrases, rules, similarity as S
 from .registry import query
 
 LINES = """lines as (select doc_id, row_number() over (partition by doc_id order by i) - 1 as line_no, s as line from
@@ -260,11 +260,22 @@ def stub_embed(read):
     return bag.select("item", "token", F.round("w", 9).alias("w"))
 
 
-@query("phrase_mining", f"with {NAMES}, w as (select string_split(item, ' ')[3] g, string_split(item, ' ') t, n from names), p as (select g, array_to_string(t[i:i + 1], ' ') phrase, n from (select g, t, n, unnest(range(1, len(t))) i from w)) select g, phrase, cast(sum(n) as bigint) n from p group by 1, 2 qualify row_number() over (partition by g order by sum(n) desc, phrase) <= 5")
+PHRASES = f"""with recursive {NAMES}, w as (select item, string_split(item, ' ')[3] g, string_split(lower(item), ' ') t, n from names), cards as (select g, sum(n) cards from w group by 1),
+grams as (select distinct item, g, n, t[i:i + k - 1] x from (select item, g, n, t, k, unnest(range(1, greatest(1, len(t) - k + 2))) i from (select *, unnest(range(2, 13)) k from w))),
+found as (select g, x, sum(n) n from grams group by 1, 2 having sum(n) >= 2),
+ranked as (select *, row_number() over (partition by g order by n * len(x) desc, len(x) desc, array_to_string(x, ' ')) k from found),
+walk(g, k, chosen) as (select distinct g, 0::bigint, []::varchar[][] from ranked union all select r.g, r.k, case when len(chosen) < 6 and len(list_filter(chosen, lambda c: list_has_any(
+ list_transform(range(1, len(c) - (6 * least(len(c), len(r.x)) + 9) // 10 + 2), lambda i: array_to_string(c[i:i + (6 * least(len(c), len(r.x)) + 9) // 10 - 1], ' ')),
+ list_transform(range(1, len(r.x) - (6 * least(len(c), len(r.x)) + 9) // 10 + 2), lambda i: array_to_string(r.x[i:i + (6 * least(len(c), len(r.x)) + 9) // 10 - 1], ' '))))) = 0 then list_append(chosen, r.x) else chosen end from walk join ranked r on r.g = walk.g and r.k = walk.k + 1),
+kept as (select g, unnest(chosen) x, unnest(range(1, len(chosen) + 1)) turn from (select g, arg_max(chosen, k) chosen from walk group by 1))
+select g, array_to_string(x, ' ') phrase, cast(n as bigint) n, round(n / cards::double, 4) share, row_number() over (partition by g order by turn > 1, n desc, array_to_string(x, ' ')) place from kept join found using (g, x) join cards using (g)"""
+
+
+@query("phrase_mining", PHRASES)
 def phrase_mining(read):
-    w = names(read).withColumn("words", F.split("item", " ")).withColumn("g", F.element_at("words", 3))
-    p = w.select("g", "n", F.explode(text.ngrams(F.col("words"), 2)).alias("phrase")).groupBy("g", "phrase").agg(F.sum("n").alias("n"))
-    return R.top_k(p, ["g"], [F.desc("n"), F.col("phrase")], 5).select("g", "phrase", "n")
+    w = names(read).withColumn("words", F.split(F.lower("item"), " ")).withColumn("g", F.element_at(F.split("item", " "), 3))
+    found = phrases.mine(w, "g", "words", "n")
+    return found.select("g", "phrase", "n", F.round("share", 4).alias("share"), "place")
 
 
 @query("anchor_learning", f"with {NAMES}, w as (select distinct item, string_split(item, ' ')[3] g, unnest(string_split(item, ' ')[1:2]) w from names), c as (select g, w, count(*) k from w group by 1, 2), t as (select w, count(*) t from w group by 1), s as (select g, count(distinct item) s from w group by 1), a as (select count(distinct item) a from w) select g, w, k, round(ln((k + 0.5::double) / (s - k + 0.5)) - ln((t - k + 0.5::double) / (a - s - t + k + 0.5)), 7) odds from c join t using (w) join s using (g), a where k >= 5 and k >= 0.03 * s")

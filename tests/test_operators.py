@@ -306,3 +306,28 @@ def test_result_does_not_depend_on_partitions(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "7")
     assert sorted(map(tuple, QUERIES[name](spark, "/root/testdata/sf0.001").collect())) == first
     spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_phrases_equal_greedy_choice(spark):
+    from tessera.operators.phrases import mine
+
+    texts = ["at dawn the old mill turns and its wheel sings", "at dawn the old mill stands still", "red red red", "a red red cat", "the old mill", "cat", ""]
+    texts += [" ".join("abcde"[(i * j) % 5] for i in range(j % 9 + 2)) for j in range(40)]
+    found = {}
+    for t in texts:
+        w = t.split()
+        for x in {tuple(w[i : i + n]) for n in range(2, 13) for i in range(len(w) - n + 1)}:
+            found[x] = found.get(x, 0) + 1
+
+    def alike(a, b):
+        run = max([n for n in range(1, 13) for i in range(len(a) - n + 1) for j in range(len(b) - n + 1) if a[i : i + n] == b[j : j + n]], default=0)
+        return 10 * run >= 6 * min(len(a), len(b))
+
+    taken = []
+    for x, n in sorted(((x, n) for x, n in found.items() if n >= 2), key=lambda p: (-p[1] * len(p[0]), -len(p[0]), " ".join(p[0]))):
+        if len(taken) < 6 and not any(alike(x, y) for y, _ in taken):
+            taken.append((x, n))
+    want = taken[:1] + sorted(taken[1:], key=lambda p: (-p[1], " ".join(p[0])))
+    rows = mine(spark.createDataFrame([("g", t.split(), 1) for t in texts], "g string, words array<string>, n long"), "g", "words", "n").orderBy("place").collect()
+    assert [(r["phrase"], r["n"], r["place"]) for r in rows] == [(" ".join(x), n, i + 1) for i, (x, n) in enumerate(want)]
+    assert len(want) == 6
