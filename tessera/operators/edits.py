@@ -32,13 +32,23 @@ def effective(members: DataFrame, resolved: DataFrame) -> DataFrame:
     return out.unionByName(resolved.where("state = 'add'").select("oid", "gid")).distinct()
 
 
-def batch_errors(batch: DataFrame, known: DataFrame, most: int = 100) -> DataFrame:
-    """(oid, gid, error) of a batch's bad rows: too many rows, a pair twice, an unknown item, a score out of 0 to 1."""
-    size = F.broadcast(batch.agg(F.count(F.lit(1)).alias("__n")))  # one row
-    x = batch.join(known.select("oid").distinct().withColumn("__k", F.lit(True)), "oid", "left").join(size)
-    x = x.withColumn("__t", F.count(F.lit(1)).over(Window.partitionBy("oid", "gid")))
+def _counted(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """rows with the number of rows of equal keys, nulls being equal; summed before the shuffle, so a frequent key is no task's load."""
+    counts = rows.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.count(F.lit(1)).alias(name))
+    if not keys:
+        return rows.join(F.broadcast(counts))  # one row
+    return rows.join(counts, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]).drop(*[f"__{k}" for k in keys])
+
+
+def batch_errors(batch: DataFrame, known: DataFrame, most: int = 100, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, oid, gid, error) of a batch's bad rows: too many rows, a pair twice, an unknown item, a score out of 0 to 1.
+
+    Rows of equal values in by are one batch; without by all rows are.
+    """
+    x = batch.join(known.select("oid").distinct().withColumn("__k", F.lit(True)), "oid", "left")
+    x = _counted(_counted(x, list(by), "__n"), [*by, "oid", "gid"], "__t")
     error = F.when(F.col("__n") > most, "too many").when(F.col("__t") > 1, "duplicate").when(F.col("__k").isNull(), "unknown").when(~F.coalesce(F.col("score").between(0, 1), F.lit(False)), "score")
-    return x.select("oid", "gid", error.alias("error")).where("error is not null")
+    return x.select(*by, "oid", "gid", error.alias("error")).where("error is not null")
 
 
 def apply_batch(edits: DataFrame, batch: DataFrame, known: DataFrame) -> DataFrame:

@@ -348,13 +348,15 @@ def edit_effective(read):
     return E.effective(members, E.resolve(log.select("oid", "gid", "action"), members, members, members))
 
 
-BATCH = "b as (select user_id oid, event_id % 4 gid, value / 100 score from events)"
+BATCH = "b as (select strftime(ts, '%Y-%m-%d ') || (hour(ts) // 6) batch, user_id oid, event_id % 4 gid, value / 100 score from events)"
 
 
-@query("batch_apply", f"with {BATCH} select oid, gid, case when (select count(*) from b) > 100 then 'too many' when count(*) over (partition by oid, gid) > 1 then 'duplicate' when oid not in (select c_custkey from customer) then 'unknown' when not coalesce(score between 0 and 1, false) then 'score' end as error from b qualify error is not null")
+@query("batch_apply", f"with {BATCH} select batch, oid, gid, case when count(*) over (partition by batch) > 100 then 'too many' when count(*) over (partition by batch, oid, gid) > 1 then 'duplicate' when oid not in (select c_custkey from customer) then 'unknown' when not coalesce(score between 0 and 1, false) then 'score' end as error from b qualify error is not null")
 def batch_apply(read):
-    batch = read("events").select(F.col("user_id").alias("oid"), (F.col("event_id") % 4).alias("gid"), (F.col("value") / 100).alias("score"))
-    return E.batch_errors(batch, read("customer").select(F.col("c_custkey").alias("oid")))
+    """A quarter of a day is a batch."""
+    when = F.concat(F.date_format("ts", "yyyy-MM-dd "), F.floor(F.hour("ts") / 6).cast("string"))
+    batch = read("events").select(when.alias("batch"), F.col("user_id").alias("oid"), (F.col("event_id") % 4).alias("gid"), (F.col("value") / 100).alias("score"))
+    return E.batch_errors(batch, read("customer").select(F.col("c_custkey").alias("oid")), by=("batch",))
 
 
 @query("batch_rows", "select event_id, case when value >= 50 then 'tick' when value >= 20 then 'review' when value is null then 'none' else 'below' end state from events")
