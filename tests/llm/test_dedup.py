@@ -81,8 +81,10 @@ def test_op1_equals_all_pairs(spark, n, num, den):
     assert got == group_by_force(rows, n, num, den)
 
 
-def test_op1_in_chunks(spark, monkeypatch):
+@pytest.mark.parametrize("across", [0, 4])
+def test_op1_in_chunks(spark, monkeypatch, across):
     monkeypatch.setattr(op1_ngram_join, "CHUNK", 4)
+    monkeypatch.setattr(op1_ngram_join, "ACROSS", across)
     base = [f"t{i}" for i in range(150)]
     rows = [(k, " ".join(base[:k] + [f"n{k}"] + base[k + 1 : 140] + [f"m{j}" for j in range(k % 9)])) for k in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
