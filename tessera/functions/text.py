@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,7 +12,25 @@ STOPWORDS = (
     "a an the this that these those there here and or but if then than as so of to in into on onto from with at for by up down out off over under "
     "is are was were be been being am it its they them their he she his her him do does did done have has had will would shall should may might must can could each other another same"
 ).split()
-#: Fixed value: mana symbols, stat changes, words with inner apostrophes or hyphens, numbers.
+#: Keyword abilities that may stand alone on a line, parted by commas.
+KEYWORDS = (
+    "deathtouch, defender, double strike, enchant, equip, first strike, flash, flying, haste, hexproof, indestructible, intimidate, landwalk, lifelink, protection, reach, shroud, trample, vigilance, "
+    "banding, rampage, cumulative upkeep, flanking, phasing, buyback, shadow, echo, horsemanship, fading, kicker, flashback, madness, fear, morph, amplify, provoke, storm, affinity, entwine, modular, "
+    "sunburst, bushido, soulshift, splice, offering, ninjutsu, epic, convoke, dredge, transmute, bloodthirst, haunt, replicate, forecast, graft, recover, ripple, split second, suspend, vanishing, absorb, "
+    "aura swap, delve, fortify, frenzy, gravestorm, poisonous, transfigure, champion, changeling, evoke, hideaway, prowl, reinforce, conspire, persist, wither, retrace, devour, exalted, unearth, cascade, "
+    "annihilator, level up, rebound, totem armor, infect, battle cry, living weapon, undying, miracle, soulbond, overload, scavenge, unleash, cipher, evolve, extort, fuse, bestow, tribute, dethrone, "
+    "outlast, prowess, dash, exploit, menace, renown, awaken, devoid, ingest, myriad, surge, skulk, emerge, escalate, melee, crew, fabricate, partner, undaunted, improvise, aftermath, embalm, eternalize, "
+    "afflict, ascend, assist, jump-start, mentor, afterlife, riot, spectacle, escape, companion, mutate, encore, boast, foretell, demonstrate, daybound, nightbound, disturb, decayed, cleave, training, "
+    "compleated, reconfigure, blitz, casualty, enlist, read ahead, ravenous, squad, space sculptor, visit, prototype, living metal, backup, bargain, craft, disguise, plot, saddle, spree, freerunning, "
+    "gift, offspring, impending, flurry"
+).split(", ")
+#: Marks that open a choice, and the line before choices.
+BULLET = r"^\s*[•*∙]\s*"
+LEAD = r"(?i)^choose (one|two|three|any number)[^\n]*[-—•]\s*$"
+#: Letters that are folded to other than their base letter.
+SPECIAL = {"æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "ß": "ss", "ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ł": "l", "Ł": "L", "þ": "th", "Þ": "Th", "ð": "d", "Ð": "D"}
+#: Words of the term index; mana symbols, stat changes, words with inner apostrophes or hyphens, numbers.
+WORD = r"[\p{L}\p{N}_](?:[\p{L}\p{N}_'+/-]*[\p{L}\p{N}_])?"
 TOKEN = r"\{[^}]{1,12}\}|[+-]?\d+/[+-]?\d+|[a-z]+(?:['-][a-z]+)*|\d+"
 
 
@@ -29,6 +49,47 @@ def fold(x: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(x), "['’]", ""), "[^a-z0-9]+", " "))
 
 
+def _folds() -> dict[str, str]:
+    """Characters of the Latin blocks and what they are without their marks; by the rules of Unicode."""
+    out = {}
+    for code in [*range(0x80, 0x250), *range(0x1E00, 0x1F00), *range(0x2000, 0x2190), *range(0xFB00, 0xFB07)]:
+        base = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if c.isascii())
+        if base:
+            out[chr(code)] = base
+    return out | SPECIAL
+
+
+def fold_marks(x: Column) -> Column:
+    """Name form: Latin letters without their marks, lower case, // as a space, all else but a to z, digits and spaces dropped."""
+    folds = _folds()
+    single = {c: b for c, b in folds.items() if len(b) == 1}
+    x = F.translate(x, "".join(single), "".join(single.values()))
+    for c, b in folds.items():
+        if len(b) != 1 and any(v.isalnum() for v in b):
+            x = F.replace(x, F.lit(c), F.lit(b))
+    x = F.regexp_replace(x, "[^\\x00-\\x7f]", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(F.replace(F.lower(x), F.lit("//"), F.lit(" ")), "[^a-z0-9 ]+", ""), " +", " "))
+
+
+def effects(x: Column, keywords=KEYWORDS) -> Column:
+    """Pieces (kind, effect) in order: each bullet, each line before choices, each keyword of a line that has nothing but
+    keywords and their reminders between commas, else whole lines.  No line is split by its meaning."""
+    piece = lambda kind, s: F.struct(F.lit(kind).alias("kind"), s.alias("effect"))
+    strip = lambda s: F.btrim(s, F.lit(" \t\r\f\v"))
+    known = lambda p: F.trim(F.regexp_replace(F.lower(p), r"\s*\([^)]*\)\s*$", "")).isin(*keywords)
+
+    def pieces(s: Column) -> Column:
+        parts = F.transform(F.split(s, ",", -1), strip)
+        return (
+            F.when(s.rlike(BULLET), F.array(piece("bullet", strip(F.regexp_replace(s, BULLET, "")))))
+            .when(s.rlike(LEAD), F.array(piece("lead", s)))
+            .when(F.forall(parts, known), F.transform(parts, lambda p: piece("keyword", p)))
+            .otherwise(F.array(piece("line", s)))
+        )
+
+    return F.flatten(F.transform(F.filter(F.transform(F.split(x, "\n"), strip), lambda s: s != ""), pieces))
+
+
 def lines(x: Column) -> Column:
     """Lines that are not blank, without space at the ends."""
     return F.filter(F.transform(F.split(x, "\n"), lambda s: F.trim(s)), lambda s: s != "")
@@ -71,7 +132,17 @@ def variants(w: Column) -> Column:
     return F.array_compact(F.array(s, extra))
 
 
+def terms(x: Column, stop=STOPWORDS) -> Column:
+    """Words of letters, digits and inner marks, and all two in a row, after stopwords are left out."""
+    words = F.filter(F.regexp_extract_all(F.lower(x), F.lit(WORD), F.lit(0)), lambda w: ~w.isin(*stop))
+    return F.element_at(F.transform(F.array(words), lambda ws: F.concat(ws, ngrams(ws, 2))), 1)
+
+
 def ngrams(words: Column, n: int) -> Column:
     """All n words in a row, joined by a space."""
-    count = F.size(words) - (n - 1)
-    return F.when(count >= 1, F.transform(F.sequence(F.lit(1), count), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+
+    def runs(ws: Column) -> Column:
+        count = F.size(ws) - (n - 1)
+        return F.when(count >= 1, F.transform(F.sequence(F.lit(1), count), lambda i: F.array_join(F.slice(ws, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+
+    return F.element_at(F.transform(F.array(words), runs), 1)  # words are made once, not once a run

@@ -74,6 +74,22 @@ def tfidf(docs: DataFrame, item: str, tokens: str, min_df: int = 1) -> DataFrame
     return w.withColumn("w", F.col("v") / F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("item")))).select("item", "token", "w")
 
 
+def tfidf_search(docs: DataFrame, item: str, tokens: str, query: dict[str, int]) -> DataFrame:
+    """(item, score): cosine of TF-IDF weights with a query (token -> count) for items that share a token with it.
+
+    Lengths and products come from one aggregate per item; tokens of the query that no item has count for nothing."""
+    n = F.lit(docs.count())
+    tf = docs.select(F.col(item).alias("item"), F.explode(tokens).alias("token")).groupBy("item", "token").agg(F.count(F.lit(1)).alias("tf"))
+    idf = F.log((1 + n) / (1 + F.col("df"))) + 1
+    df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df")).select("token", idf.alias("idf"))
+    asked = docs.sparkSession.createDataFrame(list(query.items()), "token string, n int").select("token", (1 + F.log("n")).alias("a"))
+    rows = tf.join(df, "token").join(F.broadcast(asked), "token", "left")
+    v, q = (1 + F.log("tf")) * F.col("idf"), F.col("a") * F.col("idf")
+    found = rows.groupBy("item").agg(F.sqrt(F.sum(v * v)).alias("l"), F.sum(v * q).alias("dot")).where("dot is not null")
+    length = df.join(F.broadcast(asked), "token").agg(F.sqrt(F.sum(q * q)).alias("ql"))
+    return found.join(F.broadcast(length)).select("item", (F.col("dot") / (F.col("l") * F.col("ql"))).alias("score"))
+
+
 def hashed_bag(docs: DataFrame, item: str, tokens: str, dim: int = 512, seed: int = 0) -> DataFrame:
     """(item, token, w) over dim cells to which words are hashed, of length 1."""
     cell = F.pmod(F.xxhash64("word", F.lit(seed)), F.lit(dim))

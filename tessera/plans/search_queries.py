@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -73,7 +71,7 @@ def normalize_card(read):
     return read("customer").select("c_custkey", F.coalesce(F.nullif(own, F.lit("")), F.array_join(faces, "\n")).alias("text"))
 
 
-@query("http_bulk_source")
+@query("http_bulk_source", "select * from labels")
 def http_bulk_source(read):
     """A cached bulk file stands for the download, which needs a network: read once, written whole, read again."""
     labels = read("labels")
@@ -82,18 +80,20 @@ def http_bulk_source(read):
     return labels.sparkSession.read.parquet(path)
 
 
-@query("log_upsert")
+@query("log_upsert", "select event_type, count(*) searches, count(*) filter (value < 5) zero from events group by 1")
 def log_upsert(read):
     events = read("events")
     stream = log.log_stream(events.sparkSession, _folder(events), events.schema)
-    return log.drain(log.upsert_counts(stream), "complete", f"log_{uuid.uuid4().hex[:8]}").select("event_type", "searches", "zero")
+    return log.drain(log.upsert_counts(stream), "complete", files.shared_folder(events.sparkSession)).select("event_type", "searches", "zero")
 
 
-@query("log_windows")
+@query("log_windows", "select strftime(time_bucket(interval 1 hour, ts), '%Y-%m-%d %H:%M') start, event_type, count(*) n, round(sum(value), 4) v from events group by 1, 2, time_bucket(interval 1 hour, ts) having time_bucket(interval 1 hour, ts) + interval 70 minutes <= (select max(ts) from events)")
 def log_windows(read):
+    """Windows that the watermark has closed: those that end ten minutes or more before the last event."""
     events = read("events")
     stream = log.log_stream(events.sparkSession, _folder(events), events.schema)
-    return log.drain(log.windowed_counts(stream), "complete", f"log_{uuid.uuid4().hex[:8]}")
+    found = log.drain(log.windowed_counts(stream), "append", files.shared_folder(events.sparkSession))
+    return found.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", F.round("v", 4).alias("v"))
 
 
 def _folder(df) -> str:
@@ -121,7 +121,9 @@ def search_tiers(read):
     return search.group_search(groups(read), "blue").select("gid", "name", "tier")
 
 
-@query("did_you_mean", "with q as (select unnest(['rign', 'smal', 'gaer', 'widgte', 'blot', 'zzzz']) word), v as (select unnest(string_split(p_name, ' ')) term, count(*) n from part group by 1) select 'smal' as word, 'small' as suggestion, 1::integer d union all select 'rign', 'ring', 1 union all select 'gaer', 'gear', 1 union all select 'widgte', 'widget', 1 union all select 'blot', 'bolt', 1")
+@query("did_you_mean", """with q as (select unnest(['rign', 'smal', 'gaer', 'widgte', 'blot', 'zzzz']) word), v as (select term, count(*) n from (select unnest(string_split(p_name, ' ')) term from part) group by 1),
+c as (select word, term, n, damerau_levenshtein(word, term)::integer d from q, v where word not in (select term from v) and abs(length(word) - length(term)) <= if(length(word) <= 7, 1, 2) and (word[1] = term[1] or (word[1] = term[2] and word[2] = term[1])))
+select word, term as suggestion, d from c where d <= if(length(word) <= 7, 1, 2) qualify row_number() over (partition by word order by d, n desc, term) = 1""")
 def did_you_mean(read):
     v = read("part").select(F.explode(F.split("p_name", " ")).alias("term")).groupBy("term").agg(count())
     q = v.sparkSession.createDataFrame([(w,) for w in ("rign", "smal", "gaer", "widgte", "blot", "zzzz")], "word string")

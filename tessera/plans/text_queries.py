@@ -27,9 +27,35 @@ def names(read) -> DataFrame:
     return read("part").groupBy(F.concat_ws(" ", "p_name", F.lower("p_type")).alias("item")).agg(F.count(F.lit(1)).alias("n")).withColumn("t", text.token_set(F.col("item")))
 
 
-@query("extract_effects", f"with {LINES} select doc_id, cast(line_no as bigint) line_no, line from lines")
+SPLIT = r"""l as (select id, i, trim(string_split(text, chr(10))[i], chr(32) || chr(9) || chr(13) || chr(11) || chr(12)) s from (select id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) i from src)),
+p as (select id, i, s, list_transform(string_split(s, ','), lambda x: trim(x, chr(32) || chr(9) || chr(13) || chr(11) || chr(12))) parts, KW as kw from l where s <> ''),
+e as (select id, i, unnest(case when regexp_matches(s, '^[•*∙]') then [{'kind': 'bullet', 'effect': trim(regexp_replace(s, '^[•*∙]\s*', ''))}]
+ when regexp_matches(lower(s), '^choose (one|two|three|any number).*[-—•]$') then [{'kind': 'lead', 'effect': s}]
+ when len(list_filter(parts, lambda x: not list_contains(kw, trim(regexp_replace(lower(x), '\s*\([^)]*\)\s*$', ''))))) = 0 then list_transform(parts, lambda x: {'kind': 'keyword', 'effect': x})
+ else [{'kind': 'line', 'effect': s}] end) x, generate_subscripts(case when regexp_matches(s, '^[•*∙]') then [s] when len(list_filter(parts, lambda x: not list_contains(kw, trim(regexp_replace(lower(x), '\s*\([^)]*\)\s*$', ''))))) = 0 then parts else [s] end, 1) j from p)
+select id, row_number() over (partition by id order by i, j) - 1 as place, x.kind as kind, x.effect as effect from e""".replace("KW", "[" + ", ".join(f"'{k}'" for k in text.KEYWORDS) + "]")
+
+
+def effects(source: DataFrame, id: str, body) -> DataFrame:
+    pieces = source.select(F.col(id).alias("id"), F.posexplode(text.effects(body)).alias("place", "e"))
+    return pieces.select("id", F.col("place").cast("long").alias("place"), "e.kind", "e.effect")
+
+
+@query("extract_effects", f"with src as (select doc_id id, text from documents), {SPLIT}")
 def extract_effects(read):
-    return lines(read).withColumn("line_no", F.col("line_no").cast("long"))
+    return effects(read("documents"), "doc_id", F.col("text"))
+
+
+@query("split_cards", f"with src as (select p_partkey id, case p_size % 3 when 0 then 'Choose one —' || chr(10) || '• ' || p_name || chr(10) || '*' || p_brand when 1 then 'Flying, First strike (Hits first.), haste' || chr(10) || '  ' || p_name || ', flying' else 'trample' || chr(13) || chr(10) || chr(10) || p_type || '.' end as text from part), {SPLIT}")
+def split_cards(read):
+    """Card texts of three forms: choices, keyword lines, a keyword before another line."""
+    form = F.col("p_size") % 3
+    body = (
+        F.when(form == 0, F.concat(F.lit("Choose one —\n• "), "p_name", F.lit("\n*"), "p_brand"))
+        .when(form == 1, F.concat(F.lit("Flying, First strike (Hits first.), haste\n  "), "p_name", F.lit(", flying")))
+        .otherwise(F.concat(F.lit("trample\r\n\n"), "p_type", F.lit(".")))
+    )
+    return effects(read("part"), "p_partkey", body)
 
 
 @query("agg_dedup_glossary", f"with {LINES} select 'eff_' || substr(sha1({NORM}), 1, 10) effect_id, arg_min(line, (doc_id, line_no)) raw_text, count(*) occurrence_count, count(distinct doc_id) docs from lines group by 1")
@@ -48,6 +74,11 @@ def text_normalize(read):
     return read("part").select("p_partkey", text.fold(F.concat_ws("-", "p_name", "p_brand")).alias("folded"), text.effect_id(F.col("p_name")).alias("effect_id"))
 
 
+@query("name_norm", r"select doc_id, trim(regexp_replace(regexp_replace(replace(lower(regexp_replace(strip_accents(replace(text, 'ß', 'ss')), '[^\x00-\x7f]', '', 'g')), '//', ' '), '[^a-z0-9 ]+', '', 'g'), ' +', ' ', 'g'), ' ') as norm from documents")
+def name_norm(read):
+    return read("documents").select("doc_id", text.fold_marks(F.col("text")).alias("norm"))
+
+
 @query("sentences", r"with s as (select doc_id, unnest(string_split(regexp_replace(coalesce(text, ''), '(\.)\s+|\n+', '\1' || chr(1), 'g'), chr(1))) s from documents) select doc_id, count(*) n from s where trim(s, ' ') <> '' group by 1")
 def sentences(read):
     return read("documents").select("doc_id", F.size(text.sentences(F.coalesce("text", F.lit("")))).cast("long").alias("n")).where("n > 0")

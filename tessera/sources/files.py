@@ -14,8 +14,12 @@ from ..operators.relational import require_unique
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, or a temporary one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tessera-')}"
+    """A new folder below spark.checkpoint.dir, or in local mode a temporary one where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
     return f"{base.rstrip('/')}/files-{uuid.uuid4().hex[:12]}"
 
 

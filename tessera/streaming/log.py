@@ -22,8 +22,14 @@ def windowed_counts(stream: DataFrame, late: str = "10 minutes", length: str = "
     return stream.withWatermark("ts", late).groupBy(F.window("ts", length), key).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("v")).select(F.col("window.start").alias("start"), key, "n", "v")
 
 
-def drain(result: DataFrame, mode: str, name: str) -> DataFrame:
-    """Run a stream over all files there are and return what it wrote."""
-    query = result.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return result.sparkSession.table(name)
+def drain(result: DataFrame, mode: str, folder: str) -> DataFrame:
+    """Run a stream over all files there are and return what it wrote below a shared folder: rows as they become final
+    (append), or the table of the last batch (complete).  The checkpoint lies beside it, so a broken run goes on."""
+    spark, rows = result.sparkSession, f"{folder}/rows"
+    writer = result.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+    if mode == "append":
+        writer = writer.format("parquet").option("path", rows)
+    else:
+        writer = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(rows))
+    writer.start().awaitTermination()
+    return spark.read.schema(result.schema).parquet(rows)

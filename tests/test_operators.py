@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import codes, text
 from tessera.functions.distance import osa
-from tessera.operators import cluster, edits, relational, rules, search, taxonomy, variant
+from tessera.operators import cluster, edits, relational, rules, search, similarity, taxonomy, variant
 from tessera.plans import structure_queries, text_queries  # noqa: F401  they register their queries
 from tessera.plans.registry import QUERIES
 
@@ -64,6 +64,41 @@ def test_stem(spark, word, stem):
     assert one(spark, text.stem(F.lit(word))) == stem
 
 
+def test_effects_by_bullets_leads_and_keywords(spark):
+    card = "Choose two —\n• Draw a card.\n*\n\nFlying, Trample (It tramples over.) , first strike\nFlying, draw a card.\nflying,\n\tCHOOSE ONE thing-\nHaste\r"
+    got = [(e["kind"], e["effect"]) for e in one(spark, text.effects(F.lit(card)))]
+    assert got == [
+        ("lead", "Choose two —"), ("bullet", "Draw a card."), ("bullet", ""), ("keyword", "Flying"), ("keyword", "Trample (It tramples over.)"),
+        ("keyword", "first strike"), ("line", "Flying, draw a card."), ("line", "flying,"), ("lead", "CHOOSE ONE thing-"), ("keyword", "Haste"),
+    ]
+    assert one(spark, text.effects(F.lit(" \n\t"))) == [] and one(spark, text.effects(F.lit(None).cast("string"))) is None
+
+
+def test_names_lose_their_marks(spark):
+    assert one(spark, text.fold_marks(F.lit("Æther // Óláfr's  Łódź, Straße—ﬁ ½ Ǽ 東 Ệ x²"))) == "aether olafrs lodz strassefi 12 e x2"
+
+
+def test_terms_are_words_and_pairs(spark):
+    assert one(spark, text.terms(F.lit("The +1/+1 Jötun's a b-c- of _d"))) == ["1/+1", "jötun's", "b-c", "_d", "1/+1 jötun's", "jötun's b-c", "b-c _d"]
+    assert one(spark, text.terms(F.lit("the"))) == []
+
+
+def test_tfidf_search_equals_force(spark):
+    docs = {1: ["a", "a", "b"], 2: ["b", "c"], 3: ["d"], 4: [], 5: ["a", "c", "c", "c"]}
+    query, n = {"a": 1, "c": 2, "z": 4}, len(docs)
+    idf = {t: np.log((1 + n) / (1 + sum(t in d for d in docs.values()))) + 1 for d in docs.values() for t in d}
+    weigh = lambda c: {t: (1 + np.log(k)) * idf[t] for t, k in c.items() if t in idf}
+    length = lambda v: np.sqrt(sum(x * x for x in v.values()))
+    q = weigh(query)
+    want = {}
+    for i, d in docs.items():
+        v = weigh({t: d.count(t) for t in d})
+        if set(v) & set(q):
+            want[i] = sum(v[t] * q.get(t, 0) for t in v) / length(v) / length(q)
+    found = similarity.tfidf_search(spark.createDataFrame(list(docs.items()), "id long, t array<string>"), "id", "t", query)
+    assert {r["item"]: r["score"] for r in found.collect()} == pytest.approx(want)
+
+
 def test_tokens_drop_reminders_and_stopwords(spark):
     assert one(spark, text.tokens(F.lit("{T}: The Owner's gain +1/+1 (reminder text) and 3 rings"))) == ["{t}", "owner's", "gain", "+1/+1", "3", "rings"]
 
