@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_ngram_join, op2_substrings, op3_bytes, op10_embeddings, op4_secrets, op5_mix, op6_decontaminate, op7_urls, op8_language, op9_lm
+from . import op1_ngram_join, op2_substrings, op3_bytes, op10_embeddings, op11_licenses, op12_whitening, op13_filters, op4_secrets, op5_mix, op6_decontaminate, op7_urls, op8_language, op9_lm
 
 _MODULES = {
     "op1_ngram_join": op1_ngram_join,
@@ -19,6 +19,9 @@ _MODULES = {
     "op8_language_id": op8_language,
     "op9_lm_score": op9_lm,
     "op10_embedding_near_dup": op10_embeddings,
+    "op11_license_scan": op11_licenses,
+    "op12_whitening": op12_whitening,
+    "op13_filter_audit": op13_filters,
 }
 
 
