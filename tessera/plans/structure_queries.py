@@ -114,11 +114,6 @@ def min3_variant(read):
     return X.backoff_rarest(p, p, "p_partkey", "k", FIELDS, least=3).groupBy("signature").agg(count())
 
 
-@query("sig_fields", "select p_partkey, 'p_brand=' || p_brand || ';p_type=' || p_type || ';p_name=' || p_name as signature from part")
-def sig_fields(read):
-    return read("part").select("p_partkey", X.signature(FIELDS).alias("signature"))
-
-
 @query("backoff_fixed_levels", "with c as (select p_partkey, count(*) over (partition by p_name, p_type, p_brand) a, count(*) over (partition by p_name, p_type) b, count(*) over (partition by p_type) c from part) select p_partkey, case when a >= 5 then 0 when b >= 5 then 1 when c >= 5 then 2 end::integer as level from c")
 def backoff_fixed_levels(read):
     return X.backoff_levels(read("part"), "p_partkey", [["p_name", "p_type", "p_brand"], ["p_name", "p_type"], ["p_type"]], 5)
@@ -386,11 +381,6 @@ def signature_layer(read):
     return read("part").select("p_partkey", F.coalesce(first, F.concat(F.lit("family "), F.lower("p_type"))).alias("leaf"))
 
 
-@query("card_features", "select p_partkey, f as feature from part, (values (1), (2), (3)) v(i), lateral (select case i when 1 then p_type when 2 then p_type || 'x' || p_brand else p_brand end f)")
-def card_features(read):
-    return read("part").select("p_partkey", F.explode(F.array("p_type", F.concat_ws("x", "p_type", "p_brand"), "p_brand")).alias("feature"))
-
-
 @query("merged_pages", "with m as (select distinct p_type page, p_brand grp, p_partkey item from part) select page, count(distinct grp) groups, count(distinct item) items from m group by 1")
 def merged_pages(read):
     return read("part").groupBy(F.col("p_type").alias("page")).agg(F.count_distinct("p_brand").alias("groups"), F.count_distinct("p_partkey").alias("items"))
