@@ -11,23 +11,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .stored import stored
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) with the least node of each component, by minima along edges and their roots until nothing moves."""
-    spark = edges.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
-    both = edges.select("a", "b").union(edges.select("b", "a")).distinct().checkpoint()
-    roots = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("root")).checkpoint()
+    both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    roots = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("root")))
     while True:
         near = both.join(roots.select(F.col("node").alias("b"), F.col("root").alias("r")), "b").groupBy(F.col("a").alias("node")).agg(F.min("r").alias("r"))
         step = roots.join(near, "node").select("node", F.least("root", "r").alias("root"), (F.col("r") < F.col("root")).alias("moved"))
         up = step.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        jumped = step.join(up, "root").select("node", F.col("top").alias("root"), (F.col("moved") | (F.col("top") < F.col("root"))).alias("moved")).checkpoint()
+        jumped = stored(step.join(up, "root").select("node", F.col("top").alias("root"), (F.col("moved") | (F.col("top") < F.col("root"))).alias("moved")))
         roots = jumped.select("node", "root")
         if not jumped.where("moved").limit(1).count():
             return roots

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import relational as R
-from ..operators import search
+from ..operators import search, suggest
 from ..operators import similarity as S
 from ..sources import files
 from ..streaming import log
@@ -206,14 +206,60 @@ def suggestion_merge(read):
     return a.join(r, ["i", "g"], "full").select("i", "g", F.round(score, 7).alias("score"))
 
 
-@query("text_suggest", f"with {PAIRS}, m as (select a, string_split(b, ' ')[3] g, w from sim), s as (select a, g, max(w) best, sum(w * w) / pow(count(*), 0.25) mass from m group by 1, 2) select a as item, g, round((best - avg(best) over p) / nullif(stddev_pop(best) over p, 0) + (mass - avg(mass) over p) / nullif(stddev_pop(mass) over p, 0), 5) score from s window p as (partition by a)")
+WORDS = "[a-zàâçèéêëîïôöùûüñáíóúß]+"  # of the titles
+TITLED = f"""pg as (select page_id, regexp_extract(url, '://([^/?#]*)', 1) gid, regexp_extract_all(lower(regexp_extract(html, '<title>([^<]*)</title>', 1)), '{WORDS}') w from pages),
+big as (select gid, count(distinct page_id) size from pg group by 1 having count(*) >= 5), mem as (select * from pg join big using (gid)),
+ask as (select * from pg where page_id % 50 = 0),
+doc as (select 0 side, page_id i, w from mem union all select 1, page_id, w from ask),
+tok as (select side, i, unnest(list_concat(w, [w[x] || ' ' || w[x + 1] for x in range(1, len(w))])) t from doc), tf as (select side, i, t, count(*) c from tok group by all),
+idf as (select t, ln((1 + (select count(*) from doc))::double / (1 + count(*))) + 1 v from tf group by 1 having count(*) >= 2),
+wt as (select side, i, t, (1 + ln(c)) * v x from tf join idf using (t)), un as (select side, i, t, x / sqrt(sum(x * x) over (partition by side, i)) x from wt),
+dot as (select a.i q, b.i line, round(sum(a.x * b.x), 9) s from un a join un b using (t) where a.side = 1 and b.side = 0 group by 1, 2),
+sim as (select ask.page_id q, mem.page_id line, mem.gid, mem.size, case when ask.page_id = mem.page_id then -1.0 else coalesce(s, 0.0)::double end s from ask cross join mem left join dot on q = ask.page_id and line = mem.page_id),
+mx as (select q, gid, any_value(size) size, max(s) best from sim group by 1, 2), tp as (select * from sim where s > 0 qualify row_number() over (partition by q order by s desc, line) <= 25),
+ms as (select q, gid, sum(s * s) m from tp group by 1, 2), al as (select mx.q, mx.gid, best, coalesce(m, 0) / pow(size, 0.25) m from mx left join ms on ms.q = mx.q and ms.gid = mx.gid),
+z as (select q, gid, (best - avg(best) over p) / (stddev_pop(best) over p + 1e-9) + (m - avg(m) over p) / (stddev_pop(m) over p + 1e-9) score from al window p as (partition by q)),
+held as (select ask.page_id q, ask.gid from ask where len(w) < 6)"""
+
+
+def titled(read):
+    """Titles of pages as lines, hosts as groups: page_id, gid, w (words), terms (words and pairs)."""
+    title = F.lower(F.regexp_extract("html", "<title>([^<]*)</title>", 1))
+    x = read("pages").select("page_id", F.regexp_extract("url", "://([^/?#]*)", 1).alias("gid"), F.regexp_extract_all(title, F.lit(WORDS), F.lit(0)).alias("w"))
+    return x.withColumn("terms", F.concat("w", text.ngrams(F.col("w"), 2)))
+
+
+def profiles(read):
+    """Lines of the hosts with five pages or more."""
+    x = titled(read)
+    big = x.groupBy("gid").agg(count()).where("n >= 5").select("gid")
+    return x.join(big, "gid").select("gid", F.col("page_id").alias("owner"), F.col("page_id").alias("line"), F.lit(1.0).alias("weight"), "terms")
+
+
+def asked(read):
+    """Every fiftieth page as a query; the host of a short title is held already and not offered."""
+    x = titled(read).where("page_id % 50 = 0")
+    held = F.when(F.size("w") < 6, F.array("gid")).otherwise(F.expr("cast(array() as array<string>)"))
+    return x.select(F.col("page_id").alias("q"), F.col("page_id").alias("owner"), held.alias("excluded"), "terms", F.size("w").alias("n_tokens"), F.lit("text").alias("kind"))
+
+
+@query("text_suggest", f"with {TITLED} select q, gid, round(score, 5) score, (row_number() over (partition by q order by round(score, 6) desc, gid))::integer place from z where not exists (select 1 from held where held.q = z.q and held.gid = z.gid) qualify row_number() over (partition by q order by round(score, 6) desc, gid) <= 7")
 def text_suggest(read):
-    """Group score of each item: z of its best member plus z of its summed squares."""
-    pairs = S.cosine_pairs(S.weighted(names(read), "item", "t")).withColumn("g", F.element_at(F.split("b", " "), 3))
-    s = pairs.groupBy("a", "g").agg(F.max("cosine").alias("best"), (F.sum(F.col("cosine") * F.col("cosine")) / F.pow(F.count(F.lit(1)), F.lit(0.25))).alias("mass"))
-    w = Window.partitionBy("a")
-    z = lambda c: F.try_divide(F.col(c) - F.avg(c).over(w), F.nullif(F.stddev_pop(c).over(w), F.lit(0.0)))
-    return s.select(F.col("a").alias("item"), "g", F.round(z("best") + z("mass"), 5).alias("score"))
+    """Seven hosts for the title of a page, its own line left out."""
+    return suggest.suggestions(profiles(read), asked(read)).withColumn("score", F.round("score", 5))
+
+
+@query("text_suggest_calibrated")
+def text_suggest_calibrated(read):
+    """The same by page, with the share of hits that such scores had on at most SAMPLE pages whose host is known, each without its own line."""
+    x = titled(read)
+    sample = x.orderBy(F.xxhash64("page_id"), "page_id").limit(suggest.SAMPLE)
+    known = sample.select(F.col("page_id").alias("q"), F.col("page_id").alias("owner"), F.expr("cast(array() as array<string>)").alias("excluded"), "terms", F.size("w").alias("n_tokens"), F.lit("text").alias("kind"))
+    members = profiles(read)
+    curves = suggest.calibration(suggest.by_owner(suggest.suggestions(members, known), known), sample.select(F.col("page_id").alias("owner"), "gid"))
+    ask = asked(read)
+    out = suggest.confident(suggest.by_owner(suggest.suggestions(members, ask), ask), curves)
+    return out.select("owner", "gid", F.round("score", 5).alias("score"), "place", F.round("confidence", 5).alias("confidence"))
 
 
 @query("join_near_dup_name", f"with {PAIRS} select a, b from sim where j >= 0.5 and a < b")
