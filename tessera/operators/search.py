@@ -6,37 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distance import osa_distance
-from ..functions.text import fold, stem, variants
-
-
-def group_search(groups: DataFrame, query: str, aliases: DataFrame | None = None) -> DataFrame:
-    """Groups (gid, name, path, size, description) for a query, by tier, then size and name.
-
-    Tiers: 0 exact name, 1 exact alias, 2 name starts with it, 3 all words, 3.5 all but one of three or more,
-    5 all words in the description, 6 in the family path.  Aliases: phrase, gid.
-    """
-    q = groups.sparkSession.range(1).select(fold(F.lit(query)).alias("q")).withColumn("words", F.transform(F.split("q", " "), variants))
-    g = groups.withColumns({"n": fold(F.col("name")), "d": fold(F.coalesce("description", F.lit(""))), "p": fold(F.coalesce("path", F.lit("")))})
-    stems = lambda c: F.transform(F.split(c, " "), stem)
-    g = g.join(F.broadcast(q))
-    hits = lambda c: F.size(F.filter("words", lambda v: F.arrays_overlap(v, stems(F.col(c)))))
-    n = F.size("words")
-    if aliases is not None:
-        own = aliases.select("gid", fold(F.col("phrase")).alias("a")).groupBy("gid").agg(F.collect_set("a").alias("as"))
-        g = g.join(own, "gid", "left")
-    else:
-        g = g.withColumn("as", F.lit(None).cast("array<string>"))
-    tier = (
-        F.when(F.col("n") == F.col("q"), 0.0)
-        .when(F.coalesce(F.array_contains("as", F.col("q")), F.lit(False)), 1.0)
-        .when(F.col("n").startswith(F.col("q")), 2.0)
-        .when(hits("n") == n, 3.0)
-        .when((n >= 3) & (hits("n") == n - 1), 3.5)
-        .when(hits("d") == n, 5.0)
-        .when(hits("p") == n, 6.0)
-    )
-    out = g.withColumn("tier", tier).where("tier is not null and q <> ''")
-    return out.select("gid", "name", "tier", F.round(F.log10(F.col("size") + 1.0), 6).alias("weight")).orderBy("tier", F.desc("weight"), "name", "gid")
+from ..functions.text import fold
 
 
 def did_you_mean(words: DataFrame, vocabulary: DataFrame, real: DataFrame | None = None) -> DataFrame:

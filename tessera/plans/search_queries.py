@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import relational as R
-from ..operators import search, suggest
+from ..operators import groupsearch, search, suggest
 from ..operators import similarity as S
 from ..sources import files
 from ..streaming import log
@@ -103,22 +103,107 @@ def _folder(df) -> str:
     return path
 
 
-def groups(read):
-    """Part names as groups, a size and a family path each."""
-    return read("part").groupBy(F.col("p_name").alias("name")).agg(count("size"), F.min("p_type").alias("path"), F.min("p_brand").alias("description"), F.min("p_partkey").alias("gid"))
-
-
-GROUPS = "g as (select p_name as name, count(*) as size, min(p_type) path, min(p_brand) description, min(p_partkey) gid from part group by 1)"
-
-
-@query("group_search", f"with {GROUPS} select gid, name, case when name = 'red ring' then 0.0::double when starts_with(name, 'red ring') then 2.0 when name like '%red%' and name like '%ring%' then 3.0 end tier, round(log10(size + 1.0::double), 6) weight from g where name like '%red%' and name like '%ring%'")
+#: Words of the made-up groups, and what is asked of them.
+FIRST = ["Draws", "Destroyed", "Flashback", "Token", "Sacrifice", "Red", "Counter"]
+SECOND = ["creatures", "spell", "lands", "artifact", "card", "ring", "bolts", "gear", "frame", "widget", "block"]
+ASKED = ["token ring", "draw", "red of", "flash", "flash ring", "destroying creature spell", "quick lands", "quick ring", "fast gear", "fast", "way card quickly", "ring flash", "family counter", "tokne rign", "draws special", "red ring zzzzz", "counter card block", "quick", "example red", "to", "sacrific", "x"]
+
+
+def named_groups(read):
+    """Pages as groups whose names, slugs and descriptions are made of their ids."""
+    i = F.col("page_id")
+    of = lambda words, k: F.get(F.lit(words), (k % len(words)).cast("int"))
+    part = lambda d: F.floor(i / d)
+    name = F.concat(of(FIRST, i), F.lit(" "), of(SECOND, i), F.when(i % 3 == 0, F.concat(F.lit(" of "), of(SECOND, part(7)))).otherwise(""), F.when(i % 5 == 0, " — not recorded").otherwise(""))
+    return read("pages").select(
+        i.alias("gid"), name.alias("name"), F.when(i % 4 == 0, F.array(F.concat(of(FIRST, part(3)), F.lit(" special")))).alias("extras"), F.when(i % 6 == 0, F.concat(F.lit("fast-"), of(SECOND, i))).alias("slug"),
+        F.concat(F.lit("Family "), of(FIRST, part(11))).alias("path"), F.when(i % 8 == 0, F.concat(F.lit("Example "), of(FIRST, part(2)))).otherwise(F.concat(F.lit("Ways to "), of(SECOND, part(2)), F.lit(" quickly"))).alias("description"),
+        (i % 8 == 0).alias("draft"), of(list("lktoch"), i).alias("layer"), (i % 50).alias("size"), (i % 9 == 0).alias("auto"), (part(2) % 2).alias("placed"),
+    )
+
+
+def phrases(read):
+    """Every tenth group answers to a quick phrase; odd tens to one by hand, even ones to a drafted one."""
+    i = F.col("page_id")
+    word = F.get(F.lit(SECOND), (i % len(SECOND)).cast("int"))
+    return read("pages").where("page_id % 10 = 1").select(F.concat(F.lit("quick "), word).alias("phrase"), i.alias("gid"), i.alias("place"), (i % 20 == 1).alias("hand"))
+
+
+def found_groups(read):
+    pages = read("pages")
+    ask = pages.sparkSession.createDataFrame(list(enumerate(ASKED)), "qid int, text string")
+    real = pages.sparkSession.createDataFrame([("zzzzz",), ("fast",), ("flash",)], "word string")
+    return groupsearch.search(groupsearch.build(named_groups(read), phrases(read)), ask, real)
+
+
+def _list(words):
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def _stem(w):
+    return f"(case when length({w}) > 4 and regexp_matches({w}, 'ies$') then {w}[:-4] || 'y' when length({w}) > 4 and regexp_matches({w}, '(ss|x|z|ch|sh)es$') then {w}[:-3] when length({w}) > 3 and regexp_matches({w}, 's$') and not regexp_matches({w}, '(ss|us|is)$') then {w}[:-2] else {w} end)"
+
+
+def _fold(x):
+    return f"trim(regexp_replace(regexp_replace(lower({x}), '[''’]', '', 'g'), '[^a-z0-9]+', ' ', 'g'))"
+
+
+_STOP = _list(groupsearch.STOP)
+#: The search as joins of rows: tokens of queries, words of names by place, and what a token is to a word.
+SEARCHED = rf"""
+e as (select page_id gid, {_list(FIRST)}[page_id % 7 + 1] || ' ' || {_list(SECOND)}[page_id % 11 + 1] || case when page_id % 3 = 0 then ' of ' || {_list(SECOND)}[(page_id // 7) % 11 + 1] else '' end || case when page_id % 5 = 0 then ' — not recorded' else '' end as name,
+ case when page_id % 4 = 0 then {_list(FIRST)}[(page_id // 3) % 7 + 1] || ' special' end extra, case when page_id % 6 = 0 then 'fast-' || {_list(SECOND)}[page_id % 11 + 1] end slug, 'Family ' || {_list(FIRST)}[(page_id // 11) % 7 + 1] path,
+ case when page_id % 8 = 0 then 'Example ' || {_list(FIRST)}[(page_id // 2) % 7 + 1] else 'Ways to ' || {_list(SECOND)}[(page_id // 2) % 11 + 1] || ' quickly' end description, page_id % 8 = 0 draft, 'lktoch'[page_id % 6 + 1] layer, (page_id // 2) % 2 placed from pages),
+al as (select 'quick ' || {_list(SECOND)}[page_id % 11 + 1] phrase, page_id gid, page_id place, page_id % 20 = 1 hand from pages where page_id % 10 = 1),
+nm as (select gid, 'n' f, 0 v, name x from e union all select gid, 'n', 1, extra from e where extra is not null union all select gid, 's', 0, slug from e where slug is not null union all select gid, 'd', 0, description from e union all select gid, 'p', 0, path from e),
+nw as (select gid, f, v, j - 1 j, {_stem('w')} w from (select gid, f, v, unnest(string_split({_fold('x')}, ' ')) w, unnest(range(1, len(string_split({_fold('x')}, ' ')) + 1)) j from nm) where f <> 'd' or not list_contains({_STOP}, {_stem('w')})),
+nk as (select gid, f, v, string_agg(w, ' ' order by j) k, count(*) n from nw group by 1, 2, 3), ck as (select gid, v, string_agg({_stem('w')}, ' ' order by j) k from (select gid, v, unnest(string_split({_fold("regexp_replace(x, ' — .*$', '')")}, ' ')) w, unnest(range(9)) j from nm where f = 'n') where w is not null group by 1, 2),
+gt as (select distinct unnest(string_split({_fold('x')}, ' ')) t from (select name x from e union all select slug from e union all select phrase from al)), gw as (select t, count(*) n from (select unnest(string_split({_fold('x')}, ' ')) t from (select name x from e union all select slug from e where slug is not null union all select distinct phrase from al)) where length(t) >= 3 group by 1),
+gs as (select distinct {_stem('t')} s from gw),
+ak as (select distinct phrase, string_split({_fold('phrase')}, ' ') ws from al), kk as (select distinct phrase, array_to_string(list_transform(string_split({_fold('phrase')}, ' '), lambda z: {_stem('z')}), ' ') k from al),
+q0 as (select unnest(range({len(ASKED)})) qid, unnest({_list(ASKED)}) q), q1 as (select * from q0 where length(q) >= 2),
+{{rounds}},
+allr as (select *, null::varchar meant from r1 union all select r2.* exclude (q), q meant from (select r2.*, q from r2 join again using (qid)) r2 where section = 'groups' and (tier <= 4.5 or tier = 4.9) and not exists (select 1 from r1 where r1.qid = r2.qid and r1.gid = r2.gid and r1.section = 'groups'))"""
+
+
+def _round(k, source):
+    """One literal search of the queries (qid, q) of a table."""
+    return rf"""
+tk{k} as (select qid, j - 1 pos, w, {_stem('w')} s, list_contains({_STOP}, w) stop from (select qid, unnest(string_split(q, ' ')) w, unnest(range(1, len(string_split(q, ' ')) + 1)) j from {source})),
+tv{k} as (select *, s in (select s from gs) own, w in ('zzzzz', 'fast', 'flash') or s in ('zzzzz', 'fast', 'flash') real, case when s in (select s from gs) then [s] when length(s) > 5 and regexp_matches(s, 'ing$') then [s, s[:-4]] when length(s) > 4 and regexp_matches(s, 'ed$') then [s, s[:-3]] else [s] end vs from tk{k}),
+qa{k} as (select qid, string_agg(s, ' ' order by pos) k, count(*) n, bool_and(stop) stops, max(pos) last from tv{k} group by 1), tc{k} as (select tv.*, a.n, a.last, not tv.stop or a.stops core from tv{k} tv join qa{k} a using (qid)), qn{k} as (select qid, count(*) filter (core) n, max(length(w)) filter (core) ml from tc{k} group by 1),
+mt{k} as (select distinct t.qid, t.pos, t.core, t.last, t.own or t.real whole, d.w, list_contains(t.vs, d.w) eq, list_contains(t.vs, d.w) or len(list_filter(t.vs, lambda x: length(x) >= 3 and starts_with(d.w, x))) > 0 pre,
+ len(list_filter(t.vs, lambda x: starts_with(d.w, x) and (regexp_matches(d.w[length(x) + 1:], '^(s|es|ed|d|ing|er|ers|ings)?$') or (d.w[length(x) + 1] = x[-1] and regexp_matches(d.w[length(x) + 2:], '^(s|es|ed|d|ing|er|ers|ings)?$'))))) > 0 same from tc{k} t, (select distinct w from nw union select distinct unnest(string_split({_fold('phrase')}, ' ')) from al) d),
+hit{k} as (select m.qid, gid, f, v, count(distinct pos) filter (core and pre) loose, count(distinct pos) filter (core and eq) exact, count(distinct pos) filter (core and case when whole then same else pre end) strict, count(distinct pos) filter (pos = j and case when pos = last then pre else eq end) ord, count(distinct pos) filter (pos = j and case when whole then same when pos = last then pre else eq end) ordw
+ from nw join mt{k} m using (w) group by 1, 2, 3, 4),
+fd{k} as (select h.qid, h.gid, max((f = 'n' and ord = a.n)::int) st, max((f = 'n' and ordw = a.n)::int) stw, max((f = 'n' and loose = c.n)::int) al, max((f = 'n' and strict = c.n)::int) alw, max((f = 'n' and c.n >= 3 and loose >= c.n - 1)::int) mo, max((f = 's' and loose = c.n)::int) sl, max((f = 'd' and exact = c.n and ml >= 3)::int) de, max((f = 'p' and loose = c.n)::int) pa
+ from hit{k} h join qa{k} a using (qid) join qn{k} c using (qid) group by 1, 2),
+eq{k} as (select qid, gid, 0.0 tier, 'name' why, '' via, 0 place from qa{k} a join (select gid, k from nk where f = 'n' union select gid, k from ck) using (k) union select qid, gid, 1.0, 'slug', '', 50 from qa{k} a join nk using (k) where f = 's'),
+en{k} as (select qid, gid, case when st = 1 then case when stw = 1 then 2.0 when alw = 1 then 3.0 else 3.1 end when al = 1 then case when alw = 1 then 3.0 else 3.2 end when mo = 1 then 3.5 when sl = 1 then 4.0 when de = 1 then 5.0 when pa = 1 then 6.0 end tier,
+ case when st = 1 or al = 1 then 'name' when mo = 1 then 'most' when sl = 1 then 'slug' when de = 1 then 'description' when pa = 1 then 'family' end why, '' via, 0 place from fd{k}),
+ap{k} as (select m.qid, phrase from (select phrase, unnest(ws) w0 from ak) x, lateral (select {_stem('w0')} w) y join mt{k} m using (w) join qn{k} c using (qid) where core and pre group by m.qid, phrase having count(distinct pos) = any_value(c.n)),
+au{k} as (select qid, gid, case when hand then 1.0 else 4.5 end tier, 'alias' why, phrase via, place from qa{k} join kk using (k) join al using (phrase) union all select ap.qid, gid, 4.0, 'alias', phrase, 0 from ap{k} ap join al using (phrase) join kk using (phrase) join qa{k} a on a.qid = ap.qid where hand and kk.k <> a.k),
+b{k} as (select * from (select * from eq{k} union all select * from en{k} where tier is not null union all select * from au{k}) qualify row_number() over (partition by qid, gid order by tier, place, case when why = 'alias' and tier = 4 then 1 else 0 end, via, why) = 1),
+r{k} as (select qid, gid, name, case when layer = 'h' and placed = 0 and tier >= 2 and tier < 4.9 and why <> 'family' then 4.9 else tier end::double tier, why, via, case when why = 'family' then 'family' when why = 'description' and draft and starts_with(description, 'Example') then 'example' else 'groups' end section from b{k} join e using (gid))"""
+
+
+_AGAIN = """
+few as (select qid from q1 where (select count(*) from r1 where r1.qid = q1.qid and section = 'groups' and (tier <= 4.5 or tier = 4.9)) < 3),
+od as (select distinct w from tv1 where qid in (select qid from few) and length(w) >= 4 and not stop and not real and not regexp_matches(w, '[0-9]') and not exists (select 1 from gs where list_contains(vs, s)) and not exists (select 1 from gw where starts_with(gw.t, tv1.w))),
+nr as (select w, t from (select w, t, n, damerau_levenshtein(w, t) d from od, gw where abs(length(w) - length(t)) <= case when length(w) <= 7 then 1 else 2 end and (w[1] = t[1] or (w[1] = t[2] and w[2] = t[1]))) where d <= case when length(w) <= 7 then 1 else 2 end qualify row_number() over (partition by w order by d, n desc, t) = 1),
+again as (select qid, string_agg(coalesce(t, w), ' ' order by pos) q from tv1 left join nr using (w) where qid in (select qid from few) group by qid having bool_or(t is not null))"""
+SEARCHED = SEARCHED.replace("{rounds}", _round(1, "q1") + "," + _AGAIN + "," + _round(2, "again"))
+
+
+@query("group_search", f"with {SEARCHED} select qid::integer qid, section, gid, name, tier, why, via, meant from allr")
 def group_search(read):
-    return search.group_search(groups(read), "red ring")
+    """Groups met by each of the queries asked, with every tier."""
+    return found_groups(read).select("qid", "section", "gid", "name", "tier", "why", "via", "meant")
 
 
-@query("search_tiers", f"with {GROUPS} select gid, name, 2.0::double tier from g where starts_with(name, 'blue')")
+@query("search_tiers", f"with {SEARCHED} select qid::integer qid, section, tier, why, count(*) n from allr group by all")
 def search_tiers(read):
-    return search.group_search(groups(read), "blue").select("gid", "name", "tier")
+    return found_groups(read).groupBy("qid", "section", "tier", "why").agg(count())
 
 
 @query("did_you_mean", """with q as (select unnest(['rign', 'smal', 'gaer', 'widgte', 'blot', 'zzzz']) word), v as (select term, count(*) n from (select unnest(string_split(p_name, ' ')) term from part) group by 1),

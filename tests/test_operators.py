@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import codes, text
 from tessera.functions.distance import osa
-from tessera.operators import cluster, edits, relational, rules, search, similarity, taxonomy, variant
+from tessera.operators import cluster, edits, groupsearch, relational, rules, search, similarity, taxonomy, variant
 from tessera.plans import structure_queries, text_queries  # noqa: F401  they register their queries
 from tessera.plans.registry import QUERIES
 
@@ -244,10 +244,25 @@ def test_edits_resolve_and_batches_are_whole(spark):
 
 
 def test_search_tiers_and_names(spark):
-    g = spark.createDataFrame([(1, "Red Ring", "rings", 5, "a ring"), (2, "Red Ringing", "rings", 9, None), (3, "Ring of Red", "rings", 7, None), (4, "Blue", "red ring", 3, None)], "gid long, name string, path string, size long, description string")
-    assert [(r["gid"], r["tier"]) for r in search.group_search(g, "red ring").collect()] == [(1, 0.0), (2, 2.0), (3, 3.0), (4, 6.0)]
-    aliases = spark.createDataFrame([("red ring", 4)], "phrase string, gid long")
-    assert [(r["gid"], r["tier"]) for r in search.group_search(g, "red ring", aliases).collect()][1] == (4, 1.0)
+    kind = "gid long, name string, extras array<string>, slug string, path string, description string, draft boolean, layer string, size long, auto boolean, placed long"
+    row = lambda gid, name, path, size, description=None, extras=None, slug=None, layer="l", draft=False, placed=1: (gid, name, extras, slug, path, description, draft, layer, size, False, placed)
+    g = spark.createDataFrame([row(1, "Red Ring", "rings", 5, "a ring"), row(2, "Red Ringing", "rings", 9), row(3, "Ring of Red", "rings", 7), row(4, "Blue", "red ring", 3), row(5, "Odd", None, 2, "the red ring"), row(6, "Redcap ring", None, 1), row(7, "Bare Red Rings", None, 1, layer="h", placed=0), row(8, "Other", None, 1, "Example red ring", draft=True), row(9, "Named", None, 1, extras=["ring, red!"]), row(10, "S", None, 1, slug="red-ring")], kind)
+    ask = spark.createDataFrame([(1, "Red ring"), (2, "red rign"), (3, "  "), (4, "zzzz")], "qid int, text string")
+    real = spark.createDataFrame([("zzzz",)], "word string")
+    aliases = spark.createDataFrame([("red ring", 4, 0, True), ("the red ring", 11, 0, True), ("small red ring", 5, 1, True), ("red ring", 6, 0, False)], "phrase string, gid long, place long, hand boolean")
+    tiers = lambda df, qid=1: {r["gid"]: (r["section"], r["tier"]) for r in df.where(F.col("qid") == qid).collect()}
+    plain = groupsearch.search(groupsearch.build(g), ask)
+    want = {1: ("groups", 0.0), 2: ("groups", 2.0), 3: ("groups", 3.0), 4: ("family", 6.0), 5: ("groups", 5.0), 6: ("groups", 3.2), 7: ("groups", 4.9), 8: ("example", 5.0), 9: ("groups", 3.0), 10: ("groups", 1.0)}
+    assert tiers(plain) == want and not tiers(plain, 3) and not tiers(plain, 4) and not tiers(plain, 2)
+    named = groupsearch.search(groupsearch.build(g, aliases), ask, real)
+    assert tiers(named) == want | {4: ("groups", 1.0), 5: ("groups", 4.0), 6: ("groups", 3.2)}
+    second = named.where("qid = 2")
+    assert tiers(second, 2) == {k: v for k, v in tiers(named).items() if v[0] == "groups" and (v[1] <= 4.5 or v[1] == 4.9)} and {r["meant"] for r in second.collect()} == {"red ring"}
+    old = groupsearch.search(groupsearch.build(g), ask, fixes=False)
+    assert tiers(old)[6] == ("groups", 3.0) and tiers(old)[7] == ("groups", 3.0) and tiers(old)[8] == ("groups", 5.0)
+    assert [r["gid"] for r in groupsearch.ranked(plain.where("qid = 1 and section = 'groups'"), 3).orderBy("rank").collect()] == [1, 10, 2]
+    assert groupsearch.search(groupsearch.build(g.where("false")), ask, real).count() == 0
+
 
 
 def test_components_on_random_graphs(spark):
