@@ -10,6 +10,8 @@ from ..functions import text
 from ..operators import relational as R
 from ..operators import rules
 from ..operators import similarity as S
+from ..operators import spans as SP
+from ..operators.stored import stored
 from .registry import query
 from .structure_queries import nearest
 from .table_queries import CARDS, cards
@@ -76,6 +78,41 @@ def spans(read):
     return x.select("p_partkey", *[P.clause(n)("line").alias(n) for n in ("cost", "condition", "effect", "restriction")])
 
 
+EFFECTS = ["Draw", "Destroy", "GainLife", "Token"]
+CLAUSES = ["draw $T cards", "destroy the nearest $W", "gain $T life", "create a small $W token"]
+_ONE = "replace(replace({c}, '$T', (n_chars % 7)::varchar), '$W', coalesce(source, 'thing'))"
+_CLAUSE = "[" + ", ".join(f"'{c}'" for c in CLAUSES) + "]"
+
+
+def effect_lines(read):
+    """Documents as lines of one or two effects: with a cost, a condition or a restriction, and joined in two ways."""
+    i = F.col("doc_id")
+    pick = lambda words, k: F.get(F.lit(words), (k % 4).cast("int"))
+    fill = lambda c: F.replace(F.replace(c, F.lit("$T"), (F.col("n_chars") % 7).cast("string")), F.lit("$W"), F.coalesce("source", F.lit("thing")))
+    a, b = fill(pick(CLAUSES, i)), fill(pick(CLAUSES, F.floor(i / 4)))
+    before = F.when(i % 5 == 1, "{2}, Tap it: ").when(i % 5 == 2, "When it enters, ").otherwise("")
+    after = F.when(i % 7 == 3, ". Activate only once.").otherwise(".")
+    body = F.when(i % 3 == 0, a).when(i % 3 == 1, F.concat(a, F.lit(", then "), b)).otherwise(F.concat(a, F.lit(". If you do, "), b))
+    chain = F.when(i % 3 == 0, F.array(pick(EFFECTS, i))).otherwise(F.array(pick(EFFECTS, i), pick(EFFECTS, F.floor(i / 4))))
+    bucket = F.when(i % 5 == 1, "abilities").when(i % 5 == 2, "triggers").otherwise("static_abilities")
+    return read("documents").select(i.alias("item"), bucket.alias("bucket"), F.concat(before, body, after).alias("line"), chain.alias("chain"), F.coalesce("source", F.lit("thing")).alias("name"))
+
+
+@query("effect_spans", f"""with x as (select doc_id item, {_ONE.format(c=_CLAUSE + "[doc_id % 4 + 1]")} a, {_ONE.format(c=_CLAUSE + "[(doc_id // 4) % 4 + 1]")} b, case doc_id % 5 when 1 then '{{2}}, Tap it: ' when 2 then 'When it enters, ' else '' end before,
+case when doc_id % 7 = 3 then '. Activate only once.' else '.' end after, doc_id % 3 <> 0 and doc_id % 4 <> (doc_id // 4) % 4 parted from documents),
+y as (select item, before || case item % 3 when 0 then a when 1 then a || ', then ' || b else a || '. If you do, ' || b end || after as line, length(before) "start", length(before) + length(a) + case when item % 3 = 1 then 0 else 1 end stop, length(before) + case item % 3 when 0 then length(a) when 1 then length(a) + 7 + length(b) else length(a) + 13 + length(b) end + 1 whole, parted, after, before from x)
+select item, substring(line, 1, "start") as "before", substring(line, "start" + 1, case when parted then stop else whole end - "start") as own, substring(line, case when parted then stop else whole end + 1) as rest,
+list_concat(list_concat(case when before like '%: ' then ['cost'] when before <> '' then ['condition'] else [] end, case when length(after) > 1 then ['restriction'] else [] end), case when parted then ['sub-effect'] else [] end) how0 from y""".replace("list_concat(list_concat(case", "array_to_string(list_concat(list_concat(case").replace("else [] end) how0", "else [] end), ',') how"))
+def effect_spans(read):
+    """The first effect of each line, by words learned from the lines of one effect; the three parts make up the line."""
+    x = effect_lines(read)
+    single = x.where("size(chain) = 1 and bucket = 'static_abilities'").select(F.col("chain")[0].alias("effect"), "line", "name")
+    y = SP.narrowed(x, stored(SP.learn_anchors(single)))
+    piece = lambda a, b: F.substring(F.col("line"), a + 1, b - a)
+    how = F.when(F.col("how")[0] == "none", "").otherwise(F.array_join("how", ","))
+    return y.select("item", piece(F.lit(0), F.col("start")).alias("before"), piece(F.col("start"), F.col("end")).alias("own"), piece(F.col("end"), F.length("line")).alias("rest"), how.alias("how"))
+
+
 @query("naming", "select p_partkey, upper(p_type[1]) || lower(p_type[2:]) || ' of ' || lower(p_name) || ' by ' || lower(p_brand) || case when count(*) over (partition by p_type, p_name, p_brand) > 1 then ' (' || p_partkey || ')' else '' end as name from part")
 def naming(read):
     name = P.leaf_name(F.col("p_type"), {"of": F.col("p_name"), "by": F.col("p_brand")})

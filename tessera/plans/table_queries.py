@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import codes
+from ..operators import containment
 from ..operators import edits as E
 from ..operators import relational as R
 from .registry import query
@@ -126,10 +127,14 @@ def join_anti_orphans(read):
     return read("customer").join(read("orders"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
 
 
-@query("join_theta_containment", "select p_partkey, n.w as word, cast(instr(p_name, n.w) as integer) place from part, (values ('ring'), ('small'), ('gear')) n(w) where contains(p_name, n.w)")
+@query("join_theta_containment", r"""with n as (select distinct array_to_string(string_split(trim(text), ' ')[1:3], ' ') || case when item_id % 2 = 0 then ', the ' || item_id else '' end as name from benchmark),
+v as (select distinct name, unnest([lower(name), lower(trim(string_split(name, ',')[1]))]) variant from n), d as (select doc_id item, lower(text) t from documents where text is not null),
+p as (select item, name, variant, t, string_split(t, variant) ps from d, v where contains(t, variant)), q as (select item, name, variant, t, unnest(list_transform(range(1, len(ps)), lambda i: 1 + list_sum(list_transform(ps[1:i], lambda x: length(x))) + (i - 1) * length(variant)))::integer place from p)
+select item, name, variant, place from q where not (place > 1 and regexp_matches(t[place - 1], '[\p{L}\p{N}_]')) and not regexp_matches(t[place + length(variant)], '[\p{L}\p{N}_]')""")
 def join_theta_containment(read):
-    words = F.array(F.lit("ring"), F.lit("small"), F.lit("gear"))
-    return read("part").select("p_partkey", "p_name", F.explode(words).alias("word")).withColumn("place", F.expr("instr(p_name, word)")).where("place > 0").select("p_partkey", "word", "place")
+    """Names (the first words of benchmark items) wherever they stand in documents."""
+    name = F.concat(F.array_join(F.slice(F.split(F.trim("text"), " ", -1), 1, 3), " "), F.when(F.col("item_id") % 2 == 0, F.concat(F.lit(", the "), F.col("item_id").cast("string"))).otherwise(""))
+    return containment.contained(read("documents"), "doc_id", "text", read("benchmark").select(name.alias("name")).distinct(), "name")
 
 
 @query("join_collision_diff", "select p_name as name, count(distinct p_partkey) ids, min(p_partkey) kept from part group by 1 having count(distinct p_partkey) > 1")
