@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import loose as L
 from ..operators import signature as G
 from .registry import query
 
@@ -110,3 +111,43 @@ def card_features(read):
     """Tokens of the abilities of a card (here a source), counted: effect types, types with target shapes, target shapes."""
     x = G.features(abilities(read), "bucket", "tree")
     return x.select("card", F.explode("features").alias("token")).groupBy("card", "token").agg(F.count(F.lit(1)).alias("n"))
+
+
+#: Fields of the families, most important first, and what large groups are split by.
+LOOSE = {"Zone change": ["to", "frm", "ctrl"], "Destroy": ["ctrl", "obj", "props"], "Pump / grant": ["quant", "obj", "sign"], "Damage": ["who", "obj"], "Tokens": ["quant", "tok"]}
+REFINE = {"Destroy": ["quant", "obj"], "Pump / grant": ["sign", "mods"], "Library": ["chain", "obj"], "Zone change": ["obj"], "Tokens": ["tok"], "Counters": ["who"]}
+DEFAULT = ["obj"]
+
+
+def _case(lists, k, value, default=()):
+    own = [f"when '{f}' then {value(x[k])}" for f, x in lists.items() if len(x) > k]
+    rest = value(default[k]) if len(default) > k else "null"
+    return f"case when fam not in ({', '.join(repr(f) for f in lists)}) then {rest} else case fam {' '.join(own)} end end" if own else rest
+
+
+def _loose_sql() -> str:
+    one = lambda f: "'|" + f + "=' || length(\"" + f + "\") || ':' || \"" + f + "\""
+    deepest = max(map(len, LOOSE.values()))
+    ctes = ["l0 as (select item, item // 2 card, fam, fam || '/' || ftype base, " + ", ".join(f"{_case(LOOSE, k, one, DEFAULT)} p{k}" for k in range(deepest)) + ", " + ", ".join(f'"{f}"' for f in sorted({f for x in REFINE.values() for f in x})) + ", null::varchar k from sig where usable)"]
+    at = 0
+    for level in range(deepest, -1, -1):
+        whole = f"base || '#{level}'" + "".join(f" || p{k}" for k in range(level))
+        ctes.append(f"t{at} as (select *, case when k is null then {whole} end tr from l{at})")
+        ctes.append(f"l{at + 1} as (select t.* exclude (k, tr), coalesce(t.k, case when {level} = 0 or c >= {L.LEAST} then t.tr end) k from t{at} t left join (select tr, count(distinct card) c from t{at} group by 1) using (tr))")
+        at += 1
+    ctes.append(f"w as (select l.*, k as whole, k as part from l{at} l)")
+    ctes.append("r0 as (select w.*, n from w join (select whole, count(distinct card) n from w group by 1) using (whole))")
+    for k in range(max(map(len, REFINE.values()))):
+        value = _case(REFINE, k, lambda f: f"""case when "{f}" <> '' then part || {one(f)} end""")
+        ctes.append(f"s{k} as (select *, {value} sp from r{k})")
+        ctes.append(f"r{k + 1} as (select s.* exclude (part, sp), case when n > {L.OVER} and cp > {L.OVER} and cs >= {L.LEAST} then sp else part end part from s{k} s left join (select part, count(distinct card) cp from s{k} group by 1) using (part) left join (select sp, count(distinct card) cs from s{k} group by 1) using (sp))")
+    last = max(map(len, REFINE.values()))
+    ctes.append(f"f as (select item, card, fam, case when c < {L.LEAST} then fam || '/OTHER' else part end grp from r{last} join (select part, count(distinct card) c from r{last} group by 1) using (part))")
+    return ", ".join(ctes) + f" select item, card, fam as family, grp as key, case when grp = fam || '/OTHER' then 'bucket' when n > {L.WIDE} then 'catchall' else 'group' end kind, n as cards from f join (select grp, count(distinct card) n from f group by 1) using (grp)"
+
+
+@query("loose_groups", f"with {SIGNATURES}, {_loose_sql()}")
+def loose_groups(read):
+    """Loose groups of the abilities, two to a card."""
+    x = signed(read).where("usable").withColumnsRenamed({"fam": "family", "ftype": "type"}).withColumn("card", F.floor(F.col("item") / 2))
+    return L.loose_groups(x, LOOSE, REFINE, DEFAULT)

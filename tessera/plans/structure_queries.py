@@ -156,13 +156,6 @@ def unorganized_groups(read):
     return read("orders").where("o_orderstatus = 'P'").groupBy(F.col("o_orderpriority").alias("reason")).agg(count(), F.min("o_orderkey").alias("evidence"))
 
 
-@query("loose_groups", "with c as (select p_partkey, p_type, p_brand, p_name, count(*) over (partition by p_type, p_brand, p_name) a, count(*) over (partition by p_type, p_brand) b from part) select p_partkey, case when a >= 10 then p_type || '/' || p_brand || '/' || p_name when b >= 10 then p_type || '/' || p_brand else p_type end as grp from c")
-def loose_groups(read):
-    levels = [["p_type", "p_brand", "p_name"], ["p_type", "p_brand"], ["p_type"]]
-    x = read("part").join(X.backoff_levels(read("part"), "p_partkey", levels, 10), "p_partkey")
-    return x.select("p_partkey", F.when(F.col("level") == 0, F.concat_ws("/", *levels[0])).when(F.col("level") == 1, F.concat_ws("/", *levels[1])).otherwise(F.col("p_type")).alias("grp"))
-
-
 @query("tag_layer", "with m as (select distinct p_brand || p_type g, p_partkey i from part) select g, count(*) n, case when count(*) > 16 then 'wide' else 'group' end kind from m group by 1 having count(*) >= 5")
 def tag_layer(read):
     m = read("part").select(F.concat("p_brand", "p_type").alias("g"), F.col("p_partkey").alias("i")).distinct()
