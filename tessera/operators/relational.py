@@ -21,10 +21,11 @@ def require_unique(df: DataFrame, key: str) -> DataFrame:
 
 
 def overlay_replace(base: DataFrame, over: DataFrame, key: str) -> DataFrame:
-    """Rows of base with the values of over where it has the key; a null of over leaves the value."""
+    """Rows of base with the values of over where it has the key; a null of over leaves the value, a key that base lacks is an error."""
     own = [c for c in over.columns if c != key]
-    joined = base.join(over.select(key, *[F.col(c).alias(f"__{c}") for c in own]), key, "left")
-    return joined.select(*[F.coalesce(f"__{c}", c).alias(c) if c in own else F.col(c) for c in base.columns])
+    joined = base.withColumn("__base", F.lit(True)).join(over.select(F.col(key).alias("__key"), *[F.col(c).alias(f"__{c}") for c in own]), F.col(key) == F.col("__key"), "full")
+    known = F.when(F.col("__base").isNull(), F.raise_error(F.concat(F.lit("overlay of an unknown key "), F.coalesce(F.col("__key").cast("string"), F.lit("null")))).cast("boolean")).otherwise(True)
+    return joined.where(known).select(*[F.coalesce(f"__{c}", c).alias(c) if c in own else F.col(c) for c in base.columns])
 
 
 def missing_keys(over: DataFrame, base: DataFrame, key: str) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(__file__))
 from compare import connect, same  # noqa: E402
 
-from tessera.plans import detail_queries, search_queries, signature_queries, structure_queries, table_queries, text_queries  # noqa: E402,F401
+from tessera.plans import detail_queries, edit_queries, search_queries, signature_queries, structure_queries, table_queries, text_queries  # noqa: E402,F401
 from tessera.plans.registry import ORACLES, QUERIES  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
