@@ -9,7 +9,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import loose as L
+from ..operators import promotion as P
 from ..operators import signature as G
+from ..operators import similarity as S
+from ..operators.stored import stored
 from .registry import query
 
 #: (bucket, tree, fields that are not blank).
@@ -55,6 +58,8 @@ SHAPES = [
      dict(fam="Pump / grant", rtype="Pump", ftype="Pump", who="defending player", obj="defending player", quant="one", sign="shrink")),
     ("abilities", '{"effect":{"type":"PutOnTopOrBottom","target":{"type":"ParentTargetController"}},"sub_ability":{"effect":{"type":"Scry"}},"multi_target":{"max":1}}',
      dict(fam="Zone change", rtype="PutOnTopOrBottom", ftype="PutOnTopOrBottom", to="Library", who="its controller", obj="its controller", quant="one", chain="Scry")),
+    ("abilities", '{"effect":{"type":"Regenerate","target":{"type":"Typed","type_filters":["Creature"]},"note":"$P"}}', dict(fam="Protection", rtype="Regenerate", ftype="Regenerate", obj="Creature", quant="one")),
+    ("abilities", '{"effect":{"type":"Rare $P","target":{"type":"Typed","type_filters":["Land"]}}}', dict(fam="Other", rtype="Rare $P", ftype="Rare $P", obj="Land", quant="one")),
 ]
 BLANK = dict(fam="none", rtype="none", ftype="none", obj="-", ctrl="-", quant="-")
 
@@ -101,7 +106,7 @@ FEATURES = [
     ("eff:Destroy", "Typed[Creature,Non:Artifact]@Opponent{NotColor:$P,Plain}"), ("eff:DestroyAll", "Or"), ("eff:Pump", "Or"), ("eff:TargetOnly", None), ("eff:CreateDelayedTrigger", "Player"), ("eff:SearchLibrary", "Typed[Land]@Any"),
     ("eff:GenericEffect", None), ("eff:GenericEffect", "Typed[Creature]@Any{EnchantedBy}"), ("eff:static:Continuous", "Typed[Creature]@You{InZone:Battlefield,Other:$T}"), ("eff:static:ReduceCost", "Controller"), ("eff:static:CantAttack", "TriggeringPlayer"), (None, None),
     ("eff:PutCounterAll", "Typed[Permanent]@Any"), ("eff:Token", None), ("eff:Mana", None), ("eff:DamageEachPlayer", None), ("eff:Bounce", "ParentTarget"), ("eff:ExploreAll", "Odd$T"), ("eff:DamageAll", "Or"), ("eff:NewThing", None),
-    (None, None), (None, None), ("eff:Pump", "DefendingPlayer"), ("eff:PutOnTopOrBottom", "ParentTargetController"),
+    (None, None), (None, None), ("eff:Pump", "DefendingPlayer"), ("eff:PutOnTopOrBottom", "ParentTargetController"), ("eff:Regenerate", "Typed[Creature]@Any"), ("eff:Rare $P", "Typed[Land]@Any"),
 ]
 _TOKENS = ", ".join(f"({k}, '{t}')" for k, (kind, shape) in enumerate(FEATURES) for t in ([kind] if kind else []) + ([f"{kind}|tgt:{shape}", f"tgt:{shape}"] if shape else []))
 
@@ -151,3 +156,42 @@ def loose_groups(read):
     """Loose groups of the abilities, two to a card."""
     x = signed(read).where("usable").withColumnsRenamed({"fam": "family", "ftype": "type"}).withColumn("card", F.floor(F.col("item") / 2))
     return L.loose_groups(x, LOOSE, REFINE, DEFAULT)
+
+
+#: Of the string fields of each effect but its type, and its chained steps, by hand.
+SIGNED = {2: "duration=EndOfTurn|0", 3: "|1", 5: "|2", 12: "counter_kind=LORE|0", 13: "name=Thing $T|0", 15: "player=Owner|0", 19: "target=$P|0", 23: "|1", 24: "note=$P|0"}
+_TOKS = ", ".join(f"({k}, '{t}')" for k, (kind, shape) in enumerate(FEATURES) for t in ([kind] if kind else []) + ([f"{kind}|tgt:{shape}", f"tgt:{shape}"] if shape else []))
+_SIGN = ", ".join(f"({k}, '{SIGNED.get(k, '|0')}', '{(kind or '').removeprefix('eff:')}')" for k, (kind, _) in enumerate(FEATURES))
+
+
+def signed_effect(x):
+    """The string fields of an ability's own effect but its type, with the number of chained steps, two at most."""
+    node = F.try_parse_json("tree")
+    run = F.when(F.col("bucket") == "abilities", node).otherwise(G.at(node, "execute"))
+    x = x.withColumn("run", run).withColumn("effect", G.at(F.col("run"), "effect"))
+    strings = F.transform(F.filter(G.entries(F.col("effect")), lambda e: (G.kind(e["value"]) == "STRING") & (e["key"] != "type")), lambda e: F.concat(e["key"], F.lit("="), F.try_variant_get(e["value"], "$", "string")))
+    steps = F.when(G.at(F.col("run"), "sub_ability.sub_ability").isNotNull(), "2").when(G.at(F.col("run"), "sub_ability").isNotNull(), "1").otherwise("0")
+    signature = F.concat(F.array_join(F.array_sort(strings), ","), F.lit("|"), steps)
+    return x.withColumns({"signature": signature, "type": G.text(F.col("effect"), "type"), "scoped": G.set_at(F.col("run"), "player_scope"), "modal": G.set_at(F.col("run"), "mode_abilities")}).drop("run", "effect", "tree", "bucket")
+
+
+@query("ability_promotion", f"""with t0(k, t) as (values {_TOKS}), s0(k, sg, leaf) as (values {_SIGN}), d as (select doc_id item, coalesce(source, 'none') source, n_chars, doc_id % {len(SHAPES)} k, case when doc_id % 10 = 5 then 'an opponent loses, graveyard' when doc_id % 15 = 0 then '  ' else 'target player draws, graveyard' end tx from documents where doc_id % {len(SHAPES)} not in (8, 9, 10, 11, 20, 21)),
+tk as (select item, {_FILL.format(f='t')} t from d join t0 using (k)), ks as (select item, count(*) n, array_to_string(list_sort(list(t)), chr(10)) ky from tk group by 1), sn as (select item, k, tx, {_FILL.format(f='sg')} sg, {_FILL.format(f='leaf')} own from d join s0 using (k)),
+idf as (select t, ln((1 + (select count(*) from d))::double / (1 + count(*))) + 1 v from tk group by 1), un as (select item, t, v / sqrt(sum(v * v) over (partition by item)) w from tk join idf using (t)),
+mb as (select * from sn where item % 5 <> 0), sz as (select own leaf, count(*) size from mb group by 1), ce as (select own leaf, t, sum(w) / any_value(size) m from un join mb using (item) join sz on leaf = own group by 1, 2), cn as (select leaf, t, m / sqrt(sum(m * m) over (partition by leaf)) c from ce),
+dt as (select item, leaf, sum(w * c) s from un join cn using (t) where item % 5 = 0 group by 1, 2), be as (select item, leaf, s from dt qualify row_number() over (partition by item order by round(s, 9) desc, leaf) = 1),
+sa as (select own leaf, ky, sg, count(*) k from mb join ks using (item) group by 1, 2, 3), ev as (select leaf, ky, sum(k) n from sa group by 1, 2),
+op as (select own leaf, avg((tx like '%opponent%')::int) o, avg((tx like 'target%')::int) p, avg((tx like '%graveyard%')::int) g from mb group by 1)
+select c.item, be.leaf, case when s < 0.9 then 'below' when ks.n = 1 or size >= 500 then 'generic_leaf' when ks.n < 3 or size > 300 then 'in_between' when trim(tx) = '' then 'no_text' when c.item % 8 = 0 then 'flagged' when c.k = 6 then 'modal' when c.k in (12, 16) then 'type'
+ when (tx like '%opponent%' and o < 0.2) or (tx like 'target%' and p < 0.2) or (tx like '%graveyard%' and g < 0.2) then 'wording' when coalesce(ev.n, 0) < 2 then 'structure_unknown' when coalesce(sa.k, 0) < 2 or sa.k < 0.15 * ev.n then 'structure' end gate
+from sn c join be using (item) join ks using (item) join sz on sz.leaf = be.leaf join op on op.leaf = be.leaf left join ev on ev.leaf = be.leaf and ev.ky = ks.ky left join sa on sa.leaf = be.leaf and sa.ky = ks.ky and sa.sg = c.sg""")
+def ability_promotion(read):
+    """Every fifth ability against the leaves of the others, leaves being effect types."""
+    x = G.features(abilities(read).where("bucket <> 'static_abilities'"), "bucket", "tree").where("size(features) > 0")
+    i = F.col("item")
+    text = F.when(i % 10 == 5, "an opponent loses, graveyard").when(i % 15 == 0, "  ").otherwise("target player draws, graveyard")
+    x = stored(signed_effect(x).withColumns({"tokens": F.array_sort("features"), "text": text, "flagged": i % 8 == 0}))
+    members = x.where("item % 5 <> 0").withColumn("leaf", F.col("type"))
+    vectors = stored(S.weighted(x, "item", "tokens", smooth=True))
+    found = P.nearest_leaf(vectors.where("item % 5 = 0"), S.centroids(vectors, members.select("item", "leaf"), "leaf"))
+    return P.gates(x.where("item % 5 = 0").join(found, "item"), members)

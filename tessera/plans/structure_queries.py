@@ -10,6 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import cluster as C
+from ..operators import hierarchy as H
 from ..operators import relational as R
 from ..operators import similarity as S
 from ..operators import taxonomy as X
@@ -339,13 +340,6 @@ def leaf_map(read):
     return label_share(read("embeddings"))
 
 
-@query("ability_promotion", f"with {CENTROIDS}, b as (select vec_id, arg_max(leaf, (s, leaf)) leaf, max(s) s from s group by 1), t as (select leaf, count(*) n from b group by 1) select vec_id, leaf from b join t using (leaf) where round(s, 6) >= 0.6 and n <= 300")
-def ability_promotion(read):
-    b = nearest(read)
-    n = b.groupBy("leaf").agg(count())
-    return b.join(n, "leaf").where("round(s, 6) >= 0.6 and n <= 300").select("vec_id", "leaf")
-
-
 @query("also_fits", f"with {CENTROIDS} select vec_id, leaf from (select vec_id, leaf, row_number() over (partition by vec_id order by s desc, leaf desc) p, s from s) where p = 2 and s >= 0.2")
 def also_fits(read):
     e = read("embeddings").select("vec_id", "label", F.posexplode("embedding").alias("i", "x")).withColumn("x", F.col("x").cast("double"))
@@ -384,10 +378,15 @@ def cluster_diversity(read):
     return read("part").groupBy("p_brand").agg(F.count_distinct(F.element_at(F.split("p_name", " "), 1)).alias("leads"))
 
 
-@query("tag_hierarchy_rollup", "select r_regionkey root, count(distinct n_nationkey) nations, count(c_custkey) customers from region join nation on n_regionkey = r_regionkey left join customer on c_nationkey = n_nationkey group by 1")
+@query("tag_hierarchy_rollup", """with recursive d as (select doc_id, n_chars % 300 t from documents), k as (select distinct t from d), u as (select t, p from (select t, unnest([t // 2, t // 3]) p from k where t >= 4 and t % 50 <> 7) where p in (select t from k)),
+r(t, a, depth) as (select t, t, 0 from k union select r.t, u.p, depth + 1 from r join u on u.t = r.a), m as (select t, a, min(depth) depth from r where a not in (select t from u) group by 1, 2)
+select a as root, count(distinct m.t) tags, count(distinct doc_id) items, max(depth)::integer depth from m left join d on d.t = m.t group by 1""")
 def tag_hierarchy_rollup(read):
-    x = read("region").join(read("nation"), F.col("n_regionkey") == F.col("r_regionkey")).join(read("customer"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
-    return x.groupBy(F.col("r_regionkey").alias("root")).agg(F.count_distinct("n_nationkey").alias("nations"), F.count("c_custkey").alias("customers"))
+    """Lengths as tags with two parents each, rolled up to their roots."""
+    d = read("documents").select(F.col("doc_id").alias("item"), (F.col("n_chars") % 300).alias("tag"))
+    t = F.col("tag")
+    parents = F.when((t >= 4) & (t % 50 != 7), F.array(F.floor(t / 2), F.floor(t / 3))).otherwise(F.expr("cast(array() as array<bigint>)"))
+    return H.rollup(d, H.roots(d.select("tag").distinct().withColumn("parents", parents)))
 
 
 @query("layout_validation", "with e as (select vec_id, label, embedding::double[] v from embeddings), c as (select a.label, avg(list_cosine_similarity(a.v, b.v)) s from e a join e b on a.label = b.label and a.vec_id < b.vec_id group by 1) select label, round(s, 5) s from c")
