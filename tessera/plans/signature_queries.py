@@ -59,7 +59,7 @@ SHAPES = [
     ("abilities", '{"effect":{"type":"PutOnTopOrBottom","target":{"type":"ParentTargetController"}},"sub_ability":{"effect":{"type":"Scry"}},"multi_target":{"max":1}}',
      dict(fam="Zone change", rtype="PutOnTopOrBottom", ftype="PutOnTopOrBottom", to="Library", who="its controller", obj="its controller", quant="one", chain="Scry")),
     ("abilities", '{"effect":{"type":"Regenerate","target":{"type":"Typed","type_filters":["Creature"]},"note":"$P"}}', dict(fam="Protection", rtype="Regenerate", ftype="Regenerate", obj="Creature", quant="one")),
-    ("abilities", '{"effect":{"type":"Rare $P","target":{"type":"Typed","type_filters":["Land"]}}}', dict(fam="Other", rtype="Rare $P", ftype="Rare $P", obj="Land", quant="one")),
+    ("abilities", '{"effect":{"type":"Rare $P $T","target":{"type":"Typed","type_filters":["Land"]}}}', dict(fam="Other", rtype="Rare $P $T", ftype="Rare $P $T", obj="Land", quant="one")),
 ]
 BLANK = dict(fam="none", rtype="none", ftype="none", obj="-", ctrl="-", quant="-")
 
@@ -106,7 +106,7 @@ FEATURES = [
     ("eff:Destroy", "Typed[Creature,Non:Artifact]@Opponent{NotColor:$P,Plain}"), ("eff:DestroyAll", "Or"), ("eff:Pump", "Or"), ("eff:TargetOnly", None), ("eff:CreateDelayedTrigger", "Player"), ("eff:SearchLibrary", "Typed[Land]@Any"),
     ("eff:GenericEffect", None), ("eff:GenericEffect", "Typed[Creature]@Any{EnchantedBy}"), ("eff:static:Continuous", "Typed[Creature]@You{InZone:Battlefield,Other:$T}"), ("eff:static:ReduceCost", "Controller"), ("eff:static:CantAttack", "TriggeringPlayer"), (None, None),
     ("eff:PutCounterAll", "Typed[Permanent]@Any"), ("eff:Token", None), ("eff:Mana", None), ("eff:DamageEachPlayer", None), ("eff:Bounce", "ParentTarget"), ("eff:ExploreAll", "Odd$T"), ("eff:DamageAll", "Or"), ("eff:NewThing", None),
-    (None, None), (None, None), ("eff:Pump", "DefendingPlayer"), ("eff:PutOnTopOrBottom", "ParentTargetController"), ("eff:Regenerate", "Typed[Creature]@Any"), ("eff:Rare $P", "Typed[Land]@Any"),
+    (None, None), (None, None), ("eff:Pump", "DefendingPlayer"), ("eff:PutOnTopOrBottom", "ParentTargetController"), ("eff:Regenerate", "Typed[Creature]@Any"), ("eff:Rare $P $T", "Typed[Land]@Any"),
 ]
 _TOKENS = ", ".join(f"({k}, '{t}')" for k, (kind, shape) in enumerate(FEATURES) for t in ([kind] if kind else []) + ([f"{kind}|tgt:{shape}", f"tgt:{shape}"] if shape else []))
 
