@@ -196,7 +196,7 @@ def search(index: Index, queries: DataFrame, real: DataFrame | None = None, fixe
         few = asked.join(hits.where(F.col("hits") >= FEW), "qid", "left_anti")
         again = stored(corrected(index, q, few, real))
         second = _shown(index, literal(index, _asked(index, again, real, fixes), fixes), fixes).where(_by_name())
-        second = second.join(first.where("section = 'groups'").select("qid", "gid"), ["qid", "gid"], "left_anti").join(again.select("qid", F.col("q").alias("meant")), "qid")
+        second = stored(second.join(first.where("section = 'groups'").select("qid", "gid"), ["qid", "gid"], "left_anti").join(again.select("qid", F.col("q").alias("meant")), "qid"))
         out = first.unionByName(second)
     return out.select("qid", "section", "gid", "name", "tier", "why", "via", "place", "score", "layer", "meant")
 
