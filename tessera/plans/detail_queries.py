@@ -40,16 +40,16 @@ def sample_seeded(read):
 STOP = ", ".join(f"'{w}'" for w in text.STOPWORDS)
 TERMS = f"""d as (select doc_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '{text.WORD.replace("'", "''")}'), lambda x: x not in ({STOP})) t from documents), n as (select count(*)::double n from d),
 tf as (select doc_id, w, count(*) tf from (select doc_id, unnest(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]))) w from d) group by 1, 2),
-df as (select w, ln((1 + n) / (1 + count(*))) + 1 idf from tf, n group by w, n), q as (select w, (1 + ln(c)) * idf q from df join (values ('golden', 2), ('report', 1), ('golden report', 1), ('report golden', 1), ('zzzz', 1)) a(w, c) using (w)),
+df as (select w, ln((1 + n) / (1 + count(*))) + 1 idf from tf, n group by w, n), q as (select w, (1 + ln(c)) * idf q from df join (values ('licensed', 2), ('license', 1), ('mit license', 1), ('general public', 1), ('zzzz', 1)) a(w, c) using (w)),
 v as (select doc_id, w, (1 + ln(tf)) * idf v, q from tf join df using (w) left join q using (w)),
 s as (select doc_id, sum(v * q) / (sqrt(sum(v * v)) * (select sqrt(sum(q * q)) from q)) s from v group by 1)"""
 
 
 @query("tfidf_sklearn", f"with {TERMS} select doc_id, round(s, 7) s from s where s is not null qualify rank() over (order by round(s, 7) desc) <= 25")
 def tfidf_sklearn(read):
-    """Words and pairs of words, stopwords left out, against 'golden report golden'."""
+    """Words and pairs of words, stopwords left out, against words of licence lines."""
     docs = read("documents").select("doc_id", text.terms(F.coalesce("text", F.lit(""))).alias("t"))
-    found = S.tfidf_search(docs, "doc_id", "t", {"golden": 2, "report": 1, "golden report": 1, "report golden": 1, "zzzz": 1})
+    found = S.tfidf_search(docs, "doc_id", "t", {"licensed": 2, "license": 1, "mit license": 1, "general public": 1, "zzzz": 1})
     ranked = R.competition_rank(found.select(F.col("item").alias("doc_id"), F.col("score").alias("s")), "s", digits=7).where("rank <= 25")
     return ranked.select("doc_id", F.round("s", 7).alias("s"))
 

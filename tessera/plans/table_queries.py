@@ -122,9 +122,11 @@ def join_semi(read):
     return read("orders").join(read("customer").where("c_mktsegment = 'BUILDING'"), F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("o_orderkey")
 
 
-@query("join_anti_orphans", "select c_custkey from customer where c_custkey not in (select o_custkey from orders)")
+@query("join_anti_orphans", "select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_orderstatus = 'F' and o_totalprice > 200000)")
 def join_anti_orphans(read):
-    return read("customer").join(read("orders"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
+    """Customers without a large order that is filled."""
+    large = read("orders").where("o_orderstatus = 'F' and o_totalprice > 200000")
+    return read("customer").join(large, F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
 
 
 @query("join_theta_containment", r"""with n as (select distinct array_to_string(string_split(trim(text), ' ')[1:3], ' ') || case when item_id % 2 = 0 then ', the ' || item_id else '' end as name from benchmark),
@@ -306,14 +308,15 @@ def set_intersect(read):
     return read("lineitem").where("l_returnflag = 'A'").select("l_partkey").intersect(read("part").where("p_size < 10").select("p_partkey"))
 
 
-@query("set_except", "select p_partkey from part except select l_partkey from lineitem where l_quantity > 25 except select p_partkey from part where p_type = 'PROMO'")
+@query("set_except", "select p_partkey from part except select l_partkey from lineitem where l_quantity > 48 except select p_partkey from part where p_type = 'PROMO'")
 def set_except(read):
-    return read("part").select("p_partkey").subtract(read("lineitem").where("l_quantity > 25").select("l_partkey")).subtract(read("part").where("p_type = 'PROMO'").select("p_partkey"))
+    return read("part").select("p_partkey").subtract(read("lineitem").where("l_quantity > 48").select("l_partkey")).subtract(read("part").where("p_type = 'PROMO'").select("p_partkey"))
 
 
-@query("set_twins", "with m as (select distinct l_suppkey g, l_partkey i from lineitem), s as (select g, count(*) n from m group by 1), b as (select x.g a, y.g b, count(*) c from m x join m y using (i) where x.g < y.g group by 1, 2) select a, b, round(c / (p.n + q.n - c)::double, 7) jaccard from b join s p on p.g = a join s q on q.g = b where least(p.n, q.n) * 10 >= greatest(p.n, q.n) * 2 and c / (p.n + q.n - c)::double >= 0.2")
+@query("set_twins", "with m as (select distinct l_linenumber * 10 + cast(l_quantity as integer) % 10 g, l_partkey i from lineitem), s as (select g, count(*) n from m group by 1), b as (select x.g a, y.g b, count(*) c from m x join m y using (i) where x.g < y.g group by 1, 2) select a, b, round(c / (p.n + q.n - c)::double, 7) jaccard from b join s p on p.g = a join s q on q.g = b where least(p.n, q.n) * 10 >= greatest(p.n, q.n) * 2 and c / (p.n + q.n - c)::double >= 0.2")
 def set_twins(read):
-    m = read("lineitem").select(F.col("l_suppkey").alias("g"), F.col("l_partkey").alias("i")).distinct()
+    """Groups (a line number and the last digit of a quantity) by the parts that they share."""
+    m = read("lineitem").select((F.col("l_linenumber") * 10 + F.col("l_quantity").cast("int") % 10).alias("g"), F.col("l_partkey").alias("i")).distinct()
     s = m.groupBy("g").agg(count())
     b = m.select(F.col("g").alias("a"), "i").join(m.select(F.col("g").alias("b"), "i"), "i").where("a < b").groupBy("a", "b").agg(count("c"))
     b = b.join(s.select(F.col("g").alias("a"), F.col("n").alias("na")), "a").join(s.select(F.col("g").alias("b"), F.col("n").alias("nb")), "b")
