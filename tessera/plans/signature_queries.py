@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import conditions as D
 from ..operators import loose as L
 from ..operators import promotion as P
 from ..operators import signature as G
@@ -195,3 +196,37 @@ def ability_promotion(read):
     vectors = stored(S.weighted(x, "item", "tokens", smooth=True))
     found = P.nearest_leaf(vectors.where("item % 5 = 0"), S.centroids(vectors, members.select("item", "leaf"), "leaf"))
     return P.gates(x.where("item % 5 = 0").join(found, "item"), members)
+
+
+#: (text, tree, tier, families missing, families short): what a reader finds dropped.
+STATED = [
+    ("Draw a card.", '{"effect":{"type":"Draw"}}', None, "", ""),
+    ("If you control $P, draw.", '{"effect":{"type":"Draw"}}', "A", "GEN", ""),
+    ("If you control $P, draw.", '{"effect":{"type":"Draw"},"condition":{"type":"Controls","x":{"condition":{"type":"IfYouDo"}}}}', None, "", ""),
+    ("If you do, draw. If it is red, gain life.", '{"sub_ability":{"condition":{"type":"IfYouDo"},"effect":{"type":"Draw"}}}', "A", "GEN", ""),
+    ("If it is red, draw. If it is blue, gain life.", '{"effect":{"type":"Draw"},"conditions":[{"type":"Red"}]}', "B", "", "GEN"),
+    ("If it is red, draw.", '{"effect":{"type":"Draw"},"condition":{"type":"WhenDies"}}', "A", "GEN", ""),
+    ("If you do, draw.", '{"effect":{"type":"Draw"},"condition":{"type":"Unrecognized","text":"$P"}}', None, "", ""),
+    ("If it is red, draw.", '{"effect":{"type":"Draw"},"constraint":{"type":"OnlyOnce"}}', "A", "GEN", ""),
+    ("If it is red, draw.", '{"effect":{"type":"Draw","steps":[[{"constraint":{"type":"$P"}}]]}}', None, "", ""),
+    ("If you do, draw.", '{"mode":{"decline":{"type":"Sacrifice"}}}', None, "", ""),
+    ("If you do, draw. If you do, draw.", '{"mode":{"decline":{"type":"Sacrifice"}}}', "B", "", "DO"),
+    ("If it is red, draw.", '{"else_ability":{"effect":{"type":"Draw"}}}', None, "", ""),
+    ("If it is red, draw.", '{"effect":{"type":"DealDamage","combat_scope":"$P"}}', None, "", ""),
+    ("Draw.", '{"effect":{"type":"FlipCoin","win_effect":{"type":"Draw"}},"sub_ability":{"effect":{"type":"Tap"}}}', "B", "", "STRUCT"),
+    ("Draw.", None, None, "", ""),
+    ("Attack each turn if able, even if tapped (If you do, draw.) and say \"if it is red\".", '{"effect":{"type":"Draw"}}', None, "", ""),
+    ("Activate only if it is red or if it is blue. If you win the flip, draw.", '{"effect":{"type":"FlipCoin","win_effect":{"type":"Draw"}},"activation_restrictions":[{"type":"AsSorcery"},{"type":"OnlyOnce"}]}', "A", "RESTR", ""),
+    ("Activate only if it is red or if it is blue.", '{"activation_restrictions":[{"type":"RequiresCondition","data":{"condition":{"type":"Red","condition":{"type":"IfYouDo"}}}}]}', None, "", ""),
+    ("If that player does, draw; if they can't, gain life.", '{"sub_ability":{"condition":{"type":"IfAPlayerDoes"}}}', "B", "", "DO"),
+]
+_STATED = ", ".join(f"({k}, {f"'{t}'" if t else 'null'}, '{m}', '{s}')" for k, (_, _, t, m, s) in enumerate(STATED))
+
+
+@query("condition_drop_detect", f"with w(k, tier, missing, short) as (values {_STATED}) select doc_id item, tier, missing, short from documents join w on doc_id % {len(STATED)} = k where tier is not null")
+def condition_drop_detect(read):
+    """Documents as abilities with a text and a tree, some of whose conditions are in the text alone."""
+    x = read("documents").select("doc_id", F.coalesce("source", F.lit("none")).alias("source")).withColumn("k", (F.col("doc_id") % len(STATED)).cast("int"))
+    filled = lambda place: F.replace(F.get(F.lit([s[place] or "" for s in STATED]), F.col("k")), F.lit("$P"), F.col("source"))
+    x = x.select("doc_id", F.lit("abilities").alias("bucket"), filled(0).alias("text"), F.nullif(filled(1), F.lit("")).alias("tree"))
+    return D.drops(x, "doc_id", "bucket", "text", "tree").select("item", "tier", F.array_join("missing", ",").alias("missing"), F.array_join("short", ",").alias("short"))

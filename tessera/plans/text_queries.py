@@ -187,14 +187,6 @@ def hand_rule_keyword(read):
     return read("part").select("p_partkey", F.explode(F.split("p_name", " ")).alias("keyword")).join(wanted, "keyword").select("p_partkey", "keyword")
 
 
-@query("condition_drop_detect", r"with c as (select doc_id, lower(coalesce(text, '')) t, len(regexp_extract_all(lower(regexp_replace(coalesce(text, ''), '\([^()]*\)', ' ', 'g')), '\bif\b')) + len(regexp_extract_all(regexp_replace(lower(regexp_replace(coalesce(text, ''), '\([^()]*\)', ' ', 'g')), '\bif you do\b', ' ', 'g'), '\bflip')) need, len(coalesce(source, '')) % 3 evidence from documents) select doc_id, cast(need as bigint) need, case when need > 0 and evidence = 0 then 'A' when evidence > 0 and evidence < need then 'B' end tier from c")
-def condition_drop_detect(read):
-    docs = read("documents").withColumn("t", F.coalesce("text", F.lit("")))
-    counts = docs.select("doc_id", (F.length(F.coalesce("source", F.lit(""))) % 3).alias("evidence"), *rules.condition_counts(F.col("t")))
-    need = F.col("do") + F.col("flip") + F.col("restrict") + F.col("general")
-    return counts.select("doc_id", need.alias("need"), rules.drop_tier(need, F.col("evidence"), F.lit(False)).alias("tier"))
-
-
 @query("tag_filter", "with t as (select p_brand slug, count(*) size from part group by 1) select slug, size from t where slug <> 'Brand#3' and slug not like 'Brand#1%' and slug not like '%5' and size >= 20")
 def tag_filter(read):
     tags = read("part").groupBy(F.col("p_brand").alias("slug")).agg(F.count(F.lit(1)).alias("size"))
