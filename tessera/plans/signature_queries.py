@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import conditions as D
 from ..operators import loose as L
+from ..operators import pages as A
 from ..operators import promotion as P
 from ..operators import signature as G
 from ..operators import similarity as S
@@ -230,3 +231,46 @@ def condition_drop_detect(read):
     filled = lambda place: F.replace(F.get(F.lit([s[place] or "" for s in STATED]), F.col("k")), F.lit("$P"), F.col("source"))
     x = x.select("doc_id", F.lit("abilities").alias("bucket"), filled(0).alias("text"), F.nullif(filled(1), F.lit("")).alias("tree"))
     return D.drops(x, "doc_id", "bucket", "text", "tree").select("item", "tier", F.array_join("missing", ",").alias("missing"), F.array_join("short", ",").alias("short"))
+
+
+_TYPED = '{"type":"Typed","type_filters":["Creature"]}'
+_SELF = '{"type":"Or","filters":[{"type":"Typed","type_filters":["Creature"]},{"type":"Or","filters":[{"type":"SelfRef"}]}]}'
+_COST = '{"type":"Composite","costs":[{"type":"Mana"},{"type":"Composite","costs":[{"type":"%s"%s}]}]}'
+#: (bucket, tree, pages that a reader puts it on).
+PAGED = [
+    ("triggers", '{"mode":"ChangesZone","destination":"Battlefield","valid_card":{"type":"SelfRef"}}', "trig.enters"),
+    ("triggers", '{"mode":"ChangesZone","destination":"Battlefield","valid_card":{"type":"SelfRef"},"description":"Chapter 2 of $P"}', ""),
+    ("triggers", f'{{"mode":"ChangesZone","destination":"Battlefield","valid_card":{_SELF}}}', "trig.enters trig.enters-other"),
+    ("triggers", '{"mode":"ChangesZone","destination":"Battlefield","valid_card":{"type":"Typed","type_filters":["Land"]}}', "trig.landfall"),
+    ("triggers", '{"mode":"ChangesZone","destination":"Battlefield","valid_card":{"type":"Typed","type_filters":[{"Land":1}]}}', "trig.landfall"),
+    ("triggers", '{"mode":"ChangesZone","origin":"Battlefield","destination":"Graveyard","valid_card":{"type":"SelfRef"}}', "trig.dies"),
+    ("triggers", f'{{"mode":"ChangesZone","origin":"Battlefield","destination":"Graveyard","valid_card":{_TYPED}}}', "trig.dies-other"),
+    ("triggers", '{"mode":"ChangesZone","origin":"Hand","destination":"Graveyard","valid_card":{"type":"SelfRef"}}', ""),
+    ("triggers", '{"mode":"LeavesBattlefield"}', "trig.leaves"), ("triggers", '{"mode":"AttacksOrBlocks"}', "trig.attacks trig.blocks"), ("triggers", '{"mode":"YouAttack"}', "trig.you-attack"),
+    ("triggers", '{"mode":{"DamageDone":1},"damage_kind":"CombatOnly"}', "trig.combat-damage"), ("triggers", '{"mode":"DamageDone","damage_kind":"$P"}', ""),
+    ("triggers", '{"mode":"Phase","phase":"Upkeep"}', "trig.upkeep"), ("triggers", '{"mode":"Phase","phase":"End"}', "trig.end-step"), ("triggers", '{"mode":"Phase","phase":"BeginCombat"}', "trig.begin-combat"),
+    ("triggers", f'{{"mode":"SpellCast","valid_card":{_TYPED}}}', "trig.cast"), ("triggers", '{"mode":"SpellCastOrCopy","valid_card":{"type":"SelfRef"}}', ""), ("triggers", '{"mode":"Drawn"}', "trig.draw"),
+    ("triggers", '{"mode":"CounterAdded"}', "trig.counter-added"), ("triggers", '{"mode":"LifeGained"}', "trig.life-gained"), ("triggers", '{"mode":"BecomesTarget"}', "trig.becomes-target"), ("triggers", '{"mode":{"Unknown":"Drawn","A":1}}', ""),
+    ("abilities", '{"kind":"Activated","description":"$P","effect":{"type":"Mana"},"cost":{"type":"Tap"}}', "act.mana-abilities"), ("abilities", '{"kind":"Activated","description":"x","effect":{"type":"Draw"},"cost":' + _COST % ("Tap", "") + "}", "act.tap"),
+    ("abilities", '{"kind":"Activated","description":"x","effect":{"type":"Draw"},"cost":' + _COST % ("Mana", "") + "}", "act.mana"), ("abilities", '{"kind":"Activated","description":"x","effect":{"type":"Attach"},"cost":{"type":"Mana"}}', ""),
+    ("abilities", '{"kind":"Activated","description":"x","cost":' + _COST % ("Sacrifice", "") + "}", "act.sacrifice"), ("abilities", '{"kind":"Activated","cost":{"type":"Sacrifice"}}', ""),
+    ("abilities", '{"kind":"Activated","description":"x","cost":' + _COST % ("Discard", "") + "}", "act.discard"), ("abilities", '{"kind":"Activated","description":"x","cost":' + _COST % ("Discard", ',"self_ref":true') + "}", ""),
+    ("abilities", '{"kind":"Activated","description":"x","cost":' + _COST % ("Exile", ',"zone":"Graveyard"') + "}", "act.exile-gy"), ("abilities", '{"kind":"Activated","description":"x","cost":{"type":"RemoveCounter"}}', "act.remove-counter"),
+    ("abilities", '{"kind":"Activated","description":"x","cost":{"type":"PayLife"}}', "act.pay-life"), ("abilities", '{"kind":"Activated","cost":{"type":"Loyalty"}}', "act.loyalty"), ("abilities", '{"kind":"Spell","description":"x","cost":{"type":"Tap"}}', ""),
+    ("static_abilities", f'{{"mode":"Continuous","affected":{_TYPED},"modifications":[{{"type":"AddPower"}},{{"type":"AddKeyword"}}]}}', "stat.anthem stat.keyword-grant"), ("static_abilities", f'{{"mode":"Continuous","affected":{_SELF},"modifications":[{{"type":"AddPower"}}]}}', ""),
+    ("static_abilities", '{"mode":"Continuous","affected":{"type":"Or","filters":[{"type":"Typed","type_filters":["Creature"],"properties":[{"type":"EquippedBy"}]}]},"modifications":[{"type":"AddToughness"}]}', "stat.attached-bonus"),
+    ("static_abilities", '{"mode":{"ReduceCost":{}}}', "stat.cost-reduce"), ("static_abilities", '{"mode":"RaiseCost"}', "stat.cost-raise"), ("static_abilities", '{"mode":"CantAttackOrBlock"}', "stat.cant-block stat.cant-attack"), ("static_abilities", '{"mode":{"CantBeBlockedBy":"$P"}}', "stat.evasion"),
+    ("static_abilities", '{"mode":"CantBeCountered"}', "stat.cant-be-countered"), ("static_abilities", '{"mode":"CantUntap"}', "stat.cant-untap"), ("static_abilities", '{"mode":"MustAttack"}', "stat.must-attack"), ("static_abilities", '{"mode":"Continuous","affected":{"type":"Typed"},"modifications":[{"type":"AddPower"}]}', ""),
+    ("replacements", '{"event":"Moved","execute":{"effect":{"type":"Tap"}}}', "repl.etb-tapped"), ("replacements", '{"event":"ChangeZone","execute":{"effect":{"type":"PutCounter"}}}', "repl.etb-counters"), ("replacements", '{"event":"Moved","execute":{"effect":{"type":"PutCounter"}},"description":"Saga ETB"}', ""),
+    ("replacements", '{"event":"DamageDone"}', "repl.damage"), ("replacements", '{"event":"Moved","destination_zone":"Graveyard","execute":{"effect":{"type":"ChangeZone"}}}', "repl.dies-exile"), ("replacements", '{"event":"Destroy","execute":{"effect":{"type":"ChangeZone"}}}', "repl.dies-exile"),
+    ("replacements", '{"event":"Moved","destination_zone":"$P","execute":{"effect":{"type":"ChangeZone"}}}', ""), ("triggers", "no tree", ""), ("none", '{"mode":"Drawn"}', ""),
+]
+_PAGED = ", ".join(f"({k}, '{p}')" for k, (_, _, own) in enumerate(PAGED) for p in own.split())
+
+
+@query("ability_page_predicates", f"with w(k, page) as (values {_PAGED}) select page, doc_id as item from documents join w on doc_id % {len(PAGED)} = k")
+def ability_page_predicates(read):
+    """Documents as abilities on the pages of all four kinds."""
+    x = read("documents").select("doc_id", F.coalesce("source", F.lit("none")).alias("source")).withColumn("k", (F.col("doc_id") % len(PAGED)).cast("int"))
+    x = x.select("doc_id", F.get(F.lit([p[0] for p in PAGED]), F.col("k")).alias("bucket"), F.replace(F.get(F.lit([p[1] for p in PAGED]), F.col("k")), F.lit("$P"), F.col("source")).alias("tree"))
+    return A.pages(x, "doc_id", "bucket", "tree")

@@ -54,13 +54,6 @@ def gap_fragments(read):
     return V.slot_scan(trees(read), "o_orderkey", "tree").where("gap").groupBy("tag").agg(count(), F.count_distinct("item").alias("items"))
 
 
-@query("ability_page_predicates", f"with {SCAN} select 'deals' page, item from nodes where axis = 'effect' and tag = 'Deal' union all select 'urgent', item from nodes where axis = 'condition' and tag like '1%' union all select 'first', item from nodes where axis = 'target' and tag = 'T0'")
-def ability_page_predicates(read):
-    pages = {"deals": (F.col("axis") == "effect") & (F.col("tag") == "Deal"), "urgent": (F.col("axis") == "condition") & F.col("tag").startswith("1"), "first": (F.col("axis") == "target") & (F.col("tag") == "T0")}
-    hit = F.explode(F.array_compact(F.array(*[F.when(t, F.lit(n)) for n, t in pages.items()]))).alias("page")
-    return V.slot_scan(trees(read), "o_orderkey", "tree").select(hit, "item")
-
-
 @query("overlay_patch", "select o_orderkey, case when o_orderkey % 7 = 0 then '\"patched\"' else '\"' || case o_orderstatus when 'P' then 'Unimplemented' when 'F' then 'GenericEffect' else 'Deal' end || '\"' end tag from orders")
 def overlay_patch(read):
     path = F.when(F.col("o_orderkey") % 7 == 0, F.lit("effect.type"))
