@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .stored import stored
 
 #: Words of the shortest and longest phrase, texts that it must be in, phrases of a group.
 SHORTEST, LONGEST, LEAST, MOST = 2, 12, 2, 6
@@ -27,13 +28,13 @@ def mine(rows: DataFrame, group: str, words: str, weight: str, most: int = MOST)
     """
     grams = F.array_distinct(F.flatten(F.array(*[text.ngrams(F.col(words), n) for n in range(SHORTEST, LONGEST + 1)])))
     counted = rows.select(group, weight, F.explode(grams).alias("phrase")).groupBy(group, "phrase").agg(F.sum(weight).alias("n")).where(F.col("n") >= LEAST)
-    found = counted.withColumn("words", F.split("phrase", " "))
+    found = stored(counted.withColumn("words", F.split("phrase", " ")))
     order = F.struct((-F.col("n") * F.size("words")).alias("score"), (-F.size("words")).alias("length"), "phrase")
     pick = F.min_by(F.struct("phrase", "words", "n"), order).alias("pick")
-    chosen = found.groupBy(group).agg(pick).select(group, F.array("pick").alias("taken"))
+    chosen = stored(found.groupBy(group).agg(pick).select(group, F.array("pick").alias("taken")))
     for _ in range(most - 1):
         left = found.join(chosen, group).where(~F.exists("taken", lambda t: same_wording(t["words"], F.col("words"))))
-        chosen = chosen.join(left.groupBy(group).agg(pick), group, "left").select(group, F.array_compact(F.array_append("taken", F.col("pick"))).alias("taken"))
+        chosen = stored(chosen.join(left.groupBy(group).agg(pick), group, "left").select(group, F.array_compact(F.array_append("taken", F.col("pick"))).alias("taken")))  # one row per group
     cards = rows.groupBy(group).agg(F.sum(weight).alias("cards"))
     listed = chosen.select(group, F.posexplode("taken").alias("turn", "p")).join(cards, group)
     place = F.row_number().over(Window.partitionBy(group).orderBy(F.col("turn") > 0, F.desc("p.n"), "p.phrase"))

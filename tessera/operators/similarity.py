@@ -90,6 +90,26 @@ def tfidf_search(docs: DataFrame, item: str, tokens: str, query: dict[str, int])
     return found.join(F.broadcast(length)).select("item", (F.col("dot") / (F.col("l") * F.col("ql"))).alias("score"))
 
 
+def weighted_search(docs: DataFrame, item: str, tokens: str, query: DataFrame) -> DataFrame:
+    """(item, s): sum over the query's tokens (token, q) of their TF-IDF weights in an item of length 1; lengths and sums come from one aggregate per item."""
+    n = F.lit(docs.count())
+    tf = docs.select(F.col(item).alias("item"), F.explode(tokens).alias("token")).groupBy("item", "token").agg(F.count(F.lit(1)).alias("tf"))
+    df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    v = (1 + F.log("tf")) * (F.log((1 + n) / (1 + F.col("df"))) + 1)
+    rows = tf.join(df, "token").join(query, "token", "left").select("item", v.alias("v"), "q")
+    return rows.groupBy("item").agg((F.sum(F.col("v") * F.col("q")) / F.sqrt(F.sum(F.col("v") * F.col("v")))).alias("s")).where("s is not null")
+
+
+def bag_search(docs: DataFrame, item: str, tokens: str, query: list[str], dim: int = 512, seed: int = 0) -> DataFrame:
+    """(item, s): cosine of the cells to which an item's words are hashed with those of a query, for items that share a cell."""
+    cell = F.pmod(F.xxhash64("word", F.lit(seed)), F.lit(dim)).alias("cell")
+    asked = docs.sparkSession.createDataFrame([(w,) for w in query], "word string").groupBy(cell).agg(F.count(F.lit(1)).cast("double").alias("q"))
+    counts = docs.select(F.col(item).alias("item"), F.explode(tokens).alias("word")).groupBy("item", cell).agg(F.count(F.lit(1)).cast("double").alias("c"))
+    found = counts.join(F.broadcast(asked), "cell", "left").groupBy("item").agg(F.sum(F.col("c") * F.col("q")).alias("dot"), F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("l")).where("dot is not null")
+    length = asked.agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("ql"))
+    return found.join(F.broadcast(length)).select("item", (F.col("dot") / (F.col("l") * F.col("ql"))).alias("s"))  # one row
+
+
 def hashed_bag(docs: DataFrame, item: str, tokens: str, dim: int = 512, seed: int = 0) -> DataFrame:
     """(item, token, w) over dim cells to which words are hashed, of length 1."""
     cell = F.pmod(F.xxhash64("word", F.lit(seed)), F.lit(dim))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import codes, text
 from ..operators import relational as R
 from ..operators import phrases, rules, similarity as S
+from ..operators.stored import stored
 from .registry import query
 
 LINES = """lines as (select doc_id, row_number() over (partition by doc_id order by i) - 1 as line_no, s as line from
@@ -218,7 +219,7 @@ s as (select doc_id, sum(v / l * q) s from v join l using (doc_id) join (values
 def _scores(read) -> DataFrame:
     docs = read("documents").select("doc_id", F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]+"), F.lit(0)).alias("t"))
     q = docs.sparkSession.createDataFrame([("the", 0.6), ("thing", 0.8)], "token string, q double")
-    return S.tfidf(docs, "doc_id", "t").join(F.broadcast(q), "token").groupBy(F.col("item").alias("doc_id")).agg(F.sum(F.col("w") * F.col("q")).alias("s"))
+    return S.weighted_search(docs, "doc_id", "t", q).withColumnRenamed("item", "doc_id")
 
 
 @query("tfidf_score", SEARCH + " select doc_id, round(s, 7) s from s")
@@ -228,19 +229,19 @@ def tfidf_score(read):
 
 @query("rank_competition", SEARCH + " select doc_id, cast(rank() over (order by round(s, 5) desc) as bigint) as rank from s")
 def rank_competition(read):
-    return R.competition_rank(_scores(read), "s", digits=5).select("doc_id", F.col("rank").cast("long").alias("rank"))
+    return R.competition_rank(stored(_scores(read)), "s", digits=5).select("doc_id", F.col("rank").cast("long").alias("rank"))
 
 
 @query("fuse_rrf", SEARCH + ", a as (select doc_id, rank() over (order by round(s, 5) desc) r from s), b as (select doc_id, rank() over (order by n_chars desc) r from documents where doc_id in (select doc_id from s)) select doc_id, round(sum(1.0::double / (60 + r)), 9) score from (select * from a union all select * from b) group by 1")
 def fuse_rrf(read):
-    a = R.competition_rank(_scores(read), "s", digits=5)
+    a = R.competition_rank(stored(_scores(read)), "s", digits=5)
     b = R.competition_rank(read("documents").join(a.select("doc_id"), "doc_id", "left_semi").withColumn("n", F.col("n_chars").cast("double")), "n")
     return R.fuse_ranks([a, b], "doc_id").select("doc_id", F.round("score", 9).alias("score"))
 
 
 @query("mean_target_rank", SEARCH + ", a as (select doc_id, rank() over (order by round(s, 5) desc) r from s) select lang, round(avg(r), 6) mean_rank, median(r) middle, case when avg(r) - (select avg(r) from a) < -1 then 'win' when avg(r) - (select avg(r) from a) > 1 then 'loss' else 'tie' end verdict from a join documents using (doc_id) group by 1")
 def mean_target_rank(read):
-    a = R.competition_rank(_scores(read), "s", digits=5).join(read("documents").select("doc_id", "lang"), "doc_id")
+    a = R.competition_rank(stored(_scores(read)), "s", digits=5).join(read("documents").select("doc_id", "lang"), "doc_id")
     whole = a.agg(F.avg("rank").alias("whole"))
     by = a.groupBy("lang").agg(F.avg("rank").alias("m"), F.median("rank").alias("middle")).join(F.broadcast(whole))
     gap = F.col("m") - F.col("whole")
@@ -257,15 +258,13 @@ def agg_max_with_arg(read):
 def effect_search(read):
     """Lines as effects, two rankers over them, fused, the best line per document, top 20."""
     effects = lines(read).withColumn("effect_id", text.effect_id(F.col("line")))
-    unique = effects.groupBy("effect_id").agg(F.min("line").alias("line")).withColumn("t", text.tokens(F.col("line")))
+    unique = stored(effects.groupBy("effect_id").agg(F.min("line").alias("line"))).withColumn("t", text.tokens(F.col("line")))
     q = unique.sparkSession.createDataFrame([("q", "hand thing stand band")], "effect_id string, line string").withColumn("t", text.tokens(F.col("line")))
     words = F.regexp_extract_all("line", F.lit("[a-z]+"), F.lit(0))
-    rankers = []
-    for make in (lambda d: S.tfidf(d, "effect_id", "t"), lambda d: S.hashed_bag(d.withColumn("t", words), "effect_id", "t")):
-        both = make(unique.unionByName(q))
-        scores = S.cosine_pairs(both.where("item <> 'q'"), both.where("item = 'q'")).select(F.col("a").alias("effect_id"), F.col("cosine").alias("s"))
-        rankers.append(R.competition_rank(scores, "s"))
-    fused = R.fuse_ranks(rankers, "effect_id")
+    asked = "hand thing stand band".split()
+    by_terms = S.tfidf_search(unique.unionByName(q), "effect_id", "t", {w: 1 for w in asked}).where("item <> 'q'").select(F.col("item").alias("effect_id"), F.col("score").alias("s"))
+    by_cells = S.bag_search(unique.withColumn("t", words), "effect_id", "t", asked).withColumnRenamed("item", "effect_id")
+    fused = stored(R.fuse_ranks([R.competition_rank(stored(x), "s") for x in (by_terms, by_cells)], "effect_id"))
     per_doc = effects.join(fused, "effect_id").select("doc_id", "effect_id", "score", "line_no")
     best = R.max_with_arg(per_doc, "doc_id", "score", "effect_id", "line_no")
     return best.orderBy(F.desc("score"), "doc_id").limit(20)
