@@ -36,6 +36,12 @@ def _cards(rows: DataFrame, key: str) -> DataFrame:
     return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count_distinct("card").alias("cards"))
 
 
+def _marked(rows: DataFrame, key: str, keys: DataFrame, mark: str) -> DataFrame:
+    """rows with a mark where their key is one of keys; rows without a key meet nothing, each in a place of its own, so that they are no hot key."""
+    own = F.coalesce(F.col(key), F.concat(F.lit("\0"), F.col("item").cast("string")))
+    return rows.withColumn("__at", own).join(keys.select(F.col(key).alias("__at"), F.lit(True).alias(mark)), "__at", "left").drop("__at")
+
+
 def _named(name: Column, value: Column) -> Column:
     """One field of a key; its length stands before the value, so that no value runs into the next field."""
     shown = F.coalesce(value, F.lit(""))
@@ -52,19 +58,18 @@ def loose_groups(rows: DataFrame, fields: dict[str, list[str]], refine: dict[str
     for level in range(deepest, -1, -1):
         whole = F.concat("base", F.lit(f"#{level}"), *[F.col(f"p{k}") for k in range(level)])  # null where the family has fewer fields
         x = stored(x.withColumn("try", F.when(F.col("key").isNull(), whole)))
-        large = _cards(x, "try").where((F.col("cards") >= least) | F.lit(level == 0)).select("try", F.lit(True).alias("ok"))
-        x = x.join(large, "try", "left").withColumn("key", F.coalesce("key", F.when(F.col("ok"), F.col("try")))).drop("ok", "try")
+        large = _cards(x, "try").where((F.col("cards") >= least) | F.lit(level == 0))
+        x = _marked(x, "try", large, "ok").withColumn("key", F.coalesce("key", F.when(F.col("ok"), F.col("try")))).drop("ok", "try")
     x = x.withColumn("top", F.col("key"))
     first = True
     for k in range(max(map(len, refine.values()), default=0)):
         name, value = _by_family(refine, [], k)
         x = stored(x.withColumn("split", F.when(F.coalesce(value, F.lit("")) != "", F.concat("key", _named(name, value)))))
         if first:  # only groups that were large before any split
-            x = x.join(_cards(x, "top").where(F.col("cards") > over).select("top", F.lit(True).alias("wide")), "top", "left")
+            x = _marked(x, "top", _cards(x, "top").where(F.col("cards") > over), "wide")
             first = False
-        large = _cards(x, "key").where(F.col("cards") > over).select("key", F.lit(True).alias("more"))
-        parts = _cards(x, "split").where(F.col("cards") >= least).select("split", F.lit(True).alias("part"))
-        x = x.join(large, "key", "left").join(parts, "split", "left").withColumn("key", F.when(F.col("wide") & F.col("more") & F.col("part"), F.col("split")).otherwise(F.col("key"))).drop("more", "part", "split")
+        large, parts = _cards(x, "key").where(F.col("cards") > over), _cards(x, "split").where(F.col("cards") >= least)
+        x = _marked(_marked(x, "key", large, "more"), "split", parts, "part").withColumn("key", F.when(F.col("wide") & F.col("more") & F.col("part"), F.col("split")).otherwise(F.col("key"))).drop("more", "part", "split")
     x = stored(x.select("item", "card", "family", "key"))
     small = _cards(x, "key").where(F.col("cards") < least).select("key", F.lit(True).alias("small"))
     x = stored(x.join(small, "key", "left").withColumn("key", F.when(F.col("small"), F.concat("family", F.lit("/OTHER"))).otherwise(F.col("key"))).drop("small"))
