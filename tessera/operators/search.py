@@ -28,8 +28,21 @@ def did_you_mean(words: DataFrame, vocabulary: DataFrame, real: DataFrame | None
 
 
 def find_name(names: DataFrame, query: str, limit: int = 40) -> DataFrame:
-    """Names (id, name) by exact, prefix, word prefix, inner match; then the shorter, the first, the least id."""
+    """Names (id, name; faces and other if there are) by exact, prefix, word prefix, inner match of a name or a face, then the sides of "A // B" that are a name.
+
+    What is no card (other) comes after all cards; then the shorter, the first, the least id.  An empty query finds nothing."""
+    extra = [c for c in ("faces", "other") if c in names.columns]
+    x = names if "faces" in extra else names.withColumn("faces", F.expr("cast(array() as array<string>)"))
+    x = x if "other" in extra else x.withColumn("other", F.lit(False))
     q = fold(F.lit(query))
-    n = fold(F.col("name"))
-    tier = F.when(n == q, 0).when(n.startswith(q), 1).when(F.contains(F.concat(F.lit(" "), n), F.concat(F.lit(" "), q)), 2).when(F.contains(n, q), 3)
-    return names.withColumn("tier", tier).where("tier is not null").orderBy("tier", F.length("name"), "name", "id").limit(limit)
+    keys = F.transform(F.concat(F.array("name"), F.coalesce("faces", F.expr("cast(array() as array<string>)"))), fold)
+    x = x.withColumn("__keys", keys)
+    some = lambda test: F.exists("__keys", lambda k: F.coalesce(test(k), F.lit(False)))
+    tier = F.when(some(lambda k: k == q), 0).when(some(lambda k: k.startswith(q)), 1).when(some(lambda k: F.contains(F.concat(F.lit(" "), k), F.concat(F.lit(" "), q))), 2).when(some(lambda k: F.contains(k, q)), 3)
+    if "//" in query:
+        for side in query.split("//"):
+            p = fold(F.lit(side))
+            tier = tier.when((p != "") & F.array_contains("__keys", p), 4)
+    found = x.withColumn("tier", tier).where((q != "") & F.col("tier").isNotNull()).withColumn("other", F.coalesce("other", F.lit(False)))
+    out = found.orderBy("other", "tier", F.length("name"), "name", "id").limit(limit)
+    return out.select("id", "name", *(["other"] if "other" in extra else []), "tier")

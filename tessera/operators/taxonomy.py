@@ -44,11 +44,11 @@ def backoff_rarest(reference: DataFrame, target: DataFrame, item: str, kind: str
         alone = reduce(lambda a, b: a & b, [F.col(f) == "" for f in fields if f != guarded], F.lit(True))
         rows = rows.withColumn("drops", F.when(alone, F.array_remove("drops", guarded)).otherwise(F.col("drops")))
     steps = rows.withColumn("level", F.explode(F.sequence(F.lit(0), F.size("drops")))).withColumn("dropped", F.array_sort(F.slice("drops", F.lit(1), F.col("level"))))
-    masks = steps.select("dropped").distinct()
+    masks = steps.select("kind", "dropped").distinct()
     whole = reference.select(F.col(kind).alias("kind"), *[text(f).alias(f) for f in fields]).groupBy("kind", *fields).agg(F.count(F.lit(1)).alias("rows"))
     masked = lambda f: F.when(F.array_contains("dropped", F.lit(f)), "").otherwise(F.col(f)).alias(f)
-    # every distinct reference signature meets every set of dropped fields: sets number 2 to the fields at most
-    counts = whole.join(F.broadcast(masks)).select("dropped", "kind", "rows", *[masked(f) for f in fields]).groupBy("dropped", "kind", *fields).agg(F.sum("rows").alias("n"))
+    # a distinct reference signature meets the sets of dropped fields that occur in its own kind; Spark sends these only if their size allows it
+    counts = whole.join(masks, "kind").select("dropped", "kind", "rows", *[masked(f) for f in fields]).groupBy("dropped", "kind", *fields).agg(F.sum("rows").alias("n"))
     keyed = steps.select("item", "level", "dropped", "kind", *[masked(f) for f in fields])
     found = keyed.join(counts, ["dropped", "kind", *fields]).where(F.col("n") >= least)
     best = found.groupBy("item").agg(F.min_by(F.struct("level", "n", *fields), "level").alias("b"))

@@ -220,6 +220,14 @@ def find_card(read):
     return search.find_name(read("part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), "ring")
 
 
+@query("find_card_sides", """with n as (select p_partkey id, p_name as name, [p_name || ' of ' || p_brand, p_type] faces, p_size % 5 = 0 other from part),
+t as (select id, name, other, case when name in ('red ring', 'hot gear') or list_contains(list_transform(faces, lambda f: trim(regexp_replace(lower(f), '[^a-z0-9]+', ' ', 'g'))), 'hot gear') then 4 end::integer tier from n) select id, name, other, tier from t where tier is not null order by other, length(name), name, id limit 40""")
+def find_card_sides(read):
+    """Both sides of a double name, each under its own name; what is no card last."""
+    n = read("part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.array(F.concat("p_name", F.lit(" of "), "p_brand"), "p_type").alias("faces"), (F.col("p_size") % 5 == 0).alias("other"))
+    return search.find_name(n, "Red Ring // hot gear")
+
+
 @query("limit_search", "select p_partkey as id, p_name as name, 1::integer tier from part where starts_with(p_name, 'red ') order by length(p_name), name, id limit 7")
 def limit_search(read):
     return search.find_name(read("part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), "red", 7)

@@ -265,6 +265,15 @@ def test_search_tiers_and_names(spark):
 
 
 
+def test_find_name_faces_sides_and_others(spark):
+    n = spark.createDataFrame([(1, "Ring", None, False), (2, "Ringer", ["Gear"], False), (3, "Big Ring", [], True), (4, "Spring", [], None), (5, "Gear", ["Bolt"], False), (6, None, [], False)], "id long, name string, faces array<string>, other boolean")
+    ids = lambda q, **more: [r["id"] for r in search.find_name(n, q, **more).collect()]
+    assert ids("ring") == [1, 2, 4, 3] and ids("ring", limit=2) == [1, 2]
+    assert ids("bolt // Ring") == [5, 1] and ids("Gear") == [5, 2] and ids("//") == [] and ids("") == []
+    plain = search.find_name(n.select("id", "name"), "ring")
+    assert plain.columns == ["id", "name", "tier"] and [tuple(r) for r in plain.collect()] == [(1, "Ring", 0), (2, "Ringer", 1), (3, "Big Ring", 2), (4, "Spring", 3)]
+
+
 def test_components_on_random_graphs(spark):
     rng = random.Random(3)
     pairs = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)] + [(100 + i, 101 + i) for i in range(30)]
