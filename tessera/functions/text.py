@@ -13,19 +13,181 @@ STOPWORDS = (
     "is are was were be been being am it its they them their he she his her him do does did done have has had will would shall should may might must can could each other another same"
 ).split()
 #: Keyword abilities that may stand alone on a line, parted by commas.
-KEYWORDS = (
-    "deathtouch, defender, double strike, enchant, equip, first strike, flash, flying, haste, hexproof, indestructible, intimidate, landwalk, lifelink, protection, reach, shroud, trample, vigilance, "
-    "banding, rampage, cumulative upkeep, flanking, phasing, buyback, shadow, echo, horsemanship, fading, kicker, flashback, madness, fear, morph, amplify, provoke, storm, affinity, entwine, modular, "
-    "sunburst, bushido, soulshift, splice, offering, ninjutsu, epic, convoke, dredge, transmute, bloodthirst, haunt, replicate, forecast, graft, recover, ripple, split second, suspend, vanishing, absorb, "
-    "aura swap, delve, fortify, frenzy, gravestorm, poisonous, transfigure, champion, changeling, evoke, hideaway, prowl, reinforce, conspire, persist, wither, retrace, devour, exalted, unearth, cascade, "
-    "annihilator, level up, rebound, totem armor, infect, battle cry, living weapon, undying, miracle, soulbond, overload, scavenge, unleash, cipher, evolve, extort, fuse, bestow, tribute, dethrone, "
-    "outlast, prowess, dash, exploit, menace, renown, awaken, devoid, ingest, myriad, surge, skulk, emerge, escalate, melee, crew, fabricate, partner, undaunted, improvise, aftermath, embalm, eternalize, "
-    "afflict, ascend, assist, jump-start, mentor, afterlife, riot, spectacle, escape, companion, mutate, encore, boast, foretell, demonstrate, daybound, nightbound, disturb, decayed, cleave, training, "
-    "compleated, reconfigure, blitz, casualty, enlist, read ahead, ravenous, squad, space sculptor, visit, prototype, living metal, backup, bargain, craft, disguise, plot, saddle, spree, freerunning, "
-    "gift, offspring, impending, flurry"
-).split(", ")
-#: Marks that open a choice, and the line before choices.
+KEYWORDS = [
+    "deathtouch",
+    "defender",
+    "double strike",
+    "enchant",
+    "equip",
+    "first strike",
+    "flash",
+    "flying",
+    "haste",
+    "hexproof",
+    "indestructible",
+    "intimidate",
+    "landwalk",
+    "lifelink",
+    "protection",
+    "reach",
+    "shroud",
+    "trample",
+    "vigilance",
+    "banding",
+    "rampage",
+    "cumulative upkeep",
+    "flanking",
+    "phasing",
+    "buyback",
+    "shadow",
+    "echo",
+    "horsemanship",
+    "fading",
+    "kicker",
+    "flashback",
+    "madness",
+    "fear",
+    "morph",
+    "amplify",
+    "provoke",
+    "storm",
+    "affinity",
+    "entwine",
+    "modular",
+    "sunburst",
+    "bushido",
+    "soulshift",
+    "splice",
+    "offering",
+    "ninjutsu",
+    "epic",
+    "convoke",
+    "dredge",
+    "transmute",
+    "bloodthirst",
+    "haunt",
+    "replicate",
+    "forecast",
+    "graft",
+    "recover",
+    "ripple",
+    "split second",
+    "suspend",
+    "vanishing",
+    "absorb",
+    "aura swap",
+    "delve",
+    "fortify",
+    "frenzy",
+    "gravestorm",
+    "poisonous",
+    "transfigure",
+    "champion",
+    "changeling",
+    "evoke",
+    "hideaway",
+    "prowl",
+    "reinforce",
+    "conspire",
+    "persist",
+    "wither",
+    "retrace",
+    "devour",
+    "exalted",
+    "unearth",
+    "cascade",
+    "annihilator",
+    "level up",
+    "rebound",
+    "totem armor",
+    "infect",
+    "battle cry",
+    "living weapon",
+    "undying",
+    "miracle",
+    "soulbond",
+    "overload",
+    "scavenge",
+    "unleash",
+    "cipher",
+    "evolve",
+    "extort",
+    "fuse",
+    "bestow",
+    "tribute",
+    "dethrone",
+    "outlast",
+    "prowess",
+    "dash",
+    "exploit",
+    "menace",
+    "renown",
+    "awaken",
+    "devoid",
+    "ingest",
+    "myriad",
+    "surge",
+    "skulk",
+    "emerge",
+    "escalate",
+    "melee",
+    "crew",
+    "fabricate",
+    "partner",
+    "undaunted",
+    "improvise",
+    "aftermath",
+    "embalm",
+    "eternalize",
+    "afflict",
+    "ascend",
+    "assist",
+    "jump-start",
+    "mentor",
+    "afterlife",
+    "riot",
+    "spectacle",
+    "escape",
+    "companion",
+    "mutate",
+    "encore",
+    "boast",
+    "foretell",
+    "demonstrate",
+    "daybound",
+    "nightbound",
+    "disturb",
+    "decayed",
+    "cleave",
+    "training",
+    "compleated",
+    "reconfigure",
+    "blitz",
+    "casualty",
+    "enlist",
+    "read ahead",
+    "ravenous",
+    "squad",
+    "space sculptor",
+    "visit",
+    "prototype",
+    "living metal",
+    "backup",
+    "bargain",
+    "craft",
+    "disguise",
+    "plot",
+    "saddle",
+    "spree",
+    "freerunning",
+    "gift",
+    "offspring",
+    "impending",
+    "flurry",
+]
+#: Marks that open a choice.
 BULLET = r"^\s*[•*∙]\s*"
+#: The line before choices; a pattern of this library.
 LEAD = r"(?i)^choose (one|two|three|any number)[^\n]*[-—•]\s*$"
 #: Letters that are folded to other than their base letter.
 SPECIAL = {"æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "ß": "ss", "ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ł": "l", "Ł": "L", "þ": "th", "Þ": "Th", "ð": "d", "Ð": "D"}
