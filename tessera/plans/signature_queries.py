@@ -14,6 +14,7 @@ from ..operators import pages as A
 from ..operators import promotion as P
 from ..operators import signature as G
 from ..operators import similarity as S
+from ..operators import variant as V
 from ..operators.stored import stored
 from .registry import query
 
@@ -274,3 +275,22 @@ def ability_page_predicates(read):
     x = read("documents").select("doc_id", F.coalesce("source", F.lit("none")).alias("source")).withColumn("k", (F.col("doc_id") % len(PAGED)).cast("int"))
     x = x.select("doc_id", F.get(F.lit([p[0] for p in PAGED]), F.col("k")).alias("bucket"), F.replace(F.get(F.lit([p[1] for p in PAGED]), F.col("k")), F.lit("$P"), F.col("source")).alias("tree"))
     return A.pages(x, "doc_id", "bucket", "tree")
+
+
+#: (tree, gaps as kind, category, text): $P is the name of the item, $N a number.
+GAPS = [
+    ('{"abilities":[{"effect":{"type":"Unimplemented","name":"scry","description":"$P, the Old scries  $N cards."}}]}', [("Unimplemented", "Unimplemented:scry", "~ scries N cards")]),
+    ('{"triggers":[{"mode":{"Unknown":"When $P sees $N."},"execute":{"effect":{"type":"GenericEffect"}}}]}', [("unmodelled", "Unknown trigger mode", "when ~ sees N"), ("GenericEffect", "GenericEffect[?]", "GenericEffect[?]")]),
+    ('{"abilities":[{"modal":true,"mode_abilities":[1],"effect":{"type":"GenericEffect"}}]}', []), ('{"abilities":[{"effect":{"type":"GenericEffect","static_abilities":[{"mode":"CantBlock"}]}}]}', []),
+    ('{"abilities":[{"condition":{"type":"Unrecognized","text":"If $N, or $N:"},"effect":{"type":"Draw"}}],"replacements":[{"execute":{"effect":{"type":"Unimplemented"}}}]}', [("unmodelled", "Unrecognized condition", "if N, or N"), ("Unimplemented", "Unimplemented:None", "")]),
+]
+_GAPS = ", ".join(f"({k}, '{a}', '{b}', '{c}')" for k, (_, found) in enumerate(GAPS) for a, b, c in found)
+
+
+@query("gap_fragments", f"with w(k, kind, category, text) as (values {_GAPS}) select kind, category, w.text as text, count(*) n, count(distinct doc_id) items from documents join w on doc_id % {len(GAPS)} = k group by 1, 2, 3")
+def gap_fragments(read):
+    """What could not be read in the trees of documents, as counted fragments."""
+    x = read("documents").select("doc_id", F.concat(F.lit("Elf "), F.col("doc_id").cast("string"), F.lit(", the Old")).alias("name"), (F.col("doc_id") % len(GAPS)).cast("int").alias("k"), F.col("n_chars").cast("string").alias("n"))
+    tree = F.replace(F.replace(F.get(F.lit([g[0] for g in GAPS]), F.col("k")), F.lit("$P"), F.substring_index("name", ",", 1)), F.lit("$N"), F.coalesce("n", F.lit("0")))
+    found = V.gap_fragments(x.withColumn("tree", tree), "doc_id", "name", "tree")
+    return found.groupBy("kind", "category", "text").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("item").alias("items"))

@@ -49,11 +49,6 @@ def gap_predicate(read):
     return V.slot_scan(trees(read), "o_orderkey", "tree").groupBy("item").agg(F.count_if("gap").alias("gaps"))
 
 
-@query("gap_fragments", f"with {SCAN} select tag, count(*) n, count(distinct item) items from nodes where gap group by 1")
-def gap_fragments(read):
-    return V.slot_scan(trees(read), "o_orderkey", "tree").where("gap").groupBy("tag").agg(count(), F.count_distinct("item").alias("items"))
-
-
 @query("overlay_patch", "select o_orderkey, case when o_orderkey % 7 = 0 then '\"patched\"' else '\"' || case o_orderstatus when 'P' then 'Unimplemented' when 'F' then 'GenericEffect' else 'Deal' end || '\"' end tag from orders")
 def overlay_patch(read):
     path = F.when(F.col("o_orderkey") % 7 == 0, F.lit("effect.type"))

@@ -103,3 +103,16 @@ def test_evidence_equals_recursion(spark):
         evidence_by_force(t, out)
         want = {f: out[f] for f in [*C.FAMILIES, "WILD", "STRUCT"]}
         assert got.get(i, dict.fromkeys(want, 0)) == want, json.dumps(t)
+
+
+def test_gap_fragments(spark):
+    from tessera.operators import variant
+
+    rows = [
+        (1, "Red Elf, Old", json.dumps([{"type": "Unimplemented", "description": "Red Elf, Old and Red Elf draw 12  cards."}, {"type": "Unrecognized"}])),
+        (2, None, json.dumps({"mode": {"Unknown": {"a": 1}}, "x": {"type": "GenericEffect", "static_abilities": []}})),
+        (3, "", json.dumps({"modal": True, "mode_abilities": [1], "effect": {"type": "GenericEffect"}})),
+        (4, "n", None),
+    ]
+    got = {tuple(r) for r in variant.gap_fragments(spark.createDataFrame(rows, "i long, n string, t string"), "i", "n", "t").collect()}
+    assert got == {(1, "Unimplemented", "Unimplemented:None", "~ and ~ draw N cards"), (1, "unmodelled", "Unrecognized condition", ""), (2, "unmodelled", "Unknown trigger mode", '{"a": N}'), (2, "GenericEffect", "GenericEffect[?]", "GenericEffect[?]")}
