@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .anchors import among, shared
 from .components import components
 from .partenum import Threshold, shingle_sets, signatures
-from .scratch import Scratch, inner
+from .scratch import Scratch, inner, quoted
 from .words import LOWER, SPACED, batches, mix, release, sequences, text_buffer, tokenize
 
 SLICE, PART_BYTES, CHUNK, MEMBERS, STARS, ACROSS = 2 << 20, 8 << 20, 1024, 256, 4, 4
@@ -317,7 +317,7 @@ def stage(docs: DataFrame) -> DataFrame:
     rows = docs.withColumn(mark, F.xxhash64(*[F.col(c) for c in plain]))
     least = rows.select("doc_id", mark).join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(mark).alias(mark))
     one = rows.join(least, ["doc_id", mark], "left_semi").dropDuplicates(["doc_id"])
-    return one.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    return one.select(*quoted(docs.columns)).unionByName(docs.where("doc_id is null"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import bound_batches, keep_names
+from .scratch import bound_batches, inner, keep_names, quoted
 from .words import SPACED, Words, batches, text_buffer, tokenize
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -354,20 +354,21 @@ def scan(docs: DataFrame, text: str = "text", result: str = "secrets") -> DataFr
 
 def redact(docs: DataFrame, mark: str = "[secret]", text: str = "text") -> DataFrame:
     """docs with every span of the text replaced; overlapping spans become one mark."""
-    found = scan(docs, text, "__secrets")
+    own, whole = inner("secrets", docs.columns), F.col(f"`{text}`")
+    found = scan(docs, text, own)
     step = lambda acc, s: F.when(
         s["start"] >= acc["at"],
-        F.struct(F.concat(acc["out"], F.substr(F.col(text), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)).alias("out"), s["end"].alias("at")),
+        F.struct(F.concat(acc["out"], F.substr(whole, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)).alias("out"), s["end"].alias("at")),
     ).otherwise(F.struct(acc["out"].alias("out"), F.greatest(acc["at"], s["end"]).alias("at")))
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    done = F.aggregate("__secrets", start, step, lambda acc: F.concat(acc["out"], F.substr(F.col(text), acc["at"] + 1)))
-    return found.withColumn(text, F.when(F.size("__secrets") > 0, done).otherwise(F.col(text))).drop("__secrets")
+    done = F.aggregate(F.col(f"`{own}`"), start, step, lambda acc: F.concat(acc["out"], F.substr(whole, acc["at"] + 1)))
+    return found.withColumn(text, F.when(F.size(F.col(f"`{own}`")) > 0, done).otherwise(whole)).drop(own)
 
 
 def stage(docs: DataFrame) -> DataFrame:
     """All documents, secrets replaced in the text and n_chars counted anew where there were any."""
     out = redact(docs)
-    return out.withColumn("n_chars", F.when(F.col("text").contains("[secret]"), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns) if "n_chars" in docs.columns else out.select(*docs.columns)
+    return out.withColumn("n_chars", F.when(F.col("text").contains("[secret]"), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*quoted(docs.columns)) if "n_chars" in docs.columns else out.select(*quoted(docs.columns))
 
 
 def _joined(spans: Column) -> Column:

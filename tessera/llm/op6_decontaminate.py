@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import Scratch, inner, keep_names
+from .scratch import Scratch, inner, keep_names, quoted
 from .words import ALNUM, LOWER, batches, mix, prefix, release, rolling, span, text_buffer, tokenize, within
 
 GRAM = 8
@@ -188,7 +188,7 @@ def contaminated() -> F.Column:
 
 def stage(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents that are not contaminated, with their own columns."""
-    columns = docs.columns
+    columns = quoted(docs.columns)
     return find_contamination(docs, benchmark).where(~contaminated()).select(*columns)
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import Scratch, inner, keep_names
+from .scratch import Scratch, inner, keep_names, quoted
 from .words import batches, text_buffer
 
 LANGUAGES, UND = ("en", "de", "fr", "es"), "und"
@@ -197,7 +197,7 @@ def identify(rows: DataFrame, text: str = "text", declared: str | None = None, h
 
 def stage(docs: DataFrame) -> DataFrame:
     """Documents in an accepted language, with their own columns."""
-    return identify(docs, declared="lang", host="source").where("kept").select(*docs.columns)
+    return identify(docs, declared="lang", host="source").where("kept").select(*quoted(docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

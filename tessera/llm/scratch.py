@@ -87,6 +87,11 @@ def keep_names(df: DataFrame, taken: list[str]) -> list[str]:
     return [c for c in df.columns if c.lower() not in low]
 
 
+def quoted(columns: list[str]) -> list[str]:
+    """Names for select(): a dot in a name is no field."""
+    return [f"`{c}`" for c in columns]
+
+
 def inner(name: str, columns: list[str]) -> str:
     """A name for a column of an operator's own that no input column has, whatever its case."""
     low = {c.lower() for c in columns}

@@ -301,3 +301,23 @@ def test_op13_empty_and_many_parts(spark, monkeypatch):
     docs = [(i, "#", f"s{i % 17}") for i in range(100)]
     d, known = audit(spark, docs, [])
     assert sorted(tuple(r[c] for c in NAMES) for r in filters.audit(d, known).collect()) == audit_by_force(docs, [])
+
+
+# ---- names of columns in the stages
+
+
+@pytest.mark.parametrize("stage", ["op1", "op4", "op6", "op8"])
+def test_stages_keep_columns_of_any_name(spark, stage):
+    from tessera.llm import op1_ngram_join, op4_secrets, op6_decontaminate, op8_language
+
+    text = "the quick brown fox jumps over the lazy dog while seven cats watch from a wall nearby today "
+    rows = [(i, text * 2 + f"number {i * 7} password = abcdefgh{i}", "en", "s", 9, "x", "y") for i in range(6)]
+    dotted = "a.b" if stage in ("op1", "op6") else "a_b"  # Spark's own map functions refuse a dot
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long, `{dotted}` string, __secrets string")
+    run = {"op1": op1_ngram_join.stage, "op4": op4_secrets.stage, "op6": lambda d: op6_decontaminate.stage(d, spark.createDataFrame([(1, "no such words here")], "item_id long, text string")), "op8": op8_language.stage}[stage]
+    out = run(docs)
+    assert out.columns == docs.columns
+    got = out.collect()
+    assert got and all(r[dotted] == "x" and r["__secrets"] == "y" for r in got)
+    if stage == "op4":
+        assert all("[secret]" in r["text"] and "abcdefgh" not in r["text"] for r in got)
