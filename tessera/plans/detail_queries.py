@@ -50,7 +50,7 @@ def tfidf_sklearn(read):
     """Words and pairs of words, stopwords left out, against words of licence lines."""
     docs = read("documents").select("doc_id", text.terms(F.coalesce("text", F.lit(""))).alias("t"))
     found = S.tfidf_search(docs, "doc_id", "t", {"licensed": 2, "license": 1, "mit license": 1, "general public": 1, "zzzz": 1})
-    ranked = R.competition_rank(found.select(F.col("item").alias("doc_id"), F.col("score").alias("s")), "s", digits=7).where("rank <= 25")
+    ranked = R.competition_rank(stored(found.select(F.col("item").alias("doc_id"), F.col("score").alias("s"))), "s", digits=7).where("rank <= 25")
     return ranked.select("doc_id", F.round("s", 7).alias("s"))
 
 
