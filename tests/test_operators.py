@@ -38,6 +38,13 @@ def test_ranks_over_all_rows_equal_one_window(spark):
     assert {r["item"]: r["rank"] for r in relational.competition_rank(df, "score").collect()} == want
 
 
+def test_a_share_that_is_met_exactly_counts(spark):
+    assert 0.34 * 150 > 51  # as doubles
+    df = spark.createDataFrame([("g", "a" if i < 51 else "b", i) for i in range(150)], "g string, f string, i int")
+    got = relational.share_threshold(df, "g", "f", "i", 0.34).collect()
+    assert {r["f"]: r["n"] for r in got} == {"a": 51, "b": 99}
+
+
 def test_passages_and_clauses(spark):
     from tessera.functions.passages import clauses, image_parts, in_order, mark_passages, outside
 
