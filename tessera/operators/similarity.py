@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stored import stored
+
 
 def idf(sets: DataFrame, item: str, tokens: str, smooth: bool = False) -> DataFrame:
     """(token, df, idf): ln(N/df), or smooth ln((1+N)/(1+df))+1."""
@@ -74,37 +76,72 @@ def tfidf(docs: DataFrame, item: str, tokens: str, min_df: int = 1) -> DataFrame
     return w.withColumn("w", F.col("v") / F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("item")))).select("item", "token", "w")
 
 
-def tfidf_search(docs: DataFrame, item: str, tokens: str, query: dict[str, int]) -> DataFrame:
+#: Tokens whose frequencies go to the executors, documents from which these tokens are chosen, items of a task.
+HEAD, SAMPLE, ITEMS = 200_000, 20_000, 4_000
+
+
+def by_item(docs: DataFrame, item: str, n: int) -> DataFrame:
+    """docs dealt by item, about ITEMS in a task: what is counted per item and token from here on needs no further shuffle."""
+    return docs.repartition(n // ITEMS + 16, F.col(item))
+
+
+def head_counts(docs: DataFrame, item: str, tokens: str | Column, n: int, asked: DataFrame, head: int = HEAD) -> DataFrame:
+    """(token, df, q) with the exact frequencies of the tokens asked (token, q) and of about head frequent ones.
+
+    A sample of about SAMPLE items chooses the frequent ones, which decides only how tokens travel; all items are counted."""
+    twice = docs.groupBy(item).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    rows = docs if twice.isEmpty() else by_item(docs, item, n)
+    each = (lambda x: x.select(F.explode(F.array_distinct(tokens)).alias("token"))) if rows is docs else (lambda x: x.select(F.col(item).alias("item"), F.explode(tokens).alias("token")).distinct().select("token"))
+    some = rows.where(F.pmod(F.xxhash64(item), F.lit(max(1, n // SAMPLE))) == 0)
+    frequent = each(some).groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").orderBy(F.desc("k"), "token").limit(head).select("token")
+    chosen = stored(frequent.unionByName(asked.select("token")).distinct())
+    df = each(rows).join(F.broadcast(chosen), "token").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    return stored(df.join(F.broadcast(asked), "token", "left"))
+
+
+def search_sums(docs: DataFrame, item: str, tokens: str | Column, n: int, head: DataFrame) -> DataFrame:
+    """(item, squares, dot): sums of the squares of an item's TF-IDF weights and of their products with q, for items with a token that has a q.
+
+    docs are dealt by item once.  Frequent tokens meet head (token, df, q) where they stand; all others, most of them in one item
+    only, travel as 96 bits of hash to be counted, and their squares are summed per item before they are sent back."""
+    tf = by_item(docs, item, n).select(F.col(item).alias("item"), F.explode(tokens).alias("token")).groupBy("item", "token").agg(F.count(F.lit(1)).alias("tf"))
+    weight = (1 + F.log("tf")) * (F.log((1.0 + n) / (1 + F.col("df"))) + 1)
+    rare = F.col("df").isNull()
+    key = F.when(rare, F.xxhash64("token")).otherwise(F.xxhash64("item")).alias("key")
+    met = tf.join(F.broadcast(head), "token", "left").withColumn("v", weight)
+    part = met.select("item", key, F.when(rare, F.hash("token")).alias("check"), F.when(rare, F.col("tf")).alias("tf"), (F.col("v") * F.col("v")).alias("vv"), (F.col("v") * F.col("q")).alias("vq"))
+    part = part.groupBy("item", "key", "check").agg(F.sum("tf").alias("tf"), F.sum("vv").alias("vv"), F.sum("vq").alias("vq"))
+    counted = part.withColumn("df", F.when(F.col("check").isNotNull(), F.count(F.lit(1)).over(Window.partitionBy("key", "check"))))
+    square = F.coalesce("vv", weight * weight)
+    return counted.groupBy("item").agg(F.sum(square).alias("squares"), F.sum("vq").alias("dot")).where("dot is not null")
+
+
+def tfidf_search(docs: DataFrame, item: str, tokens: str | Column, query: dict[str, int], head: int = HEAD) -> DataFrame:
     """(item, score): cosine of TF-IDF weights with a query (token -> count) for items that share a token with it.
 
-    Lengths and products come from one aggregate per item; tokens of the query that no item has count for nothing."""
-    n = F.lit(docs.count())
-    tf = docs.select(F.col(item).alias("item"), F.explode(tokens).alias("token")).groupBy("item", "token").agg(F.count(F.lit(1)).alias("tf"))
-    idf = F.log((1 + n) / (1 + F.col("df"))) + 1
-    df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df")).select("token", idf.alias("idf"))
-    asked = docs.sparkSession.createDataFrame(list(query.items()), "token string, n int").select("token", (1 + F.log("n")).alias("a"))
-    rows = tf.join(df, "token").join(F.broadcast(asked), "token", "left")
-    v, q = (1 + F.log("tf")) * F.col("idf"), F.col("a") * F.col("idf")
-    found = rows.groupBy("item").agg(F.sqrt(F.sum(v * v)).alias("l"), F.sum(v * q).alias("dot")).where("dot is not null")
-    length = df.join(F.broadcast(asked), "token").agg(F.sqrt(F.sum(q * q)).alias("ql"))
-    return found.join(F.broadcast(length)).select("item", (F.col("dot") / (F.col("l") * F.col("ql"))).alias("score"))
-
-
-def weighted_search(docs: DataFrame, item: str, tokens: str, query: DataFrame) -> DataFrame:
-    """(item, s): sum over the query's tokens (token, q) of their TF-IDF weights in an item of length 1; lengths and sums come from one aggregate per item."""
-    n = F.lit(docs.count())
-    tf = docs.select(F.col(item).alias("item"), F.explode(tokens).alias("token")).groupBy("item", "token").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    v = (1 + F.log("tf")) * (F.log((1 + n) / (1 + F.col("df"))) + 1)
-    rows = tf.join(df, "token").join(query, "token", "left").select("item", v.alias("v"), "q")
-    return rows.groupBy("item").agg((F.sum(F.col("v") * F.col("q")) / F.sqrt(F.sum(F.col("v") * F.col("v")))).alias("s")).where("s is not null")
+    tokens: a column of docs or an expression over it; tokens of the query that no item has count for nothing."""
+    n = docs.count()
+    asked = docs.sparkSession.createDataFrame(list(query.items()), "token string, n int").select("token", (1 + F.log("n")).alias("q"))
+    idf = F.log((1.0 + n) / (1 + F.col("df"))) + 1
+    known = head_counts(docs, item, tokens, n, asked, head).withColumn("q", F.col("q") * idf)
+    found = search_sums(docs, item, tokens, n, known)
+    length = known.agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("ql"))
+    return found.join(F.broadcast(length)).select("item", (F.col("dot") / (F.sqrt("squares") * F.col("ql"))).alias("score"))
+
+
+def weighted_search(docs: DataFrame, item: str, tokens: str | Column, query: DataFrame, head: int = HEAD) -> DataFrame:
+    """(item, s): sum over the query's tokens (token, q) of their TF-IDF weights in an item of length 1."""
+    n = docs.count()
+    found = search_sums(docs, item, tokens, n, head_counts(docs, item, tokens, n, query, head))
+    return found.select("item", (F.col("dot") / F.sqrt("squares")).alias("s"))
 
 
-def bag_search(docs: DataFrame, item: str, tokens: str, query: list[str], dim: int = 512, seed: int = 0) -> DataFrame:
+def bag_search(docs: DataFrame, item: str, tokens: str | Column, query: list[str], dim: int = 512, seed: int = 0) -> DataFrame:
     """(item, s): cosine of the cells to which an item's words are hashed with those of a query, for items that share a cell."""
     cell = F.pmod(F.xxhash64("word", F.lit(seed)), F.lit(dim)).alias("cell")
     asked = docs.sparkSession.createDataFrame([(w,) for w in query], "word string").groupBy(cell).agg(F.count(F.lit(1)).cast("double").alias("q"))
-    counts = docs.select(F.col(item).alias("item"), F.explode(tokens).alias("word")).groupBy("item", cell).agg(F.count(F.lit(1)).cast("double").alias("c"))
+    words = by_item(docs, item, docs.count()).select(F.col(item).alias("item"), F.explode(tokens).alias("word"))
+    counts = words.groupBy("item", cell).agg(F.count(F.lit(1)).cast("double").alias("c"))
     found = counts.join(F.broadcast(asked), "cell", "left").groupBy("item").agg(F.sum(F.col("c") * F.col("q")).alias("dot"), F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("l")).where("dot is not null")
     length = asked.agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("ql"))
     return found.join(F.broadcast(length)).select("item", (F.col("dot") / (F.col("l") * F.col("ql"))).alias("s"))  # one row

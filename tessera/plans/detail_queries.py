@@ -48,8 +48,8 @@ s as (select doc_id, sum(v * q) / (sqrt(sum(v * v)) * (select sqrt(sum(q * q)) f
 @query("tfidf_sklearn", f"with {TERMS} select doc_id, round(s, 7) s from s where s is not null qualify rank() over (order by round(s, 7) desc) <= 25")
 def tfidf_sklearn(read):
     """Words and pairs of words, stopwords left out, against words of licence lines."""
-    docs = read("documents").select("doc_id", text.terms(F.coalesce("text", F.lit(""))).alias("t"))
-    found = S.tfidf_search(docs, "doc_id", "t", {"licensed": 2, "license": 1, "mit license": 1, "general public": 1, "zzzz": 1})
+    docs = read("documents").select("doc_id", "text")
+    found = S.tfidf_search(docs, "doc_id", text.terms(F.coalesce("text", F.lit(""))), {"licensed": 2, "license": 1, "mit license": 1, "general public": 1, "zzzz": 1})
     ranked = R.competition_rank(stored(found.select(F.col("item").alias("doc_id"), F.col("score").alias("s"))), "s", digits=7).where("rank <= 25")
     return ranked.select("doc_id", F.round("s", 7).alias("s"))
 

@@ -217,9 +217,10 @@ s as (select doc_id, sum(v / l * q) s from v join l using (doc_id) join (values
 
 
 def _scores(read) -> DataFrame:
-    docs = read("documents").select("doc_id", F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]+"), F.lit(0)).alias("t"))
+    docs = read("documents").select("doc_id", "text")
+    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]+"), F.lit(0))
     q = docs.sparkSession.createDataFrame([("the", 0.6), ("thing", 0.8)], "token string, q double")
-    return S.weighted_search(docs, "doc_id", "t", q).withColumnRenamed("item", "doc_id")
+    return S.weighted_search(docs, "doc_id", words, q).withColumnRenamed("item", "doc_id")
 
 
 @query("tfidf_score", SEARCH + " select doc_id, round(s, 7) s from s")
@@ -258,12 +259,12 @@ def agg_max_with_arg(read):
 def effect_search(read):
     """Lines as effects, two rankers over them, fused, the best line per document, top 20."""
     effects = lines(read).withColumn("effect_id", text.effect_id(F.col("line")))
-    unique = stored(effects.groupBy("effect_id").agg(F.min("line").alias("line"))).withColumn("t", text.tokens(F.col("line")))
-    q = unique.sparkSession.createDataFrame([("q", "hand thing stand band")], "effect_id string, line string").withColumn("t", text.tokens(F.col("line")))
+    unique = stored(effects.groupBy("effect_id").agg(F.min("line").alias("line")))
+    q = unique.sparkSession.createDataFrame([("q", "hand thing stand band")], "effect_id string, line string")
     words = F.regexp_extract_all("line", F.lit("[a-z]+"), F.lit(0))
     asked = "hand thing stand band".split()
-    by_terms = S.tfidf_search(unique.unionByName(q), "effect_id", "t", {w: 1 for w in asked}).where("item <> 'q'").select(F.col("item").alias("effect_id"), F.col("score").alias("s"))
-    by_cells = S.bag_search(unique.withColumn("t", words), "effect_id", "t", asked).withColumnRenamed("item", "effect_id")
+    by_terms = S.tfidf_search(unique.unionByName(q), "effect_id", text.tokens(F.col("line")), {w: 1 for w in asked}).where("item <> 'q'").select(F.col("item").alias("effect_id"), F.col("score").alias("s"))
+    by_cells = S.bag_search(unique, "effect_id", words, asked).withColumnRenamed("item", "effect_id")
     fused = stored(R.fuse_ranks([R.competition_rank(stored(x), "s") for x in (by_terms, by_cells)], "effect_id"))
     per_doc = effects.join(fused, "effect_id").select("doc_id", "effect_id", "score", "line_no")
     best = R.max_with_arg(per_doc, "doc_id", "score", "effect_id", "line_no")

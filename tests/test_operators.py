@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 
 import numpy as np
 import pytest
@@ -104,6 +105,23 @@ def test_tfidf_search_equals_force(spark):
             want[i] = sum(v[t] * q.get(t, 0) for t in v) / length(v) / length(q)
     found = similarity.tfidf_search(spark.createDataFrame(list(docs.items()), "id long, t array<string>"), "id", "t", query)
     assert {r["item"]: r["score"] for r in found.collect()} == pytest.approx(want)
+    assert not re.search(r"hashpartitioning\([^)]*token#", found._jdf.queryExecution().executedPlan().toString()), "postings don't travel"
+
+
+def test_tfidf_search_counts_rare_tokens_and_repeated_items(spark):
+    docs = [(i % 40, [f"w{i * j % 17}" for j in range(i % 9)] + [f"own{i}"]) for i in range(60)]
+    df = spark.createDataFrame(docs, "id long, t array<string>")
+    want = {r["item"]: r["score"] for r in similarity.tfidf_search(df, "id", "t", {"w1": 2, "w5": 1}).collect()}
+    got = {r["item"]: r["score"] for r in similarity.tfidf_search(df, "id", F.col("t"), {"w1": 2, "w5": 1}, head=1).collect()}
+    n, tf = len(docs), {}
+    for i, t in docs:
+        for w in t:
+            tf[i, w] = tf.get((i, w), 0) + 1
+    idf = {w: np.log((1 + n) / (1 + sum(x == w for _, x in tf))) + 1 for _, w in tf}
+    q = {w: (1 + np.log(k)) * idf[w] for w, k in (("w1", 2), ("w5", 1))}
+    v = {k: (1 + np.log(x)) * idf[k[1]] for k, x in tf.items()}
+    ends = {i: sum(v.get((i, w), 0) * q[w] for w in q) / np.sqrt(sum(x * x for (j, _), x in v.items() if j == i)) / np.sqrt(sum(x * x for x in q.values())) for i in {i for i, w in tf if w in q}}
+    assert got == pytest.approx(ends) and want == pytest.approx(ends)
 
 
 def test_tokens_drop_reminders_and_stopwords(spark):
