@@ -46,6 +46,19 @@ def test_a_share_that_is_met_exactly_counts(spark):
     assert {r["f"]: r["n"] for r in got} == {"a": 51, "b": 99}
 
 
+def test_quantiles_take_no_group_whole(spark):
+    from tessera.plans import table_queries  # noqa: F401
+
+    rng = random.Random(3)
+    rows = [(g, rng.choice([None, 0.0, -rng.random(), 7.5, rng.random() * 10 ** rng.randrange(6)])) for g in ("a", "b", None) for _ in range(101)] + [("c", None), ("d", 2.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    found = relational.quantiles(df, "g", "v", {"x": 0.5, "y": 0.9, "z": 1.0})
+    want = df.groupBy("g").agg(*[F.percentile("v", q).alias(n) for n, q in (("x", 0.5), ("y", 0.9), ("z", 1.0))])
+    got, want = ({r["g"]: (r["x"], r["y"], r["z"]) for r in d.collect()} for d in (found, want))
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert "percentile(" not in QUERIES["agg_percentile_hist"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString(), "a group's values are not held in one task"
+
+
 def test_passages_and_clauses(spark):
     from tessera.functions.passages import clauses, image_parts, in_order, mark_passages, outside
 
