@@ -9,6 +9,9 @@ the distinct words of a batch at once, place by place; a word of more than LONG
 spaces) goes alone, its pieces found as arrays SLAB places at a time, in steps in proportion to its length.  A worker
 remembers the values of up to REMEMBERED words, which changes time and nothing else.
 
+A learned score adds the words of the training texts as whole pieces, and the end, each with its share of the training
+tokens; the generic pieces keep the share of tokens that occur once, which is the chance of a new word (Good and Turing).
+
 Base: counts of all words of all documents, and of the training ones (all whose crc32 of the id modulo 7 is not 2), are
 summed per batch, then in Spark.  Words above a level of the whole count that at most HEAD words reach go to the executors
 with their training counts; all other words meet theirs in a join, summed per document and word before, where no key is
@@ -205,56 +208,63 @@ def _head(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     return words[order], found["c"].to_numpy(np.int64)[order], level
 
 
-def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, learned: bool = False) -> DataFrame:
+    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; learned: with the words of training texts as pieces."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
     held = F.coalesce(F.crc32(F.col(f"`{doc_id}`").cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
     rows = docs.select(F.col(f"`{text}`").alias("text"), held.alias("held_out"), F.col(f"`{doc_id}`").alias("doc_id"))
     counts = scratch.write(word_counts(rows), "counts")
     ends = rows.where("not held_out").count()
-    total = counts.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
+    total = counts.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.count_if(F.col("c") == 1).alias("once")).first()
     tokens, distinct = (total["n"] or 0) + ends, total["v"] + (ends > 0)
+    generic = (total["once"] + 1) / (tokens + 2) if learned else 1.0
+    own_share = (1 - generic) / max(1, tokens)
     head_words, head_counts, level = _head(counts)
     sent = spark.sparkContext.broadcast((pieces(vocabulary), head_words, head_counts))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice, words, numbers = sent.value
         logs = np.log10(numbers + 1.0)
+        with np.errstate(divide="ignore"):
+            shares = np.log(own_share * numbers)
+            end = np.logaddexp(np.log(generic) + lattice.end, np.log(own_share * ends)) / np.log(10)
         for part in parts:
             out = [[] for _ in range(5)]
             for a, b in batches(part.column(0), _BATCH):
                 own = tokenize(*text_buffer(part.column(0).slice(a, b - a)), SPACED, LOWER)
                 keys, first, back = np.unique(own.hash, return_index=True, return_inverse=True)
-                marginal = lattice.marginals(own, keys, first)[back] / np.log(10)
+                marginal = np.log(generic) + lattice.marginals(own, keys, first)
                 where = np.minimum(np.searchsorted(words, keys), max(0, len(words) - 1))
                 head = words[where] == keys if len(words) else np.zeros(len(keys), bool)
                 value = np.where(head, logs[where], 0.0) if len(words) else np.zeros(len(keys))
                 known = head & (numbers[where] > 0) if len(words) else head
+                whole = (np.logaddexp(marginal, np.where(head, shares[where], -np.inf)) if len(words) else marginal)[back] / np.log(10)
                 doc, n = own.doc(), b - a
                 rest = np.flatnonzero(~head[back])
                 pairs = np.stack([doc[rest], back[rest]])
                 pairs = pairs[:, np.lexsort((pairs[1], pairs[0]))]
                 new = np.flatnonzero(np.concatenate(([True], (np.diff(pairs, axis=1) != 0).any(axis=0)))) if len(rest) else rest
-                entry = pa.StructArray.from_arrays([pa.array(keys[pairs[1, new]].view(np.int64)), pa.array(np.diff(np.append(new, len(rest))).astype(np.int64))], ["word", "k"])
+                entry = pa.StructArray.from_arrays([pa.array(keys[pairs[1, new]].view(np.int64)), pa.array(np.diff(np.append(new, len(rest))).astype(np.int64)), pa.array(marginal[pairs[1, new]] / np.log(10))], ["word", "k", "m"])
                 tail = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.bincount(pairs[0, new], minlength=n)))).astype(np.int32)), entry)
-                for k, x in enumerate((pa.array(np.diff(own.first)), pa.array(np.bincount(doc, known[back], n).astype(np.int64)), pa.array(np.bincount(doc, value[back], n)), pa.array(np.bincount(doc, marginal, n) + lattice.end / np.log(10)), tail)):
+                for k, x in enumerate((pa.array(np.diff(own.first)), pa.array(np.bincount(doc, known[back], n).astype(np.int64)), pa.array(np.bincount(doc, value[back], n)), pa.array(np.bincount(doc, whole, n) + end), tail)):
                     out[k].append(x)
             if len(part):
                 yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), *[pa.concat_arrays(x) for x in out]], ["held_out", "doc_id", "n_words", "head_known", "head_log", "score", "tail"])
 
-    schema = T.StructType([rows.schema["held_out"], rows.schema["doc_id"], *T._parse_datatype_string("n_words long, head_known long, head_log double, score double, tail array<struct<word:long,k:long>>")])
+    schema = T.StructType([rows.schema["held_out"], rows.schema["doc_id"], *T._parse_datatype_string("n_words long, head_known long, head_log double, score double, tail array<struct<word:long,k:long,m:double>>")])
     scored = scratch.write(rows.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
     scratch.free()
     rare = counts.where((F.col("seen") < F.lit(level)) & (F.col("c") > 0)).select("word", "c")
     tails = scored.select("row", F.inline("tail")).join(rare, "word")
-    tails = tails.groupBy("row").agg(F.sum("k").alias("tail_known"), F.sum(F.col("k") * F.log10(F.col("c") + 1.0)).alias("tail_log"))
+    gain = F.when(F.col("c") * F.lit(own_share) > 0, F.log10(F.pow(F.lit(10.0), "m") + F.col("c") * F.lit(own_share)) - F.col("m")).otherwise(0.0)
+    tails = tails.groupBy("row").agg(F.sum("k").alias("tail_known"), F.sum(F.col("k") * F.log10(F.col("c") + 1.0)).alias("tail_log"), F.sum(F.col("k") * gain).alias("tail_gain"))
     n = F.col("n_words") + 1
     known = F.col("head_known") + F.coalesce("tail_known", F.lit(0)) + int(ends > 0)
     log = F.col("head_log") + F.coalesce("tail_log", F.lit(0.0)) + float(np.log10(ends + 1.0)) - n * float(np.log10(tokens + distinct + 1.0))
     out = scored.drop("tail").join(tails, "row", "left")
-    return out.select("doc_id", "held_out", n.alias("n_tokens"), known.alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), log.alias("base_score"), "score")
+    return out.select("doc_id", "held_out", n.alias("n_tokens"), known.alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), log.alias("base_score"), (F.col("score") + F.coalesce("tail_gain", F.lit(0.0))).alias("score"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return score(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), learned=True)

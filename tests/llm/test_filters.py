@@ -416,6 +416,25 @@ def test_op9_tail_words_meet_their_counts(spark, monkeypatch):
             assert tuple(r)[:5] == whole[r["doc_id"]][:5] and r["base_score"] == pytest.approx(whole[r["doc_id"]][5])
 
 
+def test_op9_learned_score_knows_the_training_words(spark, monkeypatch):
+    rows = [(i, " ".join(f"word{i * j % 23}" for j in range(1, 30))) for i in range(60)] + [(60, None), (61, f"new{60}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = {r["doc_id"]: r for r in op9_lm.score(df).collect()}
+    train = [w for i, t in rows if not plain[i]["held_out"] for w in [*(t or "").split(), None]]
+    c = Counter(train)
+    generic = (sum(k == 1 for w, k in c.items() if w) + 1) / (len(train) + 2)
+    own = lambda w: (1 - generic) * c[w] / len(train)
+    table, single, end = lattice_table()
+    part = {w: math.exp(log_marginal(("▁" + w).encode(), table, single)) for _, t in rows for w in (t or "").split()}
+    for head in (0, 5, 100_000):
+        monkeypatch.setattr(op9_lm, "HEAD", head)
+        for r in op9_lm.score(df, learned=True).collect():
+            words = (dict(rows)[r["doc_id"]] or "").split()
+            want = math.log10(own(None) + generic * end) + sum(math.log10(own(w) + generic * part[w]) for w in words)
+            assert abs(r["score"] - want) < 1e-6 and r["base_score"] == pytest.approx(plain[r["doc_id"]]["base_score"])
+            assert r["doc_id"] == 61 or r["score"] > 1.2 * r["base_score"]
+
+
 def test_op9_lattice_sums_all_segmentations():
     p = op9_lm.pieces()
     import sentencepiece
