@@ -68,7 +68,8 @@ def highlight(read):
 @query("passages")
 def passages(read):
     """Lines of documents that hold two words in order, with the shortest such stretch marked."""
-    return P.mark_passages(lines(read).select("doc_id", "line_no", "line"), "line", "the of", "shown").where("shown is not null").select("doc_id", "line_no", "shown")
+    x = lines(read).select("doc_id", "line_no", "line")
+    return P.mark_passages(x.where(P.may_hold("line", P.words_of("the of", x.sparkSession))), "line", "the of", "shown").where("shown is not null").select("doc_id", "line_no", "shown")
 
 
 @query("spans", "select p_partkey, '{' || p_size || '}' as cost, 'When ' || p_name || ' enters' as condition, 'draw a ' || lower(p_type) || ' card.' as effect, 'Activate only once.' as restriction from part")

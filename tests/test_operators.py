@@ -76,6 +76,17 @@ def test_passages_and_clauses(spark):
     assert image_parts("https://x/normal/front/9/3/93ab.jpg?17") == ("normal", "front", "93ab", "17") and image_parts("https://x/normal/front/9/4/93ab.jpg?17") is None
 
 
+def test_lines_that_may_hold_a_passage(spark):
+    from tessera.functions.passages import mark_passages, may_hold, words_of
+
+    lines = ["The rub’ies of melting", "ruby of melt", "rub it", "", None, "of the", "RUBIES, melted"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, x string")
+    marked = mark_passages(df, "x", "ruby melting", "s").where("s is not null").select("i", "s").collect()
+    may = {r["i"] for r in df.where(may_hold("x", words_of("ruby melting", spark))).collect()}
+    assert {r["i"] for r in marked} <= may <= {0, 1, 6} and marked
+    assert mark_passages(df, "x", " ", "s").where("s is not null").count() == 0
+
+
 def test_osa_counts_a_swap_once():
     assert osa("ab", "ba", 2) == 1 and osa("abc", "abc", 0) == 0 and osa("abcd", "x", 2) == 3 and osa("kitten", "sitting", 3) == 3
 
