@@ -7,9 +7,11 @@ of one slice share is settled there, so a signature of very many documents reach
 
 Candidates are verified in rounds, because the pairs of a large group of near copies are too many to list:
 first each member of a signature against the least one; classes that this links are joined.  Then, at most STARS - 1 times
-and as long as all pairs would be more than ACROSS for each member, in
+and as long as the pairs across components are more than ACROSS for each member of any signature, in
 signatures whose members are still in several components, those that are not in its component against one drawn by hash,
-and last, in signatures that have several still, all pairs across components.  Such pairs are
+and last, in signatures that have several still, all pairs across components.  The one that the others were compared
+with leaves its signature, as none of its pairs is open, and so do signatures in one component; a round reads only
+what is open.  Such pairs are
 compared first by parity sketches: bit j says whether the set has an odd number of features that hash to j, so
 the number of differing bits never exceeds the number of differing features, and no linked pair
 is lost.  Only pairs that pass are listed, and are verified on the sets themselves.  Signatures with more than
@@ -38,6 +40,8 @@ from .scratch import Scratch, inner, quoted
 from .words import LOWER, SPACED, batches, mix, release, sequences, text_buffer, tokenize
 
 SLICE, PART_BYTES, CHUNK, MEMBERS, STARS, ACROSS = 2 << 20, 8 << 20, 1024, 256, 4, 4
+#: Rows of ids or nodes that go to all executors, some 64 MB there; more are joined.
+SENT = 1 << 20
 #: Of n sequences about n * n / 2**65 pairs share a 64-bit hash, 3 of 10**10 and 270,000 of 3 * 10**12; more than this are not looked for.
 MOST_SPLIT = 1 << 20
 
@@ -145,6 +149,11 @@ def shared_signatures(docs: DataFrame, n: int, at: Threshold, parts: int, split:
     return sent.groupBy("part").applyInArrow(meet, "sig long, node long")
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """A written table, marked to go to all executors if it has SENT rows at most."""
+    return F.broadcast(df) if df.count() <= SENT else df
+
+
 def _pass_sketch(pairs: DataFrame, nodes: DataFrame, at: Threshold) -> DataFrame:
     """Pairs (a, b) that their sketches let pass."""
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
@@ -162,7 +171,7 @@ def _pass_sketch(pairs: DataFrame, nodes: DataFrame, at: Threshold) -> DataFrame
 def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, at: Threshold, split: np.ndarray, scratch: Scratch, name: str) -> DataFrame:
     """Pairs whose sets reach the threshold."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = wanted.join(nodes.select("node", "id", "text_key"), "node").select(F.col("id").alias("i"), F.col("text_key").alias("k"))
+    wanted = scratch.write(wanted.join(nodes.select("node", "id", "text_key"), "node").select(F.col("id").alias("i"), F.col("text_key").alias("k")), f"wanted{name}")
 
     def sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -170,7 +179,7 @@ def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, at: Thr
                 values, first, node, _ = _sets(part.column(0).slice(a, b - a), n, split)
                 yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array([values[x:y].tobytes() for x, y in zip(first[:-1], first[1:])], pa.binary())], ["node", "own"])
 
-    held = docs.join(wanted, (F.col("text_key") == F.col("k")) & F.col("id").eqNullSafe(F.col("i")), "left_semi").select("text").mapInArrow(sets, "node long, own binary")
+    held = docs.join(_few(wanted), (F.col("text_key") == F.col("k")) & F.col("id").eqNullSafe(F.col("i")), "left_semi").select("text").mapInArrow(sets, "node long, own binary")
     held = scratch.write(held.groupBy("node").agg(F.first("own").alias("own")), f"sets{name}")
     stars = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("groups"))
     members = pairs.join(stars, "a").select("a", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("group"), "b")
@@ -204,15 +213,15 @@ def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, at: Thr
 
     dealt = members.unionByName(centres).withColumn("bucket", F.pmod(F.xxhash64("a", "group"), F.lit(buckets)).cast("int"))
     out = scratch.write(dealt.groupBy("bucket").applyInArrow(compare, "a long, b long"), f"links{name}")
-    scratch.drop(f"sets{name}")
+    scratch.drop(f"sets{name}", f"wanted{name}")
     return out
 
 
-def _many_open(members: DataFrame) -> bool:
-    """Whether the pairs in signatures of several components are more than ACROSS for each member of any; members: sig, node, root."""
-    sizes = members.groupBy("sig").agg(F.count(F.lit(1)).cast("double").alias("n"), (F.min("root") < F.max("root")).alias("open"))
-    x = sizes.agg(F.sum("n").alias("members"), F.sum(F.when(F.col("open"), F.col("n") * F.col("n") / 2)).alias("pairs")).first()
-    return (x["pairs"] or 0) > ACROSS * (x["members"] or 0)
+def _open_pairs(members: DataFrame) -> float:
+    """Pairs within a signature but across components; members: sig, node, root."""
+    own = members.groupBy("sig", "root").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    sizes = own.groupBy("sig").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within"))
+    return (sizes.agg(F.sum(F.col("n") * F.col("n") - F.col("within"))).first()[0] or 0.0) / 2
 
 
 def _across(members: DataFrame, nodes: DataFrame, at: Threshold, scratch: Scratch) -> DataFrame:
@@ -278,27 +287,29 @@ def group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
     per_feature = 12 * 3 * 2.4 * (den - num) / (den + num)
     parts = max(16, int(total * per_feature / PART_BYTES) + 1)
     members = scratch.write(shared_signatures(keyed, shingle, at, parts, split).distinct(), "members")
-    with_root = lambda joined: members.join(joined.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    most = ACROSS * members.count()
+    signed = scratch.write(nodes.join(_few(scratch.write(members.select("node").distinct(), "in")), "node", "left_semi"), "signed")
     roots = members.withColumn("root", F.col("node"))
     for turn in range(STARS):
-        order = F.xxhash64("node", F.lit(turn)) if turn else F.col("node")
-        pivots = roots.groupBy("sig").agg(F.min_by(F.struct("node", "root"), order).alias("p"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
-        stars = roots.join(pivots, "sig").where("root <> p.root").select(F.col("p.node").alias("a"), F.col("node").alias("b")).distinct()
-        passed = scratch.write(_pass_sketch(stars, nodes, at), f"star{turn}")
+        order = F.struct(F.xxhash64("node", F.lit(turn)), "node") if turn else F.col("node")
+        pivots = roots.groupBy("sig").agg(F.min_by(F.struct("node", "root"), order).alias("p"), F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y")
+        met = roots.join(pivots, "sig")
+        stars = met.where("root <> p.root").select(F.col("p.node").alias("a"), F.col("node").alias("b")).distinct()
+        passed = scratch.write(_pass_sketch(stars, signed, at), f"star{turn}")
         if not turn:
             first = passed
-        elif not passed.limit(1).count():
-            break
-        links = _verify(passed, nodes, keyed, shingle, at, split, scratch, f"{turn}")
+        links = _verify(passed, signed, keyed, shingle, at, split, scratch, f"{turn}")
         joined = components(joined.unionByName(links) if turn else links, scratch)
-        roots = scratch.write(with_root(joined), f"roots{turn}")
-        if not _many_open(roots):
+        rest = met.where("n > 2 and node <> p.node").select("sig", "node").join(joined.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left")
+        roots = scratch.write(rest.withColumn("root", F.coalesce("root", "node")), f"roots{turn}")
+        scratch.drop("members", f"roots{turn - 1}")
+        if _open_pairs(roots) <= most:
             break
-    second = _across(roots, nodes, at, scratch).join(first, ["a", "b"], "left_anti")
+    second = _across(roots, signed, at, scratch).join(first, ["a", "b"], "left_anti")
     second = scratch.write(second, "second")
-    scratch.drop("members", *(f"roots{turn}" for turn in range(STARS)))
+    scratch.drop(*(f"roots{turn}" for turn in range(STARS)))
     if second.limit(1).count():
-        more = _verify(second, nodes, keyed, shingle, at, split, scratch, "last")
+        more = _verify(second, signed, keyed, shingle, at, split, scratch, "last")
         joined = components(joined.unionByName(more), scratch)
     named = nodes.join(joined.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -91,6 +91,27 @@ def test_op1_in_chunks(spark, monkeypatch, across):
     assert sorted(tuple(r) for r in op1_ngram_join.group(df, shingle=3, num=9, den=10).collect()) == group_by_force(rows, 3, 9, 10)
 
 
+def test_op1_rounds_read_only_what_is_open(spark, monkeypatch):
+    """A group of near copies with one odd member is done after one round, and only signatures with open pairs are written again."""
+    rng, written = np.random.default_rng(5), {}
+    base = [f"w{x}" for x in rng.integers(0, 10**6, 400)]
+    rows = [(i, " ".join(base[:j] + [f"x{i}"] + base[j + 1 :])) for i, j in enumerate(rng.integers(0, 400, 40).tolist())]
+    rows.append((100, " ".join(base[:200] + [f"y{x}" for x in range(200)])))
+    rows += [(200 + i, " ".join([f"z{i // 2}_{x}" for x in range(60)] + [f"u{i}"])) for i in range(40)]
+    write = op1_ngram_join.Scratch.write
+    monkeypatch.setattr(op1_ngram_join.Scratch, "write", lambda self, df, name: written.setdefault(name, write(self, df, name)))
+    monkeypatch.setattr(op1_ngram_join.Scratch, "drop", lambda self, *names: None)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(tuple(r) for r in op1_ngram_join.group(df, shingle=3, num=9, den=10).collect()) == group_by_force(rows, 3, 9, 10)
+    members, roots = written["members"], written["roots0"]
+    assert "roots1" not in written
+    pairs_only = members.groupBy("sig").count().where("count = 2")
+    assert pairs_only.count() > 0 and roots.join(pairs_only, "sig").count() == 0
+    assert roots.count() <= members.count() - members.select("sig").distinct().count() - pairs_only.count()
+    table = spark.createDataFrame([(1, i, 0) for i in range(300)] + [(1, 300, 300)] + [(2, i, 7) for i in range(50)], "sig long, node long, root long")
+    assert op1_ngram_join._open_pairs(table) == 300
+
+
 def test_op1_odd_rows(spark):
     got = collections.defaultdict(set)
     for i, n, c in op1_ngram_join.group(odd(spark)).collect():
