@@ -6,6 +6,10 @@ their number grows with the vocabulary of effects and not with the documents.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,6 +82,8 @@ def tfidf(docs: DataFrame, item: str, tokens: str, min_df: int = 1) -> DataFrame
 
 #: Tokens whose frequencies go to the executors, documents from which these tokens are chosen, items of a task.
 HEAD, SAMPLE, ITEMS = 200_000, 20_000, 4_000
+#: If at most one item in so many has a token asked, only tokens of these items are counted.
+FEW = 8
 
 
 def by_item(docs: DataFrame, item: str, n: int) -> DataFrame:
@@ -116,6 +122,79 @@ def search_sums(docs: DataFrame, item: str, tokens: str | Column, n: int, head:
     return counted.groupBy("item").agg(F.sum(square).alias("squares"), F.sum("vq").alias("dot")).where("dot is not null")
 
 
+#: Bits of the map of asked hashes, 16 MB at most; tokens that it lets pass by chance travel, but count for nothing.
+MAP_BITS = 1 << 27
+
+
+def _map(hashes: DataFrame, bits: int) -> np.ndarray:
+    """Bits at the places of hashes, one map a task, joined two by two until one is left for the driver."""
+    slots = np.uint64(bits - 1)
+
+    def mark(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(bits // 8, np.uint8)
+        for part in parts:
+            at = part.column(0).to_numpy().view(np.uint64) & slots
+            np.bitwise_or.at(own, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([own.tobytes()], pa.binary())], ["own"])
+
+    def both(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(bits // 8, np.uint8)
+        for part in parts:
+            for x in part.column(0):
+                own |= np.frombuffer(x.as_buffer(), np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([own.tobytes()], pa.binary())], ["own"])
+
+    return np.frombuffer(hashes.coalesce(8).mapInArrow(mark, "own binary").coalesce(1).mapInArrow(both, "own binary").first()[0], np.uint8)
+
+
+def counts_of(docs: DataFrame, tokens: str | Column, hashes: DataFrame, size: int) -> DataFrame:
+    """(hash, df): of how many rows of docs the tokens with these hashes are; only what the map of hashes lets pass travels, counted per batch."""
+    bits = min(MAP_BITS, max(1 << 16, 1 << (16 * size).bit_length()))
+    slots, held = np.uint64(bits - 1), docs.sparkSession.sparkContext.broadcast(_map(hashes, bits))
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = held.value
+        for part in parts:
+            lists = part.column(0)
+            value = lists.flatten().to_numpy(zero_copy_only=False)
+            at = value.view(np.uint64) & slots
+            live = np.flatnonzero((asked[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1)
+            row = np.repeat(np.arange(len(lists)), np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64))[live]
+            value = value[live]
+            order = np.lexsort((row, value))
+            row, value = row[order], value[order]
+            once = np.ones(len(row), bool)
+            once[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1])
+            found, n = np.unique(value[once], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], ["hash", "n"])
+
+    own = tokens if isinstance(tokens, Column) else F.col(tokens)
+    sent = docs.select(F.transform(own, lambda t: F.xxhash64(t)).alias("t")).mapInArrow(run, "hash long, n long")
+    return sent.groupBy("hash").agg(F.sum("n").alias("df"))
+
+
+def few_sums(docs: DataFrame, item: str, tokens: str | Column, n: int, asked: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """search_sums() and the query's (token, df, q), where at most one item in FEW has a token asked; else, or if an item has several rows, None.
+
+    Only tokens of items found are counted, over all items; tokens are known by 64 bits of hash."""
+    own = tokens if isinstance(tokens, Column) else F.col(tokens)
+    words = F.array(*[F.lit(r[0]) for r in asked.select("token").collect()])
+    if not docs.groupBy(item).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        return None
+    tf = docs.select(F.col(item).alias("item"), own.alias("t")).where(F.arrays_overlap("t", words))
+    tf = stored(tf.select("item", F.explode("t").alias("token")).groupBy("item", "token").agg(F.count(F.lit(1)).alias("tf")).withColumn("hash", F.xxhash64("token")))
+    if tf.select("item").distinct().count() * FEW > n:
+        return None
+    hashes = stored(tf.select("hash").distinct())
+    df = stored(counts_of(docs, own, hashes, hashes.count()).join(hashes, "hash"))
+    known = stored(asked.withColumn("hash", F.xxhash64("token")).join(df, "hash").select("token", "df", "q", "hash"))
+    idf = F.log((1.0 + n) / (1 + F.col("df"))) + 1
+    asked_q = F.broadcast(known.select("hash", (F.col("q") * idf).alias("q")))
+    v = tf.join(df, "hash").withColumn("v", (1 + F.log("tf")) * idf).join(asked_q, "hash", "left")
+    sums = v.groupBy("item").agg(F.sum(F.col("v") * F.col("v")).alias("squares"), F.sum(F.col("v") * F.col("q")).alias("dot")).where("dot is not null")
+    return sums, known.drop("hash")
+
+
 def tfidf_search(docs: DataFrame, item: str, tokens: str | Column, query: dict[str, int], head: int = HEAD) -> DataFrame:
     """(item, score): cosine of TF-IDF weights with a query (token -> count) for items that share a token with it.
 
@@ -123,8 +202,9 @@ def tfidf_search(docs: DataFrame, item: str, tokens: str | Column, query: dict[s
     n = docs.count()
     asked = docs.sparkSession.createDataFrame(list(query.items()), "token string, n int").select("token", (1 + F.log("n")).alias("q"))
     idf = F.log((1.0 + n) / (1 + F.col("df"))) + 1
-    known = head_counts(docs, item, tokens, n, asked, head).withColumn("q", F.col("q") * idf)
-    found = search_sums(docs, item, tokens, n, known)
+    few = few_sums(docs, item, tokens, n, asked)
+    known = (few[1] if few else head_counts(docs, item, tokens, n, asked, head)).withColumn("q", F.col("q") * idf)
+    found = few[0] if few else search_sums(docs, item, tokens, n, known)
     length = known.agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("ql"))
     return found.join(F.broadcast(length)).select("item", (F.col("dot") / (F.sqrt("squares") * F.col("ql"))).alias("score"))
 

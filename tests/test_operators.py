@@ -148,6 +148,22 @@ def test_tfidf_search_counts_rare_tokens_and_repeated_items(spark):
     assert got == pytest.approx(ends) and want == pytest.approx(ends)
 
 
+def test_tfidf_search_counts_only_tokens_of_items_found(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, [f"w{x}" for x in rng.zipf(1.3, 30).clip(0, 4000)] + [f"own{i}", f"two{i // 2}"] + ["ask", "ask", "me"][: 3 if i % 20 == 0 else 0]) for i in range(300)]
+    df, query, sent = spark.createDataFrame(rows, "id long, t array<string>").repartition(3), {"ask": 2, "me": 1, "zz": 1}, []
+    count = similarity.counts_of
+    monkeypatch.setattr(similarity, "counts_of", lambda *a: sent.append((a[2], count(*a))) or sent[-1][1])
+    got = {r["item"]: r["score"] for r in similarity.tfidf_search(df, "id", "t", query).collect()}
+    asked, counted = sent[0]
+    assert asked.count() == len({w for i, t in rows if i % 20 == 0 for w in t}) < len({w for _, t in rows for w in t})
+    for word in ("ask", "own20", "two10", "w1"):
+        n = counted.where(F.col("hash") == F.xxhash64(F.lit(word))).first()["df"]
+        assert n == sum(word in t for _, t in rows)
+    monkeypatch.setattr(similarity, "FEW", 10**6)
+    assert got == pytest.approx({r["item"]: r["score"] for r in similarity.tfidf_search(df, "id", "t", query).collect()}) and len(got) == 15
+
+
 def test_tokens_drop_reminders_and_stopwords(spark):
     assert one(spark, text.tokens(F.lit("{T}: The Owner's gain +1/+1 (reminder text) and 3 rings"))) == ["{t}", "owner's", "gain", "+1/+1", "3", "rings"]
 
