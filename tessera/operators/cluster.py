@@ -6,6 +6,8 @@ ordered group runs in one task per group.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -82,15 +84,33 @@ def spanning_tree(points: np.ndarray, far: float = np.inf) -> list[tuple[int, in
     return out
 
 
+def reach_tree(n: int, row: Callable[[int], np.ndarray], near: int) -> list[tuple[int, int, float]]:
+    """Edges of the least spanning tree by mutual reachability (Prim), from one row of distances at a time."""
+    core = np.array([np.partition(row(i), min(near, n - 1))[min(near, n - 1)] for i in range(n)])
+    best, source, done, out, i = np.full(n, np.inf), np.full(n, -1), np.zeros(n, bool), [], 0
+    for _ in range(n):
+        done[i] = True
+        if source[i] >= 0:
+            out.append((int(source[i]), i, float(best[i])))
+        reach = np.maximum(np.maximum(row(i), core), core[i])
+        closer = ~done & (reach < best)
+        best[closer], source[closer] = reach[closer], i
+        i = int(np.where(done, np.inf, best).argmin())
+    return out
+
+
 def density_clusters(distance: np.ndarray, least: int = 5, near: int = 5) -> np.ndarray:
-    """HDBSCAN labels (Campello, Moulavi, Sander 2013): mutual reachability, spanning tree, condensed tree, excess of mass; -1 is noise."""
-    n = len(distance)
+    """Labels by density of a distance matrix."""
+    return density_labels(len(distance), lambda i: distance[i], least, near)
+
+
+def density_labels(n: int, row: Callable[[int], np.ndarray], least: int = 5, near: int = 5) -> np.ndarray:
+    """HDBSCAN labels (Campello, Moulavi, Sander 2013): mutual reachability, spanning tree, condensed tree, excess of mass; -1 is noise.
+
+    row(i): distances of point i to all.  Memory follows n and time its square, as no matrix is held."""
     if n < least:
         return np.full(n, -1)
-    core = np.sort(distance, axis=1)[:, min(near, n - 1)]
-    reach = np.maximum(distance, np.maximum(core[:, None], core[None, :]))
-    np.fill_diagonal(reach, 0)
-    edges = sorted(spanning_tree(reach), key=lambda e: e[2])
+    edges = sorted(reach_tree(n, row, near), key=lambda e: e[2])
     parent = list(range(2 * n))
     size = [1] * n + [0] * n
     merge: dict[int, tuple[int, int, float]] = {}
@@ -111,7 +131,6 @@ def density_clusters(distance: np.ndarray, least: int = 5, near: int = 5) -> np.
     strength: dict[int, float] = {}
     born: dict[int, float] = {}
     children: dict[int, list[int]] = {}
-    members: dict[int, list[int]] = {}
 
     def leaves(x: int) -> list[int]:
         out, stack = [], [x]
@@ -125,7 +144,7 @@ def density_clusters(distance: np.ndarray, least: int = 5, near: int = 5) -> np.
 
     root = node - 1
     stack = [(root, root)]
-    born[root], strength[root], children[root], members[root] = 0.0, 0.0, [], leaves(root)
+    born[root], strength[root], children[root] = 0.0, 0.0, []
     while stack:
         x, cluster = stack.pop()
         if x < n:
@@ -136,7 +155,7 @@ def density_clusters(distance: np.ndarray, least: int = 5, near: int = 5) -> np.
         if len(big) == 2:
             strength[cluster] += (level - born[cluster]) * size[x]
             for y in big:
-                born[y], strength[y], children[y], members[y] = level, 0.0, [], leaves(y)
+                born[y], strength[y], children[y] = level, 0.0, []
                 children[cluster].append(y)
                 stack.append((y, y))
         else:
@@ -157,7 +176,7 @@ def density_clusters(distance: np.ndarray, least: int = 5, near: int = 5) -> np.
                 chosen.discard(k)
                 stack += children[k]
             chosen.add(c)
-    labels = np.full(n, -1)
+    labels, members = np.full(n, -1), {c: leaves(c) for c in chosen}  # chosen clusters share no point
     for k, c in enumerate(sorted(chosen, key=lambda c: min(members[c]))):
         labels[members[c]] = k
     return labels

@@ -256,7 +256,7 @@ def hdbscan_cluster(read):
         own = own.sort_values("vec_id")
         x = np.stack(own["embedding"].to_numpy()).astype(float)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-        labels = C.density_clusters(np.clip(1 - x @ x.T, 0, None))
+        labels = C.density_labels(len(x), lambda i: np.clip(1 - x @ x[i], 0, None))
         return pd.DataFrame({"vec_id": own["vec_id"], "label": own["label"], "cluster": labels})
 
     return read("embeddings").groupBy("label").applyInPandas(run, "vec_id long, label int, cluster long")

@@ -356,6 +356,21 @@ def test_components_on_random_graphs(spark):
     assert got == {n: find(n) for p in pairs for n in p}
 
 
+def test_density_labels_hold_no_matrix():
+    """20,000 points would be a matrix of 3.2 GB; here a tree of 3,000 stays below a tenth of its matrix."""
+    import tracemalloc
+
+    x = np.random.default_rng(1).normal(size=(3000, 8)) + np.repeat(np.arange(3) * 12, 1000)[:, None]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    tracemalloc.start()
+    labels = cluster.density_labels(len(x), lambda i: np.clip(1 - x @ x[i], 0, None))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(labels) == 3000 and peak < 3000 * 3000 * 8 / 10
+    some = x[::10]
+    assert (cluster.density_labels(300, lambda i: np.clip(1 - some @ some[i], 0, None)) == cluster.density_clusters(np.clip(1 - some @ some.T, 0, None))).all()
+
+
 def test_density_clusters_find_blobs():
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(0, 0.1, (20, 2)), rng.normal(5, 0.1, (20, 2)), [[20, 20], [-20, 9]]])
