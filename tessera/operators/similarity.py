@@ -174,7 +174,7 @@ def counts_of(docs: DataFrame, tokens: str | Column, hashes: DataFrame, size: in
 
 
 def few_sums(docs: DataFrame, item: str, tokens: str | Column, n: int, asked: DataFrame) -> tuple[DataFrame, DataFrame] | None:
-    """search_sums() and the query's (token, df, q), where at most one item in FEW has a token asked; else, or if an item has several rows, None.
+    """search_sums() and the query's (token, df, q), where at most one item in FEW, but not none, has a token asked; else, or if an item has several rows, None.
 
     Only tokens of items found are counted, over all items; tokens are known by 64 bits of hash."""
     own = tokens if isinstance(tokens, Column) else F.col(tokens)
@@ -183,7 +183,8 @@ def few_sums(docs: DataFrame, item: str, tokens: str | Column, n: int, asked: Da
         return None
     tf = docs.select(F.col(item).alias("item"), own.alias("t")).where(F.arrays_overlap("t", words))
     tf = stored(tf.select("item", F.explode("t").alias("token")).groupBy("item", "token").agg(F.count(F.lit(1)).alias("tf")).withColumn("hash", F.xxhash64("token")))
-    if tf.select("item").distinct().count() * FEW > n:
+    found = tf.select("item").distinct().count()
+    if not found or found * FEW > n:
         return None
     hashes = stored(tf.select("hash").distinct())
     df = stored(counts_of(docs, own, hashes, hashes.count()).join(hashes, "hash"))

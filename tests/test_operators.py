@@ -148,6 +148,11 @@ def test_tfidf_search_counts_rare_tokens_and_repeated_items(spark):
     assert got == pytest.approx(ends) and want == pytest.approx(ends)
 
 
+def test_tfidf_search_finds_nothing(spark):
+    df = spark.createDataFrame([(i, [f"w{i}"]) for i in range(20)], "id long, t array<string>")
+    assert similarity.tfidf_search(df, "id", "t", {"none": 1}).count() == 0 and similarity.tfidf_search(df.limit(0), "id", "t", {"none": 1}).count() == 0
+
+
 def test_tfidf_search_counts_only_tokens_of_items_found(spark, monkeypatch):
     rng = np.random.default_rng(3)
     rows = [(i, [f"w{x}" for x in rng.zipf(1.3, 30).clip(0, 4000)] + [f"own{i}", f"two{i // 2}"] + ["ask", "ask", "me"][: 3 if i % 20 == 0 else 0]) for i in range(300)]
