@@ -1,8 +1,9 @@
 """Suffix-array dedup of byte strings, by external induced sorting of shards.
 
 Two documents share a string of WINDOW bytes only if they share its anchor, the least hash of the GRAM-byte
-grams in it.  Anchors of all windows are dealt by hash to parts and counted there; a part answers each
-document with those that stand in other documents too.  The windows with such anchors, a superset of all
+grams in it.  Documents of one text are one class: those of greater id than its least lose the whole text, as every
+window starts in that one too, and only the least takes part in what follows.  Anchors of all windows are dealt by hash
+to parts and counted there; a part answers each class with those that stand in other classes too.  The windows with such anchors, a superset of all
 shared ones, are cut out as pieces (windows in a row with one anchor) and dealt by anchor to shards.  A shard
 writes each distinct piece once and sorts the suffixes of the whole by external induced sorting (induced.py), which
 gives them in order with the common prefix of neighbours: suffixes with WINDOW bytes in common form a group, in which
@@ -40,6 +41,8 @@ from .scratch import Scratch, inner, keep_names
 from .words import BYTE_VALUES, batches, mix, prefix, rolling, span, text_buffer, within
 
 WINDOW, GRAM, SLICE, FAN, MEMORY = 50, 20, 2 << 20, 1024, 64 << 20
+#: Bytes of pieces in a shard, and of a piece: some (WINDOW - GRAM + 2) / 2 windows in a row have one anchor.
+SHARD_BYTES, PIECE = 5 << 20, WINDOW - 1 + (WINDOW - GRAM + 2) // 2
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 RESULT = [
     T.StructField("n_bytes", T.LongType()),
@@ -90,7 +93,7 @@ def _cuts(part: np.ndarray) -> list[tuple[int, int]]:
 
 
 def shared_anchors(keyed: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
-    """(doc, found) of documents (id, doc, text): codes of their anchors that other documents have too, as hot ones do."""
+    """(doc, found) of texts (doc, text), where one text is one doc: codes of its anchors that others have too, as hot ones do."""
     sent_hot = keyed.sparkSession.sparkContext.broadcast(hot)
 
     def send(batch_list: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +126,10 @@ def shared_anchors(keyed: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
         many = shared(low, own)
         code = np.concatenate([code, low[many].astype(np.uint64) | np.uint64(max(0, table["part"][0].as_py()) << 32)])
         doc = np.concatenate([doc, own[many]])
-        return _by_bucket(code, doc, parts)
+        order = np.lexsort((doc, code))  # copies in several slices have sent the same
+        code, doc = code[order], doc[order]
+        once = np.concatenate(([True], (code[1:] != code[:-1]) | (doc[1:] != doc[:-1]))) if len(code) else np.zeros(0, bool)
+        return _by_bucket(code[once], doc[once], parts)
 
     sent = keyed.select("doc", "text").mapInArrow(send, "part int, blob binary, known binary")
     return _by_document(sent.groupBy("part").applyInArrow(count, "bucket int, pairs binary"))
@@ -385,9 +391,21 @@ def find_repeats(candidates: DataFrame, parts: int, shards: int, hot: np.ndarray
     return _by_document(dealt.groupBy("part").applyInArrow(sort, "bucket int, pairs binary"))
 
 
-def _cover(found: bytes | None) -> list[tuple[int, int]]:
-    if not found:
+def text_classes(keyed: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(text_key, id): the least id of each text; (doc): the documents (id, text_key, text) of greater id.  Texts are told by 128 bits."""
+    check = F.xxhash64(F.sha2(F.col("text").cast("binary"), 256))
+    ids = scratch.write(keyed.select("id", "text_key", check.alias("check")), "ids")
+    classes = scratch.write(ids.groupBy("text_key", "check").agg(F.min("id").alias("least"), F.max("id").alias("most")), "classes")
+    several = classes.where("least < most").select("text_key", "check", "least")
+    copies = ids.join(several, ["text_key", "check"]).where("id > least").select(F.xxhash64("id", "text_key").alias("doc")).distinct()
+    return classes.select("text_key", F.col("least").alias("id")).distinct(), copies
+
+
+def _cover(found: bytes | None, size: int) -> list[tuple[int, int]]:
+    if found is None:
         return []
+    if not found:  # a copy of a smaller document
+        return [(0, size)] if size >= WINDOW else []
     x = np.frombuffer(found, np.int32).reshape(-1, 2).astype(np.int64)
     x = x[np.argsort(x[:, 0], kind="stable")]
     start, end = x[:, 0], np.maximum.accumulate(x[:, 1] + WINDOW - 1)
@@ -402,15 +420,20 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     own = keep_names(docs, names)
     number, key = document_keys(doc_id, text)
     doc = F.xxhash64(number, key)
-    keyed = docs.select(number.alias("id"), key.alias("text_key"), doc.alias("doc"), F.col(f"`{text}`").alias("text"))
-    hot = hot_anchors(keyed.select("id", "text_key", "text"), _runs)
+    keyed = docs.select(number.alias("id"), key.alias("text_key"), F.col(f"`{text}`").alias("text"))
+    hot = hot_anchors(keyed, _runs)
     total = text_bytes(docs, text)
-    parts, shards = part_count(total, 1.0), part_count(total, 3.0)
-    selected = scratch.write(shared_anchors(keyed, parts, hot), "anchors")
-    found = find_repeats(keyed.join(selected, "doc"), parts, shards, hot, max(1, int(total / (SLICE * FAN))), scratch)
+    parts = part_count(total, 1.0)
+    least, copies = text_classes(keyed, scratch)
+    selected = shared_anchors(keyed.select(F.col("text_key").alias("doc"), "text"), parts, hot).withColumnRenamed("doc", "text_key")
+    selected = scratch.write(selected.join(least, "text_key"), "anchors")
+    runs = (selected.agg(F.sum(F.length("found"))).first()[0] or 0) // 8
+    candidates = keyed.join(selected, ["text_key", "id"]).select("id", F.xxhash64("id", "text_key").alias("doc"), "text", "found")
+    found = find_repeats(candidates, parts, max(16, int(runs * PIECE / SHARD_BYTES) + 1), hot, max(1, int(total / (SLICE * FAN))), scratch)
+    found = found.unionByName(copies.withColumn("found", F.expr("X''")))
     mark, body, answer = (inner(x, own) for x in ("doc", "text", "found"))
     found = scratch.write(found.select(F.col("doc").alias(mark), F.col("found").alias(answer)), "repeats")
-    scratch.drop("anchors", "pieces")
+    scratch.drop("ids", "classes", "anchors", "pieces")
     scratch.free()
     held = docs.select(*[F.col(f"`{c}`") for c in own], doc.alias(mark), F.col(f"`{text}`").alias(body))
     joined = held.join(found, mark, "left").select(*[F.col(f"`{c}`") for c in own], body, answer)
@@ -419,7 +442,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         for part in parts:
             counts, spans, kept = [], [], []
             for value, at in zip(part.column(part.num_columns - 2), part.column(part.num_columns - 1)):
-                data, cover = (value.as_py() or "").encode(), _cover(at.as_py())
+                data = (value.as_py() or "").encode()
+                cover = _cover(at.as_py(), len(data))
                 counts.append(len(data))
                 spans.append([{"start": s, "end": e} for s, e in cover])
                 edges = [0, *[x for pair in cover for x in pair], len(data)]

@@ -234,6 +234,29 @@ def test_op3_repetitive_and_odd_rows(spark):
     assert op3_bytes.remove_repeats(odd(spark).limit(0)).count() == 0
 
 
+def test_op3_sorts_no_copies_of_a_text(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    text = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+    base = [text(500) for _ in range(6)]
+    rows = [(100 * i + k, t) for k in range(9) for i, t in enumerate(base)]
+    rows += [(2000, base[0][:200] + text(80) + base[1][100:300]), (2001, base[5][:300]), (2002, base[5][:300]), (5, text(49)), (2003, None), (2004, ""), (2005, "")]
+    rows += [(2006, text(49))] + [(2007 + k, rows[-4][1]) for k in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    sorted_bytes, whole = [], op3_bytes.find_repeats
+
+    def watched(candidates, *rest):
+        sorted_bytes.append(candidates.agg(F.sum(F.octet_length("text"))).first()[0])
+        return whole(candidates, *rest)
+
+    monkeypatch.setattr(op3_bytes, "find_repeats", watched)
+    assert sorted(tuple(r) for r in digest(op3_bytes.remove_repeats(df)).collect()) == sorted(op3_bytes.brute_force(rows))
+    assert sorted_bytes[0] <= 6 * 500 + 480 + 300
+    null = spark.createDataFrame([(7, base[0]), (7, base[0]), (None, base[0]), (None, base[0]), (None, base[1]), (None, base[1])], "doc_id long, text string")
+    assert sorted((str(r["doc_id"]), r["n_bytes"] - len(r["kept_bytes"])) for r in op3_bytes.remove_repeats(null).collect()) == [("7", 0)] * 2 + [("None", 0)] * 2 + [("None", 500)] * 2
+    monkeypatch.setattr(op3_bytes, "FAN", 1e-3)
+    assert sorted(tuple(r) for r in digest(op3_bytes.remove_repeats(df)).collect()) == sorted(op3_bytes.brute_force(rows))
+
+
 def test_suffixes_in_order_with_and_without_spilling():
     rng = np.random.default_rng(1)
     for trial in range(80):
