@@ -68,8 +68,10 @@ def hot_anchors(keyed, runs, sample: int = 40_000, documents: int = 5_000, least
         for part in parts:
             for a, b in batches(part.column(0)):
                 anchor, doc = runs(part.column(0).slice(a, b - a))
-                pairs = np.unique(np.stack([anchor, doc.astype(np.uint64)]), axis=1)
-                keys, counts = np.unique(pairs[0], return_counts=True)
+                order = np.lexsort((doc, anchor))
+                anchor, doc = anchor[order], doc[order]
+                once = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]))) if len(anchor) else np.zeros(0, bool)
+                keys, counts = np.unique(anchor[once], return_counts=True)
                 many = counts > 1
                 yield pa.RecordBatch.from_arrays([pa.array(keys[many].view(np.int64)), pa.array(counts[many].astype(np.int64))], ["anchor", "n"])
 

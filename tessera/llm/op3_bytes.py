@@ -12,8 +12,8 @@ where windows of one slice or whole pieces are found equal by hash, which is con
 
 Within a slice of documents, what repeats in the slice itself is settled at once, so that a string of very many
 documents reaches its shard once per slice.  Anchors that a sample shows to be frequent are known to be shared and not
-counted; windows with them are dealt by their own hash, so that the surroundings of such a string spread over all shards,
-and, where there are more than FAN slices, in two levels: first among some of the slices, then what is left of each.
+counted; windows with them are dealt by their least and their greatest gram together, so that the surroundings of such a
+string spread over all shards, some windows in a row still make one piece, and, where there are more than FAN slices, in two levels: first among some of the slices, then what is left of each.
 
 The leftmost-S suffixes are sorted by merging instead of by recursion into a reduced text, as only WINDOW bytes of
 order matter; see the README.
@@ -57,7 +57,8 @@ class Slice:
     def __init__(self, column: pa.Array):
         self.buffer, self.offsets = text_buffer(column)
         self.values = BYTE_VALUES[self.buffer]
-        self.anchor = sliding_min(rolling(self.values, GRAM), WINDOW - GRAM + 1)
+        self.grams = rolling(self.values, GRAM)
+        self.anchor = sliding_min(self.grams, WINDOW - GRAM + 1)
         ok = within(self.offsets, WINDOW, len(self.anchor))
         new = ok.copy()
         if len(ok):
@@ -69,6 +70,22 @@ class Slice:
         last = np.maximum(self.offsets[self.doc + 1] - WINDOW + 1, self.first)
         self.count = np.minimum(ends, last) - self.first
 
+    def spread(self, at: np.ndarray) -> np.ndarray:
+        """Route of the windows of frequent anchors at some places."""
+        most = ~sliding_min(~self.grams, WINDOW - GRAM + 1)[at] if len(at) else self.anchor[at]
+        return mix(self.anchor[at] ^ mix(most))
+
+
+def spread(text: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The same for places of a text."""
+    out, n = [np.zeros(0, np.uint64)], WINDOW - GRAM + 1
+    for x in range(0, len(at), 1 << 14):
+        own = at[x : x + (1 << 14)]
+        grams = rolling(BYTE_VALUES[text[take_runs(own, np.full(len(own), WINDOW))]], GRAM)
+        grams = grams[take_runs(np.arange(len(own)) * WINDOW, np.full(len(own), n))].reshape(-1, n)
+        out.append(mix(grams.min(axis=1) ^ mix(grams.max(axis=1))))
+    return np.concatenate(out)
+
 
 def _runs(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     own = Slice(column)
@@ -209,10 +226,10 @@ def _pieces(own: Slice, ids: np.ndarray, docs: np.ndarray, found: list, parts: i
     hashes = mix(span(sums, at, at + WINDOW))
     repeat = _known(own.buffer, at, hashes, ids[doc])
     known = _intervals(doc[repeat], at[repeat] - own.offsets[doc[repeat]])
-    at, doc, hashes = at[~repeat], doc[~repeat], hashes[~repeat]
-    anchor = own.anchor[at]
-    frequent = among(anchor, hot)
-    key = np.where(frequent, hashes, anchor)
+    at, doc = at[~repeat], doc[~repeat]
+    key = own.anchor[at]
+    frequent = among(key, hot)
+    key[frequent] = own.spread(at[frequent])
     new = np.flatnonzero(np.concatenate(([True], (np.diff(at) != 1) | (np.diff(doc) != 0) | (key[1:] != key[:-1])))) if len(at) else np.zeros(0, np.int64)
     counts = np.diff(np.append(new, len(at)))
     part = (mix(key[new]) % np.uint64(shards)).astype(np.int32)
@@ -369,7 +386,7 @@ def find_repeats(candidates: DataFrame, parts: int, shards: int, hot: np.ndarray
         left = np.bincount(piece, minlength=len(ids)) < count
         size = count.astype(np.int64) + WINDOW - 1
         begin = np.cumsum(size) - size
-        key = mix(span(prefix(BYTE_VALUES[text]), begin[left], begin[left] + WINDOW))
+        key = spread(text, begin[left])
         packed = _pack((mix(key) % np.uint64(shards)).astype(np.int32), ids[left], docs[left], start[left], count[left], text[take_runs(begin[left], size[left])])
         return pa.Table.from_pylist(rows + [{"part": p, "blob": x} for p, x in packed.items()], _DEALT)
 

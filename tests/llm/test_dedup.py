@@ -5,6 +5,7 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from compare import connect, same
 from pyspark.sql import functions as F
@@ -257,6 +258,17 @@ def test_op3_sorts_no_copies_of_a_text(spark, monkeypatch):
     assert sorted(tuple(r) for r in digest(op3_bytes.remove_repeats(df)).collect()) == sorted(op3_bytes.brute_force(rows))
 
 
+def test_op3_pieces_of_frequent_anchors_hold_several_windows():
+    data = np.random.default_rng(6).integers(97, 123, 6000, dtype=np.uint8)
+    own = op3_bytes.Slice(pa.array([data.tobytes().decode()]))
+    hot = np.unique(own.anchor)
+    found = op3_bytes._codes(own.anchor[own.first], 16).tobytes()
+    packed, _ = op3_bytes._pieces(own, np.zeros(1, np.int64), np.zeros(1, np.int64), [found], 16, 16, hot, 1)
+    _, _, start, count, text = op3_bytes._unpack(list(packed.values()))
+    assert count.sum() == 6000 - 49 and len(text) < 12 * 6000
+    assert op3_bytes.spread(data, np.arange(5951)).tolist() == own.spread(np.arange(5951)).tolist()
+
+
 def test_suffixes_in_order_with_and_without_spilling():
     rng = np.random.default_rng(1)
     for trial in range(80):
