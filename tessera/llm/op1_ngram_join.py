@@ -7,9 +7,9 @@ of one slice share is settled there, so a signature of very many documents reach
 
 Candidates are verified in rounds, because the pairs of a large group of near copies are too many to list:
 first each member of a signature against the least one; classes that this links are joined.  Then, at most STARS - 1 times
-and as long as the pairs across components are more than ACROSS for each member of any signature, in
-signatures whose members are still in several components, those that are not in its component against one drawn by hash,
-and last, in signatures that have several still, all pairs across components.  The one that the others were compared
+and as long as the pairs across components in signatures of more than WIDE members are more than ACROSS for each member of any
+signature, in these those outside their largest component against one of it drawn by hash; other signatures need no rounds, as
+all their pairs are at most WIDE / 2 for each member.  Last, in signatures that have several components still, all pairs across these.  The one that the others were compared
 with leaves its signature, as none of its pairs is open, and so do signatures in one component; a round reads only
 what is open.  Such pairs are
 compared first by parity sketches: bit j says whether the set has an odd number of features that hash to j, so
@@ -39,7 +39,7 @@ from .partenum import Threshold, shingle_sets, signatures
 from .scratch import Scratch, inner, quoted
 from .words import LOWER, SPACED, batches, mix, release, sequences, text_buffer, tokenize
 
-SLICE, PART_BYTES, CHUNK, MEMBERS, STARS, ACROSS = 2 << 20, 8 << 20, 1024, 256, 4, 4
+SLICE, PART_BYTES, CHUNK, MEMBERS, STARS, ACROSS, WIDE = 2 << 20, 8 << 20, 1024, 256, 4, 4, 64
 #: Rows of ids or nodes that go to all executors, some 64 MB there; more are joined.
 SENT = 1 << 20
 #: Of n sequences about n * n / 2**65 pairs share a 64-bit hash, 3 of 10**10 and 270,000 of 3 * 10**12; more than this are not looked for.
@@ -218,12 +218,20 @@ def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, at: Thr
 
 
 def _open_pairs(members: DataFrame) -> float:
-    """Pairs within a signature but across components; members: sig, node, root."""
+    """Pairs within a signature of more than WIDE members but across components; members: sig, node, root."""
     own = members.groupBy("sig", "root").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    sizes = own.groupBy("sig").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within"))
+    sizes = own.groupBy("sig").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within")).where(F.col("n") > WIDE)
     return (sizes.agg(F.sum(F.col("n") * F.col("n") - F.col("within"))).first()[0] or 0.0) / 2
 
 
+def _central(members: DataFrame, turn: int) -> DataFrame:
+    """(sig, p, n): of each signature in several components a member of its largest, drawn by hash, or null up to WIDE members; members: sig, node, root."""
+    drawn = F.min_by("node", F.struct(F.xxhash64("node", F.lit(turn)), "node"))
+    own = members.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("n"), drawn.alias("node"))
+    sizes = own.groupBy("sig").agg(F.max_by(F.struct("node", "root"), F.struct("n", "root")).alias("p"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("several"))
+    return sizes.where("several > 1").select("sig", F.when(F.col("n") > WIDE, F.col("p")).alias("p"), "n")
+
+
 def _across(members: DataFrame, nodes: DataFrame, at: Threshold, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) within a signature but across components that their sketches let pass; members: sig, node, root."""
     sizes = members.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
@@ -291,16 +299,15 @@ def group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
     signed = scratch.write(nodes.join(_few(scratch.write(members.select("node").distinct(), "in")), "node", "left_semi"), "signed")
     roots = members.withColumn("root", F.col("node"))
     for turn in range(STARS):
-        order = F.struct(F.xxhash64("node", F.lit(turn)), "node") if turn else F.col("node")
-        pivots = roots.groupBy("sig").agg(F.min_by(F.struct("node", "root"), order).alias("p"), F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y")
-        met = roots.join(pivots, "sig")
+        least = F.min(F.struct("node", "root")).alias("p")
+        met = roots.join(_central(roots, turn) if turn else roots.groupBy("sig").agg(least, F.count(F.lit(1)).alias("n")), "sig")
         stars = met.where("root <> p.root").select(F.col("p.node").alias("a"), F.col("node").alias("b")).distinct()
         passed = scratch.write(_pass_sketch(stars, signed, at), f"star{turn}")
         if not turn:
             first = passed
         links = _verify(passed, signed, keyed, shingle, at, split, scratch, f"{turn}")
         joined = components(joined.unionByName(links) if turn else links, scratch)
-        rest = met.where("n > 2 and node <> p.node").select("sig", "node").join(joined.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left")
+        rest = met.where("p is null or n > 2 and node <> p.node").select("sig", "node").join(joined.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left")
         roots = scratch.write(rest.withColumn("root", F.coalesce("root", "node")), f"roots{turn}")
         scratch.drop("members", f"roots{turn - 1}")
         if _open_pairs(roots) <= most:

@@ -31,13 +31,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .scratch import bound_batches, inner, keep_names, quoted
-from .words import SPACED, Words, batches, text_buffer, tokenize
+from .words import SPACED, Words, batches, release, text_buffer, tokenize
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 KINDS = ["assign", "access", "hex", "field"]
 TRAIN_LINES, TRAIN_TOKENS, TRAIN_STEPS, MIN_SECRET = 1600, 22, 90, 8
+#: Bytes of text whose tokens are scored at once; their arrays take some sixty times as much.
+SLICE = 256 << 10
 RESULT = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 _ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
@@ -114,7 +116,7 @@ def features(tokens: Words, low: bytes) -> tuple[np.ndarray, list[int]]:
     marked = np.bincount(doc, mark, len(tokens.first) - 1)
     file = np.minimum(marked, 2).astype(np.int64)[doc] if n else np.zeros(0, np.int64)
     columns = [shape, length, share, near, left + 2 * right + 4 * dense, file * 2 + dense]
-    return np.stack(columns, axis=1).astype(np.int64), [32, 9, 4, 32, 8, 6]
+    return np.stack([x.astype(np.uint8) for x in columns], axis=1), [32, 9, 4, 32, 8, 6]
 
 
 def _lines(rng: np.random.Generator, count: int) -> tuple[list[str], np.ndarray]:
@@ -291,7 +293,7 @@ def _trim(text: str, start: int, end: int) -> tuple[int, int]:
 
 def _scan(column: pa.Array, field: Field) -> list[list[dict]]:
     out: list[list[dict]] = []
-    for a, b in batches(column):
+    for a, b in batches(column, SLICE):
         part = column.slice(a, b - a)
         buffer, offsets = text_buffer(part)
         tokens = tokenize(buffer, offsets, SPACED, hashes=False)
@@ -348,6 +350,8 @@ def scan(docs: DataFrame, text: str = "text", result: str = "secrets") -> DataFr
         for part in parts:
             spans = _scan(part.column(part.schema.get_field_index(text)), sent.value)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(spans, _ARROW)], [*part.schema.names, result])
+            del part, spans
+            release()
 
     return source.mapInArrow(run, T.StructType([*source.schema, T.StructField(result, RESULT)]))
 

@@ -113,6 +113,22 @@ def test_op1_rounds_read_only_what_is_open(spark, monkeypatch):
     assert op1_ngram_join._open_pairs(table) == 300
 
 
+def test_op1_later_rounds_only_compare_what_is_outside_a_wide_group(spark, monkeypatch):
+    """Small signatures wait for the last round, and in a wide one nobody of its largest component is compared again."""
+    rng, sent = np.random.default_rng(8), []
+    base = [f"w{x}" for x in range(300)]
+    rows = [(i, " ".join(base[:j] + [f"x{i}"] + base[j + 1 :])) for i, j in enumerate(rng.integers(0, 300, 40).tolist())]
+    rows += [(50 + i, " ".join(base[:230] + [f"y{i}_{x}" for x in range(70)])) for i in range(3)]
+    rows += [(100 + 3 * g + i, " ".join([f"z{g}_{x}" for x in range(120)] + [f"u{g}_{i}_{x}" for x in range(25)])) for g in range(24) for i in range(3)]
+    monkeypatch.setattr(op1_ngram_join, "WIDE", 20, raising=False)
+    monkeypatch.setattr(op1_ngram_join, "ACROSS", 0)
+    one = op1_ngram_join._pass_sketch
+    monkeypatch.setattr(op1_ngram_join, "_pass_sketch", lambda pairs, *rest: sent.append(pairs.count()) or one(pairs, *rest))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(tuple(r) for r in op1_ngram_join.group(df, shingle=3, num=4, den=5).collect()) == group_by_force(rows, 3, 4, 5)
+    assert sent[0] >= 24 + 40 and len(sent) > 1 and all(1 <= n < 24 for n in sent[1:])
+
+
 def test_op1_odd_rows(spark):
     got = collections.defaultdict(set)
     for i, n, c in op1_ngram_join.group(odd(spark)).collect():

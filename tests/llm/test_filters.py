@@ -149,6 +149,19 @@ def test_op4_texts_do_not_run_into_each_other():
             assert (rows[whole.of(i)] == op4_secrets.features(own, own.buffer.tobytes().lower())[0]).all()
 
 
+def test_op4_memory_follows_neither_batch_nor_text_count():
+    import tracemalloc
+
+    field = op4_secrets.trained()
+    texts = pa.array([f"line {i} of words that hold nothing, token = 'abcdefgh{i}' " * 40 for i in range(1500)])
+    tracemalloc.start()
+    found = op4_secrets._scan(texts, field)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 1500 and all(len(x) == 40 for x in found)
+    assert peak < 100e6
+
+
 def test_op4_field_on_held_out_lines():
     field = op4_secrets.trained()
     texts, tags = op4_secrets._lines(np.random.default_rng(99), 400)
