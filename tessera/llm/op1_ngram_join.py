@@ -8,8 +8,8 @@ of one slice share is settled there, so a signature of very many documents reach
 Candidates are verified in rounds, because the pairs of a large group of near copies are too many to list:
 first each member of a signature against the least one; classes that this links are joined.  Then, at most STARS - 1 times
 and as long as the pairs across components in signatures of more than WIDE members are more than ACROSS for each member of any
-signature, in these those outside their largest component against one of it drawn by hash; other signatures need no rounds, as
-all their pairs are at most WIDE / 2 for each member.  Last, in signatures that have several components still, all pairs across these.  The one that the others were compared
+signature, in these those outside their largest component against one of it drawn by hash; other signatures wait for the last
+step with the components of the first, as all their pairs are at most WIDE / 2 for each member.  Last, in signatures that have several components still, all pairs across these.  The one that the others were compared
 with leaves its signature, as none of its pairs is open, and so do signatures in one component; a round reads only
 what is open.  Such pairs are
 compared first by parity sketches: bit j says whether the set has an odd number of features that hash to j, so
@@ -218,18 +218,18 @@ def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, at: Thr
 
 
 def _open_pairs(members: DataFrame) -> float:
-    """Pairs within a signature of more than WIDE members but across components; members: sig, node, root."""
+    """Pairs within a signature but across components; members: sig, node, root."""
     own = members.groupBy("sig", "root").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    sizes = own.groupBy("sig").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within")).where(F.col("n") > WIDE)
+    sizes = own.groupBy("sig").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within"))
     return (sizes.agg(F.sum(F.col("n") * F.col("n") - F.col("within"))).first()[0] or 0.0) / 2
 
 
 def _central(members: DataFrame, turn: int) -> DataFrame:
-    """(sig, p, n): of each signature in several components a member of its largest, drawn by hash, or null up to WIDE members; members: sig, node, root."""
+    """(sig, p, n): of each signature in several components a member of its largest, drawn by hash, and all its members; members: sig, node, root."""
     drawn = F.min_by("node", F.struct(F.xxhash64("node", F.lit(turn)), "node"))
     own = members.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("n"), drawn.alias("node"))
     sizes = own.groupBy("sig").agg(F.max_by(F.struct("node", "root"), F.struct("n", "root")).alias("p"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("several"))
-    return sizes.where("several > 1").select("sig", F.when(F.col("n") > WIDE, F.col("p")).alias("p"), "n")
+    return sizes.where("several > 1").select("sig", "p", "n")
 
 
 def _across(members: DataFrame, nodes: DataFrame, at: Threshold, scratch: Scratch) -> DataFrame:
@@ -307,12 +307,15 @@ def group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
             first = passed
         links = _verify(passed, signed, keyed, shingle, at, split, scratch, f"{turn}")
         joined = components(joined.unionByName(links) if turn else links, scratch)
-        rest = met.where("p is null or n > 2 and node <> p.node").select("sig", "node").join(joined.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left")
-        roots = scratch.write(rest.withColumn("root", F.coalesce("root", "node")), f"roots{turn}")
-        scratch.drop("members", f"roots{turn - 1}")
+        rest = met.where("n > 2 and node <> p.node").select("sig", "node", "n").join(joined.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left")
+        left = scratch.write(rest.withColumn("root", F.coalesce("root", "node")), f"roots{turn}")
+        if not turn:
+            narrow = left.where(F.col("n") <= WIDE).drop("n")
+        roots = left.where(F.col("n") > (0 if turn else WIDE)).drop("n")
+        scratch.drop("members", *([f"roots{turn - 1}"] if turn > 1 else []))
         if _open_pairs(roots) <= most:
             break
-    second = _across(roots, signed, at, scratch).join(first, ["a", "b"], "left_anti")
+    second = _across(narrow.unionByName(roots), signed, at, scratch).join(first, ["a", "b"], "left_anti")
     second = scratch.write(second, "second")
     scratch.drop(*(f"roots{turn}" for turn in range(STARS)))
     if second.limit(1).count():
