@@ -59,6 +59,41 @@ def test_quantiles_take_no_group_whole(spark):
     assert "percentile(" not in QUERIES["agg_percentile_hist"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString(), "a group's values are not held in one task"
 
 
+def test_histograms_count_every_finite_value_in_the_same_bins(spark):
+    inf, nan = float("inf"), float("nan")
+    rng = random.Random(5)
+    rows = [(g, rng.choice([None, nan, inf, -inf, 0.0, -0.0, 1.0, 0.15, rng.random() * 3 - 1])) for g in ("a", "b", None) for _ in range(150)] + [("c", None), ("d", 2.5)]
+    found = {r["g"]: r["h"] for r in relational.histogram(spark.createDataFrame(rows, "g string, v double"), "g", "v", 20, "h").collect()}
+    finite = {g: [v for k, v in rows if k == g and v is not None and np.isfinite(v)] for g in found}
+    every = [v for vs in finite.values() for v in vs]
+    assert found == {g: np.histogram(vs, bins=20, range=(min(every), max(every)))[0].tolist() for g, vs in finite.items()} and set(found) == {"a", "b", "c", "d", None}
+    alone = spark.createDataFrame([("a", 1e20), ("b", None)], "g string, v double")
+    assert {r["g"]: r["h"] for r in relational.histogram(alone, "g", "v", 20, "h").collect()} == {"a": [0] * 10 + [1] + [0] * 9, "b": [0] * 20}
+
+
+def test_quantiles_order_infinity(spark):
+    inf, nan = float("inf"), float("nan")
+    df = spark.createDataFrame([("a", v) for v in (nan, 1.0, inf, -inf, -1e308)] + [("b", inf), ("b", 1e308)], "g string, v double")
+    got = {r["g"]: (r["low"], r["second"], r["high"]) for r in relational.quantiles(df, "g", "v", {"low": 0.0, "second": 0.25, "high": 0.75}).collect()}
+    assert got == {"a": (-inf, -1e308, inf), "b": (1e308, inf, inf)}
+
+
+def test_percentiles_come_with_their_histogram(spark):
+    from tessera.plans import table_queries  # noqa: F401
+
+    folder = "/root/testdata/sf0.001"
+    values = {}
+    for r in spark.read.parquet(f"{folder}/lineitem.parquet").select("l_returnflag", "l_extendedprice").collect():
+        values.setdefault(r[0], []).append(r[1])
+    ends = min(map(min, values.values())), max(map(max, values.values()))
+    found = {r["l_returnflag"]: r for r in QUERIES["agg_percentile_hist"](spark, folder).collect()}
+    assert set(found) == set(values)
+    for flag, vs in values.items():
+        percents = (0, 1, 5, 10, 25, 50, 75, 90, 95, 99, 100)
+        assert [found[flag][f"p{p}"] for p in percents] == pytest.approx(np.percentile(vs, percents), abs=1e-4)
+        assert found[flag]["hist20"] == np.histogram(vs, bins=20, range=ends)[0].tolist()
+
+
 def test_passages_and_clauses(spark):
     from tessera.functions.passages import clauses, image_parts, in_order, mark_passages, outside
 
